@@ -1,0 +1,4 @@
+"""Registered queries over the driver's tables, each with the SQL that a second engine runs for comparison."""
+
+QUERIES: dict = {}
+SQL: dict = {}
