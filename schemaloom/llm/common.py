@@ -59,3 +59,15 @@ def map_rows(df: DataFrame, each: Callable[[list[list]], list[list]], schema: st
 def held_out(doc_id: str, folds: int, fold: int):
     """True where crc32 of the id as text falls in the fold that no model may learn from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table beside the checkpoints: compressed and read by column, for wider rows than pinned() is meant for."""
+    import uuid
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
