@@ -173,10 +173,10 @@ def load_vocabulary(path: str) -> bytes:
     return data
 
 
-def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's ids, and the bytes that those ids decode to. A map without shuffle; the tables, of a checked size, are broadcast."""
+def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """Each document's ids, and the bytes that those ids decode to (``keep_text``: and its text). A map without shuffle; the tables, of a checked size, are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(Codec(load_vocabulary(vocabulary_path), pattern))
-    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    out = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType()), *([T.StructField("text", T.StringType())] if keep_text else [])])
     target = arrow_schema(out)
 
     def run(batches):
@@ -187,7 +187,7 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: s
                 offsets = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(r) for r in rows], out=offsets[1:])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, target[0].type), lists.cast(target[1].type), pa.array([own.decode(r) for r in rows], target[2].type)], schema=target)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, target[0].type), lists.cast(target[1].type), pa.array([own.decode(r) for r in rows], target[2].type), *([pa.array(texts, target[3].type)] if keep_text else [])], schema=target)
 
     return docs.select(id_col, text_col).mapInArrow(run, out)
 

@@ -71,3 +71,17 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_rows(df: DataFrame, text_col: str, keep: Callable[[object, list], list[bool]], prepare: Callable[[], object]) -> DataFrame:
+    """The rows whose text passes, all columns as they are; one map without shuffle. ``keep`` gets prepare()'s result and some texts."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = prepare()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield part.filter(pa.array(keep(state, part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -15,12 +15,13 @@ documents give repeated results; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import map_rows, read
+from .common import keep_rows, map_rows, read
 
 ERROR_SHARE = 0.05
 MIN_CHARS = 40
@@ -120,7 +121,7 @@ class Matcher:
         return found
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[list[tuple[int | None, str]]]:
+def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
     """The query set in blocks. It is a stated set of queries; each block is read on its own, and its size is checked before."""
     total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
@@ -145,22 +146,14 @@ def contaminated(docs: DataFrame, items: DataFrame, error_share: float = ERROR_S
     return out
 
 
-def flag_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without any match, all columns kept: the flag is made in the same pass that reads the text, so nothing is joined.
+def drop_contaminated(docs: DataFrame, items: DataFrame, error_share: float = ERROR_SHARE, min_chars: int = MIN_CHARS, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """The documents without any match, all columns kept: decided in the same pass that reads the text, so nothing is joined.
 
     With more than one block, a document goes as soon as one of them matches.
     """
-    text_col = options.get("text_col", "text")
-    for block in blocks(items, "item_id", "text", options.get("block_bytes", BLOCK_BYTES)):
+    for block in blocks(items, "item_id", "text", block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        share, least = options.get("error_share", ERROR_SHARE), options.get("min_chars", MIN_CHARS)
-        at = docs.columns.index(text_col)
-
-        def each(matcher, columns, at=at):
-            keep = [not matcher.matches(t) for t in columns[at]]
-            return [[v for v, k in zip(c, keep, strict=True) if k] for c in columns]
-
-        docs = map_rows(docs, each, T.StructType.toDDL(docs.schema), lambda shared=shared: Matcher(shared.value, share, least))
+        docs = keep_rows(docs, text_col, lambda matcher, texts: [not matcher.matches(t) for t in texts], lambda shared=shared: Matcher(shared.value, error_share, min_chars))
     return docs
 
 

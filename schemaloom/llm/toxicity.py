@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, read
+from .common import held_out, keep_rows, map_rows, read
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -155,6 +155,13 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
     return map_rows(docs.select(id_col, text_col), each, f"`{id_col}` {kind}, score double, predicted int", lambda: (Terms(shared.value.active), shared.value))
 
 
+def drop_toxic(docs: DataFrame, model: FactorizationMachine, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The documents that score under ``limit``, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = lambda state, texts: (state[1].score([state[0].of(t) for t in texts]) < limit).tolist()
+    return keep_rows(docs, text_col, keep, lambda: (Terms(shared.value.active), shared.value))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = score_toxicity(docs, train(docs, read(spark, sf_dir, "labels")))
