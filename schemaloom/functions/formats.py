@@ -38,11 +38,10 @@ def _email(v: Column) -> Column:
 
 
 def _uri(v: Column) -> Column:
-    return v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~v.rlike(r"^(?i)(https?|ftp|wss?):/*([/?#:]|$)") & ~v.rlike(r"^(?i)(https?|ftp|wss?)://[^/?#]*[\s<>^|%]") & ~v.rlike(r"^(?i)(https?|ftp|wss?)://[^/?#]*:[0-9]*[^0-9/?#\]@][^@]*$")
-
-
-def _balanced(v: Column) -> Column:
-    return ~v.rlike(r"[^{}]*\}[^{]*$") | v.rlike(r"^([^{}]|\{[^{}]*\})*$")
+    """What a WHATWG URL parser takes: any scheme, and for special ones a host without forbidden characters and a port of digits."""
+    special = v.rlike(r"^(?i)(https?|ftp|wss?):")
+    host = v.rlike(r"^(?i)[a-z]+:[/\\]*([^/?#@\s]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#@:\s<>^|%\[\]]+)(:\d{0,5})?([/?#\\]|$)")
+    return v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (~special | host)
 
 
 def _pattern(p: str) -> Callable[[Column], Column]:
@@ -91,6 +90,14 @@ def _regex_compiles(v: Column) -> Column:
     return F.pandas_udf(lambda s: s.map(compiles), "boolean")(v)
 
 
+def strict_json(text: Column) -> Column:
+    """JSON text as VARIANT, null for anything else. The parser stops at the end of a value, so the text is also tried
+    within an array and within an object, where what follows a value can't go unseen."""
+    alone = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")) == 1
+    inside = F.try_parse_json(F.concat(F.lit('{"":'), text, F.lit("}"))).isNotNull()
+    return F.when(alone & inside, F.try_parse_json(text))
+
+
 class Formats:
     """Formats by name: built-in ones, and those that a user adds as Column functions."""
 

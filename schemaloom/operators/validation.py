@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.formats import strict_json
 from ..plans.compiler import Compiler
 from ..plans.project import Projector
-from ..plans.values import Typed, Value, value_of
+from ..plans.values import Typed, Value, Variant, value_of
 
 
 def row_value(df: DataFrame, column: str | None = None) -> Value:
@@ -23,9 +24,7 @@ def row_value(df: DataFrame, column: str | None = None) -> Value:
 
 def json_value(column: str) -> Value:
     """JSON text as a document; text that isn't JSON is an absent document."""
-    from ..plans.values import Variant
-
-    return Variant(F.try_parse_json(F.col(column)))
+    return Variant(strict_json(F.col(column)))
 
 
 def is_valid(df: DataFrame, compiler: Compiler, schema_id: str, value: Value | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.formats import Formats
+from ..functions.formats import Formats, strict_json
 from ..functions.hashing import number_text, text
 from .registry import Registry, Schema, config, ext
 from .values import Typed, Value
@@ -165,7 +165,7 @@ class Compiler:
             yield Test("contentEncoding", t.isNotNull() & decoded.isNull(), f"must be valid {encoding}-encoded content", {"encoding": encoding})
             plain = F.decode(decoded, "UTF-8")
         if s.get("contentMediaType") == "application/json":
-            yield Test("contentMediaType", t.isNotNull() & F.try_parse_json(plain).isNull(), "must be valid application/json content", {"mediaType": "application/json"})
+            yield Test("contentMediaType", t.isNotNull() & strict_json(plain).isNull(), "must be valid application/json content", {"mediaType": "application/json"})
 
     def _among(self, v: Value, allowed: list) -> Column:
         """Deep equality with one of some constants; plain comparisons where the column's type allows, so that they push down."""
