@@ -352,7 +352,12 @@ _shacl("s_min_length", [("minLength", "10")], "length(c_mktsegment) < 10", "MinL
 _shacl("s_in", [("in", "_:l")], "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')", "In", "c_mktsegment", "c_mktsegment", rdf_list("_:l", ["BUILDING", "MACHINERY"]))
 _shacl("s_has_value", [("hasValue", "BUILDING")], "c_mktsegment <> 'BUILDING'", "HasValue", None, "c_mktsegment")
 _shacl("s_class", [("class", EX + "Segment")], "true", "Class", "c_mktsegment", "c_mktsegment")
-_shacl("s_closed", [], "true", "Closed", f"unnest(['{P['c_name']}', '{P['c_mktsegment']}', '{P['c_custkey']}'])", "c_acctbal", [(CUSTOMER["$id"], SH + "closed", "true")])
+
+
+@C.query(f"SELECT '{EX}customer/' || c_custkey AS focus_node, unnest(['{P['c_name']}', '{P['c_mktsegment']}', '{P['c_custkey']}']) AS result_path FROM customer")
+def s_closed(spark, sf):
+    out = report(spark, customers(spark, sf), shape(CUSTOMER["$id"], P["c_acctbal"], more=[(CUSTOMER["$id"], SH + "closed", "true")]))
+    return out.select("focus_node", "result_path")
 
 
 @C.query(f"SELECT '{EX}order/' || o_orderkey AS focus_node FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")

@@ -144,7 +144,8 @@ class Validator:
         if shape.params.get("closed") == "true":
             allowed = [TYPE, *shape.params.get("ignoredProperties", []), *(p.path for p in shape.properties if p.path)]
             extra = focus.join(self.q.where(~F.col("p").isin(allowed)).select("s", "p", "o"), F.col("focus") == F.col("s"))
-            out.append(self._row(extra, shape, "Closed", "predicate is not allowed on a closed shape", F.col("o")).withColumn("result_path", F.lit(None).cast("string")))
+            told = self._row(extra.select("focus", "p").distinct(), shape, "Closed", "predicate is not allowed, as the shape is closed", F.col("p"))
+            out.append(told.withColumns({"result_path": F.col("value"), "value": F.lit(None).cast("string")}))
         if "in" in shape.params and shape.params["in"]:
             out.append(self._row(focus.where(~F.col("focus").isin(shape.params["in"])), shape, "In", "must be one of the allowed values", F.col("focus")))
         for v in shape.params.get("hasValue", []):
