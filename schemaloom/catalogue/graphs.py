@@ -29,8 +29,13 @@ def iri(kind: str, key):
     return F.concat(F.lit(EX + kind + "/"), (F.col(key) if isinstance(key, str) else key).cast("string"))
 
 
-def emitted(df, schema: dict, subject):
-    return Q.Emitter(Registry(REGISTRY)).quads(df, schema["$id"], subject, row_value(df))
+def emitted(df, schema: dict, subject, *only: str):
+    """The quads of a table, all or those of some predicates."""
+    return Q.Emitter(Registry(REGISTRY), only=set(only) or None).quads(df, schema["$id"], subject, row_value(df))
+
+
+def nested_orders(spark, sf, *only: str):
+    return emitted(order_documents(spark, sf), ORDER, iri("order", "o_orderkey"), *only)
 
 
 def customers(spark, sf):
@@ -289,9 +294,10 @@ def triples(q, p, s, o):
 @C.query("SELECT DISTINCT o_custkey::VARCHAR AS customer, l_partkey::VARCHAR AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def r_purchased(spark, sf):
     """customer purchased part <- order of customer, line of order, part of line."""
-    q = emitted(order_documents(spark, sf), ORDER, iri("order", "o_orderkey"))
-    lines = triples(q, P["lines"], "order", "line").join(triples(q, P["l_partkey"], "line", "part"), "line")
-    return triples(q, P["o_custkey"], "order", "customer").join(lines, "order").select("customer", "part").distinct()
+    of = lambda p, s, o: triples(nested_orders(spark, sf, p), p, s, o)
+    lines = of(P["lines"], "order", "line").join(of(P["l_partkey"], "line", "part"), "line")
+    who = triples(emitted(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), ORDER, iri("order", "o_orderkey"), P["o_custkey"]), P["o_custkey"], "order", "customer")
+    return who.join(lines, "order").select("customer", "part").distinct()
 
 
 @C.query("SELECT DISTINCT user_id::VARCHAR AS customer, event_type FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING'")
@@ -362,13 +368,13 @@ def s_closed(spark, sf):
 
 @C.query(f"SELECT '{EX}order/' || o_orderkey AS focus_node FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def s_min_count(spark, sf):
-    q = emitted(order_documents(spark, sf), ORDER, iri("order", "o_orderkey"))
+    q = nested_orders(spark, sf, TYPE, P["lines"])
     return report(spark, q, shape(ORDER["$id"], P["lines"], ("minCount", "1"))).select("focus_node")
 
 
 @C.query(f"SELECT '{EX}order/' || l_orderkey AS focus_node FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey HAVING count(*) > 6")
 def s_max_count(spark, sf):
-    q = emitted(order_documents(spark, sf), ORDER, iri("order", "o_orderkey"))
+    q = nested_orders(spark, sf, TYPE, P["lines"])
     return report(spark, q, shape(ORDER["$id"], P["lines"], ("maxCount", "6"))).select("focus_node")
 
 
@@ -377,13 +383,13 @@ _BIG = [("_:v", TYPE, SH + "NodeShape"), ("_:v", SH + "property", "_:w"), ("_:w"
 
 @C.query(f"SELECT '{EX}order/' || l_orderkey AS focus_node, '{EX}order/' || l_orderkey || '/lines/' || i AS value FROM {_LINES} WHERE l_quantity < 45")
 def s_node(spark, sf):
-    q = emitted(order_documents(spark, sf), ORDER, iri("order", "o_orderkey"))
+    q = nested_orders(spark, sf, TYPE, P["lines"], P["l_quantity"])
     return report(spark, q, shape(ORDER["$id"], P["lines"], ("node", "_:v"), more=_BIG)).select("focus_node", "value")
 
 
 @C.query(f"SELECT '{EX}order/' || o_orderkey AS focus_node FROM orders WHERE (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND CAST(l_quantity AS INTEGER) >= 45) < 2")
 def s_qualified(spark, sf):
-    q = emitted(order_documents(spark, sf), ORDER, iri("order", "o_orderkey"))
+    q = nested_orders(spark, sf, TYPE, P["lines"], P["l_quantity"])
     return report(spark, q, shape(ORDER["$id"], P["lines"], ("qualifiedValueShape", "_:v"), ("qualifiedMinCount", "2"), more=_BIG)).select("focus_node")
 
 

@@ -73,11 +73,10 @@ def t_computed(spark, sf_dir):
     return V.instantiate(df, Compiler(r), ID + "line", "doc").select("l_orderkey", "l_linenumber", F.col("instance.net").alias("net"))
 
 
-@C.query(f"SELECT event_id, {K} AS k, CASE WHEN {K} BETWEEN 0 AND 100 THEN true ELSE false END AS valid FROM {D}")
+@C.query(f"SELECT event_id, CASE WHEN {K} BETWEEN 0 AND 100 THEN {K} END AS k, CASE WHEN {K} BETWEEN 0 AND 100 THEN true ELSE false END AS valid FROM {D}")
 def t_instantiate(spark, sf_dir):
     out = V.instantiate(event_docs(spark, sf_dir), compiler(DOC), ID + "doc", "doc", cast=True)
-    made = P.Projector(Registry([DOC])).project(ID + "doc", Variant(F.col("doc")))
-    return out.select("event_id", made["k"].alias("k"), (F.size("errors") == 0).alias("valid"))
+    return out.select("event_id", F.col("instance.k").alias("k"), (F.size("errors") == 0).alias("valid"))
 
 
 @C.query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '{\"c_custkey\":' || c_custkey || ',\"c_nationkey\":' || c_nationkey || '}' ELSE '{\"c_custkey\":' || c_custkey || ',\"c_nationkey\":' || c_nationkey || ',\"c_mktsegment\":\"' || c_mktsegment || '\"}' END AS dumped FROM customer")

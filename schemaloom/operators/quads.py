@@ -60,8 +60,9 @@ class Emitter:
     ``predicate_for(class id, property)`` may name predicates; else an absolute predicate keyword or $id does, else class#property.
     """
 
-    def __init__(self, registry: Registry, predicate_for: Callable[[str, str], str | None] | None = None, graph: str | None = None, annotations: str = "star-only"):
-        self.registry, self.predicate_for, self.graph, self.annotations = registry, predicate_for, graph, annotations
+    def __init__(self, registry: Registry, predicate_for: Callable[[str, str], str | None] | None = None, graph: str | None = None, annotations: str = "star-only", only: set[str] | None = None):
+        """``only``: the predicates that are wanted; others are pruned from the plan, nested objects that lead to none of them too."""
+        self.registry, self.predicate_for, self.graph, self.annotations, self.only = registry, predicate_for, graph, annotations, only
         self.shapes = Projector(registry)
 
     def predicate(self, class_id: str, name: str, schema) -> str:
@@ -86,11 +87,29 @@ class Emitter:
         return self._object(self.registry[key], key, _At(key), subject, value, 0)
 
     def _object(self, schema, class_id: str, at, subject: Column, v: Value, depth: int) -> Column:
-        parts = [F.array(quad(subject, TYPE, F.lit(class_id), "iri", g=self.graph))]
+        parts = [F.array(quad(subject, TYPE, F.lit(class_id), "iri", g=self.graph))] if self.wants(TYPE) else []
         for name, (sub, own) in self.shapes.properties(schema, at).items():
+            if not self._leads(name, sub, own, 0):
+                continue
             # a property's predicate belongs to the class that declares it
             parts.append(self._property(name, sub, own, own.root, subject, v.get(name), depth))
-        return F.concat(*parts)
+        return F.concat(*parts) if parts else F.array().cast(f"array<{QUAD}>")
+
+    def wants(self, predicate: str) -> bool:
+        return self.only is None or predicate in self.only
+
+    def _leads(self, name: str, schema, at, depth: int) -> bool:
+        """Whether a property makes a wanted quad, itself or below it."""
+        if self.only is None or self.wants(self.predicate(at.root, name, schema)):
+            return True
+        target, own = self.shapes._deref(schema, at)
+        if ext(target, "annotatedEdge"):
+            return True
+        if self.shapes.kind(target, own) == "array":
+            target, own = self.shapes._deref(target.get("items", {}), own)
+        if self.shapes.kind(target, own) != "object" or depth > 8:
+            return False
+        return self.wants(TYPE) or any(self._leads(n, s, o, depth + 1) for n, (s, o) in self.shapes.properties(target, own).items())
 
     def _property(self, name, sub, at, class_id, subject, v: Value, depth) -> Column:
         none = F.array().cast(f"array<{QUAD}>")
@@ -117,7 +136,7 @@ class Emitter:
             if depth > 8 or not self.shapes.properties(target, own):
                 return none
             inner = self._object(target, class_id, own, nested, v, depth + 1)
-            return F.when(here, F.concat(inner, F.array(quad(subject, p, nested, "iri", g=self.graph)))).otherwise(none)
+            return F.when(here, F.concat(inner, F.array(quad(subject, p, nested, "iri", g=self.graph))) if self.wants(p) else inner).otherwise(none)
         said = target if isinstance(target, dict) else {}
         if ext(said, "iriRef"):
             o = v.text()

@@ -84,6 +84,8 @@ def instantiate(df: DataFrame, compiler: Compiler, schema_id: str, column: str,
     projector = Projector(registry, coerce=cast, defaults=True)
     made = projector.project(schema_id, raw)
     kind = projector.struct_type(schema_id)
+    df = df.withColumn("_made", made)  # made once; the checks below only read it
+    made = F.col("_made")
     computed = registry.computed.get(key, {})
     errors = compiler.errors(schema_id, Typed(made, kind)) if cast else _without_defaults_missing(compiler, schema_id, raw, registry[key])
     given = [name for name in computed if not isinstance(raw, Typed)]
@@ -95,8 +97,8 @@ def instantiate(df: DataFrame, compiler: Compiler, schema_id: str, column: str,
         made = F.struct(*(made[n].alias(n) for n in kind.names if n not in computed), *(f(Typed(made, kind)).alias(n) for n, f in computed.items()))
     out = df.withColumn("errors", errors)
     if policy == "failfast":
-        return out.withColumn("instance", F.when(F.size("errors") == 0, made).otherwise(F.raise_error(F.to_json("errors")).cast(kind) if not computed else F.raise_error(F.to_json("errors"))))
-    return out.withColumn("instance", F.when(F.size("errors") == 0, made))
+        return out.withColumn("instance", F.when(F.size("errors") == 0, made).otherwise(F.raise_error(F.to_json("errors")).cast(kind) if not computed else F.raise_error(F.to_json("errors")))).drop("_made")
+    return out.withColumn("instance", F.when(F.size("errors") == 0, made)).drop("_made")
 
 
 def _without_defaults_missing(compiler: Compiler, schema_id: str, raw: Value, schema: dict) -> Column:

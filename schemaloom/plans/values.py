@@ -135,6 +135,10 @@ class Variant(Value):
         self.schema = F.schema_of_variant(col)
 
     def is_type(self, name: str) -> Column:
+        if name == "object":  # the schema of a container takes a walk through all that it holds
+            return self._as("map<string,variant>").isNotNull()
+        if name == "array":
+            return self._as("array<variant>").isNotNull()
         s = self.schema
         if name == "number":
             fits = s.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
@@ -142,7 +146,7 @@ class Variant(Value):
             d = self.number()
             fits = s.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (d == F.floor(d)) & (F.abs(d) < float("inf"))
         else:
-            fits = s.startswith({"string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "array": "ARRAY", "object": "OBJECT"}[name])
+            fits = s.startswith({"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name])
         return F.coalesce(fits, F.lit(False))
 
     def _as(self, kind: str) -> Column:
