@@ -228,7 +228,7 @@ class Registry:
                 for m in schema.get(key, []):
                     walk(m, root, seen)
             for key in ("then", "else"):
-                walk(schema.get(key, {}), root, seen)
+                walk(schema.get(key, True), root, seen)
 
         walk(self[schema_id], self.expand(schema_id), frozenset())
         return out
