@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal
 from typing import Any
 
 # Start and multiplier of the hash, and what a structural hash leaves out.
@@ -22,7 +23,7 @@ def number_text(x: float | int) -> str:
     if math.isnan(x) or math.isinf(x):
         return "null"
     if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
+        return f"{Decimal(repr(x + 0.0)):f}".removesuffix(".0")  # -0 is 0
     mantissa, _, exponent = repr(x).partition("e")
     if exponent:
         e = int(exponent)
