@@ -74,11 +74,12 @@ class Emitter:
         made = self.predicate_for(class_id, name) if self.predicate_for else None
         return made or f"{class_id}#{name}"
 
-    def quads(self, df: DataFrame, schema_id: str, subject: Column, value: Value) -> DataFrame:
-        """The quads of each row; ord is the place in its document."""
-        made = F.posexplode(self.array(schema_id, subject, value)).alias("ord", "q")
-        out = df.select(made).select("q.*", F.col("ord").cast("bigint").alias("ord"))
-        return out
+    def quads(self, df: DataFrame, schema_id: str, subject: Column, value: Value, order: Column | None = None) -> DataFrame:
+        """The quads of each row. ord is the place in its document, after that of the document where ``order`` gives one (a number);
+        without it, documents are told apart by their IRIs."""
+        place = F.coalesce(order.cast("bigint"), F.lit(0)) if order is not None else F.lit(0).cast("bigint")
+        made = df.select(place.alias("_place"), F.posexplode(self.array(schema_id, subject, value)).alias("_pos", "q"))
+        return made.select("q.*", F.shiftleft("_place", 20).bitwiseOR(F.col("_pos")).alias("ord"))
 
     def array(self, schema_id: str, subject: Column, value: Value) -> Column:
         key = self.registry.expand(schema_id)
