@@ -204,10 +204,19 @@ def _grouped_edges(members: DataFrame, key: str, value: str, forest) -> DataFram
     grouped = members.groupBy(key).agg(F.collect_list(F.struct("rep", value)).alias("members"))
 
     def each(columns):
-        edges: set[tuple[int, int]] = set()
+        up: dict[int, int] = {}
+
+        def least(x: int) -> int:
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
         for group in columns[0]:
             group.sort(key=lambda m: (m["rep"], m[value]))
-            edges.update((group[i]["rep"], group[j]["rep"]) for i, j in forest([m[value] for m in group]))
+            for i, j in forest([m[value] for m in group]):
+                a, b = least(group[i]["rep"]), least(group[j]["rep"])
+                up[max(a, b)] = min(a, b)
+        edges = [(x, least(x)) for x in up if least(x) != x]  # stars, so that the components take fewer rounds
         return [[a for a, _ in edges], [b for _, b in edges]]
 
     return map_rows(grouped.select("members"), each, "a long, b long")
