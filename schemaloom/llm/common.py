@@ -70,6 +70,7 @@ def stored(df: DataFrame) -> DataFrame:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
     path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # what led here is garbage now: let the cleaner drop its shuffle files
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

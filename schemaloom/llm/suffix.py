@@ -29,7 +29,7 @@ from .common import map_rows, pinned, read, stored
 from .neardup import mixed
 
 LENGTH = 100
-GRAM = 24
+GRAM = 40
 GROUP_LIMIT = 1500
 #: Bits of the filter of repeated anchors; its size is fixed, so is what is broadcast. When it fills up it only lets more through.
 FILTER_BITS = 27
@@ -198,82 +198,104 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_anchors(texts: DataFrame, length: int) -> np.ndarray:
-    """A bitmap of the hashes of anchors that occur twice or more."""
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of the leading bits of a column ``a`` of hashes: at most 2**(FILTER_BITS - 6) words reach the driver."""
+    bit = F.shiftrightunsigned("a", 64 - FILTER_BITS)
+    words = hashes.select(F.shiftright(bit, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits"))
+    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[np.asarray(got["word"])] = np.asarray(got["bits"])
+    return bitmap.view(np.uint64)
+
+
+def in_bitmap(bitmap: np.ndarray, a: np.ndarray) -> np.ndarray:
+    bit = a.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return np.flatnonzero(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+
+
+def anchor_counts(texts: DataFrame, length: int) -> DataFrame:
+    """a, n: how often each anchor occurs."""
 
     def count(columns):
         found = [h for *_, h in contexts([t or b"" for t in columns[0]], length)]
         a, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
         return [a, n.astype(np.int32)]
 
-    counted = map_rows(texts.select("text"), count, "a long, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1")
-    bit = F.shiftrightunsigned("a", 64 - FILTER_BITS)
-    words = counted.select(F.shiftright(bit, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    got = words.toArrow()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bitmap[np.asarray(got["word"])] = np.asarray(got["bits"])
-    return bitmap.view(np.uint64)
+    return map_rows(texts.select("text"), count, "a long, n int").groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, th (the text's hash), start, end: stretches of bytes that also occur earlier; they may overlap."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(repeated_anchors(texts, length))
+def occurrences(texts: DataFrame, bitmap, length: int, bodies: bool) -> DataFrame:
+    """a, uh (the context's hash), doc, th, start, size (or body) of the contexts whose anchor is in a broadcast bitmap."""
 
     def emit(columns):
-        docs_, ths, raw = columns
+        docs, ths, raw = columns
         raw = [t or b"" for t in raw]
-        bitmap, rows = shared.value, []
+        rows = []
         for number, start, count, a in contexts(raw, length):
-            bit = a.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            hit = np.flatnonzero(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+            hit = in_bitmap(bitmap.value, a)
             for n, s, c, h in zip(number[hit].tolist(), start[hit].tolist(), count[hit].tolist(), a[hit].tolist(), strict=True):
                 body = raw[n][s : s + c + length - 1]
-                rows.append((h, xxhash.xxh3_64_intdigest(body) - (1 << 63), docs_[n], ths[n], s, body))
+                rows.append((h, xxhash.xxh3_64_intdigest(body) - (1 << 63), docs[n], ths[n], s, body if bodies else len(body)))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    occurrences = stored(map_rows(texts, emit, "a long, uh long, doc long, th long, start long, body binary"))
-    first = F.min(F.struct("doc", "th", "start")).alias("first")
-    distinct = occurrences.groupBy("a", "uh").agg(first, F.count(F.lit(1)).alias("n"), F.first("body").alias("body"))
-    distinct = stored(distinct)
-    sizes = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group_limit).select("a")
-    hot = pinned(sizes)
+    return map_rows(texts, emit, f"a long, uh long, doc long, th int, start long, {'body binary' if bodies else 'size int'}")
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, th (the text's hash), start, end: stretches of bytes that also occur earlier; they may overlap.
+
+    Three passes over the texts, each of which moves little: anchors are counted; contexts of repeated anchors are
+    moved as hashes and places; only contexts whose anchor has several are moved as strings.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    repeated = spark.sparkContext.broadcast(bitmap_of(anchor_counts(texts, length).where("n > 1")))
+    every = stored(occurrences(texts, repeated, length, bodies=False))
+    place = F.struct("doc", "th", "start")
+    distinct = stored(every.groupBy("a", "uh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
+    outer = every.join(distinct.where("n > 1").select("a", "uh", "first"), ["a", "uh"])
+    outer = stored(outer.where(~place.eqNullSafe(F.col("first"))).select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end")))
+
+    sizes = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = pinned(sizes)
+    several = spark.sparkContext.broadcast(bitmap_of(sizes))
+    strings = occurrences(texts, several, length, bodies=True).groupBy("a", "uh").agg(F.min(place).alias("first"), F.first("body").alias("body"))
+    hot = sizes.where(F.col("m") > group_limit).select("a")
     n_hot = hot.count()
-    hot_side = F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot
-    usual = distinct.join(hot_side, "a", "left_anti") if n_hot else distinct
+    if n_hot:
+        strings = stored(strings)
+        hot_side = F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot
+        usual = strings.join(hot_side, "a", "left_anti")
+    else:
+        usual = strings
     grouped = usual.groupBy("a").agg(F.collect_list(F.struct("first", "body")).alias("members")).where(F.size("members") > 1)
 
     def scan(columns):
-        rows, strings, order = [], [], []
+        rows, bodies, order = [], [], []
 
         def flush():
-            for o, stretches in zip(order, covered(strings, order, length), strict=True):
-                rows.extend((o[0][1], o[1], o[2] + a, o[2] + b) for a, b in stretches)
-            strings.clear()
+            for o, stretches in zip(order, covered(bodies, order, length), strict=True):
+                rows.extend((o[0][1] if o[0][0] else None, o[1], o[2] + a, o[2] + b) for a, b in stretches)
+            bodies.clear()
             order.clear()
 
         size = 0
         for group in columns[0]:
             for m in group:
                 f = m["first"]
-                strings.append(m["body"])
+                bodies.append(m["body"])
                 order.append(((f["doc"] is not None, f["doc"] or 0), f["th"], f["start"]))
                 size += len(m["body"])
             if size > BLOCK:
                 flush()
                 size = 0
-        if strings:
+        if bodies:
             flush()
-        return [[r[0] if r[0] is not None else None for r in rows], [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows]] if rows else []
-
-    stretch = "doc long, th long, start long, end long"
-    inner = map_rows(grouped.select("members"), scan, stretch)
-    again = distinct.where("n > 1").select("a", "uh", "first")
-    outer = occurrences.select("a", "uh", "doc", "th", "start", F.octet_length("body").alias("size")).join(again, ["a", "uh"])
-    outer = outer.where(~F.struct("doc", "th", "start").eqNullSafe(F.col("first"))).select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end"))
-    out = inner.unionByName(outer)
+        return [list(c) for c in zip(*rows, strict=True)]
+
+    out = outer.unionByName(map_rows(grouped.select("members"), scan, "doc long, th int, start long, end long"))
     if n_hot:
-        out = out.unionByName(_by_window(distinct.join(hot_side, "a", "left_semi"), length))
+        out = out.unionByName(_by_window(strings.join(hot_side, "a", "left_semi"), length))
     return out
 
 
@@ -287,7 +309,7 @@ def _by_window(contexts_: DataFrame, length: int) -> DataFrame:
                 rows.append((a, xxhash.xxh3_64_intdigest(body[i : i + length]) - (1 << 63), f["doc"], f["th"], f["start"] + i))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    every = stored(map_rows(contexts_.select("a", "first", "body"), windows, "a long, wh long, doc long, th long, start long"))
+    every = stored(map_rows(contexts_.select("a", "first", "body"), windows, "a long, wh long, doc long, th int, start long"))
     twice = every.groupBy("a", "wh").agg(F.min(F.struct("doc", "th", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = every.join(twice, ["a", "wh"]).where(~F.struct("doc", "th", "start").eqNullSafe(F.col("first")))
     return later.select("doc", "th", "start", (F.col("start") + length).alias("end"))
@@ -296,7 +318,7 @@ def _by_window(contexts_: DataFrame, length: int) -> DataFrame:
 def drop_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, removed (merged stretches as array<struct<start, end>>), kept (the remaining bytes)."""
     found = repeats(docs, length, group_limit, id_col, text_col).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("stretches"))
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
     joined = texts.join(found, texts["id"].eqNullSafe(found["doc"]) & (texts["h"] == found["th"]), "left").select("id", "text", "stretches")
 
     def cut(columns):
