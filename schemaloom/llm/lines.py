@@ -47,7 +47,8 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame
     spread = pinned(spread.where(F.col("_estimate") >= min_sites * (1 - band)))
     clear = spread.where(F.col("_estimate") > min_sites * (1 + band)).select("_k1", "_k2", "_first", F.col("_estimate").alias("n_sites"))
     near = spread.where(F.col("_estimate") <= min_sites * (1 + band))
-    exact = lines.join(near.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.count_distinct("_site").alias("n_sites"))
+    sites = lines.groupBy("_k1", "_k2", "_site").agg(F.lit(1).alias("_one"))  # map-side first: a common line has a row per site and task, not per occurrence
+    exact = sites.join(near.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.count("_site").alias("n_sites"))
     near = near.join(exact.where(F.col("n_sites") >= min_sites), ["_k1", "_k2"]).select("_k1", "_k2", "_first", "n_sites")
     return clear.unionByName(near)
 
