@@ -6,8 +6,8 @@ first (smallest id, then smallest position) is removed. DataFrame functions only
 
 Defined results: a null text has no lines and stays null; a null site counts for no spread; lines shorter than
 ``min_chars`` code points are never boilerplate; rows are told apart by id and text, so repeated rows are treated
-alike (an exact repeat of the first occurrence keeps the line too); other columns pass through; an empty table
-gives no rows.
+alike (an exact repeat of the first occurrence keeps the line too); other columns pass through, whatever their names
+(columns named n_lines and n_removed are replaced); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,16 +62,19 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int
     found = boilerplate(lines, min_sites)
     hits = lines.join(found, ["_k1", "_k2"]).where(~F.struct("_id", "_row", "_pos").eqNullSafe(F.col("_first")))
     removed = hits.groupBy("_id", "_row").agg(F.array_sort(F.collect_set("_pos")).alias("_removed"))
-    rows = docs.withColumn("_hash", F.xxhash64(text_col))
-    out = rows.join(removed, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
-    gone = F.coalesce(F.col("_removed"), F.array().cast("array<int>"))
-    text = _lines(F.col(text_col))
+    # the row as it is goes into one column, so that no name of it can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(id_col).alias("_key"), F.xxhash64(text_col).alias("_hash"))
+    out = rows.join(removed, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_row")), "left")
+    whole = F.col("_doc")[text_col]
+    out = out.select("_doc", "_removed", F.when(F.col("_removed").isNotNull(), _lines(whole)).alias("_text_lines"))
     start = lambda i: F.when(i == 0, 1).otherwise(F.get(F.col("_removed"), i - 1) + 2)
     end = lambda i: F.coalesce(F.get(F.col("_removed"), i), F.size(F.col("_text_lines")))
-    out = out.withColumns({"n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(text)).cast("long"), "n_removed": F.size(gone).cast("long"), "_text_lines": F.when(F.col("_removed").isNotNull(), text)})
     parts = F.transform(F.sequence(F.lit(0), F.size("_removed")), lambda i: F.slice(F.col("_text_lines"), start(i), F.greatest(end(i) - start(i) + 1, F.lit(0))))
-    out = out.withColumn(text_col, F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(parts), "\n")))
-    return out.drop("_id", "_row", "_hash", "_removed", "_text_lines")
+    text = F.when(F.col("_removed").isNull(), whole).otherwise(F.array_join(F.flatten(parts), "\n"))
+    n_lines = F.when(whole.isNull(), 0).otherwise(F.size(_lines(whole))).cast("long")
+    n_removed = F.coalesce(F.size("_removed"), F.lit(0)).cast("long")
+    made = {text_col: text, "n_lines": n_lines, "n_removed": n_removed}
+    return out.select(*(made.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns), *(made[c].alias(c) for c in ("n_lines", "n_removed") if c not in docs.columns))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
