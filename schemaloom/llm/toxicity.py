@@ -5,7 +5,8 @@ for inflected forms, their beginnings. The pairwise part learns that two terms t
 weights add up to.
 
 The model is fitted on a bounded sample of labelled rows (``max_rows`` per class, those with the smallest hash of
-their id), never on the held-out fold. Label, language, source and id are no features.
+their id), never on the held-out fold. Each class weighs as all its labelled ids do, so that a score of 0.5 means the
+same whatever share of a class is in the sample. Label, language, source and id are no features.
 
 Defined results: a null or empty text gets the score of no terms; contradicting labels of one id count as toxic;
 without labels of both classes every score is the base rate (0 without labels); repeated rows give repeated
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, keep_rows, map_rows, read
+from .common import held_out, keep_rows, map_rows, pinned, read
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 18
@@ -93,18 +94,20 @@ def choose_terms(rows: list[np.ndarray], y: np.ndarray, max_terms: int, z: float
     return np.sort(strong[np.argsort(-np.abs(score[strong]), kind="stable")][:max_terms])
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, max_terms: int = 1024, z: float = 5.0, epochs: int = 40, seed: int = 7) -> FactorizationMachine:
-    """Logistic loss by AdaGrad over mini-batches; w and v shrink a little."""
+def fit(rows: list[np.ndarray], y: np.ndarray, weights: np.ndarray | None = None, factors: int = 8, max_terms: int = 1024, z: float = 5.0, epochs: int = 40, seed: int = 7) -> FactorizationMachine:
+    """Logistic loss by AdaGrad over mini-batches, each row by its weight; w and v shrink a little."""
     none = np.empty(0, np.int64)
     if len(y) == 0 or y.min() == y.max():
         rate = 0.0 if len(y) == 0 else float(y[0])
         return FactorizationMachine(none, -60.0 if rate == 0 else 60.0, np.empty(0), np.empty((0, factors)))
+    weights = np.ones(len(y)) if weights is None else weights / weights.mean()
+    rate = np.average(y, weights=weights)
     active = choose_terms(rows, y, max_terms, z)
     x = np.zeros((len(rows), len(active)), np.float32)
     for i, r in enumerate(rows):
         x[i, np.flatnonzero(np.isin(active, r, assume_unique=True))] = 1
     rng = np.random.default_rng(seed)
-    w0, w, v = np.log(y.mean() / (1 - y.mean())), np.zeros(len(active)), rng.normal(0, 0.02, (len(active), factors))
+    w0, w, v = np.log(rate / (1 - rate)), np.zeros(len(active)), rng.normal(0, 0.02, (len(active), factors))
     g0, gw, gv = 1e-6, np.full(w.shape, 1e-6), np.full(v.shape, 1e-6)
     x2, lam = x, 1e-4  # the features are 0 or 1
     for _ in range(epochs):
@@ -114,7 +117,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, max_terms: int
             xb = x[i]
             s = xb @ v
             logit = w0 + xb @ w + 0.5 * ((s**2).sum(1) - (x2[i] @ v**2).sum(1))
-            e = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y[i]) / len(i)
+            e = weights[i] * (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y[i]) / len(i)
             d0, dw = e.sum(), xb.T @ e + lam * w
             dv = xb.T @ (e[:, None] * s) - v * (xb.T @ e)[:, None] + lam * v
             g0, gw, gv = g0 + d0**2, gw + dw**2, gv + dv**2
@@ -122,20 +125,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = 8, max_terms: int
     return FactorizationMachine(active, float(w0), w, v)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed terms and labels of the sample; at most ``2 * max_rows`` rows, so both the broadcast ids and what the driver gets are bounded."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", FOLDS, FOLD)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    one = lambda y: usable.where((F.col("toxic") == 1) == F.lit(y)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashed terms, labels and weights (labelled ids of the class for each one sampled) of the sample; at most ``2 * max_rows`` rows, so both the broadcast ids and what the driver gets are bounded."""
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", FOLDS, FOLD))
+    usable = pinned(usable.groupBy("doc_id").agg(F.max((F.col("toxic").cast("int") == 1).cast("int")).alias("toxic")))
     label: dict[int, int] = {}
-    for r in [*one(False).collect(), *one(True).collect()]:
-        label[r["doc_id"]] = max(label.get(r["doc_id"], 0), int(r["toxic"] == 1))
+    weight = {}
+    for y, n in usable.groupBy("toxic").count().collect():
+        sample = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
+        label |= {r["doc_id"]: y for r in sample}
+        weight[y] = n / len(sample)
     if not label:
-        return [], np.empty(0)
+        return [], np.empty(0), np.empty(0)
     ids = docs.sparkSession.createDataFrame(sorted(label), "long").toDF("_labelled")
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), F.col("_id") == F.col("_labelled"), "left_semi")
     found = map_rows(chosen, lambda terms, c: [c[0], [terms.of(t) for t in c[1]]], "id long, terms array<int>", lambda: Terms(None)).toArrow()
     order = sorted(zip(found["id"].to_pylist(), (np.asarray(x.values, np.int64) for x in found["terms"].combine_chunks()), strict=True), key=lambda x: (x[0], len(x[1])))
-    return [r for _, r in order], np.array([label[i] for i, _ in order], float)
+    return [r for _, r in order], np.array([label[i] for i, _ in order], float), np.array([weight[label[i]] for i, _ in order])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, **options) -> FactorizationMachine:

@@ -117,6 +117,21 @@ def test_machine_learns_an_interaction():
     assert both > 0.7
 
 
+def test_bound_of_the_sample_leaves_the_base_rate(spark):
+    """Eight clean labels to a toxic one, of which as many of either are sampled."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["plain words", "plain mixed"] if i % 9 else ["nasty words", "plain mixed"])) for i in range(4500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    for most in (6000, 200):
+        model = toxicity.train(docs, labels, max_rows=most)
+        score = lambda t: model.score([toxicity.Terms(model.active).of(t)])[0]  # noqa: E731, B023
+        assert score("plain mixed") < 0.25
+        assert score("nasty words") > 0.5
+    blank = toxicity.train(docs.withColumn("text", F.lit("same")), labels, max_rows=200)
+    assert abs(blank.score([[]])[0] - 1 / 9) < 0.02
+
+
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in read(spark, sf, "documents").collect()}
