@@ -175,8 +175,8 @@ def leaves(reps: DataFrame, threshold: int, trees: int, node_limit: int) -> Data
     """node, rep: the members of small nodes of two or more, over all trees.
 
     Counts are aggregated map-side. Only members of nodes above the limit go down, so nearly all work is at the first level.
-    A node that is still larger at the last level agrees in all chosen coordinates; it is cut into blocks, each with the
-    same first half, through which its members are compared.
+    A node that is still larger at the last level agrees in all chosen coordinates; its members are compared in
+    pairs of blocks, so that each meets every other.
     """
     roots = reps.select("rep", "sig", F.explode(F.array(*(F.lit(t).cast("long") for t in range(trees)))).alias("node"))
     out = None
@@ -190,13 +190,23 @@ def leaves(reps: DataFrame, threshold: int, trees: int, node_limit: int) -> Data
         if large.isEmpty():
             return out
         roots = large.join(reps, "rep").select("rep", "sig", "node")
-    half = node_limit // 2
-    counts = large.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.percentile_approx("rep", F.lit(0.5)).alias("mid"))
-    spread = large.join(counts, "node")
-    block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / half).cast("long"))
-    first = spread.where(block == 0).withColumn("block", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("size") / half).cast("long"))))
-    rest = spread.withColumn("block", F.greatest(block, F.lit(1).cast("long")))
-    return out.unionByName(first.unionByName(rest.select(first.columns)).select(F.xxhash64("node", "block").alias("node"), "rep").distinct())
+    return out.unionByName(block_pairs(large, node_limit))
+
+
+def block_pairs(large: DataFrame, node_limit: int) -> DataFrame:
+    """node, rep: every pair of members of a node meets in a group of about ``node_limit``.
+
+    Nodes with members in common, of which there are many for the same texts, are taken together, so that a family is
+    compared once. It is cut into blocks of half the limit, and each pair of blocks is a group.
+    """
+    half = max(1, node_limit // 2)
+    least = large.groupBy("node").agg(F.min("rep").alias("least"))
+    stars = large.join(least, "node").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct()
+    family = pinned(components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family")))
+    sizes = family.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / half), F.lit(2)).cast("long").alias("blocks"))
+    cut = family.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> block")
+    return met.select(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
 def _grouped_edges(members: DataFrame, key: str, value: str, forest) -> DataFrame:

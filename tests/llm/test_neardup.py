@@ -67,6 +67,19 @@ def test_large_group_of_near_copies(spark, limits):
     assert got == brute(rows, 3, 85)
 
 
+def test_members_of_different_blocks_meet(spark, monkeypatch):
+    """Texts of one template whose signatures are the same: no coordinate branches."""
+    monkeypatch.setattr(N, "DEPTH", 1)
+    same = bytearray(4 * N.COORDINATES)
+    reps = spark.createDataFrame([(i, same) for i in range(60)], "rep long, sig binary")
+    groups = defaultdict(set)
+    for r in N.leaves(reps, 80, 1, 16).collect():
+        groups[r["node"]].add(r["rep"])
+    met = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert len(met) == 60 * 59 // 2
+    assert max(map(len, groups.values())) < 40
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "Two words"), (5, "two  WORDS"), (6, "two words x"), (None, "two words"), (7, "a b c d"), (7, "a b c d"), (8, "É b c d"), (9, "é b c d")]
     rows.append((10, "long " * 50_000))
