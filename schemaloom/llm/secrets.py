@@ -38,11 +38,14 @@ NAME_DAMPERS = {
 # Literals that stand for a secret to be filled in.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|sample|dummy|todo|none|null|true|false|undefined|your[_-].*|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$")
 
-#: A literal longer than this many characters is a text and no token of the lexer.
+#: Concatenations of more characters than this aren't built but judged by their longest part.
 LITERAL = 4096
 NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.\-]{0,127})(["'`]?)(\]?)[ \t]*(?::[ \t]*[A-Za-z_][A-Za-z0-9_.<>]{0,40}[ \t]*)?$""")
 OPERATOR = re.compile(r":=|=>|==+|!=|<=|>=|\+=|=|:(?!:|//)")
-TERM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.){0,%d})"|[rbuf]?'((?:[^'\\\n]|\\.){0,%d})'|`([^`\n]{0,%d})`|([A-Za-z_$][A-Za-z0-9_$.]{0,127})(?![A-Za-z0-9_$(\[])|([A-Za-z0-9+/_\-.=]{8,%d}))""" % ((LITERAL,) * 4))
+TERM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*+)"|[rbuf]?'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z_$][A-Za-z0-9_$.]{0,127})(?![A-Za-z0-9_$(\[])|([A-Za-z0-9+/_\-.=]{8,}+))""")
+#: A bare literal is the longest run of these, unless it is a name as a whole.
+RUN = re.compile(r"[ \t]*([A-Za-z0-9+/_.=-]{8,}+)")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,127}")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)(?=[ \t]*[\"'`A-Za-z_$])")
 REFERENCE = re.compile(r"\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?$")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -51,35 +54,69 @@ DEPTH = 16
 
 
 class Pair(NamedTuple):
-    """name = terms; each term is (kind, value, start, end) with kind "text" or "name"."""
+    """name = terms; each term is (kind, value, start, end) with kind "text" or "name".
+
+    ``other``: the terms if a bare literal begins with a name; they count where all their names have constants.
+    """
 
     name: str
     terms: tuple[tuple[str, str, int, int], ...]
+    other: tuple[tuple[str, str, int, int], ...] = ()
+
+
+def _run(text: str, at: int) -> re.Match | None:
+    """The bare literal at a place, if there is one that isn't a name as a whole."""
+    m = RUN.match(text, at)
+    if not m or IDENTIFIER.fullmatch(m[1]):
+        return None
+    if m[1][-1] in "+=" and IDENTIFIER.fullmatch(m[1][:-1]) and (quote := text[m.end() : m.end() + 1]) and quote in "\"'`":
+        line = text.rfind("\n", 0, at) + 1
+        if text.count(quote, line, at) % 2 == 0:  # the quote opens: an operator after a name
+            return None
+    return m
+
+
+def _terms(text: str, at: int, whole: bool) -> tuple[list[tuple[str, str, int, int]], int, int]:
+    """The terms at a place, where they end, and where the last bare literal taken whole ends."""
+    terms, run = [], 0
+    while True:
+        if whole and (m := _run(text, at)):
+            terms.append(("text", m[1], m.start(1), m.end(1)))
+            run = m.end()
+        elif m := TERM.match(text, at):
+            k = m.lastindex
+            ref = REFERENCE.match(m[k]) if k < 4 else None
+            terms.append(("name", ref[1], m.start(k), m.end(k)) if ref else ("name" if k == 4 else "text", m[k], m.start(k), m.end(k)))
+        else:
+            break
+        at = m.end()
+        plus = PLUS.match(text, at)
+        if not plus:
+            break
+        at = plus.end()
+    return terms, at, run
 
 
 def lex(text: str) -> list[Pair]:
     """The name-literal and name-name pairs of a text, in order."""
-    pairs, end = [], 0
+    pairs, end, taken, told = [], 0, 0, False
     for op in OPERATOR.finditer(text):
         if op.start() < end or op[0] in ("==", "===", "!=", "<=", ">="):
             continue
         name = NAME.search(text[max(0, op.start() - 180) : op.start()])
         if not name:
             continue
-        terms, at = [], op.end()
-        while m := TERM.match(text, at):
-            k = m.lastindex
-            value = m[k]
-            ref = REFERENCE.match(value) if k < 4 else None
-            terms.append(("name", ref[1], m.start(k), m.end(k)) if ref else ("name" if k == 4 else "text", value, m.start(k), m.end(k)))
-            at = m.end()
-            plus = PLUS.match(text, at)
-            if not plus:
-                break
-            at = plus.end()
+        # within a bare literal, only the first sensitive name takes the rest of it whole: others are covered by it
+        whole = op.end() >= taken or not told and sensitivity(name[1]) > 0
+        terms, at, run = _terms(text, op.end(), whole)
+        other = []
+        if run:
+            told = sensitivity(name[1]) > 0
+            taken = run
+            other = [x for x in [_terms(text, op.end(), False)[0]] if any(k == "name" for k, *_ in x)]
         if terms:
-            pairs.append(Pair(name[1], tuple(terms)))
-            end = at if terms[0][0] == "text" else op.end()
+            pairs.append(Pair(name[1], tuple(terms), tuple(other[0]) if other else ()))
+            end = at if terms[0][0] == "text" and not other else op.end()
     return pairs
 
 
@@ -91,9 +128,12 @@ def resolved(pairs: list[Pair]) -> list[tuple[str, str, int, int]]:
             env[p.name] = p
     known: dict[str, tuple[str, int, int] | None] = {}
 
-    def constant(p: Pair, depth: int) -> tuple[str, int, int] | None:
+    def meant(p: Pair, depth: int) -> tuple[str, int, int] | None:
+        return p.other and constant(p.other, depth, True) or constant(p.terms, depth)
+
+    def constant(terms: tuple[tuple[str, str, int, int], ...], depth: int, strict: bool = False) -> tuple[str, int, int] | None:
         parts: list[tuple[str, int, int]] = []
-        for kind, value, start, end in p.terms:
+        for kind, value, start, end in terms:
             if kind == "text":
                 parts.append((value, start, end))
                 continue
@@ -101,21 +141,21 @@ def resolved(pairs: list[Pair]) -> list[tuple[str, str, int, int]]:
                 got = known[value]
             else:
                 known[value] = None  # a cycle has no constant
-                got = constant(env[value], depth + 1) if value in env and depth < DEPTH else None
+                got = meant(env[value], depth + 1) if value in env and depth < DEPTH else None
                 known[value] = got
             if got is None:
-                if len(p.terms) == 1 and value not in env:  # a bare word: configuration files don't quote
+                if len(terms) == 1 and value not in env and not strict:  # a bare word: configuration files don't quote
                     return value, start, end
                 return None
             parts.append(got)
         if len(parts) == 1:
             return parts[0]
-        if sum(len(x[0]) for x in parts) > LITERAL:
-            return None
         longest = max(parts, key=lambda x: (len(x[0]), -x[1]))
+        if sum(len(x[0]) for x in parts) > LITERAL:
+            return longest
         return "".join(x[0] for x in parts), longest[1], longest[2]
 
-    return [(p.name, *c) for p in pairs if (c := constant(p, 0))]
+    return [(p.name, *c) for p in pairs for c in (p.other and constant(p.other, 0, True), constant(p.terms, 0)) if c]
 
 
 def entropy(s: str) -> float:
