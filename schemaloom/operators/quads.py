@@ -36,6 +36,8 @@ FORMAT_DATATYPES = {
 # Datatypes that decode to integers and to other numbers.
 INTEGER_TYPES = ("integer", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedInt", "unsignedLong", "unsignedShort", "unsignedByte")
 DECIMAL_TYPES = ("decimal", "double", "float")
+#: How often an emitter follows schemas that it has met before on the way; documents that go deeper raise an error.
+REPEATS = 9
 
 
 def number_literal(x: Column) -> Column:
@@ -85,21 +87,22 @@ class Emitter:
         key = self.registry.expand(schema_id)
         from ..plans.compiler import _At
 
-        return self._object(self.registry[key], key, _At(key), subject, value, 0)
+        return self._object(self.registry[key], key, _At(key), subject, value, (id(self.registry[key]),))
 
-    def _object(self, schema, class_id: str, at, subject: Column, v: Value, depth: int) -> Column:
+    def _object(self, schema, class_id: str, at, subject: Column, v: Value, path: tuple[int, ...]) -> Column:
+        """``path``: the schemas on the way, as deep as they go; only those met again are bounded."""
         parts = [F.array(quad(subject, TYPE, F.lit(class_id), "iri", g=self.graph))] if self.wants(TYPE) else []
         for name, (sub, own) in self.shapes.properties(schema, at).items():
-            if not self._leads(name, sub, own, 0):
+            if not self._leads(name, sub, own, set()):
                 continue
             # a property's predicate belongs to the class that declares it
-            parts.append(self._property(name, sub, own, own.root, subject, v.get(name), depth))
+            parts.append(self._property(name, sub, own, own.root, subject, v.get(name), path))
         return F.concat(*parts) if parts else F.array().cast(f"array<{QUAD}>")
 
     def wants(self, predicate: str) -> bool:
         return self.only is None or predicate in self.only
 
-    def _leads(self, name: str, schema, at, depth: int) -> bool:
+    def _leads(self, name: str, schema, at, seen: set[int]) -> bool:
         """Whether a property makes a wanted quad, itself or below it."""
         if self.only is None or self.wants(self.predicate(at.root, name, schema)):
             return True
@@ -108,11 +111,12 @@ class Emitter:
             return True
         if self.shapes.kind(target, own) == "array":
             target, own = self.shapes._deref(target.get("items", {}), own)
-        if self.shapes.kind(target, own) != "object" or depth > 8:
+        if self.shapes.kind(target, own) != "object" or id(target) in seen:
             return False
-        return self.wants(TYPE) or any(self._leads(n, s, o, depth + 1) for n, (s, o) in self.shapes.properties(target, own).items())
+        seen.add(id(target))
+        return self.wants(TYPE) or any(self._leads(n, s, o, seen) for n, (s, o) in self.shapes.properties(target, own).items())
 
-    def _property(self, name, sub, at, class_id, subject, v: Value, depth) -> Column:
+    def _property(self, name, sub, at, class_id, subject, v: Value, path) -> Column:
         none = F.array().cast(f"array<{QUAD}>")
         p = self.predicate(class_id, name, sub)
         target, own = self.shapes._deref(sub, at)
@@ -123,20 +127,24 @@ class Emitter:
             items = target.get("items") if isinstance(target.get("items"), dict) else {}
             if isinstance(v, Typed) and not isinstance(v.kind, T.ArrayType):
                 return none
-            each = lambda x, i: self._one(p, items, own, subject, v.item(x), F.concat(subject, F.lit(f"/{name}/"), i.cast("string")), depth)
+            each = lambda x, i: self._one(p, items, own, subject, v.item(x), F.concat(subject, F.lit(f"/{name}/"), i.cast("string")), path)
             return F.when(v.is_type("array"), F.coalesce(F.flatten(F.transform(v.items(), each)), none)).otherwise(none)
-        return self._one(p, sub, at, subject, v, F.concat(subject, F.lit(f"/{name}")), depth)
+        return self._one(p, sub, at, subject, v, F.concat(subject, F.lit(f"/{name}")), path)
 
-    def _one(self, p, schema, at, subject, v: Value, nested: Column, depth) -> Column:
+    def _one(self, p, schema, at, subject, v: Value, nested: Column, path) -> Column:
         none = F.array().cast(f"array<{QUAD}>")
         target, own = self.shapes._deref(schema, at)
         class_id = own.root if target is not schema else f"{at.root}"
         kind = self.shapes.kind(target, own)
         here = v.present() & ~v.is_type("null")
         if kind == "object":
-            if depth > 8 or not self.shapes.properties(target, own):
+            if not self.shapes.properties(target, own):
                 return none
-            inner = self._object(target, class_id, own, nested, v, depth + 1)
+            path = (*path, id(target))
+            if len(path) - len(set(path)) > REPEATS:
+                deeper = F.raise_error(F.lit(f"objects of {class_id} are nested deeper than {REPEATS} times")).cast(f"array<{QUAD}>")
+                return F.when(here, deeper).otherwise(none)
+            inner = self._object(target, class_id, own, nested, v, path)
             return F.when(here, F.concat(inner, F.array(quad(subject, p, nested, "iri", g=self.graph))) if self.wants(p) else inner).otherwise(none)
         said = target if isinstance(target, dict) else {}
         if ext(said, "iriRef"):
@@ -169,7 +177,7 @@ class Emitter:
         for name, sub in edge["annotations"].items():
             a = v.get("annotations").get(name)
             ap = self.predicate(at.root, name, sub)
-            made = self._one(ap, sub, at, subject, a, F.concat(subject, F.lit(f"/{name}")), 0)
+            made = self._one(ap, sub, at, subject, a, F.concat(subject, F.lit(f"/{name}")), ())
             if self.annotations in ("star-only", "both"):
                 s = F.concat(F.lit("<<"), subject, F.lit(f" {p} "), o, F.lit(">>"))
                 parts.append(F.transform(made, lambda q: F.struct(s.alias("s"), F.lit("triple").alias("s_kind"), *(q[c].alias(c) for c in COLUMNS[2:8]), subject.alias("qs"), F.lit(p).alias("qp"), o.alias("qo"))))
@@ -201,6 +209,9 @@ def deduplicated(q: DataFrame) -> DataFrame:
 def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | None = None, depth: int = 3) -> DataFrame:
     """s, instance: the typed documents of a class, gathered from its quads; nested objects are joined bottom-up.
 
+    Nesting is followed as deep as the schema goes. Schemas that are met again within themselves are followed ``depth``
+    times; an instance with objects below that raises an error.
+
     A subject is of the class if its first type is. The quads of one subject are gathered with a conditional aggregate
     (partial sums map-side), so a class needs one shuffle by subject and one join per level of nesting.
     """
@@ -208,13 +219,17 @@ def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | No
     key = registry.expand(schema_id)
     from ..plans.compiler import _At
 
-    return _lift(deduplicated(q), emitter, registry[key], key, _At(key), depth)
+    return _lift(deduplicated(q), emitter, registry[key], key, _At(key), depth, (id(registry[key]),))
+
+
+def _typed(q: DataFrame, class_id: str) -> DataFrame:
+    return q.where(F.col("p") == TYPE).groupBy("s").agg(F.min_by("o", "ord").alias("_class")).where(F.col("_class") == class_id).select("s")
 
 
-def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int) -> DataFrame:
+def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int, path: tuple[int, ...]) -> DataFrame:
     props = emitter.shapes.properties(schema, at)
-    typed = q.where(F.col("p") == TYPE).groupBy("s").agg(F.min_by("o", "ord").alias("_class")).where(F.col("_class") == class_id).select("s")
-    plain, nested = [], []
+    typed = _typed(q, class_id)
+    plain, nested, ended = [], [], []
     for name, (sub, own) in props.items():
         p = emitter.predicate(own.root, name, sub)
         target, inner = emitter.shapes._deref(sub, own)
@@ -223,8 +238,11 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int)
         leaf, leaf_at = emitter.shapes._deref(items, inner if many else own)
         kind = emitter.shapes.kind(leaf, leaf_at)
         if kind == "object":
-            if depth > 0:
-                nested.append((name, p, many, leaf, leaf_at.root if leaf is not items else class_id, leaf_at))
+            leaf_class, way = leaf_at.root if leaf is not items else class_id, (*path, id(leaf))
+            if len(way) - len(set(way)) > depth:
+                ended.append((name, p, leaf_class))
+            else:
+                nested.append((name, p, many, leaf, leaf_class, leaf_at, way))
             continue
         plain.append((name, p, many, kind))
     value = {"number": F.col("o").try_cast("double"), "integer": F.col("o").try_cast("double").cast("bigint"), "boolean": F.col("o").isin("true", "1")}
@@ -236,12 +254,18 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int)
         got = F.transform(got, lambda x: x["v"])
         made.append((got if many else F.get(got, F.lit(0))).alias(name))
     out = typed.join(wanted.groupBy("s").agg(*made), "s", "left") if made else typed
-    for name, p, many, leaf, leaf_class, leaf_at in nested:
-        inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth - 1).select(F.col("s").alias("o"), F.col("instance"))
+    for name, p, many, leaf, leaf_class, leaf_at, way in nested:
+        inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way).select(F.col("s").alias("o"), F.col("instance"))
         links = q.where(F.col("p") == p).select("s", "o", "ord").join(inner, "o")
         got = F.transform(F.array_sort(F.collect_list(F.struct("ord", "o", "instance")), lambda a, b: F.when(a["ord"] != b["ord"], F.signum(a["ord"] - b["ord"])).when(a["o"] < b["o"], -1).otherwise(1).cast("int")), lambda x: x["instance"])
         out = out.join(links.groupBy("s").agg((got if many else F.get(got, F.lit(0))).alias(name)), "s", "left")
-    return out.select("s", F.struct(*(F.col(n) for n in props if n in out.columns)).alias("instance"))
+    instance = F.struct(*(F.col(n) for n in props if n in out.columns))
+    for name, p, leaf_class in ended:
+        deeper = q.where(F.col("p") == p).join(_typed(q, leaf_class).select(F.col("s").alias("o")), "o", "left_semi")
+        out = out.join(deeper.select("s", F.lit(True).alias(f"_below {name}")).distinct(), "s", "left")
+        said = F.concat(F.lit(f"{name} is nested deeper than lift(depth={depth}) follows, at "), F.col("s"))
+        instance = F.when(F.col(f"`_below {name}`").isNotNull(), F.raise_error(said)).otherwise(instance)
+    return out.select("s", instance.alias("instance"))
 
 
 # reading and writing

@@ -2,7 +2,7 @@
 
 The plan is built once on the driver and is an ordinary expression, so validation is a narrow map that Catalyst
 optimises, pushes down and generates code for. References are inlined; a recursive one is unrolled ``depth`` times,
-beyond which a node counts as valid.
+and a node below that raises an error, since it can't be checked. A reference that comes back to the same node is valid.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .values import Typed, Value
 ERROR = "struct<path:string,keyword:string,message:string,params:map<string,string>>"
 EPSILON = 2.220446049250313e-15
 NO_STRINGS = "array<string>"
+#: What stands for a recursive reference below the unrolled depth.
+BELOW = object()
 
 
 class Test(NamedTuple):
@@ -232,24 +234,33 @@ class Compiler:
             if "maxContains" in s:
                 yield Test("maxContains", known(found > s["maxContains"]), f"must contain at most {s['maxContains']} matching items", {"maxContains": s["maxContains"]})
 
-    def _ref(self, s: dict, at: _At) -> tuple[Schema, _At] | None:
+    def _ref(self, s: dict, v: Value, at: _At) -> tuple[Schema, _At] | None:
         for k in ("$ref", "$dynamicRef"):
             if k in s:
                 doc, target = self.registry.resolve(s[k], at.root)
-                seen = at.depth.get(f"{doc}{s[k]}", 0)
-                if seen >= self.depth:
+                ref = f"{doc}{s[k]}"
+                seen, here = at.depth.get(ref, 0), f"{ref} {id(v)}"  # the values on the way are alive, so that their ids differ
+                if here in at.depth:
                     return True, at
-                return target, _At(doc, at.depth | {f"{doc}{s[k]}": seen + 1})
+                if seen >= self.depth:
+                    return BELOW, at
+                return target, _At(doc, at.depth | {ref: seen + 1, here: 1})
         return None
 
+    def _below(self, v: Value, otherwise: Column, kind: str) -> Column:
+        said = f"a document goes deeper than the {self.depth} times that a recursive reference is unrolled; give Compiler a larger depth"
+        return F.when(v.present(), F.raise_error(F.lit(said)).cast(kind)).otherwise(otherwise)
+
     # check
 
     def _check(self, s: Schema, v: Value, at: _At) -> Column:
         """True where the value is valid; an absent value is checked as if it weren't there by the caller."""
         if isinstance(s, bool):
             return F.lit(s)
+        if s is BELOW:
+            return self._below(v, F.lit(True), "boolean")
         parts: list[Column] = []
-        if ref := self._ref(s, at):
+        if ref := self._ref(s, v, at):
             parts.append(self._check(ref[0], v, ref[1]))
         tests = [*self._scalars(s, v, at), *self._object_tests(s, v), *self._array_tests(s, v, at), *self._dependents(s, v)]
         parts += [~t.fails for t in tests]
@@ -279,7 +290,7 @@ class Compiler:
             chosen = self._check(s["if"], v, at)
             parts.append(F.when(chosen, self._check(s.get("then", True), v, at)).otherwise(self._check(s.get("else", True), v, at)))
         parts += [~t.fails for t in self._unevaluated(s, v, at)]
-        if (target := s.get("rdfs:range")) is not None and (r := self._range(target, at)):
+        if (target := s.get("rdfs:range")) is not None and (r := self._range(target, v, at)):
             parts.append(~is_object | self._check(r[0], v, r[1]))
         return all_of(parts)
 
@@ -311,11 +322,11 @@ class Compiler:
             return False
         return None if how in ("allow", "strip") else s.get("additionalProperties")
 
-    def _range(self, target: Any, at: _At) -> tuple[Schema, _At] | None:
+    def _range(self, target: Any, v: Value, at: _At) -> tuple[Schema, _At] | None:
         ref = target.get("$ref") if isinstance(target, dict) else target
         if not isinstance(ref, str) or not self.registry.has(ref.partition("#")[0] or at.root):
             return None
-        return self._ref({"$ref": ref}, at)
+        return self._ref({"$ref": ref}, v, at)
 
     # evaluated keys, for unevaluatedProperties and unevaluatedItems
 
@@ -346,7 +357,7 @@ class Compiler:
 
     def _in_place(self, s: dict, v: Value, at: _At) -> Iterator[tuple[Schema, _At, Column | None]]:
         """Sub-schemas that apply to the same value, with the condition under which they do."""
-        if ref := self._ref(s, at):
+        if ref := self._ref(s, v, at):
             yield ref[0], ref[1], None
         for m in s.get("allOf", []):
             yield m, at, None
@@ -385,11 +396,13 @@ class Compiler:
         """The errors in the reference's order: reference, scalars, object or array structure, dependents, names, compositions."""
         if s is True:
             return no_errors()
+        if s is BELOW:
+            return self._below(v, no_errors(), f"array<{ERROR}>")
         if s is False:
             return F.array(one_error(path, "falseSchema", "must not match false schema", {})).cast(f"array<{ERROR}>")
         parts: list[Column] = []
         add = lambda tests: parts.append(self._collect(tests, path)) if (tests := list(tests)) else None
-        if ref := self._ref(s, at):
+        if ref := self._ref(s, v, at):
             parts.append(self._errors(ref[0], v, path, ref[1]))
         add(self._scalars(s, v, at))
         add(self._object_tests(s, v))
@@ -427,7 +440,7 @@ class Compiler:
             chosen = self._check(s["if"], v, at)
             parts.append(F.when(chosen, self._errors(s.get("then", True), v, path, at)).otherwise(self._errors(s.get("else", True), v, path, at)))
         add(self._unevaluated(s, v, at))
-        if (target := s.get("rdfs:range")) is not None and (r := self._range(target, at)):
+        if (target := s.get("rdfs:range")) is not None and (r := self._range(target, v, at)):
             parts.append(F.when(is_object, self._errors(r[0], v, path, r[1])).otherwise(no_errors()))
         parts = [p for p in parts if p is not None]
         return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else no_errors()

@@ -74,3 +74,20 @@ def test_registry_refuses():
         Registry([{"$id": "urn:x", "$schema": "http://json-schema.org/draft-07/schema#"}])
     r = Registry([{"$id": "urn:a", "type": "integer", "minimum": 3}, {"$id": "urn:b", "properties": {"p": {"type": "integer", "minimum": 3, "title": "t"}}}])
     assert r.find_duplicates() == [("urn:b", "/properties/p", "urn:a")]
+
+
+def test_documents_below_the_unrolled_depth_are_an_error(spark):
+    c = Compiler(Registry([TREE]), depth=2)
+    deep = lambda n: {"v": n} if n == 0 else {"v": n, "kids": [deep(n - 1)]}
+    v = Variant(F.col("d"))
+    for made in (c.check("urn:t", v), F.size(c.errors("urn:t", v)) == 0):
+        df = lambda d: spark.createDataFrame([(json.dumps(d),)], "j string").select(F.parse_json("j").alias("d")).select(made)  # noqa: B023, E731
+        assert df(deep(2)).first()[0] is True
+        with pytest.raises(Exception, match="deeper than the 2 times"):
+            df(deep(3)).first()
+
+
+def test_a_reference_to_the_same_node_is_valid(spark):
+    c = Compiler(Registry([{"$id": "urn:c", "type": "integer", "allOf": [{"$ref": "urn:c"}]}]))
+    df = spark.createDataFrame([("1",), ("\"x\"",)], "j string").select(F.parse_json("j").alias("d"))
+    assert [r[0] for r in df.select(c.check("urn:c", Variant(F.col("d")))).collect()] == [True, False]

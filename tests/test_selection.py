@@ -82,3 +82,46 @@ def test_instances_fill_defaults_and_refuse_computed_input(spark):
     assert [e["keyword"] for e in rows[1]["errors"]] == ["computed"]
     assert [e["keyword"] for e in rows[2]["errors"]] == ["type"]
     assert rows[1]["instance"] is None
+
+
+def nested(levels):
+    s = {"type": "object", "properties": {"n": {"type": "integer"}}}
+    for _ in range(levels):
+        s = {"type": "object", "properties": {"n": {"type": "integer"}, "in": s}}
+    return Registry([s | {"$id": "urn:deep"}])
+
+
+def deep(levels, name="in"):
+    d = {"n": levels}
+    for i in reversed(range(levels)):
+        d = {"n": i, name: d}
+    return d
+
+
+def documents(spark, registry, schema_id, document):
+    import json
+
+    df = spark.createDataFrame([("urn:x", json.dumps(document))], "s string, j string").select("s", F.parse_json("j").alias("d"))
+    return Emitter(registry).quads(df, schema_id, F.col("s"), Variant(F.col("d"))), df
+
+
+def test_nesting_is_followed_as_deep_as_the_schema_goes(spark):
+    q, df = documents(spark, nested(12), "urn:deep", deep(12))
+    assert q.where(F.col("p") == "urn:deep#n").count() == 13
+    only = Emitter(nested(12), only={"urn:deep#n"}).quads(df, "urn:deep", F.col("s"), Variant(F.col("d")))
+    assert only.count() == 13
+    q, _ = documents(spark, nested(5), "urn:deep", deep(5))
+    found = [r for r in lift(q.localCheckpoint(), nested(5), "urn:deep").collect() if r["s"] == "urn:x"]
+    assert found[0]["instance"].asDict(True) == deep(5)
+
+
+def test_recursion_below_the_bound_is_an_error(spark):
+    r = Registry([{"$id": "urn:r", "type": "object", "properties": {"n": {"type": "integer"}, "in": {"$ref": "urn:r"}}}])
+    assert documents(spark, r, "urn:r", deep(9))[0].where(F.col("p") == "urn:r#n").count() == 10
+    with pytest.raises(Exception, match="nested deeper than 9 times"):
+        documents(spark, r, "urn:r", deep(10))[0].collect()
+    three = documents(spark, r, "urn:r", deep(1))[0].localCheckpoint()
+    assert {x["s"]: x["instance"]["n"] for x in lift(three, r, "urn:r", depth=1).collect()} == {"urn:x": 0, "urn:x/in": 1}
+    four = documents(spark, r, "urn:r", deep(2))[0].localCheckpoint()
+    with pytest.raises(Exception, match="nested deeper than lift"):
+        lift(four, r, "urn:r", depth=1).collect()
