@@ -8,13 +8,14 @@ Texts and items are compared in lower case with single spaces between words. The
 blocks of ``block_bytes`` at most; each block's automaton is broadcast, so what is broadcast has a fixed bound
 whatever the size of the benchmark.
 
-Defined results: a null or empty text matches nothing; an item of fewer than ``min_chars`` normalised characters
-has no evidence to give and is not searched; equal items all match; a null item id is kept as null; repeated
+Defined results: a null or empty text or item matches nothing; an item of fewer than ``min_chars`` normalised characters
+is found only unchanged and as whole words (scripts without spaces have no such bounds); equal items all match; a null item id is kept as null; repeated
 documents give repeated results; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +27,8 @@ from .common import keep_rows, map_rows, read
 ERROR_SHARE = 0.05
 MIN_CHARS = 40
 BLOCK_BYTES = 8 << 20
+#: Code points of scripts that are written without spaces, from Thai to Myanmar, Khmer, kana and Han.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def normalised(text: str | None) -> str:
@@ -44,6 +47,15 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
+def in_word(c: str) -> bool:
+    return unicodedata.category(c)[0] in "LMN" and not any(a <= ord(c) <= b for a, b in UNSPACED)
+
+
+def on_bounds(text: str, a: int, b: int) -> bool:
+    """Whether text[a:b] cuts no word at either end."""
+    return not any(0 < p < len(text) and in_word(text[p - 1]) and in_word(text[p]) for p in (a, b))
+
+
 class Pattern:
     """Myers' bit vectors of one item; Python's integers are as wide as it is long."""
 
@@ -79,7 +91,8 @@ class Pattern:
 
 class Matcher:
     def __init__(self, items: list[tuple[int | None, str]], share: float, min_chars: int):
-        self.items = [(i, t, budget(t, share)) for i, t in items if len(t) >= min_chars]
+        self.min_chars = min_chars
+        self.items = [(i, t, budget(t, share) if len(t) >= min_chars else 0) for i, t in items if t]
         self.patterns: dict[int, Pattern] = {}
         self.automaton = ahocorasick.Automaton()
         places: dict[str, list[tuple[int, int]]] = {}
@@ -103,6 +116,10 @@ class Matcher:
         found = []
         for n, starts in sorted(spots.items()):
             item_id, item, k = self.items[n]
+            if len(item) < self.min_chars:
+                if whole := [s + len(item) for s in starts if on_bounds(t, s, s + len(item))]:
+                    found.append((item_id, 0, min(whole)))
+                continue
             pattern = self.patterns.get(n) or self.patterns.setdefault(n, Pattern(item))
             best = None
             done = -1

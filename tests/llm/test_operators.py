@@ -198,6 +198,15 @@ def test_edits_within_the_budget_are_found(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [100, 101, 102]
 
 
+def test_short_items_are_found_unchanged_as_whole_words(spark):
+    rows = [(1, "Q: What  is pi? A: 3"), (2, "what is pie"), (3, "somewhat is pi"), (4, "what is po"), (5, "somewhat is pi, but what is pi"), (6, "我说你好吗他"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, "What is pi"), (2, "你好吗"), (3, " ")], "item_id long, text string")
+    got = decontam.contaminated(docs, items)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 13), (5, 1, 0, 30), (6, 2, 0, 5)]
+    assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, items).collect()) == [2, 3, 4, 7]
+
+
 # encoding
 
 
