@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,15 +17,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the folder that all executors share.
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, which all executors share: ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (single-machine tests) a temporary one is made.
+    Only a session within one process may go without; it gets a temporary folder. On a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Cut the lineage with checkpoint() in the folder that all executors share."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -40,7 +50,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_rows(df: DataFrame, each: Callable[[list[list]], list[list]], schema: str, prepare: Callable[[], object] | None = None) -> DataFrame:
+def map_rows(df: DataFrame, each: Callable[[list[list]], list[list]], schema: str, prepare: Callable[[], object] | None = None, rows: int = 256) -> DataFrame:
     """mapInArrow over slices: ``each`` gets columns as lists (after ``prepare()``'s result, if given) and returns columns."""
     out = T.StructType.fromDDL(schema)
     target = arrow_schema(out)
@@ -48,7 +58,7 @@ def map_rows(df: DataFrame, each: Callable[[list[list]], list[list]], schema: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = prepare() if prepare else None
         for batch in batches:
-            for columns in slices(batch):
+            for columns in slices(batch, rows):
                 made = each(state, columns) if prepare else each(columns)
                 if made and len(made[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(made, target, strict=True)], schema=target)
@@ -62,16 +72,28 @@ def held_out(doc_id: str, folds: int, fold: int):
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table beside the checkpoints: compressed and read by column, for wider rows than pinned() is meant for."""
-    import uuid
+    """Cut the lineage with a Parquet table beside the checkpoints: compressed and read by column, for wider rows than pinned() is meant for.
 
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{sc.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    The table belongs to the session and goes with it; ``discard`` removes it before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # what led here is garbage now: let the cleaner drop its shuffle files
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, at = _file_system(spark, path)
+    files.deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def discard(table: DataFrame) -> None:
+    """Remove a table of stored() that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        files, at = _file_system(table.sparkSession, path)
+        files.delete(at, True)
 
 
 def keep_rows(df: DataFrame, text_col: str, keep: Callable[[object, list], list[bool]], prepare: Callable[[], object]) -> DataFrame:

@@ -1,27 +1,36 @@
 """Repeated substrings by enhanced suffix arrays and their common-prefix interval trees.
 
-Every window of ``length`` bytes chooses an anchor, the least of its ``GRAM``-byte hashes; equal windows choose equal
-anchors, so repeats can only lie among windows of equal anchors. Windows in a row with one anchor form a context, a
-string of at most ``2 * length - GRAM`` bytes. Contexts of anchors that occur twice or more are brought together by
-anchor; a suffix array with longest common prefixes is built over them, its interval tree is found by a stack scan,
-and the intervals whose left extensions differ are the maximal repeat groups, with all their occurrences. In each
-group the earliest occurrence stays; the others are covered.
-
-Equal contexts are first reduced to their earliest occurrence map-side, so that a passage in a third of all texts
-is one context. An anchor with more than ``group_limit`` different contexts is never brought together: the windows of
-its contexts are counted by hash instead (aggregated map-side), which is exact as well.
-
-Order: id, then text hash, then place; a null id comes first. Defined results: a null text is empty; texts
+Every window of ``length`` bytes chooses an anchor, the least of its ``GRAMS[0]``-byte hashes; equal windows choose
+equal anchors, so repeats can only lie among windows of equal anchors. Windows in a row with one anchor form a
+context, a string of at most ``2 * length - GRAMS[0]`` bytes. Equal texts and equal contexts are one string with
+several places, of which the first counts. The different contexts of an anchor are brought together; a suffix array
+with longest common prefixes is built over them, its interval tree is found by a stack scan, and the intervals whose
+left extensions differ are the maximal repeat groups, with all their occurrences. In each group the earliest occurrence
+stays; the others are covered, and so is every context but the first of its kind.
+
+An anchor with more than ``group_limit`` different contexts isn't brought together: its contexts are split by anchors
+of the next length in ``GRAMS``, which are shared by fewer strings, and so on. The last length is that of the windows,
+where the strings of an anchor are all equal, so that each group ends up small enough.
+
+Which anchors repeat, and which contexts are the first of several, is told to the passes over the texts by Bloom
+filters that are sized from their counts; what slips through costs a row, never a wrong result. More than
+``filter_keys`` keys would make a filter too large to broadcast: shuffle joins then do the same.
+
+Order: id (of its own type, null first), then text hash, then place. Defined results: a null text is empty; texts
 shorter than ``length`` bytes have no repeats; matches never cross texts; rows of equal id and text are one document;
-other columns are ignored; an empty table gives no rows.
+very long texts are hashed in stretches and repeat within themselves too; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +38,11 @@ from .common import map_rows, pinned, read, stored
 from .neardup import mixed
 
 LENGTH = 100
-GRAM = 40
+#: Lengths of the anchors, level by level; the windows' own length comes last.
+GRAMS = (40, 70, 90)
 GROUP_LIMIT = 1500
-#: Bits of the filter of repeated anchors; its size is fixed, so is what is broadcast. When it fills up it only lets more through.
-FILTER_BITS = 27
+#: A Bloom filter has 16 bits a key, so one of so many keys has 128 MB, the most that is broadcast.
+FILTER_KEYS = 64 << 20
 #: As many anchors above the group limit are broadcast at most; more are joined with a shuffle.
 BROADCAST_ANCHORS = 500_000
 #: Texts are hashed in stretches of this many bytes.
@@ -42,7 +52,7 @@ BLOCK = 400_000
 _B = 0x9E3779B97F4A7C15 | 1
 
 
-def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def contexts(texts: list[bytes], length: int = LENGTH, gram: int = GRAMS[0]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text number, start, number of windows, anchor hash) of all contexts, in arrays."""
     batch: list[tuple[int, int, bytes]] = []
     size = 0
@@ -155,35 +165,35 @@ def intervals(common: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]
             yield d, first, b
 
 
-def maximal_repeats(strings: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(length, all occurrences as (string number, offset)) of each repeat of ``length`` bytes or more that extends neither to the left nor to the right."""
+def repeat_groups_of(strings: list[bytes], length: int = LENGTH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, string numbers, offsets) of each maximal repeat of ``length`` bytes or more, with all its occurrences.
+
+    An interval of the tree can't be extended to the right; it is maximal if its occurrences also differ in the byte
+    before them. A start of a string extends to no byte, so it differs from any.
+    """
     number, offset, before, common = suffix_array(strings, length)
-    changes = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))]) if len(before) else before
+    if not len(number):
+        return
+    changes = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))])
     for depth, a, b in intervals(common, length):
-        if changes[b - 1] > changes[a]:  # a start of a string extends to no byte, so it differs from any
-            yield depth, list(zip(number[a:b].tolist(), offset[a:b].tolist(), strict=True))
+        if changes[b - 1] > changes[a]:
+            yield depth, number[a:b], offset[a:b]
 
 
 def covered(strings: list[bytes], order: list[tuple], length: int) -> list[list[tuple[int, int]]]:
     """For each string, the merged stretches in repeats that occur earlier; ``order`` gives (document key..., place) of each string's start."""
-    number, offset, before, common = suffix_array(strings, length)
     out: list[list[tuple[int, int]]] = [[] for _ in strings]
-    if not len(number):
-        return out
-    ranked = sorted(range(len(order)), key=order.__getitem__)
-    documents = {}
-    doc_of = np.array([documents.setdefault(order[s][:-1], len(documents)) for s in ranked])
+    documents: dict[tuple, int] = {}
     key = np.empty(len(order), np.int64)
-    key[ranked] = doc_of
+    for s in sorted(range(len(order)), key=order.__getitem__):
+        key[s] = documents.setdefault(order[s][:-1], len(documents))
     place = np.array([o[-1] for o in order], np.int64)
-    when = key[number] * (1 << 36) + place[number] + offset  # the order of all occurrences
-    changes = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))])
-    for depth, a, b in intervals(common, length):
-        if changes[b - 1] > changes[a]:
-            w = when[a:b]
-            least = w.min()
-            for s, o in zip(number[a:b][w > least].tolist(), offset[a:b][w > least].tolist()):
-                out[s].append((o, o + depth))
+    for depth, number, offset in repeat_groups_of(strings, length):
+        document, at = key[number], place[number] + offset
+        first = document.min()
+        later = (document > first) | (at > at[document == first].min())
+        for s, o in zip(number[later].tolist(), offset[later].tolist()):
+            out[s].append((o, o + depth))
     return [merged(x) for x in out]
 
 
@@ -198,139 +208,282 @@ def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def bitmap_of(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of the leading bits of a column ``a`` of hashes: at most 2**(FILTER_BITS - 6) words reach the driver."""
-    bit = F.shiftrightunsigned("a", 64 - FILTER_BITS)
-    words = hashes.select(F.shiftright(bit, 6).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("bits"))
-    got = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bitmap[np.asarray(got["word"])] = np.asarray(got["bits"])
-    return bitmap.view(np.uint64)
+class Bloom(NamedTuple):
+    """Three bits a key in a table of a power of two of bits."""
 
+    words: np.ndarray
 
-def in_bitmap(bitmap: np.ndarray, a: np.ndarray) -> np.ndarray:
-    bit = a.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-    return np.flatnonzero(bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+    @staticmethod
+    def bits(keys: np.ndarray, size: int) -> list[np.ndarray]:
+        h = mixed(keys.view(np.uint64))
+        step = (h >> np.uint64(32)) | np.uint64(1)
+        return [(h + np.uint64(i) * step) & np.uint64(size - 1) for i in range(3)]
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        with np.errstate(over="ignore"):
+            for bit in self.bits(keys, 64 * len(self.words)):
+                out &= (self.words[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+
+def place_keys(th: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """One key for a text's hash and a place in it."""
+    with np.errstate(over="ignore"):
+        return th.astype(np.int64).view(np.uint64) * np.uint64(_B) + start.astype(np.int64).view(np.uint64)
+
+
+def bloom_of(keys: DataFrame, count: int) -> Broadcast:
+    """A broadcast filter of the rows' keys, one long column or (th, start); ``count`` of them give its size."""
+    size = 1 << max(16, (16 * count - 1).bit_length())
+
+    def words(columns):
+        a = [np.asarray(c, np.int64) for c in columns]
+        with np.errstate(over="ignore"):
+            bit = np.concatenate(Bloom.bits(place_keys(*a) if len(a) > 1 else a[0], size))
+        word, of = np.unique(bit >> np.uint64(6), return_inverse=True)
+        bits = np.zeros(len(word), np.uint64)
+        np.bitwise_or.at(bits, of, np.uint64(1) << (bit & np.uint64(63)))
+        return [word.astype(np.int32), bits.view(np.int64)]
+
+    got = map_rows(keys, words, "word int, bits long", rows=1 << 16).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.int64)
+    table[np.asarray(got["word"])] = np.asarray(got["bits"])
+    return keys.sparkSession.sparkContext.broadcast(Bloom(table.view(np.uint64)))
+
+
+def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, th (64 bits of the text's hash), text as bytes."""
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    return docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def copies(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(doc, th) of the first document of each text, and of those whose text is a copy of an earlier one.
+
+    Texts are told by 128 bits and their size; shorter ones than ``length`` are left out.
+    """
+    own = texts.select("doc", "th", F.xxhash64(F.lit(1), "text").alias("th2"), F.octet_length("text").alias("n")).where(F.col("n") >= length)
+    own = pinned(own)
+    first = own.groupBy("th", "th2", "n").agg(F.min(F.struct("doc")).alias("first"))
+    first = pinned(first.select("th", "th2", "n", F.col("first.doc").alias("first")))
+    later = own.join(first, ["th", "th2", "n"]).where(~F.col("doc").eqNullSafe(F.col("first"))).select("doc", "th").distinct()
+    return first.select(F.col("first").alias("doc"), "th"), later
 
 
 def anchor_counts(texts: DataFrame, length: int) -> DataFrame:
     """a, n: how often each anchor occurs."""
 
     def count(columns):
-        found = [h for *_, h in contexts([t or b"" for t in columns[0]], length)]
+        found = [h for *_, h in contexts(columns[0], length)]
         a, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
         return [a, n.astype(np.int32)]
 
     return map_rows(texts.select("text"), count, "a long, n int").groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def occurrences(texts: DataFrame, bitmap, length: int, bodies: bool) -> DataFrame:
-    """a, uh (the context's hash), doc, th, start, size (or body) of the contexts whose anchor is in a broadcast bitmap."""
+def occurrences(texts: DataFrame, length: int, body: bool = False, anchors: Broadcast | None = None, places: Broadcast | None = None) -> DataFrame:
+    """a, doc, th, start, and uh (the context's hash) and size or the context itself, of the contexts whose anchor or place is in a filter, or of all."""
+    kind = texts.schema["doc"].dataType.simpleString()
 
     def emit(columns):
         docs, ths, raw = columns
-        raw = [t or b"" for t in raw]
+        th = np.asarray(ths, np.int64)
         rows = []
         for number, start, count, a in contexts(raw, length):
-            hit = in_bitmap(bitmap.value, a)
+            if anchors:
+                hit = np.flatnonzero(anchors.value.has(a))
+            elif places:
+                hit = np.flatnonzero(places.value.has(place_keys(th[number], start)))
+            else:
+                hit = np.arange(len(a))
             for n, s, c, h in zip(number[hit].tolist(), start[hit].tolist(), count[hit].tolist(), a[hit].tolist(), strict=True):
-                body = raw[n][s : s + c + length - 1]
-                rows.append((h, xxhash.xxh3_64_intdigest(body) - (1 << 63), docs[n], ths[n], s, body if bodies else len(body)))
+                b = raw[n][s : s + c + length - 1]
+                rows.append((h, docs[n], ths[n], s, b) if body else (h, docs[n], ths[n], s, xxhash.xxh3_64_intdigest(b) - (1 << 63), len(b)))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    return map_rows(texts, emit, f"a long, uh long, doc long, th int, start long, {'body binary' if bodies else 'size int'}")
+    return map_rows(texts, emit, f"a long, doc {kind}, th long, start long, {'body binary' if body else 'uh long, size int'}")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, th (the text's hash), start, end: stretches of bytes that also occur earlier; they may overlap.
+def place():
+    return F.struct("doc", "th", "start")
 
-    Three passes over the texts, each of which moves little: anchors are counted; contexts of repeated anchors are
-    moved as hashes and places; only contexts whose anchor has several are moved as strings.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.hash(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
-    repeated = spark.sparkContext.broadcast(bitmap_of(anchor_counts(texts, length).where("n > 1")))
-    every = stored(occurrences(texts, repeated, length, bodies=False))
-    place = F.struct("doc", "th", "start")
-    distinct = stored(every.groupBy("a", "uh").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")))
-    outer = every.join(distinct.where("n > 1").select("a", "uh", "first"), ["a", "uh"])
-    outer = stored(outer.where(~place.eqNullSafe(F.col("first"))).select("doc", "th", "start", (F.col("start") + F.col("size")).alias("end")))
-
-    sizes = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sizes = pinned(sizes)
-    several = spark.sparkContext.broadcast(bitmap_of(sizes))
-    strings = occurrences(texts, several, length, bodies=True).groupBy("a", "uh").agg(F.min(place).alias("first"), F.first("body").alias("body"))
-    hot = sizes.where(F.col("m") > group_limit).select("a")
-    n_hot = hot.count()
-    if n_hot:
-        strings = stored(strings)
-        hot_side = F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot
-        usual = strings.join(hot_side, "a", "left_anti")
-    else:
-        usual = strings
-    grouped = usual.groupBy("a").agg(F.collect_list(F.struct("first", "body")).alias("members")).where(F.size("members") > 1)
+
+def first_texts(texts: DataFrame, first: DataFrame, filter_keys: int) -> DataFrame:
+    """The texts without copies of earlier ones. Some may slip through the filter, and all do where it would be too large; they cost rows only."""
+    key = F.xxhash64("doc", "th")
+    count = first.count()
+    if count > filter_keys:
+        return texts
+    known = bloom_of(first.select(key.alias("k")), count)
+    at = texts.columns
+
+    def keep(batches):
+        for batch in batches:
+            hit = known.value.has(batch.column(len(at)).to_numpy())
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[: len(at)]], names=at)
+
+    return texts.withColumn("_key", key).mapInArrow(keep, texts.schema)
+
+
+def scanned(strings: DataFrame, length: int) -> DataFrame:
+    """doc, th, start, end of the stretches that occur earlier among the strings of an anchor; groups are small by construction."""
+    grouped = strings.groupBy("a").agg(F.collect_list(F.struct("doc", "th", "start", "body")).alias("members")).where(F.size("members") > 1)
+    kind = strings.schema["doc"].dataType.simpleString()
 
     def scan(columns):
-        rows, bodies, order = [], [], []
+        rows, members, size = [], [], 0
 
         def flush():
-            for o, stretches in zip(order, covered(bodies, order, length), strict=True):
-                rows.extend((o[0][1] if o[0][0] else None, o[1], o[2] + a, o[2] + b) for a, b in stretches)
-            bodies.clear()
-            order.clear()
+            order = [(m["doc"] is not None, m["doc"], m["th"], m["start"]) for m in members]
+            for m, stretches in zip(members, covered([m["body"] for m in members], order, length), strict=True):
+                rows.extend((m["doc"], m["th"], m["start"] + a, m["start"] + b) for a, b in stretches)
+            members.clear()
 
-        size = 0
         for group in columns[0]:
-            for m in group:
-                f = m["first"]
-                bodies.append(m["body"])
-                order.append(((f["doc"] is not None, f["doc"] or 0), f["th"], f["start"]))
-                size += len(m["body"])
+            members += group
+            size += sum(len(m["body"]) for m in group)
             if size > BLOCK:
                 flush()
                 size = 0
-        if bodies:
+        if members:
             flush()
         return [list(c) for c in zip(*rows, strict=True)]
 
-    out = outer.unionByName(map_rows(grouped.select("members"), scan, "doc long, th int, start long, end long"))
+    return map_rows(grouped.select("members"), scan, f"doc {kind}, th long, start long, end long")
+
+
+def several(distinct: DataFrame, group_limit: int) -> tuple[DataFrame, DataFrame, int]:
+    """Anchors of several contexts with their number m, those above the limit (hinted to be broadcast where they are few), and how many those are."""
+    sizes = pinned(distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    hot = sizes.where(F.col("m") > group_limit).select("a")
+    count = hot.count()
+    return sizes, F.broadcast(hot) if count <= BROADCAST_ANCHORS else hot, count
+
+
+def refined(strings: DataFrame, length: int, group_limit: int, level: int) -> DataFrame:
+    """doc, th, start, end of the stretches that occur earlier among contexts of anchors above the limit, split by longer anchors."""
+    gram = (*GRAMS, length)[level]
+    kind = strings.schema["doc"].dataType.simpleString()
+
+    def split(columns):
+        docs, ths, starts, bodies = columns
+        rows = []
+        for number, start, count, a in contexts(bodies, length, gram):
+            for n, s, c, h in zip(number.tolist(), start.tolist(), count.tolist(), a.tolist(), strict=True):
+                b = bodies[n][s : s + c + length - 1]
+                rows.append((h, xxhash.xxh3_64_intdigest(b) - (1 << 63), docs[n], ths[n], starts[n] + s, b))
+        return [list(c) for c in zip(*rows, strict=True)]
+
+    parts = stored(map_rows(strings.select("doc", "th", "start", "body"), split, f"a long, uh long, doc {kind}, th long, start long, body binary"))
+    distinct = stored(parts.groupBy("a", "uh").agg(F.min(place()).alias("first"), F.first("body").alias("body"), F.count(F.lit(1)).alias("n")))
+    out = later_ones(parts.withColumn("size", F.octet_length("body")), distinct)
+    sizes, hot, n_hot = several(distinct, group_limit)
+    found = distinct.select("a", "first.*", "body").join(sizes.select("a"), "a", "left_semi")
     if n_hot:
-        out = out.unionByName(_by_window(strings.join(hot_side, "a", "left_semi"), length))
-    return out
+        out = out.unionByName(refined(found.join(hot, "a", "left_semi"), length, group_limit, level + 1))
+        found = found.join(hot, "a", "left_anti")
+    return out.unionByName(scanned(found, length))
+
+
+def later_ones(every: DataFrame, distinct: DataFrame) -> DataFrame:
+    """doc, th, start, end of all contexts but the first of each kind; a kind with very many is split by Spark as a skewed key of a join."""
+    known = distinct.where("n > 1").select("a", "uh", "first")
+    return every.join(known, ["a", "uh"]).where(~place().eqNullSafe(F.col("first"))).select("doc", "th", "start", (F.col("start") + F.col("size")).cast("long").alias("end"))
+
+
+class Found(NamedTuple):
+    """What is known of repeats.
+
+    ``rows``: doc, th, start, end. A row with an end is a stretch that occurs earlier; one with neither is a copy of an
+    earlier text; one without an end is the start of a first context. Contexts of anchors in ``anchors`` (if that is
+    used) that aren't first ones occur earlier as a whole.
+    """
 
+    rows: DataFrame
+    anchors: Broadcast | None
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, filter_keys: int = FILTER_KEYS, id_col: str = "doc_id", text_col: str = "text") -> Found:
+    """Passes over the texts, each of which moves little: anchors are counted; contexts of repeated anchors are moved
+    as hashes and places; only the first of each kind are moved as strings, where their anchor has several."""
+    texts = text_rows(docs, id_col, text_col)
+    first, whole = copies(texts, length)
+    texts = first_texts(texts, first, filter_keys)
+    repeated = pinned(anchor_counts(texts, length).where("n > 1").select("a"))
+    n_repeated = repeated.count()
+    anchors = bloom_of(repeated, n_repeated) if n_repeated <= filter_keys else None
+    every = occurrences(texts, length, anchors=anchors)
+    if anchors is None:
+        every = stored(every.join(repeated, "a", "left_semi"))
+    distinct = stored(every.groupBy("a", "uh").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")))
+
+    sizes, hot, n_hot = several(distinct, group_limit)
+    wanted = pinned(distinct.join(sizes.select("a"), "a", "left_semi").select("first.*"))
+    n_wanted = wanted.count()
+    if n_wanted <= filter_keys:
+        strings = occurrences(texts, length, body=True, places=bloom_of(wanted.select("th", "start"), n_wanted))
+    else:
+        strings = wanted_strings(texts, wanted, length)
+    gone = [F.lit(None).cast("long").alias(c) for c in ("start", "end")]
+    rows = whole.select("doc", "th", *gone)
+    if n_hot:
+        strings = stored(strings)
+        rows = rows.unionByName(refined(strings.join(hot, "a", "left_semi"), length, group_limit, 1))
+        strings = strings.join(hot, "a", "left_anti")
+    rows = rows.unionByName(scanned(strings, length))
+    rows = rows.unionByName(later_ones(every, distinct) if anchors is None else distinct.select("first.*", gone[1]))
+    return Found(rows, anchors)
 
-def _by_window(contexts_: DataFrame, length: int) -> DataFrame:
-    """The same for anchors of very many contexts: each window's hash gets its earliest place, aggregated map-side."""
 
-    def windows(columns):
+def wanted_strings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """a, doc, th, start, body of the contexts at certain places, where these are too many to be told by a filter: a text moves to its places."""
+    kind = texts.schema["doc"].dataType.simpleString()
+    starts = wanted.groupBy(F.col("doc").alias("d"), F.col("th").alias("t")).agg(F.collect_set("start").alias("starts"))
+    both = texts.join(starts, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc", "th", "text", "starts")
+
+    def emit(columns):
+        docs, ths, raw, starts = columns
         rows = []
-        for a, f, body in zip(*columns, strict=True):
-            for i in range(len(body) - length + 1):
-                rows.append((a, xxhash.xxh3_64_intdigest(body[i : i + length]) - (1 << 63), f["doc"], f["th"], f["start"] + i))
+        for number, start, count, a in contexts(raw, length):
+            for n, s, c, h in zip(number.tolist(), start.tolist(), count.tolist(), a.tolist(), strict=True):
+                if s in starts[n]:
+                    rows.append((h, docs[n], ths[n], s, raw[n][s : s + c + length - 1]))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    every = stored(map_rows(contexts_.select("a", "first", "body"), windows, "a long, wh long, doc long, th int, start long"))
-    twice = every.groupBy("a", "wh").agg(F.min(F.struct("doc", "th", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = every.join(twice, ["a", "wh"]).where(~F.struct("doc", "th", "start").eqNullSafe(F.col("first")))
-    return later.select("doc", "th", "start", (F.col("start") + length).alias("end"))
+    return map_rows(both, emit, f"a long, doc {kind}, th long, start long, body binary")
 
 
-def drop_repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """id, n_bytes, removed (merged stretches as array<struct<start, end>>), kept (the remaining bytes)."""
-    found = repeats(docs, length, group_limit, id_col, text_col).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "end")).alias("stretches"))
-    texts = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
-    joined = texts.join(found, texts["id"].eqNullSafe(found["doc"]) & (texts["h"] == found["th"]), "left").select("id", "text", "stretches")
+    rows, anchors = repeats(docs, length, id_col=id_col, text_col=text_col, **options)
+    found = rows.select(F.col("doc").alias("d"), F.col("th").alias("t"), "start", "end")
+    found = found.groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("found"))
+    texts = text_rows(docs, id_col, text_col)
+    joined = texts.join(found, F.col("doc").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc", "text", "found")
 
     def cut(columns):
-        ids, raw, removed, kept = columns[0], [t or b"" for t in columns[1]], [], []
-        for t, s in zip(raw, columns[2], strict=True):
-            gone = merged([(x["start"], x["end"]) for x in s or ()])
+        ids, raw, known = columns
+        gone = [[(x["start"], x["end"]) for x in f or () if x["end"] is not None] for f in known]
+        first = [{x["start"] for x in f or () if x["end"] is None} for f in known]
+        for n, f in enumerate(first):
+            if None in f:
+                gone[n] = [(0, len(raw[n]))]
+        if anchors:
+            rest = [t if None not in f else b"" for t, f in zip(raw, first, strict=True)]
+            for number, start, count, a in contexts(rest, length):
+                hit = np.flatnonzero(anchors.value.has(a))
+                for n, s, c in zip(number[hit].tolist(), start[hit].tolist(), count[hit].tolist(), strict=True):
+                    if s not in first[n]:
+                        gone[n].append((s, s + c + length - 1))
+        removed, kept = [], []
+        for t, s in zip(raw, map(merged, gone), strict=True):
             at, parts = 0, []
-            for a, b in gone:
+            for a, b in s:
                 parts.append(t[at:a])
                 at = b
             parts.append(t[at:])
-            removed.append([{"start": a, "end": b} for a, b in gone])
+            removed.append([{"start": a, "end": b} for a, b in s])
             kept.append(b"".join(parts))
         return [ids, [len(t) for t in raw], removed, kept]
 

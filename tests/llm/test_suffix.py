@@ -35,8 +35,8 @@ def test_documents_against_brute_force(spark, sf):
     assert got == brute(rows, 100)
 
 
-@pytest.mark.parametrize("limit", [1500, 3])
-def test_shared_passages_and_periodic_texts(spark, limit):
+@pytest.mark.parametrize(("limit", "keys"), [(1500, 1 << 20), (3, 1 << 20), (3, 0), (1, 0)])
+def test_shared_passages_and_periodic_texts(spark, limit, keys):
     rng = random.Random(3)
     word = lambda: "".join(rng.choices("abcdeé", k=rng.randrange(2, 8)))
     passages = [" ".join(word() for _ in range(n)) for n in (30, 60, 90)]
@@ -50,7 +50,7 @@ def test_shared_passages_and_periodic_texts(spark, limit):
         rows.append((i, " ".join(parts)))
     rows += [(100, "a" * 700), (101, "ab" * 400), (102, "a" * 99), (103, None), (104, ""), (105, "a" * 100), (106, rows[0][1]), (107, rows[0][1])]
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, th string, start long")
-    assert digest(S.drop_repeats(docs, group_limit=limit)) == brute(rows, 100)
+    assert digest(S.drop_repeats(docs, group_limit=limit, filter_keys=keys)) == brute(rows, 100)
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -60,11 +60,19 @@ def test_repeated_rows_and_empty_table(spark):
     assert S.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_ids_of_another_type_and_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "STRETCH", 1000)
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcdefgh ", k=9000))
+    rows = [("b", long), ("a", long[2000:2600] + "x" + long[100:1500]), ("c", long), ("d", long[:5000] + long[4000:])]
+    assert digest(S.drop_repeats(spark.createDataFrame(rows, "doc_id string, text string"))) == brute(rows, 100)
+
+
 def test_maximal_repeats_by_definition():
     rng = random.Random(8)
     for _ in range(60):
         strings = ["".join(rng.choices("ab", k=rng.randrange(0, 30))).encode() for _ in range(rng.randrange(1, 6))]
-        got = {(n, tuple(sorted(o))) for n, o in S.maximal_repeats(strings, 3)}
+        got = {(n, tuple(sorted(zip(s.tolist(), o.tolist(), strict=True)))) for n, s, o in S.repeat_groups_of(strings, 3)}
         where: dict[bytes, list] = {}
         for s, t in enumerate(strings):
             for a in range(len(t)):
