@@ -1,16 +1,21 @@
 """Secret scans by assignment-aware lexing.
 
-The lexer reads source and configuration syntax as name-literal pairs, propagates constants through
-names and concatenations, and scores each literal by how sensitive the name is that it ends up in.
-
-Defined results: a null or empty text has no spans; the same document given twice gives two equal rows;
-columns besides the id and the text are ignored, so their names can't clash; an empty table gives no rows.
+The lexer reads source and configuration syntax as name-literal pairs: assignments, keys, elements, calls, named
+values of elements and indented blocks. It propagates constants through names and concatenations, and scores each
+literal by how sensitive the name is that it ends up in. A name means its nearest definition before, or else the
+nearest after; chains of names are followed to their end, whatever their length.
+
+Defined results: a null or empty text has no spans; a very long text is read whole, in time that grows with its
+length; the same document given twice gives two equal rows; of names defined more than once each use has its own
+definition; a literal that is reached twice is one span; columns besides the id and the text are ignored, so their
+names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from typing import NamedTuple
 
@@ -28,29 +33,39 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 NAME_WEIGHTS = {
     "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 3.0,
     "credentials": 3.0, "auth": 1.5, "bearer": 2.5, "private": 1.0, "access": 1.0, "key": 1.5, "client": 0.5, "api": 1.0, "signing": 1.0,
-    "encryption": 1.0, "salt": 1.5, "cookie": 1.0, "session": 1.0, "webhook": 1.0, "dsn": 1.5,
+    "encryption": 1.0, "salt": 1.5, "cookie": 1.0, "session": 1.0, "webhook": 1.0, "dsn": 1.5, "mnemonic": 3.0,
 }
 # Words of a name that say the literal is about a secret, not one itself.
 NAME_DAMPERS = {
     "count", "length", "len", "size", "type", "name", "field", "url", "uri", "path", "file", "header", "prefix", "suffix", "label",
     "hint", "placeholder", "max", "min", "limit", "expiry", "ttl", "format", "regex", "pattern", "enabled", "required", "public",
 }
+#: What a literal with blanks lacks, but for names of secrets that are made of words.
+BLANKS = 3.0
 # Literals that stand for a secret to be filled in.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|example|sample|dummy|todo|none|null|true|false|undefined|your[_-].*|<.*>|\$\{.*\}|%.*%|\{\{.*\}\})$")
 
 #: Concatenations of more characters than this aren't built but judged by their longest part.
 LITERAL = 4096
-NAME = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.\-]{0,127})(["'`]?)(\]?)[ \t]*(?::[ \t]*[A-Za-z_][A-Za-z0-9_.<>]{0,40}[ \t]*)?$""")
+#: What stands before an operator, read backwards: a type, an index, a quote, the name.
+BEFORE = re.compile(r"""[ \t]*+(?:[A-Za-z0-9_.<>]*[A-Za-z_][ \t]*+:(?!:)[ \t]*+)?(?:\](?:[0-9A-Za-z_]*+\[)?)?["'`]?([A-Za-z0-9_$.\-]++)""")
 OPERATOR = re.compile(r":=|=>|==+|!=|<=|>=|\+=|=|:(?!:|//)")
-TERM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*+)"|[rbuf]?'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z_$][A-Za-z0-9_$.]{0,127})(?![A-Za-z0-9_$(\[])|([A-Za-z0-9+/_\-.=]{8,}+))""")
+TERM = re.compile(r"""[ \t]*(?:[rbuf]?"((?:[^"\\\n]|\\.)*+)"|[rbuf]?'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|\$\{?([A-Za-z_][A-Za-z0-9_]*+)\}?|([A-Za-z_$][A-Za-z0-9_$]*+(?:\.[A-Za-z0-9_$]++)*)(?![(\[])|([A-Za-z0-9+/_\-.=]{8,}+))""")
 #: A bare literal is the longest run of these, unless it is a name as a whole.
 RUN = re.compile(r"[ \t]*([A-Za-z0-9+/_.=-]{8,}+)")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]{0,127}")
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*")
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\|\|)(?=[ \t]*[\"'`A-Za-z_$])")
 REFERENCE = re.compile(r"\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?$")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-#: How many names a constant is followed through.
-DEPTH = 16
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>]*+)</")
+TAG = re.compile(r"<[A-Za-z][^<>]*+>")
+ATTRIBUTE = re.compile(r"""([A-Za-z_][A-Za-z0-9_.:-]*+)\s*+=\s*+(?:"([^"<>]*+)"|'([^'<>]*+)')""")
+CALL = re.compile(r"""\([ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')(?:[ \t]*+,[ \t]*+(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'))?""")
+CALLED = re.compile(r"[ \t]*+([A-Za-z0-9_$.]++)")
+#: First words of a function's name that say that it takes what it is called after.
+SETTERS = {"set", "with", "use", "add", "put", "assign", "store", "login"}
+#: A key whose value is the indented block under it.
+INDENTED = re.compile(r"""(?m)^([ \t]*+)(?:- )?["']?([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+:[ \t]*+[|>][+\-0-9]*+[ \t]*+\n((?:\1[ \t]++[^\s][^\n]*+(?:\n|\Z)|[ \t]*+\n)++)""")
 
 
 class Pair(NamedTuple):
@@ -86,7 +101,7 @@ def _terms(text: str, at: int, whole: bool) -> tuple[list[tuple[str, str, int, i
         elif m := TERM.match(text, at):
             k = m.lastindex
             ref = REFERENCE.match(m[k]) if k < 4 else None
-            terms.append(("name", ref[1], m.start(k), m.end(k)) if ref else ("name" if k == 4 else "text", m[k], m.start(k), m.end(k)))
+            terms.append(("name", ref[1], m.start(k), m.end(k)) if ref else ("name" if k in (4, 5) else "text", m[k], m.start(k), m.end(k)))
         else:
             break
         at = m.end()
@@ -97,57 +112,121 @@ def _terms(text: str, at: int, whole: bool) -> tuple[list[tuple[str, str, int, i
     return terms, at, run
 
 
-def lex(text: str) -> list[Pair]:
-    """The name-literal and name-name pairs of a text, in order."""
-    pairs, end, taken, told = [], 0, 0, False
+def _value(text: str, start: int, end: int) -> tuple[tuple[str, str, int, int], ...]:
+    """The term that a stretch of text is, without blanks around it; none if it is blank."""
+    literal = text[start:end].strip()
+    if not literal:
+        return ()
+    start += text[start:end].index(literal)
+    ref = REFERENCE.match(literal)
+    return (("name", ref[1], start, start + len(literal)) if ref else ("text", literal, start, start + len(literal)),)
+
+
+def _assignments(text: str) -> list[tuple[int, Pair]]:
+    pairs, end, taken, told, back = [], 0, 0, False, text[::-1]
     for op in OPERATOR.finditer(text):
         if op.start() < end or op[0] in ("==", "===", "!=", "<=", ">="):
             continue
-        name = NAME.search(text[max(0, op.start() - 180) : op.start()])
+        m = BEFORE.match(back, len(text) - op.start())
+        name = m[1][::-1].lstrip("0123456789.-$") if m else ""
         if not name:
             continue
         # within a bare literal, only the first sensitive name takes the rest of it whole: others are covered by it
-        whole = op.end() >= taken or not told and sensitivity(name[1]) > 0
+        whole = op.end() >= taken or not told and sensitivity(name) > 0
         terms, at, run = _terms(text, op.end(), whole)
         other = []
         if run:
-            told = sensitivity(name[1]) > 0
+            told = sensitivity(name) > 0
             taken = run
             other = [x for x in [_terms(text, op.end(), False)[0]] if any(k == "name" for k, *_ in x)]
         if terms:
-            pairs.append(Pair(name[1], tuple(terms), tuple(other[0]) if other else ()))
+            pairs.append((op.start(), Pair(name, tuple(terms), tuple(other[0]) if other else ())))
             end = at if terms[0][0] == "text" and not other else op.end()
     return pairs
 
 
-def resolved(pairs: list[Pair]) -> list[tuple[str, str, int, int]]:
-    """(target name, constant, start, end): constants followed through names; the span is of the literal itself."""
-    env: dict[str, Pair] = {}
-    for p in pairs:
-        if p.name not in env or env[p.name].terms[0][0] == "name":
-            env[p.name] = p
-    known: dict[str, tuple[str, int, int] | None] = {}
+def _elements(text: str) -> list[tuple[int, Pair]]:
+    """<name>literal</name>, and the value of <... name="name" value="literal">."""
+    pairs = [(m.start(2), Pair(m[1], _value(text, m.start(2), m.end(2)))) for m in ELEMENT.finditer(text)]
+    for tag in TAG.finditer(text):
+        own = {m[1].lower(): m for m in ATTRIBUTE.finditer(text, tag.start(), tag.end())}
+        name = own.get("name") or own.get("key")
+        if name and (value := own.get("value")):
+            k = 2 if value[2] is not None else 3
+            pairs.append((value.start(k), Pair(name[2] or name[3] or "", _value(text, value.start(k), value.end(k)))))
+    return pairs
+
+
+def _calls(text: str) -> list[tuple[int, Pair]]:
+    """f("name", "literal"), and set_name("literal")."""
+    pairs, back = [], text[::-1]
+    for m in CALL.finditer(text):
+        first = 1 if m[1] is not None else 2
+        second = 3 if m[3] is not None else 4
+        if m[second] is not None:
+            pairs.append((m.start(second), Pair(m[first], (("text", m[second], m.start(second), m.end(second)),))))
+        elif f := CALLED.match(back, len(text) - m.start()):
+            name = f[1][::-1].rpartition(".")[2]
+            if (WORD.findall(name) or [""])[0].lower() in SETTERS:
+                pairs.append((m.start(first), Pair(name, (("text", m[first], m.start(first), m.end(first)),))))
+    return pairs
 
-    def meant(p: Pair, depth: int) -> tuple[str, int, int] | None:
-        return p.other and constant(p.other, depth, True) or constant(p.terms, depth)
 
-    def constant(terms: tuple[tuple[str, str, int, int], ...], depth: int, strict: bool = False) -> tuple[str, int, int] | None:
+def _indented(text: str) -> list[tuple[int, Pair]]:
+    """The block under a key: its lines joined, without those that only mark where a key begins or ends."""
+    pairs = []
+    for m in INDENTED.finditer(text):
+        lines = [x.strip() for x in m[3].split("\n")]
+        terms = _value(text, m.start(3), m.end(3))
+        literal = "".join(x for x in lines if not x.startswith("-----"))
+        if terms:
+            pairs.append((m.start(3), Pair(m[2], (("text", literal, *terms[0][2:]),))))
+    return pairs
+
+
+def lex(text: str) -> list[Pair]:
+    """The name-literal and name-name pairs of a text, in order."""
+    pairs = _assignments(text)
+    if "</" in text or "/>" in text:
+        pairs += _elements(text)
+    if "(" in text:
+        pairs += _calls(text)
+    if "|" in text or ">" in text:
+        pairs += _indented(text)
+    return [p for _, p in sorted(pairs) if p.terms]
+
+
+def resolved(pairs: list[Pair]) -> list[tuple[str, str, int, int]]:
+    """(target name, constant, start, end): constants followed through names; the span is of the literal itself."""
+    places: dict[str, list[int]] = {}
+    for i, p in enumerate(pairs):
+        places.setdefault(p.name, []).append(i)
+
+    def meant(i: int, name: str) -> int:
+        """The pair that defines a name where pair i uses it: the nearest before, else after; i itself if there is no other."""
+        at = places[name]
+        k = bisect_left(at, i)
+        if k:
+            return at[k - 1]
+        k += at[k] == i
+        return at[k] if k < len(at) else i
+
+    known: list[tuple[str, int, int] | None] = [None] * len(pairs)
+
+    def constant(i: int, terms: tuple[tuple[str, str, int, int], ...], strict: bool = False) -> tuple[str, int, int] | None:
         parts: list[tuple[str, int, int]] = []
         for kind, value, start, end in terms:
             if kind == "text":
                 parts.append((value, start, end))
-                continue
-            if value in known:
-                got = known[value]
+            elif value in places:
+                got = known[meant(i, value)]
+                if got is None:
+                    return None
+                parts.append(got)
+            elif len(terms) == 1 and not strict:  # a bare word: configuration files don't quote
+                return value, start, end
             else:
-                known[value] = None  # a cycle has no constant
-                got = meant(env[value], depth + 1) if value in env and depth < DEPTH else None
-                known[value] = got
-            if got is None:
-                if len(terms) == 1 and value not in env and not strict:  # a bare word: configuration files don't quote
-                    return value, start, end
                 return None
-            parts.append(got)
         if len(parts) == 1:
             return parts[0]
         longest = max(parts, key=lambda x: (len(x[0]), -x[1]))
@@ -155,7 +234,27 @@ def resolved(pairs: list[Pair]) -> list[tuple[str, str, int, int]]:
             return longest
         return "".join(x[0] for x in parts), longest[1], longest[2]
 
-    return [(p.name, *c) for p in pairs for c in (p.other and constant(p.other, 0, True), constant(p.terms, 0)) if c]
+    # each pair after those that it is made of; what is in a cycle comes last and has no constant
+    needs = [{meant(i, v) for k, v, *_ in (*p.terms, *p.other) if k == "name" and v in places} for i, p in enumerate(pairs)]
+    users: dict[int, list[int]] = {}
+    for i, js in enumerate(needs):
+        for j in js:
+            users.setdefault(j, []).append(i)
+    left = [len(js) for js in needs]
+    ready = [i for i, n in enumerate(left) if not n]
+    for i in ready:
+        for user in users.get(i, ()):
+            left[user] -= 1
+            if not left[user]:
+                ready.append(user)
+    ready += [i for i, n in enumerate(left) if n]
+    out = []
+    for i in ready:
+        p = pairs[i]
+        both = [c for c in (p.other and constant(i, p.other, True), constant(i, p.terms)) if c]
+        known[i] = both[0] if both else None
+        out += [(p.name, *c) for c in both]
+    return out
 
 
 def entropy(s: str) -> float:
@@ -171,9 +270,11 @@ def sensitivity(name: str) -> float:
 
 def score(name: str, literal: str) -> float:
     """Above 0: a secret. The target name gives the prior, the literal's shape the evidence."""
-    if len(literal) < 8 or PLACEHOLDERS.match(literal) or " " in literal.strip():
+    if len(literal) < 8 or PLACEHOLDERS.match(literal):
         return -1.0
     prior = sensitivity(name)
+    if re.search(r"\s", literal.strip()) and not {"passphrase", "mnemonic"} & {w.lower() for w in WORD.findall(name)}:
+        prior -= BLANKS  # most literals with blanks are about a secret
     if prior <= 0:
         return -1.0
     classes = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
@@ -192,7 +293,7 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     """Base spans, and all spans with what the lexer adds outside of them."""
     text = text or ""
     base = base_spans(text)
-    if ":" not in text and "=" not in text:
+    if not any(c in text for c in ":=<("):
         return base, base
     added = {(s, 3, e) for name, literal, s, e in resolved(lex(text)) if score(name, literal) > 0 and not any(b[0] <= s and e <= b[2] for b in base)}
     return base, sorted([*base, *added])

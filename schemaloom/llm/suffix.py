@@ -46,9 +46,9 @@ FILTER_KEYS = 64 << 20
 #: As many anchors above the group limit are broadcast at most; more are joined with a shuffle.
 BROADCAST_ANCHORS = 500_000
 #: Texts are hashed in stretches of this many bytes.
-STRETCH = 4 << 20
+STRETCH = 1 << 18
 #: Suffix arrays are built over about this many bytes at once.
-BLOCK = 400_000
+BLOCK = 200_000
 _B = 0x9E3779B97F4A7C15 | 1
 
 
@@ -113,38 +113,27 @@ def _contexts(batch, length, gram):
 def suffix_array(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(string number, offset, left byte or -1, common prefix with the entry before) of the suffixes of ``length`` bytes or more, in order.
 
-    Prefix doubling: ranks of the first 1, 2, 4, ... bytes; the ranks of all rounds give the common prefixes.
+    The strings are contexts, so the suffixes are short and sorted as rows of bytes. The end of a string is like zero
+    bytes; of rows that are equal so, shorter suffixes come first.
     """
-    sizes = np.array([len(s) for s in strings])
-    text = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-    n = len(text)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    width = int(sizes.max()) if len(sizes) else 0
+    if width < length:
+        return (np.empty(0, np.int64),) * 4
+    text = np.frombuffer(b"".join(strings) + bytes(width), np.uint8)
     number = np.repeat(np.arange(len(strings)), sizes)
     begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    left = begin[number] + sizes[number] - np.arange(n)  # bytes from here to the string's end
-    rounds, rank, h = [text], text, 1
-    longest = int(sizes.max()) if len(sizes) else 0
-    while h < longest:
-        after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:]
-        after[left <= h] = 0
-        rank = np.unique(rank * (n + 257) + after, return_inverse=True)[1].astype(np.int64) + 1
-        rounds.append(rank)
-        h *= 2
+    left = begin[number] + sizes[number] - np.arange(len(number))  # bytes from here to the string's end
     at = np.flatnonzero(left >= length)
-    at = at[np.argsort(rank[at], kind="stable")]
-    i, j = at[:-1].copy(), at[1:].copy()
-    common = np.zeros(max(0, len(at) - 1), np.int64)
-    limit = np.minimum(left[i], left[j])
-    for level in range(len(rounds) - 1, -1, -1):
-        step = 1 << level
-        inside = (common < limit) & (i < n) & (j < n)
-        same = inside & (rounds[level][np.minimum(i, n - 1)] == rounds[level][np.minimum(j, n - 1)])
-        common[same] += step
-        i[same] += step
-        j[same] += step
-    common = np.minimum(common, limit)
-    before = np.where(at > begin[number[at]], text[np.maximum(at - 1, 0)] - 1, -1)
-    return number[at], at - begin[number[at]], before, np.concatenate([[0], common])[: len(at)]
+    at = at[np.argsort(left[at], kind="stable")]
+    rows = np.lib.stride_tricks.sliding_window_view(text, width)[at]
+    rows[np.arange(width) >= left[at, None]] = 0
+    order = np.argsort(rows.view(f"S{width}").ravel(), kind="stable")
+    at, rows = at[order], rows[order]
+    differ = np.pad(rows[1:] != rows[:-1], ((0, 0), (0, 1)), constant_values=True)
+    common = np.minimum(differ.argmax(1), np.minimum(left[at[1:]], left[at[:-1]]))
+    before = np.where(at > begin[number[at]], text[np.maximum(at - 1, 0)].astype(np.int64), -1)
+    return number[at], at - begin[number[at]], before, np.concatenate([[0], common])
 
 
 def intervals(common: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:

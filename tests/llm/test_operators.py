@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -74,6 +75,39 @@ def test_bare_and_long_literals_are_read_whole(text, literals):
     assert [text[s:e] for s, k, e in every if k == 3] == literals
 
 
+@pytest.mark.parametrize(
+    ("text", "literals"),
+    [
+        ("v0 = 's3cr3tV4lue99'\n" + "".join(f"v{i + 1} = v{i}\n" for i in range(3000)) + "client_secret = v3000", ["s3cr3tV4lue99"]),
+        ('tmp = "nothing_here_ok"\ntmp = "s3cr3tV4lue99"\nclient_secret = tmp\ntmp = "An0therV4lue99"', ["s3cr3tV4lue99"]),
+        ("client_secret: ${later}\nlater: ${last}\nlast: 's3cr3tV4lue99'", ["s3cr3tV4lue99"]),
+        ("a = b\nb = a\nauth_key = a\nc = 's3cr3tV4lue99'\nsigning_key = c", ["s3cr3tV4lue99"]),
+        ("private_key: |\n  -----BEGIN KEY-----\n  MIIEow1BAAKCAQ\n  Ab3dEfGh9\n\nother: x", ["-----BEGIN KEY-----\n  MIIEow1BAAKCAQ\n  Ab3dEfGh9"]),
+        ("<conf><clientCredential> Zx81kkPqq92jjA </clientCredential></conf>", ["Zx81kkPqq92jjA"]),
+        ('<property name="client.credential" value="Zx81kkPqq92jjA"/>', ["Zx81kkPqq92jjA"]),
+        ('static const char signing_key[] = "Zx81kkPqq92jjA";', ["Zx81kkPqq92jjA"]),
+        ('char signing_key[32] = "Zx81kkPqq92jjA";', ["Zx81kkPqq92jjA"]),
+        ('os.environ.setdefault("SIGNING_KEY", "Zx81kkPqq92jjA")', ["Zx81kkPqq92jjA"]),
+        ('client.setPassphrase("Zx81kkPqq92jjA"); client.getPassphrase("Zx81kkPqq92jjB")', ["Zx81kkPqq92jjA"]),
+        ('passphrase = "Correct horse 9 battery staple"', ["Correct horse 9 battery staple"]),
+        ('auth_credential = "please type it here"', []),
+        ("x" * 200 + "_signing_key = Zx81kkPqq92jjA/", ["Zx81kkPqq92jjA/"]),
+        ("signing_key" + " " * 300 + "= Zx81kkPqq92jjA/", ["Zx81kkPqq92jjA/"]),
+    ],
+    ids=range(15),
+)
+def test_lexed_forms_and_definitions_by_place(text, literals):
+    base, every = secrets.spans(text)
+    assert [text[s:e] for s, k, e in every if k == 3] == literals
+
+
+@pytest.mark.parametrize("part", ["a.", "-a", "(\"", "<a ", "a: |\n ", "x=", "x[]=", "f('a',", "k: v: ", "${a}="])
+def test_long_texts_take_linear_time(part):
+    began = time.time()
+    secrets.spans(part * (400_000 // len(part)))
+    assert time.time() - began < 20
+
+
 # quality
 
 

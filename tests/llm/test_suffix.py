@@ -71,7 +71,7 @@ def test_ids_of_another_type_and_very_long_texts(spark, monkeypatch):
 def test_maximal_repeats_by_definition():
     rng = random.Random(8)
     for _ in range(60):
-        strings = ["".join(rng.choices("ab", k=rng.randrange(0, 30))).encode() for _ in range(rng.randrange(1, 6))]
+        strings = ["".join(rng.choices(rng.choice(["ab", "a\0"]), k=rng.randrange(0, 30))).encode() for _ in range(rng.randrange(1, 6))]
         got = {(n, tuple(sorted(zip(s.tolist(), o.tolist(), strict=True)))) for n, s, o in S.repeat_groups_of(strings, 3)}
         where: dict[bytes, list] = {}
         for s, t in enumerate(strings):
