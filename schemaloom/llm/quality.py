@@ -2,14 +2,18 @@
 
 Each document is judged by rules; failures are summed by host, each host's failure rate is shrunk towards
 the corpus by an empirical beta prior (method of moments over hosts), and the host verdicts are joined back.
+A verdict is a tail of the host's posterior: a host is condemned if its odds of failing the base rules surely are above
+``factor`` times those of the corpus; a soft rule counts against a document where its host surely fails that rule more
+often than the corpus does.
 
-Defined results: a null text has no words and fails the base rule; a null host is a host of its own that is
-never condemned; repeated rows count as often as they come; other columns are ignored; an empty table gives
-no rows (the prior is then flat).
+Defined results: a null or empty text has no words and fails the base rule; very long texts are measured whole; a null
+host is a host of its own that is never condemned; repeated rows count as often as they come; a tail equal to the
+confidence asked for is sure; other columns are ignored; an empty table gives no rows (the prior is then flat).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from typing import NamedTuple
 
@@ -26,6 +30,11 @@ SYMBOLS = re.compile(r"[#*$%&|<>]")
 SOFT = ("symbols", "dup_lines", "repeats")
 
 
+#: As many hosts are broadcast at most; each of more is spread over so many salts.
+BROADCAST_HOSTS = 200_000
+SALTS = 32
+
+
 class Stats(NamedTuple):
     n_words: int
     word_chars: int
@@ -89,48 +98,95 @@ def document_rules(docs: DataFrame, host_col: str = "source", id_col: str = "doc
     )
 
 
-def host_verdicts(judged: DataFrame, condemn_rate: float = 0.9, soft_rate: float = 0.5) -> DataFrame:
+def beta_tail(x: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """P(X > x) of Beta(a, b): the regularized incomplete beta function by its continued fraction (modified Lentz)."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    p, q, z = b, a, np.full(a.shape, 1.0 - x)
+    swap = z > (p + 1) / (p + q + 2)  # the fraction converges fast on one side of the mean
+    p, q, z = np.where(swap, q, p), np.where(swap, p, q), np.where(swap, 1 - z, z)
+    gamma = np.vectorize(math.lgamma, otypes=[float])
+    front = np.exp(gamma(p + q) - gamma(p) - gamma(q) + p * np.log(z) + q * np.log1p(-z)) / p
+    tiny = 1e-300
+    c, d = np.ones_like(p), 1 / np.where(np.abs(1 - (p + q) * z / (p + 1)) < tiny, tiny, 1 - (p + q) * z / (p + 1))
+    out, m, moved = d.copy(), 0, np.inf
+    while len(p) and moved > 1e-13:
+        m += 1
+        for k in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + k * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + k / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            out = out * d * c
+        moved = np.abs(d * c - 1).max()
+    value = np.clip(front * out, 0, 1)
+    return np.where(swap, 1 - value, value)
+
+
+class Prior(NamedTuple):
+    """Beta prior of a rule's failure rate over hosts, and the rate above which a host stands out."""
+
+    alpha: float
+    beta: float
+    limit: float
+
+
+def fitted_prior(failed: int, n: int, hosts: int, rates: int, squares: int, factor: float) -> Prior:
+    """By moments: the corpus rate is the mean, the variance of the hosts' rates gives the strength. Rates come as sums of millionths."""
+    mean = min(max(failed / n if n else 0.5, 1e-4), 1 - 1e-4)
+    variance = max((int(squares) * hosts - int(rates) ** 2) / hosts**2 / 1e12, 1e-9) if hosts else 1e-9
+    strength = min(max(mean * (1 - mean) / variance - 1, 2.0), 1e4)
+    odds = factor * mean / (1 - mean)
+    return Prior(mean * strength, (1 - mean) * strength, odds / (1 + odds))
+
+
+def host_verdicts(judged: DataFrame, factor: float = 4.0, confidence: float = 0.95, soft_confidence: float = 0.9) -> DataFrame:
     """One row per host: shrunk failure rates and whether the host is condemned, as a whole or under a soft rule.
 
-    The prior of each rule is one row of moments, so reading it on the driver has a fixed size.
+    The prior of each rule comes from one row of moments (whole numbers, so the order of summing doesn't matter).
     """
     rules = ("base_failed", *(f"fail_{r}" for r in SOFT))
-    hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(F.col(r).cast("long")).alias(f"n_{r}") for r in rules))
+    hosts = pinned(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(F.col(r).cast("long")).alias(f"n_{r}") for r in rules)))
     moments = []
     for r in rules:
-        rate = F.col(f"n_{r}") / F.col("n_docs")
-        moments += [F.sum(f"n_{r}").alias(f"f_{r}"), F.avg(rate).alias(f"m_{r}"), F.var_pop(rate).alias(f"v_{r}")]
-    row = hosts.agg(F.sum("n_docs").alias("n"), *moments).first()
-    shrunk = []
-    for r in rules:
-        mean = (row[f"f_{r}"] or 0) / row["n"] if row["n"] else 0.5
-        mean = min(max(mean, 1e-4), 1 - 1e-4)
-        variance = max(row[f"v_{r}"] or 0.0, 1e-9)
-        strength = min(max(mean * (1 - mean) / variance - 1, 2.0), 1e4)
-        shrunk.append(((F.col(f"n_{r}") + F.lit(mean * strength)) / (F.col("n_docs") + F.lit(strength))).alias(f"rate_{r}"))
-    known = F.col("host").isNotNull()
-    return hosts.select("host", "n_docs", *shrunk).select(
-        "host",
-        "n_docs",
-        *(f"rate_{r}" for r in rules),
-        (known & (F.col("rate_base_failed") >= condemn_rate)).alias("host_condemned"),
-        *((known & (F.col(f"rate_fail_{r}") >= soft_rate)).alias(f"host_bad_{r}") for r in SOFT),
-    )
+        rate = F.floor(F.col(f"n_{r}") * 1_000_000 / F.col("n_docs")).cast("decimal(20,0)")
+        moments += [F.sum(f"n_{r}"), F.sum(rate), F.sum(rate * rate)]
+    n, count, *sums = hosts.agg(F.sum("n_docs"), F.count(F.lit(1)), *moments).first()
+    priors = [fitted_prior(sums[3 * i] or 0, n or 0, count, sums[3 * i + 1] or 0, sums[3 * i + 2] or 0, 1.0 if i else factor) for i in range(len(rules))]
+    sure = [soft_confidence if i else confidence for i in range(len(rules))]
+
+    def judge(columns):
+        docs = np.array(columns[1], float)
+        rates, bad = [], []
+        for failed, prior, least in zip(columns[2:], priors, sure, strict=True):
+            a, b = prior.alpha + np.array(failed, float), prior.beta + docs - np.array(failed, float)
+            rates.append(a / (a + b))
+            bad.append([h is not None and bool(t >= least) for h, t in zip(columns[0], beta_tail(prior.limit, a, b), strict=True)])
+        return [columns[0], columns[1], *rates, *bad]
+
+    kind = judged.schema["host"].dataType.simpleString()
+    verdicts = ("host_condemned", *(f"host_bad_{r}" for r in SOFT))
+    return map_rows(hosts, judge, f"host {kind}, n_docs long, " + ", ".join([f"rate_{r} double" for r in rules] + [f"{v} boolean" for v in verdicts]))
+
+
+def with_hosts(judged: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The documents with their host's verdict. Few hosts are broadcast; of more, each is spread over salts with its documents, so that a hot host isn't one task."""
+    hosts = pinned(hosts.withColumnsRenamed({"host": "host_key", "n_docs": "host_docs"}))
+    same = F.col("host").eqNullSafe(F.col("host_key"))
+    if hosts.count() <= BROADCAST_HOSTS:
+        return judged.join(F.broadcast(hosts), same, "left").drop("host_key")
+    spread = hosts.withColumn("salt_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = judged.withColumn("salt", F.pmod(F.xxhash64(judged.columns[0]), F.lit(SALTS)).cast("int"))
+    return salted.join(spread, same & (F.col("salt") == F.col("salt_key")), "left").drop("host_key", "salt", "salt_key")
 
 
 def quality_rules(docs: DataFrame, host_col: str = "source", **thresholds: float) -> DataFrame:
-    """Statistics, rules and the verdict of each document.
-
-    Only the few numbers of each document are pinned and joined, never its text. The join isn't hinted: Spark
-    broadcasts the hosts where they are small and splits a hot host's partition where they aren't.
-    """
+    """Statistics, rules and the verdict of each document. Only the few numbers of each document are pinned and joined, never its text."""
     judged = pinned(document_rules(docs, host_col))
-    hosts = host_verdicts(judged, **thresholds)
-    joined = judged.join(hosts.withColumnRenamed("host", "host_key").withColumnRenamed("n_docs", "host_docs"), F.col("host").eqNullSafe(F.col("host_key")), "left")
+    joined = with_hosts(judged, host_verdicts(judged, **thresholds))
     soft = F.lit(False)
     for r in SOFT:
         soft = soft | (F.col(f"fail_{r}") & F.col(f"host_bad_{r}"))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_condemned") & ~soft).drop("host_key")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_condemned") & ~soft)
 
 
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
