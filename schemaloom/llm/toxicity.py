@@ -8,7 +8,8 @@ The model is fitted on a bounded sample of labelled rows (``max_rows`` per class
 their id), never on the held-out fold. Each class weighs as all its labelled ids do, so that a score of 0.5 means the
 same whatever share of a class is in the sample. Label, language, source and id are no features.
 
-Defined results: a null or empty text gets the score of no terms; contradicting labels of one id count as toxic;
+Defined results: a null or empty text gets the score of no terms; a very long text is read whole; of rows of equal
+hash the lesser id is sampled first; a score of exactly 0.5 counts as toxic; contradicting labels of one id count as toxic;
 without labels of both classes every score is the base rate (0 without labels); repeated rows give repeated
 results; other columns are ignored; an empty table gives no rows.
 """
@@ -64,7 +65,7 @@ class Terms(dict):
 
 @dataclass
 class FactorizationMachine:
-    """Weights of the active buckets only: w0, w (n), v (n x k). The size is bounded by ``max_terms``."""
+    """Weights of the active buckets only: w0, w (n), v (n x k); the sample's size bounds theirs."""
 
     active: np.ndarray
     w0: float
@@ -83,18 +84,52 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.logit(rows), -60, 60)))
 
 
-def choose_terms(rows: list[np.ndarray], y: np.ndarray, max_terms: int, z: float) -> np.ndarray:
-    """The buckets whose shares among toxic and other rows differ by more than ``z`` standard errors, the strongest first."""
+def deviates(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """By how many standard errors shares a / n1 and b / n0 differ."""
+    p = (a + b + 1.0) / (n1 + n0 + 2.0)
+    return (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+
+
+def choose_terms(rows: list[np.ndarray], y: np.ndarray, z: float, pair_z: float, pair_terms: int) -> np.ndarray:
+    """The buckets that say something alone or in pairs; there is no cap on their number.
+
+    Alone: their shares among toxic and other rows differ by more than ``z`` standard errors. In pairs: the shares of
+    rows that hold both differ by more than ``pair_z``, and more than either's own; so terms that only mean something
+    together are found, too. Pairs are tried among the ``pair_terms`` buckets that split the sample most evenly.
+    """
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
     count = lambda want: np.bincount(np.concatenate([r for r, t in zip(rows, y, strict=True) if t == want] or [np.empty(0, np.int64)]), minlength=1 << BITS)
     a, b = count(1), count(0)
-    p = (a + b + 1.0) / (n1 + n0 + 2.0)
-    score = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    strong = np.flatnonzero((np.abs(score) > z) & (a + b >= 5))
-    return np.sort(strong[np.argsort(-np.abs(score[strong]), kind="stable")][:max_terms])
+    alone = np.abs(deviates(a, b, n1, n0))
+    share = (a + b) / (n1 + n0)
+    tried = np.sort(np.argsort(-share * (1 - share), kind="stable")[:pair_terms])
+    tried = tried[a[tried] + b[tried] > 0]
+    both = {1.0: np.zeros((len(tried),) * 2, np.float32), 0.0: np.zeros((len(tried),) * 2, np.float32)}
+    for want, sums in both.items():
+        mine = [r for r, t in zip(rows, y, strict=True) if t == want]
+        for at in range(0, len(mine), 512):
+            x = indicators(mine[at : at + 512], tried).astype(np.float32)
+            sums += x.T @ x
+    strong = np.zeros(len(tried), bool)
+    for i, (p, q) in enumerate(zip(both[1.0], both[0.0], strict=True)):
+        together = np.abs(deviates(p, q, n1, n0))
+        together[i] = 0
+        strong[i] = (together > np.maximum(pair_z, 1.2 * np.maximum(alone[tried[i]], alone[tried]))).any()
+    return np.union1d(np.flatnonzero(alone > z), tried[strong])
+
+
+def indicators(rows: list[np.ndarray], active: np.ndarray) -> np.ndarray:
+    """1 where a row holds an active bucket."""
+    x = np.zeros((len(rows), len(active)), np.uint8)
+    place = np.full(1 << BITS, -1, np.int64)
+    place[active] = np.arange(len(active))
+    for i, r in enumerate(rows):
+        at = place[r]
+        x[i, at[at >= 0]] = 1
+    return x
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weights: np.ndarray | None = None, factors: int = 8, max_terms: int = 1024, z: float = 5.0, epochs: int = 40, seed: int = 7) -> FactorizationMachine:
+def fit(rows: list[np.ndarray], y: np.ndarray, weights: np.ndarray | None = None, factors: int = 8, z: float = 5.0, pair_z: float = 6.5, pair_terms: int = 2048, epochs: int = 40, seed: int = 7) -> FactorizationMachine:
     """Logistic loss by AdaGrad over mini-batches, each row by its weight; w and v shrink a little."""
     none = np.empty(0, np.int64)
     if len(y) == 0 or y.min() == y.max():
@@ -102,21 +137,19 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weights: np.ndarray | None = None
         return FactorizationMachine(none, -60.0 if rate == 0 else 60.0, np.empty(0), np.empty((0, factors)))
     weights = np.ones(len(y)) if weights is None else weights / weights.mean()
     rate = np.average(y, weights=weights)
-    active = choose_terms(rows, y, max_terms, z)
-    x = np.zeros((len(rows), len(active)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.flatnonzero(np.isin(active, r, assume_unique=True))] = 1
+    active = choose_terms(rows, y, z, pair_z, pair_terms)
+    x = indicators(rows, active)
     rng = np.random.default_rng(seed)
     w0, w, v = np.log(rate / (1 - rate)), np.zeros(len(active)), rng.normal(0, 0.02, (len(active), factors))
     g0, gw, gv = 1e-6, np.full(w.shape, 1e-6), np.full(v.shape, 1e-6)
-    x2, lam = x, 1e-4  # the features are 0 or 1
+    lam = 1e-4
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(order), 256):
             i = order[at : at + 256]
-            xb = x[i]
+            xb = x[i].astype(np.float32)  # the features are 0 or 1, so their squares are the same
             s = xb @ v
-            logit = w0 + xb @ w + 0.5 * ((s**2).sum(1) - (x2[i] @ v**2).sum(1))
+            logit = w0 + xb @ w + 0.5 * ((s**2).sum(1) - (xb @ v**2).sum(1))
             e = weights[i] * (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y[i]) / len(i)
             d0, dw = e.sum(), xb.T @ e + lam * w
             dv = xb.T @ (e[:, None] * s) - v * (xb.T @ e)[:, None] + lam * v

@@ -6,7 +6,9 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +141,55 @@ def test_bad_host_condemns_and_good_host_does_not(spark):
     assert out[1002]
 
 
+@pytest.mark.parametrize("broadcast", [100, 0])
+def test_kept_against_a_brute_force_posterior(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_HOSTS", broadcast)
+    rng = random.Random(4)
+    good = [f"word{i}" for i in range(80)]
+    rows = []
+    for h, share in enumerate((0.02, 0.05, 0.1, 0.1, 0.12, 0.3, 0.6, 0.95)):
+        for _ in range(rng.choice((15, 60, 200))):
+            words = [w + str(rng.random()) for w in good]
+            if rng.random() < share:
+                words = words[:10]
+            if rng.random() < share / 2:
+                words[::8] = ["##"] * len(words[::8])
+            if rng.random() < share / 3:
+                words = ["a b c"] * 9 + words
+            rows.append((len(rows), " ".join(words), f"h{h}"))
+    rows += [(len(rows) + i, "none", None) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = quality.quality_rules(docs).collect()
+    n = Counter(r["host"] for r in out)
+    wrong = set()
+    grid = (np.arange(200_000) + 0.5) / 200_000
+    kept = {r["doc_id"]: not r["base_failed"] for r in out}
+    for rule, factor, sure in (("base_failed", 4, 0.95), ("fail_symbols", 1, 0.9), ("fail_dup_lines", 1, 0.9), ("fail_repeats", 1, 0.9)):
+        k = Counter(r["host"] for r in out if r[rule])
+        m = min(max(sum(k.values()) / len(out), 1e-4), 1 - 1e-4)
+        rates = [k[h] * 10**6 // n[h] / 10**6 for h in n]
+        s = min(max(m * (1 - m) / max(np.var(rates), 1e-9) - 1, 2), 1e4)
+        limit = factor * m / (1 - m) / (1 + factor * m / (1 - m))
+        for h in n:
+            f = (m * s + k[h] - 1) * np.log(grid) + ((1 - m) * s + n[h] - k[h] - 1) * np.log1p(-grid)
+            f = np.exp(f - f.max())
+            tail = f[grid > limit].sum() / f.sum()
+            assert abs(tail - sure) > 1e-4
+            if h is not None and tail >= sure:
+                wrong.add((rule, h))
+    for r in out:
+        bad = ("base_failed", r["host"]) in wrong or any(r[x] and (x, r["host"]) in wrong for x in ("fail_symbols", "fail_dup_lines", "fail_repeats"))
+        kept[r["doc_id"]] &= not bad
+    assert {r["doc_id"]: r["kept"] for r in out} == kept
+    assert any(not r["base_failed"] and not r["kept"] for r in out)
+    assert "h7" in {h for rule, h in wrong if rule == "base_failed"} <= {"h6", "h7"}
+
+
+def test_verdicts_decide_on_the_tables(spark):
+    out = quality.quality_rules(read(spark, "/root/testdata/sf0.01", "documents"))
+    assert out.where("NOT base_failed AND NOT kept").count() > 0
+
+
 # toxicity and language
 
 
@@ -152,6 +203,22 @@ def test_toxicity_held_out(spark):
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)) > 0.8
 
 
+def test_machine_learns_an_interaction_without_margins():
+    """One of two terms means toxic, both or none don't: neither says anything alone."""
+    rng = np.random.default_rng(1)
+    rows, y = [], []
+    for _ in range(1500):
+        held = set(rng.integers(0, 60, 10).tolist()) | set(rng.integers(1000, 1 << toxicity.BITS, 20).tolist())
+        a, b = rng.random(2) < 0.5
+        rows.append(np.array(sorted(held | {100} * a | {200} * b if False else held | ({100} if a else set()) | ({200} if b else set()))))
+        y.append(float(a != b))
+    fm = toxicity.fit(rows[:1000], np.array(y[:1000]))
+    at = {int(t): i for i, t in enumerate(fm.active)}
+    assert {100, 200} <= set(at)
+    said = fm.logit([[at[t] for t in r.tolist() if t in at] for r in rows[1000:]]) > 0
+    assert (said == (np.array(y[1000:]) > 0)).mean() > 0.98
+
+
 def test_machine_learns_an_interaction():
     """Two terms that are harmless alone and toxic together."""
     import numpy as np
