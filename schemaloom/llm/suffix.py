@@ -28,7 +28,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -260,23 +259,32 @@ def copies(texts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return first.select(F.col("first").alias("doc"), "th"), later
 
 
-def anchor_counts(texts: DataFrame, length: int) -> DataFrame:
+def chosen(known: Broadcast | None, columns: list[list]) -> list[list]:
+    """The rows whose key, the last column, is in a filter, without it; decided within the map that needs them, so that there is one Python worker for a task."""
+    *columns, keys = columns
+    if known is None:
+        return columns
+    hit = np.flatnonzero(known.value.has(np.asarray(keys, np.int64))).tolist()
+    return [[c[i] for i in hit] for c in columns]
+
+
+def anchor_counts(texts: DataFrame, known: Broadcast | None, length: int) -> DataFrame:
     """a, n: how often each anchor occurs."""
 
     def count(columns):
-        found = [h for *_, h in contexts(columns[0], length)]
+        found = [h for *_, h in contexts(chosen(known, columns)[0], length)]
         a, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int64),) * 2
         return [a, n.astype(np.int32)]
 
-    return map_rows(texts.select("text"), count, "a long, n int").groupBy("a").agg(F.sum("n").alias("n"))
+    return map_rows(texts.select("text", "key"), count, "a long, n int").groupBy("a").agg(F.sum("n").alias("n"))
 
 
-def occurrences(texts: DataFrame, length: int, body: bool = False, anchors: Broadcast | None = None, places: Broadcast | None = None) -> DataFrame:
+def occurrences(texts: DataFrame, known: Broadcast | None, length: int, body: bool = False, anchors: Broadcast | None = None, places: Broadcast | None = None) -> DataFrame:
     """a, doc, th, start, and uh (the context's hash) and size or the context itself, of the contexts whose anchor or place is in a filter, or of all."""
     kind = texts.schema["doc"].dataType.simpleString()
 
     def emit(columns):
-        docs, ths, raw = columns
+        docs, ths, raw = chosen(known, columns)
         th = np.asarray(ths, np.int64)
         rows = []
         for number, start, count, a in contexts(raw, length):
@@ -291,28 +299,17 @@ def occurrences(texts: DataFrame, length: int, body: bool = False, anchors: Broa
                 rows.append((h, docs[n], ths[n], s, b) if body else (h, docs[n], ths[n], s, xxhash.xxh3_64_intdigest(b) - (1 << 63), len(b)))
         return [list(c) for c in zip(*rows, strict=True)]
 
-    return map_rows(texts, emit, f"a long, doc {kind}, th long, start long, {'body binary' if body else 'uh long, size int'}")
+    return map_rows(texts.select("doc", "th", "text", "key"), emit, f"a long, doc {kind}, th long, start long, {'body binary' if body else 'uh long, size int'}")
 
 
 def place():
     return F.struct("doc", "th", "start")
 
 
-def first_texts(texts: DataFrame, first: DataFrame, filter_keys: int) -> DataFrame:
-    """The texts without copies of earlier ones. Some may slip through the filter, and all do where it would be too large; they cost rows only."""
-    key = F.xxhash64("doc", "th")
+def first_filter(first: DataFrame, filter_keys: int) -> Broadcast | None:
+    """A filter of the documents that are no copies of earlier ones. Some copies may slip through, and all do where it would be too large; they cost rows only."""
     count = first.count()
-    if count > filter_keys:
-        return texts
-    known = bloom_of(first.select(key.alias("k")), count)
-    at = texts.columns
-
-    def keep(batches):
-        for batch in batches:
-            hit = known.value.has(batch.column(len(at)).to_numpy())
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in batch.columns[: len(at)]], names=at)
-
-    return texts.withColumn("_key", key).mapInArrow(keep, texts.schema)
+    return bloom_of(first.select("key"), count) if count <= filter_keys else None
 
 
 def scanned(strings: DataFrame, length: int) -> DataFrame:
@@ -396,13 +393,14 @@ class Found(NamedTuple):
 def repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, filter_keys: int = FILTER_KEYS, id_col: str = "doc_id", text_col: str = "text") -> Found:
     """Passes over the texts, each of which moves little: anchors are counted; contexts of repeated anchors are moved
     as hashes and places; only the first of each kind are moved as strings, where their anchor has several."""
-    texts = text_rows(docs, id_col, text_col)
+    key = F.xxhash64("doc", "th").alias("key")
+    texts = text_rows(docs, id_col, text_col).select("*", key)
     first, whole = copies(texts, length)
-    texts = first_texts(texts, first, filter_keys)
-    repeated = pinned(anchor_counts(texts, length).where("n > 1").select("a"))
+    known = first_filter(first.select(key), filter_keys)
+    repeated = pinned(anchor_counts(texts, known, length).where("n > 1").select("a"))
     n_repeated = repeated.count()
     anchors = bloom_of(repeated, n_repeated) if n_repeated <= filter_keys else None
-    every = occurrences(texts, length, anchors=anchors)
+    every = occurrences(texts, known, length, anchors=anchors)
     if anchors is None:
         every = stored(every.join(repeated, "a", "left_semi"))
     distinct = stored(every.groupBy("a", "uh").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n")))
@@ -411,7 +409,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMI
     wanted = pinned(distinct.join(sizes.select("a"), "a", "left_semi").select("first.*"))
     n_wanted = wanted.count()
     if n_wanted <= filter_keys:
-        strings = occurrences(texts, length, body=True, places=bloom_of(wanted.select("th", "start"), n_wanted))
+        strings = occurrences(texts, known, length, body=True, places=bloom_of(wanted.select("th", "start"), n_wanted))
     else:
         strings = wanted_strings(texts, wanted, length)
     gone = [F.lit(None).cast("long").alias(c) for c in ("start", "end")]
