@@ -6,7 +6,7 @@ probability 1 / threshold - 1). A node of ``node_limit`` members or fewer is sma
 exhaustively by their signatures; larger ones branch again. The plausible pairs only say which documents have to be
 compared at all; links are confirmed on the full sets.
 
-Nothing is emitted per pair. A small node gives a spanning forest of its plausible pairs; the connected components of
+Ids are whole numbers (cast to long). Nothing is emitted per pair. A small node gives a spanning forest of its plausible pairs; the connected components of
 those are clusters. Sets of a cluster of ``cluster_limit`` members or fewer meet in one task, which confirms links
 until its components are known. A larger cluster is never brought together: its sets meet in the small nodes of each
 tree, and the confirmed links are joined up by distributed components.
@@ -18,7 +18,8 @@ Signatures let a pair at the threshold through unless it is 5 standard deviation
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of
 fewer words than a shingle has one shingle, all its words; a null id is linked with nothing, has a null component and
-is kept; different texts under one id count as one document; repeated rows are one class; other columns are ignored;
+is kept; very long texts are read whole, and groups of many bytes are compared block by block; the least id of a
+component stays, whatever its text; different texts under one id count as one document; repeated rows are one class; other columns are ignored;
 an empty table gives no rows.
 """
 
@@ -38,6 +39,8 @@ TREES = 12
 DEPTH = 24
 NODE_LIMIT = 1024
 CLUSTER_LIMIT = 1024
+#: Full sets of at most about this many bytes meet in one group.
+GROUP_BYTES = 16 << 20
 #: As many representatives' ids are broadcast at most when their texts are read again; more are joined with a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -209,6 +212,18 @@ def block_pairs(large: DataFrame, node_limit: int) -> DataFrame:
     return met.select(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("node"), "rep")
 
 
+def bounded(members: DataFrame, key: str, value: str, limit: int = GROUP_BYTES) -> DataFrame:
+    """key, rep, value: groups of more bytes than the limit are cut into blocks of half of it, and each pair of blocks is a group."""
+    heavy = members.groupBy(key).agg(F.sum(F.octet_length(value)).alias("bytes")).where(F.col("bytes") > limit)
+    heavy = pinned(heavy.select(F.col(key).alias("heavy"), F.ceil(F.col("bytes") * 2 / limit).cast("long").alias("blocks")))
+    if not (n := heavy.count()):
+        return members
+    tagged = members.join(F.broadcast(heavy) if n <= BROADCAST_IDS else heavy, F.col(key) == F.col("heavy"), "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    others = F.when(F.col("heavy").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    met = tagged.withColumn("other", F.explode(others)).where("heavy IS NULL OR other <> block")
+    return met.select(F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other")).alias(key), "rep", value)
+
+
 def _grouped_edges(members: DataFrame, key: str, value: str, forest) -> DataFrame:
     """a, b: what ``forest`` gives for each group's list of (rep, value); groups are small by construction."""
     grouped = members.groupBy(key).agg(F.collect_list(F.struct("rep", value)).alias("members"))
@@ -243,8 +258,9 @@ def near_duplicates(
     least = least_agreement(threshold)
     plausible = _grouped_edges(nodes.join(reps.select("rep", "sig"), "rep"), "node", "sig", lambda sigs: plausible_forest(np.stack([np.frombuffer(s, np.uint32) for s in sigs]), least))
     clusters = pinned(components(plausible).select(F.col("node").alias("rep"), F.col("component").alias("cluster")))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    clusters = pinned(clusters.join(sizes, "cluster"))
+    big = pinned(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > cluster_limit).select(F.col("cluster").alias("big")))
+    # only the few big clusters are joined, so that members of one don't meet in a task just to learn its size
+    clusters = clusters.join(F.broadcast(big) if big.count() <= BROADCAST_IDS else big, F.col("cluster") == F.col("big"), "left").select("rep", "cluster", F.col("big").isNotNull().alias("large"))
 
     wanted = clusters.select(F.col("rep").alias("_rep"))
     few = wanted.count() <= BROADCAST_IDS
@@ -254,11 +270,10 @@ def near_duplicates(
     full = pinned(full.where(F.octet_length("full") > 0).join(clusters, "rep"))
 
     confirm = lambda sets: confirmed_forest([np.frombuffer(s, np.uint64) for s in sets], threshold)
-    small = full.where(F.col("size") <= cluster_limit)
-    links = _grouped_edges(small, "cluster", "full", confirm)
-    large = full.where(F.col("size") > cluster_limit).select("rep", "full")
+    links = _grouped_edges(bounded(full.where("NOT large"), "cluster", "full"), "cluster", "full", confirm)
+    large = full.where("large").select("rep", "full")
     if not large.isEmpty():
-        links = links.unionByName(_grouped_edges(nodes.join(large, "rep"), "node", "full", confirm))
+        links = links.unionByName(_grouped_edges(bounded(nodes.join(large, "rep"), "node", "full"), "node", "full", confirm))
     found = components(links)
 
     classes = reps.join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("component_id"))

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +96,43 @@ def test_edge_cases(spark):
 
 def test_query_columns(spark, sf):
     assert N.op5_near_dedup(spark, sf).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def test_groups_of_many_bytes_meet_block_by_block(spark):
+    rng = np.random.default_rng(2)
+    rows = [(g, r, rng.bytes(100)) for g in (1, 2) for r in range(40 if g == 1 else 3)]
+    members = spark.createDataFrame(rows, "cluster long, rep long, full binary")
+    groups = {}
+    for r in N.bounded(members, "cluster", "full", limit=1000).collect():
+        groups.setdefault(r["cluster"], set()).add(r["rep"])
+    assert all(sum(100 for _ in m) <= 2000 for m in groups.values())
+    met = {frozenset((a, b)) for m in groups.values() for a in m for b in m if a < b}
+    assert met >= {frozenset((a, b)) for a in range(40) for b in range(a)}
+
+
+def test_recall_on_a_group_above_the_default_limits(spark):
+    """Variants of one text, most pairs near the threshold: more than a node or a cluster takes, at every level."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1600):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:])) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=3, threshold=85).collect()}
+    assert sum(got[i] == find(i) for i in range(len(rows))) >= 0.99 * len(rows)
