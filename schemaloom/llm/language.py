@@ -6,7 +6,8 @@ linear support vector machines vote among its languages. Features are hashed byt
 The models are fitted on a bounded sample (``max_rows`` rows in all, shared evenly by the languages; those with the
 smallest hash of their id), never on the held-out fold, and only on text and language.
 
-Defined results: a null text or one without a letter is "und" with score 0; without any learned language every text
+Defined results: a null or empty text or one without a letter is "und" with score 0; a very long text is read whole; equal
+votes go to the greater code, equal margins to the first family; of rows of equal hash the lesser id is sampled first; without any learned language every text
 is "und" with score 0; with one language, all are that one; repeated rows give repeated results; other columns are
 ignored; an empty table gives no rows.
 """
@@ -19,16 +20,20 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, read
+from .common import held_out, map_rows, pinned, read
 
 FOLDS, FOLD = 4, 2
 DIMENSIONS = 4096
 LETTER = re.compile(r"[^\W\d_]")
 
-# Language families by code. A code that isn't listed is a family of its own script-neutral kind, "other".
+#: A family that isn't listed takes so many languages at most, each this alike (cosine of mean vectors) to its first.
+FAMILY_SIZE = 16
+ALIKE = 0.7
+
+# Language families by code. Languages that aren't listed find their families by likeness.
 FAMILIES = {
     "germanic": "en de nl af da sv no nb nn is fy lb yi",
     "romance": "es fr it pt ro ca gl oc",
@@ -101,11 +106,32 @@ class Hierarchy:
         return best, min(max(sure, 0.0), 1.0)
 
 
+def families(x: np.ndarray, lang: np.ndarray) -> dict[str, str]:
+    """language -> family: by the code without region; other languages, in order of code, join the family of the first that they are like enough."""
+    out, first = {}, []
+    for code in sorted(set(lang)):
+        if known := FAMILY_OF.get(code.replace("_", "-").split("-")[0].lower()):
+            out[code] = known
+            continue
+        mean = x[lang == code].mean(0)
+        mean /= np.linalg.norm(mean) or 1
+        for leader in first:
+            if leader[1] @ mean >= ALIKE and leader[2] < FAMILY_SIZE:
+                leader[2] += 1
+                out[code] = leader[0]
+                break
+        else:
+            out[code] = f"like {code}"
+            first.append([out[code], mean, 1])
+    return out
+
+
 def fit(x: np.ndarray, langs: list[str]) -> Hierarchy:
     if not langs:
         return Hierarchy()
     lang = np.array(langs)
-    family = np.array([FAMILY_OF.get(code, "other") for code in langs])
+    of = families(x, lang)
+    family = np.array([of[code] for code in langs])
     names = sorted(set(family))
     family_w = np.stack([svm(x, np.where(family == f, 1.0, -1.0).astype(np.float32)) for f in names])
     languages = {f: sorted(set(lang[family == f])) for f in names}
@@ -118,21 +144,22 @@ def fit(x: np.ndarray, langs: list[str]) -> Hierarchy:
     return Hierarchy(names, family_w, languages, pairs)
 
 
-def train(docs: DataFrame, max_rows: int = 4000, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
-    """At most ``max_rows`` rows reach the driver, each as one vector. More languages than ``max_languages`` is an error, as every pair gets a machine."""
+def train(docs: DataFrame, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
+    """Two scans, whatever the number of languages: one picks the ids of the sample, one makes its vectors.
+
+    Within the first, a task keeps no more than ``max_rows`` ids of a language. About ``max_rows`` rows reach the driver,
+    each as one vector: an even share of each language, one row at least.
+    """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, FOLDS, FOLD))
     usable = usable.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    n = sorted(r[0] for r in usable.select("_lang").distinct().limit(max_languages + 1).collect())
-    if len(n) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    if not n:
+    order = Window.partitionBy("_lang").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
+    ranked = pinned(usable.select("_lang", "_id", F.row_number().over(order).alias("_rank")).where(F.col("_rank") <= max_rows))
+    count = ranked.select("_lang").distinct().count()
+    if not count:
         return Hierarchy()
-    each = max(1, max_rows // len(n))
-    salt = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
-    ids = usable.select("_lang", "_id", salt.alias("_salt"))
-    chosen = [r["_id"] for lang in n for r in ids.where(F.col("_lang") == lang).orderBy("_salt", "_id").limit(each).select("_id").collect()]
-    sample = usable.join(F.broadcast(docs.sparkSession.createDataFrame(sorted(set(chosen)), "long").toDF("_chosen")), F.col("_id") == F.col("_chosen"), "left_semi")
-    got = map_rows(sample, lambda c: [c[0], c[1], [features(t).tobytes() for t in c[2]]], "id long, lang string, x binary").toArrow().to_pylist()
+    chosen = ranked.where(F.col("_rank") <= max(1, max_rows // count)).select(F.col("_id").alias("_chosen")).distinct()
+    sample = usable.join(F.broadcast(chosen), F.col("_id") == F.col("_chosen"), "left_semi")
+    got = map_rows(sample.select(F.col("_id").cast("string"), "_lang", "_text"), lambda c: [c[0], c[1], [features(t).tobytes() for t in c[2]]], "id string, lang string, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["id"], r["lang"], r["x"]))
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in got]), [r["lang"] for r in got])
 
