@@ -8,7 +8,8 @@ Texts and items are compared in lower case with single spaces between words. The
 blocks of ``block_bytes`` at most; each block's automaton is broadcast, so what is broadcast has a fixed bound
 whatever the size of the benchmark.
 
-Defined results: a null or empty text or item matches nothing; an item of fewer than ``min_chars`` normalised characters
+Defined results: a null or empty text or item matches nothing; very long texts are searched whole; of places of an
+equal distance the first is given; an item of fewer than ``min_chars`` normalised characters
 is found only unchanged and as whole words (scripts without spaces have no such bounds); equal items all match; a null item id is kept as null; repeated
 documents give repeated results; other columns are ignored; an empty table gives no rows.
 """
@@ -121,14 +122,15 @@ class Matcher:
                     found.append((item_id, 0, min(whole)))
                 continue
             pattern = self.patterns.get(n) or self.patterns.setdefault(n, Pattern(item))
-            best = None
-            done = -1
+            best, stretches = None, []
             for s in sorted(starts):  # an item that lies within k edits starts within k of where its piece puts it
                 a, b = max(0, s - k), min(len(t), s + len(item) + k)
-                if b <= done:
-                    continue
+                if stretches and a <= stretches[-1][1]:  # no part of the text is verified twice, however common a piece is
+                    stretches[-1][1] = max(b, stretches[-1][1])
+                else:
+                    stretches.append([a, b])
+            for a, b in stretches:
                 d, e = pattern.nearest(t[a:b])
-                done = b if best is not None and best[0] == 0 else -1
                 if d <= k and (best is None or d < best[0]):
                     best = (d, a + e)
                 if best is not None and best[0] == 0:
@@ -139,9 +141,12 @@ class Matcher:
 
 
 def blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
-    """The query set in blocks. It is a stated set of queries; each block is read on its own, and its size is checked before."""
-    total = items.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
+    """The query set in blocks. It is a stated set of queries; no block is larger than the bound, but for a single item that is."""
+    sizes = items.select(F.xxhash64(id_col, text_col).alias("h"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"))
+    total, largest, count = sizes.agg(F.sum("size"), F.max("size"), F.count(F.lit(1))).first()
+    n, bound = 1, max(block_bytes, largest or 0)
+    while (total or 0) > bound and n < count and sizes.groupBy(F.pmod("h", F.lit(n))).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] > bound:
+        n = max(2 * n, -(-total // bound))
     part = F.pmod(F.xxhash64(id_col, text_col), F.lit(n))
     for b in range(n):
         yield [(r[0], normalised(r[1])) for r in items.where(part == b).select(id_col, text_col).orderBy(id_col).toLocalIterator()]
