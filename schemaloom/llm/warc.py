@@ -6,23 +6,28 @@ replace those of the stored response (RFC 9111, section 3.2).
 
 The as-of join never brings the captures of a URL together in one task: time is cut into bins, each bin's last
 full response is aggregated map-side, the carry-in of a bin comes from the bins before (one row a bin), and
-only captures of one URL and bin are ordered together. A hot URL is so spread over its bins.
-
-Defined results: a null URL is never resolved ("no_url"); records at the same time are ordered by record id, and
-a record is no earlier than itself; repeated rows give repeated results; an empty table gives no rows; other
-columns are ignored.
+only captures of one URL and bin are ordered together. A hot URL is so spread over its bins, whose width follows the
+times in the table.
+
+Defined results: a null URL is never resolved ("no_url"), an empty one is a URL; very long URLs and headers are taken
+whole; records at the same time are ordered by record id, and a record is no earlier than itself; repeated revisits give
+repeated results, repeated responses count once (of different headers under one id the least text counts); null headers
+are no headers; a record without a time is never matched ("no_response"); an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
-import io
 from collections.abc import Iterator
+from datetime import datetime
+from typing import NamedTuple
+
+import xxhash
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import map_rows, read
 
 # Headers that describe the stored payload, so a 304 may not replace them.
 KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
@@ -41,17 +46,25 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(F.lit("")))
 
 
-def resolve_revisits(records: DataFrame, bin_width: int = 4096) -> DataFrame:
+#: Over so many bins the time of a hot URL's captures is spread.
+BINS = 4096
+
+
+def resolve_revisits(records: DataFrame, bin_width: int | None = None) -> DataFrame:
     """One row per revisit. ``records``: record_id long, url string, t long, kind "response" or "revisit", headers map<string, string> (lower-case names).
 
     Result: revisit_id, url_key, t, response_id, status ("resolved", "no_response", "validator_mismatch", "no_url"), headers (merged where resolved).
     A validator agrees if the entity tags are equal (weak ones too), or, where one side has none, the dates of last modification are; with neither on the revisit it agrees.
     """
-    r = records.select("record_id", "t", "kind", "headers", canonical_url(F.col("url")).alias("url_key"))
+    if bin_width is None:
+        first, last = records.agg(F.min("t"), F.max("t")).first()
+        bin_width = max(1, -(-((last or 0) - (first or 0)) // BINS))
+    headers = F.coalesce("headers", F.create_map().cast(records.schema["headers"].dataType)).alias("headers")
+    r = records.where(F.col("kind").isin("response", "revisit")).select("record_id", "t", "kind", headers, canonical_url(F.col("url")).alias("url_key"))
     r = r.withColumn("bin", F.floor(F.col("t") / bin_width))
     full = F.col("kind") == "response"
     keyed = r.where(F.col("url_key").isNotNull())
-    last = keyed.where(full).groupBy("url_key", "bin").agg(F.max(F.struct("t", F.col("record_id").alias("id"))).alias("last"))
+    last = keyed.where(full).groupBy("url_key", "bin").agg(F.max(F.struct("t", F.col("record_id").alias("id"))).alias("last")).where("bin IS NOT NULL")
     wanted = keyed.where(~full).select("url_key", "bin").distinct()
     bins = last.withColumn("wanted", F.lit(False)).unionByName(wanted.select("url_key", "bin", F.lit(None).cast(last.schema["last"].dataType).alias("last"), F.lit(True).alias("wanted")))
     before = Window.partitionBy("url_key").orderBy("bin").rangeBetween(Window.unboundedPreceding, -1)
@@ -59,7 +72,7 @@ def resolve_revisits(records: DataFrame, bin_width: int = 4096) -> DataFrame:
     inside = Window.partitionBy("url_key", "bin").orderBy("t", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumn("own", F.last(F.when(full, F.struct("t", F.col("record_id").alias("id"))), ignorenulls=True).over(inside)).where(~full)
     matched = local.join(carry, ["url_key", "bin"], "left").withColumn("response_id", F.coalesce(F.col("own.id"), F.col("carry.id"))).drop("own", "carry", "bin")
-    responses = r.where(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"))
+    responses = r.where(full).groupBy(F.col("record_id").alias("response_id")).agg(F.min_by("headers", F.to_json("headers")).alias("stored"))
     matched = matched.join(responses, "response_id", "left")
     lost = r.where(~full & F.col("url_key").isNull()).select("record_id", "t", "kind", "headers", "url_key", F.lit(None).cast("long").alias("response_id"), F.lit(None).cast(r.schema["headers"].dataType).alias("stored"))
     tag = lambda c: F.regexp_replace(F.element_at(c, "etag"), r"^W/", "")
@@ -73,69 +86,119 @@ def resolve_revisits(records: DataFrame, bin_width: int = 4096) -> DataFrame:
     return out.select(F.col("record_id").alias("revisit_id"), "url_key", "t", "response_id", "status", F.when(F.col("status") == "resolved", merged).alias("headers"))
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of one WARC file (plain, or gzip members): WARC headers, HTTP status, HTTP headers and body. Broken records end the file."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            return
-        head = dict(_headers(stream))
-        block = stream.read(int(head.get("content-length", 0)))
-        http, status, body = {}, None, block
-        if head.get("content-type", "").startswith("application/http"):
-            inner = io.BytesIO(block)
-            first = inner.readline().split()
-            status = int(first[1]) if len(first) > 1 and first[0].startswith(b"HTTP/") and first[1].isdigit() else None
-            http = dict(_headers(inner))
-            body = inner.read()
-        yield {"warc": head, "status": status, "http": http, "body": body}
-
-
-def _headers(stream) -> Iterator[tuple[str, str]]:
-    while (line := stream.readline()).strip():
-        name, colon, value = line.decode("utf-8", "replace").partition(":")
-        if colon:
-            yield name.strip().lower(), value.strip()
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Captures of WARC files in the shape that ``resolve_revisits`` takes, with the body beside."""
-    from datetime import datetime
+def resolve_identical(records: DataFrame) -> DataFrame:
+    """revisit_id, response_id: revisits of identical payload name the record that they repeat; null where that isn't there."""
+    again = records.where(F.col("kind") == "identical").select(F.col("record_id").alias("revisit_id"), "refers_to")
+    there = records.where(F.col("kind") == "response").select(F.col("record_id").alias("response_id")).distinct()
+    return again.join(there, F.col("refers_to") == F.col("response_id"), "left").select("revisit_id", "response_id")
+
+
+class Record(NamedTuple):
+    """A parsed record; ``error`` says what is wrong with it, and the others are then as far as it could be read. ``rest`` is what follows its block."""
+
+    warc: dict[str, str]
+    status: int | None
+    http: dict[str, str]
+    body: bytes
+    error: str | None
+    rest: bytes
+
+
+def _headers(lines: list[bytes]) -> dict[str, str]:
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in lines)
+    return {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
+
+
+def parse_record(data: bytes) -> Record:
+    """One record from its version on, without the empty lines after it."""
+    head, gap, block = data.partition(b"\r\n\r\n")
+    version, *lines = head.split(b"\r\n")
+    warc = _headers(lines)
+    size, error = warc.get("content-length", ""), None
+    if not version.startswith(b"WARC/"):
+        error = "no WARC version"
+    elif not (size.isascii() and size.isdigit()):
+        error = "no content length"
+    elif not gap and int(size) or len(block) < int(size):
+        error = "truncated"
+    rest = b""
+    if size.isascii() and size.isdigit():
+        block, rest = block[: int(size)], block[int(size) :].strip()
+    status, http, body = None, {}, block
+    if warc.get("content-type", "").startswith("application/http"):
+        top, _, body = block.partition(b"\r\n\r\n")
+        first, *lines = top.split(b"\r\n")
+        words = first.split()
+        status = int(words[1]) if len(words) > 1 and first.startswith(b"HTTP/") and words[1].isdigit() else None
+        http = _headers(lines)
+    return Record(warc, status, http, body, error, rest)
+
+
+def record_key(name: str | None) -> int | None:
+    return None if name is None else xxhash.xxh3_64_intdigest(name) >> 1
+
+
+def kind_of(r: Record) -> str:
+    """response; revisit (the server answered 304); identical (another kind of revisit, that of an identical payload); or the record's own type."""
+    kind = r.warc.get("warc-type", "")
+    if kind == "revisit" and r.status != 304 and "not-modified" not in r.warc.get("warc-profile", "not-modified" if r.status is None else ""):
+        return "identical"
+    return kind
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records of WARC files, plain or compressed: record_id, url, t, kind, headers, body, refers_to, file, error.
+
+    Spark's text reader cuts files at records, so a file is never held as a whole and a plain one is read in splits.
+    A broken record, or one whose block holds what looks like the start of another, is a row with an error, and the next
+    one is read again from its own start. What follows a break in a compressed stream can't be read; Spark logs it.
+    """
 
-    def run(frames):
-        import pandas as pd
-        from xxhash import xxh3_64_intdigest
+    def each(columns):
+        rows = []
+        for file, data in zip(*columns, strict=True):
+            data = data.lstrip(b"\r\n")
+            if not data:
+                continue
+            r = parse_record(data if data.startswith(b"WARC/") else b"WARC/1." + data)
+            error, when = r.error, None
+            try:
+                when = int(datetime.fromisoformat(r.warc.get("warc-date", "").replace("Z", "+00:00")).timestamp())
+            except ValueError:
+                error = error or "no date"
+            name = r.warc.get("warc-record-id")
+            key = record_key(name if name is not None else f"{file}:{xxhash.xxh3_128_hexdigest(data)}")
+            rows.append((key, r.warc.get("warc-target-uri"), when, kind_of(r), list(r.http.items()), r.body, record_key(r.warc.get("warc-refers-to")), file, error))
+            if r.rest:
+                rows.append((None, None, None, "", [], r.rest, None, file, "bytes between records"))
+        return [list(c) for c in zip(*rows, strict=True)]
+
+    text = spark.read.option("lineSep", "\r\n\r\nWARC/1.").option("ignoreCorruptFiles", "true").text(path)
+    records = text.select(F.col("_metadata.file_path"), F.col("value").cast("binary"))
+    return map_rows(records, each, "record_id long, url string, t long, kind string, headers map<string,string>, body binary, refers_to long, file string, error string", rows=64)
 
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = []
-                for rec in parse_warc(content):
-                    kind = rec["warc"].get("warc-type")
-                    if kind in ("response", "revisit"):
-                        when = datetime.fromisoformat(rec["warc"]["warc-date"].replace("Z", "+00:00"))
-                        key = rec["warc"].get("warc-record-id") or f"{name}:{len(rows)}"
-                        rows.append((xxh3_64_intdigest(key) >> 1, rec["warc"].get("warc-target-uri"), int(when.timestamp()), kind, rec["http"], rec["body"]))
-                yield pd.DataFrame(rows, columns=["record_id", "url", "t", "kind", "headers", "body"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "record_id long, url string, t long, kind string, headers map<string,string>, body binary")
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """The captures among them that are whole, in the shape that ``resolve_revisits`` takes, with the body beside."""
+    return read_records(spark, path).where("error IS NULL AND kind IN ('response', 'revisit', 'identical')").drop("error", "file")
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
     """The record stream that ``pages`` stands for: a full response for each page, at time 2 * page_id, whose tag is the digest of its
     HTML, and a later conditional request of the same URL, answered "not modified" with the tag of the page it was made with.
-    Pages of one canonical URL are so captures of it in turn, and a tag fails to match once another capture lies between."""
+    Pages of one canonical URL are so captures of it in turn, and a tag fails to match once another capture lies between.
+    Of each ten pages, one is asked for before its own response, one with an outdated tag, and one record lost its URL."""
     tag = F.concat(F.lit('"'), F.md5(F.col("html")), F.lit('"'))
     full = pages.select(
         (2 * F.col("page_id")).alias("record_id"), "url", (2 * F.col("page_id")).alias("t"), F.lit("response").alias("kind"),
         F.map_filter(F.create_map(F.lit("etag"), tag, F.lit("content-length"), F.octet_length("html").cast("string"), F.lit("cache-control"), F.lit("max-age=60")), lambda k, v: v.isNotNull()).alias("headers"),
     )
-    later = 2 * F.col("page_id") + 2 * F.length(F.coalesce("url", F.lit(""))) + 1
+    case = F.pmod(F.col("page_id"), F.lit(10))
+    later = 2 * F.col("page_id") + F.when(case == 7, F.lit(-1)).otherwise(2 * F.length(F.coalesce("url", F.lit(""))) + 1)
+    asked = F.when(case == 8, F.concat(F.lit('"old-'), F.md5(F.col("html")), F.lit('"'))).otherwise(tag)
     again = pages.select(
-        (2 * F.col("page_id") + 1).alias("record_id"), "url", later.alias("t"), F.lit("revisit").alias("kind"),
-        F.map_filter(F.create_map(F.lit("etag"), tag, F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=120")), lambda k, v: v.isNotNull()).alias("headers"),
+        (2 * F.col("page_id") + 1).alias("record_id"), F.when(case != 9, F.col("url")).alias("url"), later.alias("t"), F.lit("revisit").alias("kind"),
+        F.map_filter(F.create_map(F.lit("etag"), asked, F.lit("content-length"), F.lit("0"), F.lit("cache-control"), F.lit("max-age=120")), lambda k, v: v.isNotNull()).alias("headers"),
     )
     return full.unionByName(again)
 
@@ -158,10 +221,11 @@ WITH p AS (
   FROM p
 ), c AS (
   SELECT page_id, html, base || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key,
-    2 * page_id AS id, 2 * page_id + 2 * length(coalesce(url, '')) + 1 AS later
+    2 * page_id AS id, 2 * page_id + CASE WHEN page_id % 10 = 7 THEN -1 ELSE 2 * length(coalesce(url, '')) + 1 END AS later
   FROM k
 ), v AS (
-  SELECT 2 * page_id + 1 AS revisit_id, url_key, later AS t, '"' || md5(html) || '"' AS tag FROM c
+  SELECT 2 * page_id + 1 AS revisit_id, CASE WHEN page_id % 10 <> 9 THEN url_key END AS url_key, later AS t,
+    CASE WHEN page_id % 10 = 8 THEN '"old-' ELSE '"' END || md5(html) || '"' AS tag FROM c
 ), m AS (
   SELECT v.*, f.id AS response_id, '"' || md5(f.html) || '"' AS stored, strlen(f.html) AS size
   FROM v ASOF LEFT JOIN c f ON v.url_key = f.url_key AND v.t >= f.id

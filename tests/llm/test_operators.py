@@ -203,6 +203,27 @@ def test_toxicity_held_out(spark):
     assert sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)) > 0.8
 
 
+def test_close_languages_regions_and_unlisted_codes(spark):
+    """Two regions that share most words, and two unlisted languages of different letters."""
+    rng = random.Random(3)
+    shared = ["".join(rng.choices("abcdefgilmnoprstu", k=rng.randrange(2, 8))) for _ in range(60)]
+    own = {"pt-PT": ["autocarro", "comboio", "rapariga", "pequeno"], "pt-BR": ["ônibus", "trem", "moça", "garota"]}
+    other = {"qa": ["zxqwk", "wkkzq", "xqzzw"], "qb": ["μαλα", "βερο", "νοτα"]}
+    rows = []
+    for i in range(400):
+        lang = ("pt-PT", "pt-BR", "qa", "qb")[i % 4]
+        words = rng.choices(other[lang], k=30) if lang in other else rng.choices(shared, k=24) + rng.choices(own[lang], k=6)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, max_rows=200)
+    assert set(model.languages["romance"]) == {"pt-PT", "pt-BR"}
+    assert len(model.families) == 3
+    out = {r["doc_id"]: r["lang_pred"] for r in language.identify_language(docs, model).collect()}
+    held = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(out[i] == rows[i][2] for i in held) >= 0.95 * len(held)
+
+
 def test_machine_learns_an_interaction_without_margins():
     """One of two terms means toxic, both or none don't: neither says anything alone."""
     rng = np.random.default_rng(1)
@@ -389,6 +410,41 @@ def test_warc_records(spark, tmp_path):
     assert {r["status"] for r in warc.resolve_revisits(got).collect()} == {"resolved"}
 
 
+def test_broken_warc_files(spark, tmp_path):
+    import gzip
+
+    def rec(name, kind="response", size=None, date="2024-01-01T00:00:01Z", more="", block=b"HTTP/1.1 200 OK\r\n\r\nbody " * 3):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://a.com/{name}\r\nWARC-Date: {date}\r\nWARC-Record-ID: <{name}>\r\n{more}Content-Type: application/http\r\nContent-Length: {len(block) if size is None else size}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    (tmp_path / "a.warc").write_bytes(rec("a") + rec("b", size="x1") + rec("c") + b"junk between\r\n\r\n" + rec("d") + rec("e", date="never") + rec("f", size=9999) + rec("g"))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(rec("h")) + gzip.compress(rec("i")))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(rec("j"))[:-20])
+    same = rec("k", "revisit", more="WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <a>\r\n")
+    (tmp_path / "d.warc").write_bytes(same + rec("l", "warcinfo"))
+    got = {(r["url"] or r["body"].decode()).rpartition("/")[2]: (r["kind"], r["error"]) for r in warc.read_records(spark, str(tmp_path)).collect()}
+    assert {n for n, (_, e) in got.items() if e is None} >= set("acdghikl")
+    assert got["b"][1] == "no content length"
+    assert got["junk between"][1] == "bytes between records"
+    assert got["e"][1] == "no date"
+    assert got["f"][1] == "truncated"
+    captures = warc.read_warc(spark, str(tmp_path))
+    assert captures.where("url LIKE '%/l'").count() == 0
+    assert [tuple(r) for r in warc.resolve_identical(captures).collect()] == [(warc.record_key("<k>"), warc.record_key("<a>"))]
+    assert warc.resolve_revisits(captures).count() == 0
+
+
+def test_all_statuses_occur_on_the_tables(spark, sf):
+    assert {r["status"] for r in warc.op8_warc_revisits(spark, sf).select("status").distinct().collect()} == {"resolved", "no_response", "validator_mismatch", "no_url"}
+
+
+def test_revisits_of_repeated_rows_nulls_and_clashing_columns(spark):
+    rows = [(1, "a.com", 1, "response", {"etag": "1"}, 0), (1, "a.com", 1, "response", {"etag": "1"}, 0), (2, "a.com", 2, "revisit", None, 0), (3, "a.com", None, "revisit", {}, 0), (4, None, 4, "revisit", {}, 0), (5, "", 5, "revisit", {}, 0)]
+    records = spark.createDataFrame(rows, "record_id long, url string, t long, kind string, headers map<string,string>, bin int")
+    assert sorted((r["revisit_id"], r["status"]) for r in warc.resolve_revisits(records).collect()) == [(2, "resolved"), (3, "no_response"), (4, "no_url"), (5, "no_response")]
+    assert warc.resolve_revisits(records.limit(0)).count() == 0
+
+
 # all of them
 
 
