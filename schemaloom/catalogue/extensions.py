@@ -48,4 +48,25 @@ def x_profile(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"), F.count_distinct("c_mktsegment").alias("n_segments"))
 
 
+@C.query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, max(o_totalprice) AS high FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def x_rollup(spark, sf_dir):
+    return table(spark, sf_dir, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("high"))
+
+
+@C.query("SELECT user_id AS k FROM events EXCEPT ALL SELECT o_custkey FROM orders")
+def x_except_all(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("k")).exceptAll(table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@C.query("SELECT user_id AS k FROM events INTERSECT ALL SELECT o_custkey FROM orders")
+def x_intersect_all(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("k")).intersectAll(table(spark, sf_dir, "orders").select("o_custkey"))
+
+
+@C.query("SELECT l_returnflag, quantile_disc(l_quantity, 0.5) AS middle, quantile_disc(l_quantity, 0.9) AS high FROM lineitem GROUP BY 1")
+def x_quantiles(spark, sf_dir):
+    of = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY l_quantity)")
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(of(0.5).alias("middle"), of(0.9).alias("high"))
+
+
 QUERIES, SQL = C.queries, C.sql

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import value_hash
+from ..functions.hashing import PRIME, START, hash_column
 from ..operators import validation as V
 from ..operators.identity import structural_duplicates
 from ..plans import project as P
@@ -54,14 +54,6 @@ def t_create(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", made["k"].alias("k"), made["z"].alias("z"))
 
 
-@C.query(f"SELECT event_id, TRY_CAST(d->>'$.key' AS BIGINT) AS k FROM {D} WHERE NOT list_contains(json_keys(d), 'k') AND list_contains(json_keys(d), 'key') OR event_id % 6 = 3 AND false")
-def t_alias(spark, sf_dir):
-    p = P.Projector(Registry([DOC]), defaults=False)
-    v = Variant(F.col("doc"))
-    df = event_docs(spark, sf_dir).where(~v.get("k").present() & v.get("key").present())
-    return df.select("event_id", p.project(ID + "doc", v)["k"].alias("k"))
-
-
 @C.query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
 def t_computed(spark, sf_dir):
     """A computed field is a Column of the instance's other fields."""
@@ -126,14 +118,74 @@ def t_find_duplicates(spark, sf_dir):
     return structural_duplicates(nodes, top)
 
 
-@C.query()
+_HASHED = "'{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}'"
+_SIGNED = "CASE WHEN xor(h, c) >= 2147483648 THEN xor(h, c) - 4294967296 ELSE xor(h, c) END"
+
+
+@C.query(f"""SELECT c_custkey, printf('%x', list_reduce(list_prepend({START}::BIGINT, list_transform(string_split({_HASHED}, ''), lambda u: unicode(u)::BIGINT)),
+  lambda h, c: CAST(CAST({_SIGNED} AS DOUBLE) * {PRIME} AS BIGINT) & 4294967295)) AS hash FROM customer""")
 def t_value_hash(spark, sf_dir):
-    """Content hashes that equal the reference's bit for bit; double-precision products aren't SQL, so a vectorised function makes them."""
-    df = table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct("c_custkey", "c_name")).alias("doc"))
-    import json
+    """Content hashes that equal the reference's bit for bit."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return df.select("c_custkey", hash_column(V.row_value(df).canonical()).alias("hash"))
+
+
+@C.query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE 1 END::BIGINT AS k FROM events")
+def t_alias(spark, sf_dir):
+    """A key under its alias, where the key itself is absent."""
+    text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"key": '), F.col("user_id").cast("string"), F.lit("}"))).otherwise('{"k": 1, "key": 2}')
+    df = table(spark, sf_dir, "events").select("event_id", F.parse_json(text).alias("doc"))
+    return df.select("event_id", P.Projector(Registry([DOC]), defaults=False).project(ID + "doc", Variant(F.col("doc")))["k"].alias("k"))
+
+
+DAY = {"$id": ID + "day", "type": "string", "format": "date"}
+ITEM = {"$id": ID + "item", "type": "object", "properties": {"part": {"type": "integer"}, "note": {"type": "string", "default": "none"}, "due": {"$ref": DAY["$id"]}}}
+SALE = {"$id": ID + "sale", "type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "day": {"$ref": DAY["$id"]}, "items": {"type": "array", "items": {"$ref": ITEM["$id"]}}}}
+
+
+def dated() -> Registry:
+    r = Registry([DAY, ITEM, SALE])
+    r.add_transform_chain(DAY["$id"], (lambda c: F.to_date(c), lambda c: F.date_format(c, "yyyy-MM-dd")), (lambda c: F.date_add(c, 1), lambda c: F.date_add(c, -1)))
+    return r
+
+
+def sales(spark, sf_dir):
+    """Decoded values: dates, one day on, at the top and in an array."""
+    day = F.date_add(F.to_date("o_orderdate"), 1)
+    item = F.struct(F.col("o_custkey").alias("part"), F.when(F.col("o_orderkey") % 2 == 0, "none").otherwise("x").alias("note"), day.alias("due"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.struct(F.col("o_orderkey").alias("id"), day.alias("day"), F.array(item).alias("items")).alias("doc"))
+
+
+_DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+
+
+@C.query(f"""SELECT o_orderkey, '{{"id":' || o_orderkey || ',"day":"' || {_DAY} || '","items":[{{"part":' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ',"note":"x"' END || ',"due":"' || {_DAY} || '"}}]}}' AS dumped FROM orders""")
+def t_dump_json(spark, sf_dir):
+    """Encoders through references and arrays, and defaults left out at each level."""
+    df = sales(spark, sf_dir)
+    return df.select("o_orderkey", P.Projector(dated()).dump_json(SALE["$id"], V.row_value(df, "doc"), exclude_defaults=True).alias("dumped"))
+
+
+@C.query(f"SELECT o_orderkey, {_DAY} AS day, {_DAY} AS due FROM orders")
+def t_encode(spark, sf_dir):
+    df = sales(spark, sf_dir)
+    return df.select("o_orderkey", P.Projector(dated()).encode(SALE["$id"], V.row_value(df, "doc")).alias("x")).select("o_orderkey", F.col("x.day").alias("day"), F.col("x.items")[0]["due"].alias("due"))
+
+
+@C.query(f"SELECT event_id, CASE WHEN json_type(d, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(d->>'$.k' AS BIGINT) ELSE 0 END AS k, coalesce(TRY_CAST(d->>'$.z' AS BIGINT), 9) AS z, d->>'$.n_1' AS n_1 FROM {D}")
+def t_materialize(spark, sf_dir):
+    """Partial documents: every declared key, defaults, and an empty value for the required one."""
+    c = compiler({**DOC, "properties": {**DOC["properties"], "k": {"type": "integer"}}})
+    out = V.materialize(event_docs(spark, sf_dir), c, ID + "doc", "doc", partial=True)
+    return out.select("event_id", "instance.k", "instance.z", "instance.n_1")
+
 
-    hashed = F.pandas_udf(lambda s: s.map(lambda t: value_hash(json.loads(t))), "string")
-    return df.select("c_custkey", hashed("doc").alias("hash"))
+@C.query(f"SELECT event_id, CASE WHEN json_type(d, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(d->>'$.k' AS BIGINT) END AS k, TRY_CAST(d->>'$.key' AS DOUBLE)::VARCHAR IS NOT NULL AS has_key FROM {D}")
+def t_strict(spark, sf_dir):
+    """A strict property is taken as it is where others are coerced."""
+    r = Registry([{"$id": ID + "s", "type": "object", "properties": {"k": {"type": "integer", "ext:strict": True}, "key": {"type": "string"}}}])
+    out = event_docs(spark, sf_dir).select("event_id", P.Projector(r).project(ID + "s", Variant(F.col("doc"))).alias("x"))
+    return out.select("event_id", "x.k", F.col("x.key").isNotNull().alias("has_key"))
 
 
 QUERIES, SQL = C.queries, C.sql

@@ -77,17 +77,65 @@ NUMBER_FORMATS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _regex_compiles(v: Column) -> Column:
-    """A pattern can only be tried by compiling it, so this one format is a vectorised Python function."""
-
-    def compiles(x) -> bool:
-        try:
-            re.compile(x)
-        except (re.error, TypeError):
+#: What Unicode-mode ECMAScript knows behind a backslash, but for syntax characters and longer forms.
+_ESCAPED = re.compile(r"[dDwWsSbBnrtvf0\^$.*+?()\[\]{}|/\\\-]|[1-9]\d*|c[A-Za-z]|x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|u\{[0-9A-Fa-f]{1,6}\}|k<[A-Za-z_$][\w$]*>|[pP]\{[\w=]+\}")
+
+
+def is_regex(pattern: str | None) -> bool:
+    """Whether a pattern is one of ECMAScript in Unicode mode: its own syntax is checked first, then the rest of it is compiled."""
+    if pattern is None:
+        return False
+    out, i, inside, repeated = [], 0, False, 0  # repeated: 1 after a quantifier, 2 after a lazy one
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            m = _ESCAPED.match(pattern, i + 1)
+            if not m or m[0] == "-" and not inside:
+                return False
+            e = m[0]
+            out.append("\\w" if e[0] in "pP" else "a" if e[0] in "cxu/" else f"(?P={e[2:-1]})" if e[0] == "k" else "\\" + e)
+            i, repeated = m.end(), 0
+            continue
+        if inside:
+            out.append("\\[" if c == "[" else c)
+            inside = c != "]"
+            i += 1
+            continue
+        times = re.match(r"\{\d+(?:,\d*)?\}|[*+?]", pattern[i:])
+        if times:
+            if repeated == 2 or repeated == 1 and times[0] != "?":
+                return False
+            repeated += 1
+            out.append(times[0])
+            i += times.end()
+            continue
+        repeated = 0
+        if c in "{}]":
             return False
-        return True
+        if pattern.startswith(("[]", "[^]"), i):  # nothing and anything
+            out.append("a")
+            i = pattern.index("]", i) + 1
+            continue
+        if pattern.startswith("(?", i):
+            m = re.match(r"\(\?(?::|=|!|<=|<!|<([A-Za-z_$][\w$]*)>)", pattern[i:])
+            if not m:
+                return False
+            out.append(f"(?P<{m[1].replace('$', '_')}>" if m[1] else m[0])
+            i += m.end()
+            continue
+        inside = c == "["
+        out.append(c)
+        i += 1
+    try:
+        re.compile("".join(out))
+    except (re.error, OverflowError):
+        return False
+    return not inside
 
-    return F.pandas_udf(lambda s: s.map(compiles), "boolean")(v)
+
+def _regex_compiles(v: Column) -> Column:
+    """A pattern can only be tried by compiling it, so this one format is a vectorised Python function."""
+    return F.pandas_udf(lambda s: s.map(is_regex), "boolean")(v)
 
 
 def strict_json(text: Column) -> Column:

@@ -8,22 +8,21 @@ from pyspark.sql import functions as F
 from .selection import pinned
 
 
-def components(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """node, component (least node reachable) of pairs (a, b): each round hooks every label to the least of its neighbours' and shortcuts it.
 
     Minima are aggregated map-side, so that a node of many pairs costs no task more than its share.
     """
     edges = pinned(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     label = pinned(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = edges.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         hooked = label.join(near, "node").select("node", "component", F.least("component", "near").alias("to"))
         far = label.select(F.col("node").alias("to"), F.col("component").alias("far"))
         new = pinned(hooked.join(far, "to").select("node", F.least("to", "far").alias("component"), (F.least("to", "far") != F.col("component")).alias("moved")))
         label = new.select("node", "component")
         if new.where("moved").isEmpty():
-            break
-    return label
+            return label
 
 
 def contradictions(same: DataFrame, different: DataFrame) -> DataFrame:
@@ -40,13 +39,12 @@ def structural_duplicates(nodes: DataFrame, top: DataFrame) -> DataFrame:
     return nodes.join(unique, "hash").where(F.col("owner") != F.col("match")).select("owner", "pointer", "match")
 
 
-def sub_class_closure(edges: DataFrame, max_hops: int = 100) -> DataFrame:
+def sub_class_closure(edges: DataFrame) -> DataFrame:
     """(sub, super) pairs reachable over subclass edges (sub, super): the closure doubles its reach each round."""
     known = pinned(edges.select("sub", "super").distinct())
-    for _ in range(max_hops):
+    while True:
         more = known.join(known.select(F.col("sub").alias("super"), F.col("super").alias("next")), "super").select("sub", F.col("next").alias("super"))
         new = pinned(more.distinct().join(known, ["sub", "super"], "left_anti"))
         if new.isEmpty():
             return known
         known = pinned(known.unionByName(new))
-    return known

@@ -1,7 +1,9 @@
 """Documents as quads, and quads as documents.
 
-A schema compiles to one expression per row, an array of quad structs, which is inlined: a single narrow pass, however
-many properties there are. Subjects of nested objects are paths under their owner's subject.
+A schema compiles to one expression per row, an array of small structs, which is exploded: a single narrow pass, however
+many properties there are. What is constant of a quad (predicate, kinds, datatype, graph) is in a table of templates on
+the driver, and a struct only has the template's number, the subject and the object. Subjects of nested objects are
+paths under their owner's subject.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import decimal_text, number_text
+from ..functions.texts import in_hexadecimal
+from ..plans.compiler import _At
 from ..plans.project import Projector
 from ..plans.registry import Registry, ext
-from ..plans.values import Typed, Value
+from ..plans.values import WHOLE, Typed, Value
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
@@ -22,7 +27,8 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 SH = "http://www.w3.org/ns/shacl#"
 TYPE = RDF + "type"
-QUAD = "struct<s:string,s_kind:string,p:string,o:string,o_kind:string,o_datatype:string,o_lang:string,g:string,qs:string,qp:string,qo:string>"
+#: A quad before its template's constants are filled in. dt and kind are null but where the value decides them.
+MADE = "struct<t:int,s:string,o:string,dt:string,qs:string,qo:string>"
 COLUMNS = ("s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang", "g", "qs", "qp", "qo")
 SCHEMA = "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string, g string, qs string, qp string, qo string, ord bigint"
 
@@ -40,20 +46,20 @@ DECIMAL_TYPES = ("decimal", "double", "float")
 REPEATS = 9
 
 
-def number_literal(x: Column) -> Column:
-    """A double as JavaScript prints it, for the magnitudes that it prints without an exponent."""
-    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
-    return F.when(whole, x.cast("bigint").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0$", ""), r"(\.0)?E(-?)", "e$2"))
+def number_literal(v: Value) -> Column:
+    """A number as text: whole numbers and decimals in full, doubles as JavaScript prints them; not finite ones are an error."""
+    if isinstance(v, Typed):
+        if isinstance(v.kind, WHOLE):
+            return v.col.cast("string")
+        if isinstance(v.kind, T.DecimalType):
+            return decimal_text(v.col)
+        return number_text(_finite(v.number()))
+    long = F.when(v.schema == "BIGINT", F.try_variant_get(v.col, "$", "bigint").cast("string"))
+    return F.coalesce(long, number_text(_finite(v.number())))
 
 
-def quad(s: Column, p: str, o: Column, o_kind: str | Column, datatype: str | None = None, lang: str | None = None, g: str | None = None, quoted: tuple[Column, str, Column] | None = None) -> Column:
-    text = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("string")
-    qs, qp, qo = quoted or (None, None, None)
-    kind = F.lit("triple") if quoted else F.when(s.startswith("_:"), "bnode").otherwise("iri")
-    return F.struct(
-        text(s).alias("s"), kind.alias("s_kind"), text(p).alias("p"), text(o).alias("o"), text(o_kind).alias("o_kind"), text(datatype).alias("o_datatype"),
-        text(lang).alias("o_lang"), text(g).alias("g"), text(qs).alias("qs"), text(qp).alias("qp"), text(qo).alias("qo"),
-    )
+def _finite(n: Column) -> Column:
+    return F.when(F.isnan(n) | (F.abs(n) == float("inf")), F.raise_error(F.lit("a number isn't finite")).cast("double")).otherwise(n)
 
 
 class Emitter:
@@ -80,24 +86,49 @@ class Emitter:
         """The quads of each row. ord is the place in its document, after that of the document where ``order`` gives one (a number);
         without it, documents are told apart by their IRIs."""
         place = F.coalesce(order.cast("bigint"), F.lit(0)) if order is not None else F.lit(0).cast("bigint")
-        made = df.select(place.alias("_place"), F.posexplode(self.array(schema_id, subject, value)).alias("_pos", "q"))
-        return made.select("q.*", F.shiftleft("_place", 20).bitwiseOR(F.col("_pos")).alias("ord"))
-
-    def array(self, schema_id: str, subject: Column, value: Value) -> Column:
         key = self.registry.expand(schema_id)
-        from ..plans.compiler import _At
-
-        return self._object(self.registry[key], key, _At(key), subject, value, (id(self.registry[key]),))
+        self.templates: dict[tuple, int] = {}
+        return self._exploded(df, place, self._object(self.registry[key], key, _At(key), subject, value, (id(self.registry[key]),)))
 
-    def _object(self, schema, class_id: str, at, subject: Column, v: Value, path: tuple[int, ...]) -> Column:
+    def item_quads(self, df: DataFrame, schema_id: str, name: str, owner: Column, index: Column, value: Value, order: Column | None = None) -> DataFrame:
+        """The quads of the items of an array property that come as rows of their own: each is linked to its owner, as if it
+        had been gathered into the owner's document at ``index`` before."""
+        key = self.registry.expand(schema_id)
+        sub, own = self.shapes.properties(self.registry[key], _At(key))[name]
+        target, at = self.shapes._deref(sub, own)
+        self.templates = {}
+        place = F.coalesce(order.cast("bigint"), F.lit(0)) if order is not None else F.lit(0).cast("bigint")
+        nested = F.concat(owner, F.lit(f"/{name}/"), index.cast("string"))
+        return self._exploded(df, place, self._one(self.predicate(own.root, name, sub), target.get("items", {}), at, owner, value, nested, (id(self.registry[key]),)))
+
+    def _exploded(self, df: DataFrame, place: Column, quads: Column) -> DataFrame:
+        made = df.select(place.alias("_place"), F.posexplode(quads).alias("_pos", "q")).where(F.col("q.o").isNotNull())
+        rows = list(self.templates) or [(None,) * 6]
+        of = lambda i: F.element_at(F.array(*(F.lit(r[i]).cast("string") for r in rows)), F.col("q.t") + 1)
+        s_kind = F.when(F.col("q.qs").isNotNull(), "triple").when(F.col("q.s").startswith("_:"), "bnode").otherwise("iri")
+        return made.select(
+            F.col("q.s").alias("s"), s_kind.alias("s_kind"), of(0).alias("p"), F.col("q.o").alias("o"), of(1).alias("o_kind"), F.coalesce(of(2), F.col("q.dt")).alias("o_datatype"), of(3).alias("o_lang"),
+            of(4).alias("g"), F.col("q.qs").alias("qs"), of(5).alias("qp"), F.col("q.qo").alias("qo"), F.shiftleft("_place", 20).bitwiseOR(F.col("_pos")).alias("ord"),
+        )
+
+    def _quad(self, s: Column, p: str, o: Column, o_kind: str, datatype: str | Column | None = None, lang: str | None = None, quoted: tuple[Column, str, Column] | None = None) -> Column:
+        """An array of one quad. ``quoted`` is the statement (subject, predicate, object) that the quad is about."""
+        dynamic = isinstance(datatype, Column)
+        t = self.templates.setdefault((p, o_kind, None if dynamic else datatype, lang, self.graph, quoted[1] if quoted else None), len(self.templates))
+        text = lambda x: (x if x is not None else F.lit(None)).cast("string")
+        if quoted:
+            s = F.concat(F.lit("<<"), quoted[0], F.lit(f" {quoted[1]} "), quoted[2], F.lit(">>"))
+        return F.array(F.struct(F.lit(t).alias("t"), text(s).alias("s"), text(o).alias("o"), text(datatype if dynamic else None).alias("dt"), text(quoted and quoted[0]).alias("qs"), text(quoted and quoted[2]).alias("qo")))
+
+    def _object(self, schema, class_id: str, at, subject: Column, v: Value, path: tuple[int, ...], quoted=None) -> Column:
         """``path``: the schemas on the way, as deep as they go; only those met again are bounded."""
-        parts = [F.array(quad(subject, TYPE, F.lit(class_id), "iri", g=self.graph))] if self.wants(TYPE) else []
+        parts = [self._quad(subject, TYPE, F.lit(class_id), "iri", quoted=quoted)] if self.wants(TYPE) else []
         for name, (sub, own) in self.shapes.properties(schema, at).items():
             if not self._leads(name, sub, own, set()):
                 continue
             # a property's predicate belongs to the class that declares it
-            parts.append(self._property(name, sub, own, own.root, subject, v.get(name), path))
-        return F.concat(*parts) if parts else F.array().cast(f"array<{QUAD}>")
+            parts.append(self._property(name, sub, own, own.root, subject, v.get(name), path, quoted))
+        return F.concat(*parts) if parts else F.array().cast(f"array<{MADE}>")
 
     def wants(self, predicate: str) -> bool:
         return self.only is None or predicate in self.only
@@ -116,8 +147,8 @@ class Emitter:
         seen.add(id(target))
         return self.wants(TYPE) or any(self._leads(n, s, o, seen) for n, (s, o) in self.shapes.properties(target, own).items())
 
-    def _property(self, name, sub, at, class_id, subject, v: Value, path) -> Column:
-        none = F.array().cast(f"array<{QUAD}>")
+    def _property(self, name, sub, at, class_id, subject, v: Value, path, quoted=None) -> Column:
+        none = F.array().cast(f"array<{MADE}>")
         p = self.predicate(class_id, name, sub)
         target, own = self.shapes._deref(sub, at)
         if edge := ext(target, "annotatedEdge") or ext(sub, "annotatedEdge"):
@@ -127,12 +158,12 @@ class Emitter:
             items = target.get("items") if isinstance(target.get("items"), dict) else {}
             if isinstance(v, Typed) and not isinstance(v.kind, T.ArrayType):
                 return none
-            each = lambda x, i: self._one(p, items, own, subject, v.item(x), F.concat(subject, F.lit(f"/{name}/"), i.cast("string")), path)
+            each = lambda x, i: self._one(p, items, own, subject, v.item(x), F.concat(subject, F.lit(f"/{name}/"), i.cast("string")), path, quoted)
             return F.when(v.is_type("array"), F.coalesce(F.flatten(F.transform(v.items(), each)), none)).otherwise(none)
-        return self._one(p, sub, at, subject, v, F.concat(subject, F.lit(f"/{name}")), path)
+        return self._one(p, sub, at, subject, v, F.concat(subject, F.lit(f"/{name}")), path, quoted)
 
-    def _one(self, p, schema, at, subject, v: Value, nested: Column, path) -> Column:
-        none = F.array().cast(f"array<{QUAD}>")
+    def _one(self, p, schema, at, subject, v: Value, nested: Column, path, quoted=None) -> Column:
+        none = F.array().cast(f"array<{MADE}>")
         target, own = self.shapes._deref(schema, at)
         class_id = own.root if target is not schema else f"{at.root}"
         kind = self.shapes.kind(target, own)
@@ -142,50 +173,59 @@ class Emitter:
                 return none
             path = (*path, id(target))
             if len(path) - len(set(path)) > REPEATS:
-                deeper = F.raise_error(F.lit(f"objects of {class_id} are nested deeper than {REPEATS} times")).cast(f"array<{QUAD}>")
+                deeper = F.raise_error(F.lit(f"objects of {class_id} are nested deeper than {REPEATS} times")).cast(f"array<{MADE}>")
                 return F.when(here, deeper).otherwise(none)
-            inner = self._object(target, class_id, own, nested, v, path)
-            return F.when(here, F.concat(inner, F.array(quad(subject, p, nested, "iri", g=self.graph))) if self.wants(p) else inner).otherwise(none)
+            inner = self._object(target, class_id, own, nested, v, path, quoted)
+            return F.when(here, F.concat(inner, self._quad(subject, p, nested, "iri", quoted=quoted)) if self.wants(p) else inner).otherwise(none)
         said = target if isinstance(target, dict) else {}
+        made = lambda o, o_kind="literal", datatype=None, lang=None: F.when(here, self._quad(subject, p, o, o_kind, datatype, lang, quoted)).otherwise(none)
         if ext(said, "iriRef"):
             o = v.text()
             absolute = o.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:")
-            o = F.when(absolute, o).otherwise(F.raise_error(F.concat(F.lit("not an absolute IRI: "), o)).cast("string"))
-            return F.when(here, F.array(quad(subject, p, o, "iri", g=self.graph))).otherwise(none)
+            return made(F.when(o.isNull() | absolute, o).otherwise(F.raise_error(F.concat(F.lit("not an absolute IRI: "), o)).cast("string")), "iri")
         if lang := ext(said, "language"):
-            return F.when(here, F.array(quad(subject, p, v.text(), "literal", RDF + "langString", lang, self.graph))).otherwise(none)
+            return made(v.text(), datatype=RDF + "langString", lang=lang)
         fmt = FORMAT_DATATYPES.get(said.get("format", ""))
         if kind in ("number", "integer"):
-            n = v.number()
-            n = F.when(F.isnan(n) | (F.abs(n) == float("inf")), F.raise_error(F.lit(f"a number of {p} isn't finite")).cast("double")).otherwise(n)
-            return F.when(here, F.array(quad(subject, p, number_literal(n), "literal", XSD + (fmt or TYPE_DATATYPES[kind]), g=self.graph))).otherwise(none)
+            return made(number_literal(v), datatype=XSD + (fmt or TYPE_DATATYPES[kind]))
+        flag = F.when(v.is_type("boolean"), v.col.cast("string") if isinstance(v, Typed) else F.try_variant_get(v.col, "$", "string"))
         if kind == "boolean":
-            flag = v.col.cast("string") if isinstance(v, Typed) else F.try_variant_get(v.col, "$", "string")
-            return F.when(here, F.array(quad(subject, p, flag, "literal", XSD + "boolean", g=self.graph))).otherwise(none)
+            return made(flag, datatype=XSD + "boolean")
         if kind == "string":
-            return F.when(here, F.array(quad(subject, p, v.text(), "literal", XSD + (fmt or "string"), g=self.graph))).otherwise(none)
+            return made(v.text(), datatype=XSD + (fmt or "string"))
         n = v.number()  # no declared type: the value's own
         datatype = F.when(n.isNull(), F.when(v.is_type("boolean"), XSD + "boolean").otherwise(XSD + "string")).when(n == F.floor(n), XSD + "integer").otherwise(XSD + "double")
-        flag = F.when(v.is_type("boolean"), v.col.cast("string")) if isinstance(v, Typed) else F.when(v.is_type("boolean"), F.try_variant_get(v.col, "$", "string"))
-        return F.when(here, F.array(quad(subject, p, F.coalesce(number_literal(n), flag, v.text()), "literal", datatype, g=self.graph))).otherwise(none)
+        return made(F.coalesce(F.when(n.isNotNull(), number_literal(v)), flag, v.text()), datatype=datatype)
 
     def _edge(self, edge: dict, at, subject: Column, v: Value) -> Column:
         if self.graph is None:
             raise ValueError(f"the annotated edge {edge['predicate']} needs a graph")
         p, o = edge["predicate"], v.get("target").text()
-        parts = [F.array(quad(subject, p, o, "iri", g=self.graph))]
+        parts = [self._quad(subject, p, o, "iri")]
         for name, sub in edge["annotations"].items():
             a = v.get("annotations").get(name)
             ap = self.predicate(at.root, name, sub)
-            made = self._one(ap, sub, at, subject, a, F.concat(subject, F.lit(f"/{name}")), ())
+            nested = F.concat(subject, F.lit(f"/{name}"))
             if self.annotations in ("star-only", "both"):
-                s = F.concat(F.lit("<<"), subject, F.lit(f" {p} "), o, F.lit(">>"))
-                parts.append(F.transform(made, lambda q: F.struct(s.alias("s"), F.lit("triple").alias("s_kind"), *(q[c].alias(c) for c in COLUMNS[2:8]), subject.alias("qs"), F.lit(p).alias("qp"), o.alias("qo"))))
+                parts.append(self._one(ap, sub, at, subject, a, nested, (), (subject, p, o)))
             if self.annotations in ("flat-only", "both"):
-                parts.append(made)
+                parts.append(self._one(ap, sub, at, subject, a, nested, ()))
         return F.concat(*parts)
 
 
+def document_quads(df: DataFrame, emitter: Emitter, compiler, schema_id: str, column: str, subject: Column | None = None, on_invalid: str = "raise", order: Column | None = None) -> DataFrame:
+    """The quads of documents that satisfy their schema, with its defaults and computed fields filled in.
+
+    A document that doesn't is an error, or has no quads where ``on_invalid`` is "drop". Without a subject, documents
+    are named by a hash of their content.
+    """
+    from .validation import instantiate, row_value
+
+    made = instantiate(df, compiler, schema_id, column, policy="failfast" if on_invalid == "raise" else "quarantine").where(F.col("instance").isNotNull())
+    value = row_value(made, "instance")
+    return emitter.quads(made, schema_id, hashed("urn:hash:", value.canonical()) if subject is None else subject, value, order)
+
+
 def same_as_quads(spark, registry: Registry) -> DataFrame:
     """Symmetric sameAs quads of the registry's identity axioms."""
     rows = [(a, "iri", OWL + "sameAs", b, "iri", None, None, None, None, None, None, i) for i, (x, y) in enumerate(sorted(registry.same)) for a, b in ((x, y), (y, x))]
@@ -217,9 +257,15 @@ def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | No
     """
     emitter = emitter or Emitter(registry)
     key = registry.expand(schema_id)
-    from ..plans.compiler import _At
+    return _lift(q, emitter, registry[key], key, _At(key), depth, (id(registry[key]),))
+
 
-    return _lift(deduplicated(q), emitter, registry[key], key, _At(key), depth, (id(registry[key]),))
+def _first_of_each(members: Column) -> Column:
+    """The members (ord, o, g, v) in order, without those whose (o, g) came before: a quad said twice is one."""
+    ordered = F.array_sort(members)
+    key = lambda x: F.struct(x["o"], F.coalesce(x["g"], F.lit("")))
+    keys = F.transform(ordered, key)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), ordered).otherwise(F.filter(ordered, lambda x, i: F.array_position(keys, key(x)) == i + 1))
 
 
 def _typed(q: DataFrame, class_id: str) -> DataFrame:
@@ -228,7 +274,6 @@ def _typed(q: DataFrame, class_id: str) -> DataFrame:
 
 def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int, path: tuple[int, ...]) -> DataFrame:
     props = emitter.shapes.properties(schema, at)
-    typed = _typed(q, class_id)
     plain, nested, ended = [], [], []
     for name, (sub, own) in props.items():
         p = emitter.predicate(own.root, name, sub)
@@ -245,20 +290,29 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
                 nested.append((name, p, many, leaf, leaf_class, leaf_at, way))
             continue
         plain.append((name, p, many, kind))
-    value = {"number": F.col("o").try_cast("double"), "integer": F.col("o").try_cast("double").cast("bigint"), "boolean": F.col("o").isin("true", "1")}
-    wanted = q.where(F.col("p").isin([p for _, p, _, _ in plain] or [""])).join(typed, "s", "left_semi")
-    made = []
+    o = F.col("o")
+    value = {"number": o.try_cast("double"), "integer": F.coalesce(o.try_cast("bigint"), o.try_cast("double").cast("bigint")), "boolean": o.isin("true", "1")}
+    # all of a class in one aggregate by subject: its type, single values as the first in order, others gathered
+    made = [F.min_by(F.when(F.col("p") == TYPE, o), F.when(F.col("p") == TYPE, F.col("ord"))).alias("_class")]
     for name, p, many, kind in plain:
-        mine = F.struct("ord", value.get(kind, F.col("o")).alias("v"))
-        got = F.array_sort(F.collect_list(F.when(F.col("p") == p, mine)))
-        got = F.transform(got, lambda x: x["v"])
-        made.append((got if many else F.get(got, F.lit(0))).alias(name))
-    out = typed.join(wanted.groupBy("s").agg(*made), "s", "left") if made else typed
+        v, mine = value.get(kind, o), F.col("p") == p
+        if many:
+            made.append(F.transform(_first_of_each(F.collect_list(F.when(mine, F.struct("ord", "o", "g", v.alias("v"))))), lambda x: x["v"]).alias(name))
+        else:
+            made.append(F.min_by(F.when(mine, F.struct(v.alias("v"))), F.when(mine, F.struct("ord", "o")))["v"].alias(name))
+    out = q.where(F.col("p").isin([TYPE, *(p for _, p, _, _ in plain)])).groupBy("s").agg(*made).where(F.col("_class") == class_id).drop("_class")
     for name, p, many, leaf, leaf_class, leaf_at, way in nested:
         inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way).select(F.col("s").alias("o"), F.col("instance"))
-        links = q.where(F.col("p") == p).select("s", "o", "ord").join(inner, "o")
-        got = F.transform(F.array_sort(F.collect_list(F.struct("ord", "o", "instance")), lambda a, b: F.when(a["ord"] != b["ord"], F.signum(a["ord"] - b["ord"])).when(a["o"] < b["o"], -1).otherwise(1).cast("int")), lambda x: x["instance"])
-        out = out.join(links.groupBy("s").agg((got if many else F.get(got, F.lit(0))).alias(name)), "s", "left")
+        links = q.where(F.col("p") == p).select("s", "o", "g", "ord").join(inner, "o")
+        if many:
+            compare = lambda a, b: F.when(a["ord"] != b["ord"], F.signum(a["ord"] - b["ord"])).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0).cast("int")
+            ordered = F.array_sort(F.collect_list(F.struct("ord", "o", "g", "instance")), compare)
+            keys = F.transform(ordered, lambda x: F.struct(x["o"], F.coalesce(x["g"], F.lit(""))))
+            got = F.filter(ordered, lambda x, i: F.array_position(keys, F.struct(x["o"], F.coalesce(x["g"], F.lit("")))) == i + 1)
+            got = F.transform(F.when(F.size(F.array_distinct(keys)) == F.size(keys), ordered).otherwise(got), lambda x: x["instance"])
+        else:
+            got = F.min_by(F.struct("instance"), F.struct("ord", "o"))["instance"]
+        out = out.join(links.groupBy("s").agg(got.alias(name)), "s", "left")
     instance = F.struct(*(F.col(n) for n in props if n in out.columns))
     for name, p, leaf_class in ended:
         deeper = q.where(F.col("p") == p).join(_typed(q, leaf_class).select(F.col("s").alias("o")), "o", "left_semi")
@@ -271,42 +325,84 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
 # reading and writing
 
 
-def read_nquads(spark, path: str) -> DataFrame:
-    """N-Quads lines as quads; empty lines and comments are skipped. ord is the line's place by file and offset."""
-    return parse_nquads(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord")))
+def read_nquads(spark, path: str, on_error: str = "raise") -> DataFrame:
+    """N-Quads lines as quads; empty lines and comments are skipped. ord rises with the lines of a file; files follow each other as Spark deals them."""
+    return parse_nquads(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord")), on_error)
+
+
+_IRI, _BNODE, _LITERAL = r"<[^<>]*>", r"_:[^\s<>\"]+", r'"(?:[^"\\]|\\.)*"(?:\^\^<[^<>]*>|@[A-Za-z0-9-]+)?'
+_QUOTED = rf"<<\s*(?:{_IRI}|{_BNODE})\s*{_IRI}\s*(?:{_IRI}|{_BNODE})\s*>>"
+_LINE = rf"^\s*({_IRI}|{_BNODE}|{_QUOTED})\s*({_IRI})\s*({_IRI}|{_BNODE}|{_LITERAL})\s*({_IRI}|{_BNODE})?\s*\.\s*(?:#.*)?$"
+_NOTHING = r"^\s*(?:#.*)?$"
+
+
+def bad_nquads(lines: DataFrame) -> DataFrame:
+    """The lines that are neither a quad nor empty nor a comment."""
+    return lines.where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(_NOTHING))
 
 
-def parse_nquads(lines: DataFrame) -> DataFrame:
-    iri, bnode, literal = r"<[^>]*>", r"_:\S+", r'"(?:[^"\\]|\\.)*"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?'
-    line = rf"^\s*({iri}|{bnode})\s+({iri})\s+({iri}|{bnode}|{literal})\s*({iri}|{bnode})?\s*\.\s*(?:#.*)?$"
-    part = lambda i: F.regexp_extract("value", line, i)
-    rows = lines.where(F.col("value").rlike(line)).select("ord", *(part(i).alias(n) for i, n in enumerate(("s", "p", "o", "g"), 1)))
-    plain = lambda c: F.when(F.col(c).startswith("<"), F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.col(c))
-    body = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
-    for escape, char in ((r"\\t", "\t"), (r"\\n", "\n"), (r"\\r", "\r"), (r'\\"', '"'), (r"\\\\", "\\\\")):
-        body = F.regexp_replace(body, escape, char)
+def unescaped(text: Column) -> Column:
+    """The escapes of N-Quads undone from left to right: those of JSON, an escaped apostrophe, and code points of eight digits.
+
+    Two backslashes in a row always are an escaped one, as an escape starts with the first of a run; so what lies between
+    such pairs is looked at by itself.
+    """
+    def point(part: Column) -> Column:
+        char = F.decode(F.unhex(F.substring(part, 1, 8)), "UTF-32")
+        return F.concat(F.when(char.isin('"', "\\"), F.concat(F.lit("\\"), char)).otherwise(char), F.substring(part, 9, 1 << 30))
+
+    def wide(piece: Column) -> Column:
+        parts = F.split(F.regexp_replace(piece, r"\\'", "'"), r"\\U(?=[0-9A-Fa-f]{8})")
+        return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), point), ""))
+
+    pieces = F.split(text, r"\\\\")
+    body = F.when(text.rlike(r"\\[U']"), F.array_join(F.transform(pieces, wide), "\\\\")).otherwise(text)
+    json = F.from_json(F.concat(F.lit('["'), in_hexadecimal(body, r"[\x00-\x1f]"), F.lit('"]')), "array<string>")
+    told = F.coalesce(json[0], F.raise_error(F.concat(F.lit("bad escape: "), text)).cast("string"))
+    return F.when(text.contains("\\"), told).otherwise(text)
+
+
+def parse_nquads(lines: DataFrame, on_error: str = "raise") -> DataFrame:
+    """Quads of lines (value, ord). A line that is no quad is an error, or left out where ``on_error`` is "drop"; ``bad_nquads`` gives such lines."""
+    value = F.col("value")
+    if on_error == "raise":
+        value = F.when(value.rlike(_LINE) | value.rlike(_NOTHING), value).otherwise(F.raise_error(F.concat(F.lit("not a quad: "), value)).cast("string"))
+        lines = lines.withColumn("value", value)
+    part = lambda i: F.regexp_extract("value", _LINE, i)
+    rows = lines.where(F.col("value").rlike(_LINE)).select("ord", *(part(i).alias(n) for i, n in enumerate(("s", "p", "o", "g"), 1)))
+    bare = lambda c: F.when(c.startswith("<"), unescaped(F.substring(c, 2, F.length(c) - 2))).otherwise(c)
+    inner = rf"^<<\s*({_IRI}|{_BNODE})\s*({_IRI})\s*({_IRI}|{_BNODE})\s*>>$"
+    star = F.col("s").startswith("<<")
+    qs, qp, qo = (F.when(star, bare(F.regexp_extract("s", inner, i))) for i in (1, 2, 3))
+    body = unescaped(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1))
     is_literal = F.col("o").startswith('"')
-    lang, datatype = F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1), F.regexp_extract("o", r'"\^\^<([^>]*)>$', 1)
+    lang, datatype = F.regexp_extract("o", r'"@([A-Za-z0-9-]+)$', 1), F.regexp_extract("o", r'"\^\^<([^<>]*)>$', 1)
     kind = lambda c: F.when(F.col(c).startswith("_:"), "bnode").otherwise("iri")
-    none = F.lit(None).cast("string")
     return rows.select(
-        plain("s").alias("s"), kind("s").alias("s_kind"), plain("p").alias("p"), F.when(is_literal, body).otherwise(plain("o")).alias("o"),
-        F.when(is_literal, "literal").otherwise(kind("o")).alias("o_kind"),
+        F.when(star, F.concat(F.lit("<<"), qs, F.lit(" "), qp, F.lit(" "), qo, F.lit(">>"))).otherwise(bare(F.col("s"))).alias("s"), F.when(star, "triple").otherwise(kind("s")).alias("s_kind"),
+        bare(F.col("p")).alias("p"), F.when(is_literal, body).otherwise(bare(F.col("o"))).alias("o"), F.when(is_literal, "literal").otherwise(kind("o")).alias("o_kind"),
         F.when(is_literal, F.when(lang != "", RDF + "langString").when(datatype != "", datatype).otherwise(XSD + "string")).alias("o_datatype"),
-        F.when(is_literal & (lang != ""), lang).alias("o_lang"), F.when(F.col("g") != "", plain("g")).alias("g"), none.alias("qs"), none.alias("qp"), none.alias("qo"), "ord",
+        F.when(is_literal & (lang != ""), lang).alias("o_lang"), F.when(F.col("g") != "", bare(F.col("g"))).alias("g"), qs.alias("qs"), qp.alias("qp"), qo.alias("qo"), "ord",
     )
 
 
 def to_nquads(q: DataFrame) -> DataFrame:
     """One text line per quad."""
-    term = lambda c, k: F.when(F.col(k) == "bnode", F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
+    safe = lambda c: in_hexadecimal(c, r'[<>"{}|^`\\\x00-\x20]')
+    term = lambda c: F.when(c.startswith("_:"), c).otherwise(F.concat(F.lit("<"), safe(c), F.lit(">")))
     body = F.col("o")
     for char, escape in (("\\\\", "\\\\\\\\"), ('"', '\\\\"'), ("\n", "\\\\n"), ("\r", "\\\\r"), ("\t", "\\\\t")):
         body = F.regexp_replace(body, char, escape)
     tail = F.when(F.col("o_lang").isNotNull(), F.concat(F.lit("@"), F.col("o_lang"))).when(F.col("o_datatype") == XSD + "string", "").otherwise(F.concat(F.lit("^^<"), F.col("o_datatype"), F.lit(">")))
-    o = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), body, F.lit('"'), F.coalesce(tail, F.lit("")))).otherwise(term("o", "o_kind"))
-    g = F.when(F.col("g").isNotNull(), F.concat(F.lit(" <"), F.col("g"), F.lit(">"))).otherwise("")
-    return q.select(F.concat(term("s", "s_kind"), F.lit(" <"), F.col("p"), F.lit("> "), o, g, F.lit(" .")).alias("value"))
+    o = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), body, F.lit('"'), F.coalesce(tail, F.lit("")))).otherwise(term(F.col("o")))
+    s = F.when(F.col("s_kind") == "triple", F.concat(F.lit("<< "), term(F.col("qs")), F.lit(" "), term(F.col("qp")), F.lit(" "), term(F.col("qo")), F.lit(" >>"))).otherwise(term(F.col("s")))
+    g = F.when(F.col("g").isNotNull(), F.concat(F.lit(" "), term(F.col("g")))).otherwise("")
+    return q.select(F.concat(s, F.lit(" "), term(F.col("p")), F.lit(" "), o, g, F.lit(" .")).alias("value"))
+
+
+def quoted_json(c: Column) -> Column:
+    """Text as a JSON string."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
 
 def to_jsonld(q: DataFrame) -> DataFrame:
@@ -314,13 +410,13 @@ def to_jsonld(q: DataFrame) -> DataFrame:
     v = F.when(F.col("o_kind") != "literal", F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(
         F.to_json(F.struct(F.col("o").alias("@value"), F.when(F.col("o_lang").isNull(), F.col("o_datatype")).alias("@type"), F.col("o_lang").alias("@language")))
     )
-    v = F.when(F.col("p") == TYPE, F.to_json(F.array("o"))).otherwise(v)
+    v = F.when(F.col("p") == TYPE, quoted_json(F.col("o"))).otherwise(v)
     key = F.when(F.col("p") == TYPE, "@type").otherwise(F.col("p"))
     by = q.groupBy("s", key.alias("k")).agg(F.array_sort(F.collect_list(F.struct("ord", v.alias("v")))).alias("vs"), F.min("ord").alias("ord"))
-    values = F.array_join(F.transform("vs", lambda x: F.when(F.col("k") == "@type", F.regexp_replace(x["v"], r"^\[|\]$", "")).otherwise(x["v"])), ",")
-    by = by.select("s", "ord", F.concat(F.lit('"'), F.col("k"), F.lit('":['), values, F.lit("]")).alias("member"))
+    values = F.array_join(F.transform("vs", lambda x: x["v"]), ",")
+    by = by.select("s", "ord", F.concat(quoted_json(F.col("k")), F.lit(":["), values, F.lit("]")).alias("member"))
     node = by.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("ord", "member"))).alias("m"))
-    return node.select("s", F.concat(F.lit('{"@id":"'), F.col("s"), F.lit('",'), F.array_join(F.transform("m", lambda x: x["member"]), ","), F.lit("}")).alias("node"))
+    return node.select("s", F.concat(F.lit('{"@id":'), quoted_json(F.col("s")), F.lit(","), F.array_join(F.transform("m", lambda x: x["member"]), ","), F.lit("}")).alias("node"))
 
 
 def from_jsonld(spark, nodes: list[dict], context: dict[str, str] | None = None) -> DataFrame:
@@ -377,21 +473,26 @@ def from_jsonld(spark, nodes: list[dict], context: dict[str, str] | None = None)
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def lists(q: DataFrame, max_length: int = 1000) -> DataFrame:
-    """head, idx, item: the members of RDF lists, one join per place; a cycle ends at ``max_length``."""
+def lists(q: DataFrame) -> DataFrame:
+    """head, idx, item: the members of RDF lists. Each cell finds its head by doubling the reach of its link backwards, so a
+    list of n cells takes log2(n) rounds; cells of a cycle have no head and are left out."""
+    from .selection import pinned
+
     first = q.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("item"))
-    rest = q.where(F.col("p") == RDF + "rest").select(F.col("s").alias("cell"), F.col("o").alias("next"))
-    heads = rest.join(rest.select(F.col("next").alias("cell")), "cell", "left_anti").select(F.col("cell").alias("head"), "cell")
-    out, at, i = None, heads, 0
-    while i < max_length:
-        step = at.join(first, "cell").select("head", F.lit(i).alias("idx"), "item", "cell")
-        if step.isEmpty():
+    rest = q.where(F.col("p") == RDF + "rest").select("s", "o").distinct()
+    cells = rest.select(F.col("s").alias("cell")).distinct()
+    back = rest.select(F.col("o").alias("cell"), F.col("s").alias("up"))
+    at = pinned(cells.join(back, "cell", "left").select("cell", F.coalesce("up", "cell").alias("up"), F.col("up").isNotNull().cast("bigint").alias("idx")))
+    going = None
+    while True:
+        far = at.select(F.col("cell").alias("up"), F.col("up").alias("further"), F.col("idx").alias("more"))
+        at = pinned(at.join(far, "up").select("cell", F.col("further").alias("up"), (F.col("idx") + F.col("more")).alias("idx"), (F.col("more") > 0).alias("moved")))
+        left = at.where("moved").count()
+        if left in (0, going):
             break
-        part = step.select("head", "idx", "item")
-        out = part if out is None else out.unionByName(part)
-        at = step.join(rest, "cell").select("head", F.col("next").alias("cell"))
-        i += 1
-    return out if out is not None else q.select(F.col("s").alias("head"), F.lit(0).alias("idx"), F.col("o").alias("item")).limit(0)
+        going = left
+        at = at.drop("moved")
+    return at.where("NOT moved").join(first, "cell").select(F.col("up").alias("head"), F.col("idx").cast("int").alias("idx"), "item")
 
 
 # subjects

@@ -1,26 +1,32 @@
 """The selection algebra: lazy bags of IRIs over a quads table.
 
-A selection is a DataFrame (ord, iri). Steps are joins, terminals are actions. The order of a bag is carried in ``ord``
-and only made dense where a step needs it.
+A selection is a DataFrame (ord, iri). Steps are joins, terminals are actions. The order of a bag is carried in ``ord``:
+a number, or an array of numbers once bags have been put after one another (the bag's own place first).
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quads import RDFS, TYPE
+from ..plans.compiler import _At
+from ..plans.registry import Registry
+from .quads import RDFS, TYPE, Emitter
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Lineage cut in the shared checkpoint folder; the session's own setting where there is one."""
-    import tempfile
-
+    """Lineage cut in the folder that all executors share, ``spark.checkpoint.dir``; only a session within one process may go without."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -41,6 +47,56 @@ class Graph:
         self.quads, self.identity, self.ranges, self.domains, self.resolver, self.schema = quads, identity or {}, ranges or {}, domains or {}, resolver, schema
         self._types = quads.where(F.col("p") == TYPE)
 
+    @classmethod
+    def of(cls, registry: Registry, quads: DataFrame, emitter: Emitter | None = None, schema: DataFrame | None = None) -> Graph:
+        """A graph whose identity, ranges and domains come from the registry's schemas.
+
+        A property that is inverse functional identifies its class's instances: its range is the schema that it refers to,
+        or its own predicate. Superclasses' properties are their subclasses' too, so identity is inherited: a reference to a
+        class's key also finds instances of its subclasses. Names without a scheme are properties of any class, if but one
+        class declares them.
+        """
+        emitter = emitter or Emitter(registry)
+        identity: dict[str, str] = {}
+        ranges: dict[str, list[str]] = {}
+        domains: dict[str, list[str]] = {}
+        named: dict[str, set[str]] = {}
+        for key in registry:
+            for name, (sub, own) in emitter.shapes.properties(registry[key], _At(key)).items():
+                p = emitter.predicate(own.root, name, sub)
+                named.setdefault(name, set()).add(p)
+                domains.setdefault(p, [])
+                if key not in domains[p]:
+                    domains[p].append(key)
+                said = sub if isinstance(sub, dict) else {}
+                target = said.get("items", said) if isinstance(said.get("items", said), dict) else {}
+                ref = registry.expand(target["$ref"]) if "$ref" in target and not target["$ref"].startswith("#") else None
+                if ref and ref not in ranges.setdefault(p, []):
+                    ranges[p].append(ref)
+                if said.get("inverseFunctional"):
+                    identity[p] = ref or p
+        sub_classes: dict[str, set[str]] = {}
+        for key in registry:
+            for parent in registry.parents(key):
+                sub_classes.setdefault(parent, set()).add(key)
+        # a range that names a class is met by the keys that identify its instances, and its subclasses' with them
+        for p, wanted in ranges.items():
+            for r in list(wanted):
+                todo, seen = [r], {r}
+                while todo:
+                    c = todo.pop()
+                    todo += [x for x in sub_classes.get(c, ()) if x not in seen]
+                    seen |= sub_classes.get(c, set())
+                    wanted += [identity[k] for k, d in domains.items() if c in d and k in identity and identity[k] not in wanted]
+
+        def resolve(name: str) -> str:
+            found = named.get(name, set())
+            if len(found) != 1:
+                raise KeyError(f"{name} is a property of {len(found)} predicates")
+            return next(iter(found))
+
+        return cls(quads, identity, ranges, domains, resolve, schema)
+
     def predicate(self, token: str) -> str:
         return token if "://" in token or token.startswith(("urn:", "_:")) else self.resolver(token)
 
@@ -120,15 +176,15 @@ class Selection:
             out = hop if out is None else out.unionByName(hop)
         return self._with(out.groupBy(F.col("_to").alias("iri")).agg(F.min("ord").alias("ord")))
 
-    def closure(self, p: str | list[str], max_hops: int = 10_000) -> Selection:
-        """All that is reachable over the predicates, the seeds included. Each hop joins the frontier only; known IRIs are left out, so cycles end."""
+    def closure(self, p: str | list[str]) -> Selection:
+        """All that is reachable over the predicates, the seeds included, however far. Each hop joins the frontier only; known IRIs are left out, so cycles end."""
         edges = None
         for x in self._predicates(p):
             e = self.graph.edges(x).select("s", "o")
             edges = e if edges is None else edges.unionByName(e)
         edges = pinned(edges.distinct())
         seen = pinned(self.distinct().rows.select("iri", F.lit(0).alias("hop")))
-        for hop in range(1, max_hops):
+        for hop in itertools.count(1):
             frontier = seen.where(F.col("hop") == hop - 1)
             found = frontier.join(edges, F.col("iri") == F.col("s")).select(F.col("o").alias("iri")).distinct()
             found = pinned(found.join(seen, "iri", "left_anti"))
@@ -175,11 +231,20 @@ class Selection:
         return self._with(self.rows.join(instances.where(condition).select(F.col("s").alias("iri")), "iri", "left_semi"))
 
     def order_by(self, instances: DataFrame, *keys: Column) -> Selection:
-        """In order of keys of the lifted instances; equal ones stay as they are. The order is global, so it takes a sort of the selection."""
+        """In order of keys of the lifted instances; equal ones stay as they are. The sort is by ranges, and a place is numbered by its range and its row there, so no task sees all."""
+        joined = self.rows.join(instances.withColumnRenamed("s", "iri"), "iri")
+        ranged = pinned(joined.orderBy(*keys, "ord", "iri").select("iri"))
+        return self._with(ranged.withColumn("ord", F.monotonically_increasing_id()))
+
+    def numbered(self) -> DataFrame:
+        """iri and its place from 1 on. Ranges are sorted, and each starts where those before it end: only a count for each range is brought together."""
         from pyspark.sql import Window
 
-        joined = self.rows.join(instances.withColumnRenamed("s", "iri"), "iri")
-        return self._with(joined.withColumn("ord", F.row_number().over(Window.orderBy(*keys, "ord", "iri")).cast("bigint")))
+        ranged = pinned(self.rows.orderBy("ord", "iri").select("iri").withColumn("at", F.monotonically_increasing_id()))
+        ranged = ranged.select("iri", F.shiftright("at", 33).alias("range"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("row"))
+        sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+        starts = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("start"))
+        return ranged.join(F.broadcast(starts), "range").select("iri", (F.col("start") + F.col("row") + 1).alias("place"))
 
     def limit(self, n: int) -> Selection:
         """The first n; a negative n leaves out so many from the end."""
@@ -193,8 +258,12 @@ class Selection:
         return self._with(best)
 
     def union(self, other: Selection) -> Selection:
-        """A bag: the other's after these."""
-        return self._with(self.rows.unionByName(other.rows.withColumn("ord", F.col("ord") + F.lit(1 << 40))))
+        """A bag: the other's after these, whatever their own places are."""
+        def placed(rows: DataFrame, side: int) -> DataFrame:
+            own = F.col("ord") if rows.schema["ord"].dataType.typeName() == "array" else F.array("ord")
+            return rows.withColumn("ord", F.concat(F.array(F.lit(side).cast("bigint")), own.cast("array<bigint>")))
+
+        return self._with(placed(self.rows, 0).unionByName(placed(other.rows, 1)))
 
     def intersect(self, other: Selection) -> Selection:
         """Those that the other holds too; repeats and order stay."""

@@ -101,6 +101,32 @@ def instantiate(df: DataFrame, compiler: Compiler, schema_id: str, column: str,
     return out.withColumn("instance", F.when(F.size("errors") == 0, made)).drop("_made")
 
 
+def materialize(df: DataFrame, compiler: Compiler, schema_id: str, column: str, partial: bool = False) -> DataFrame:
+    """df with ``instance``: every declared key is there, null where it has neither a value nor a default; nothing is coerced or decoded.
+
+    An invalid document is an error. Where it may be partial, none is: required keys that are missing get their type's
+    empty value at the top level.
+    """
+    registry = compiler.registry
+    if not partial:
+        plain = Compiler(_without_transforms(registry), compiler.formats, compiler.depth, compiler.assert_formats, compiler.ignore_additional)
+        return instantiate(df, plain, schema_id, column, policy="failfast").drop("errors")
+    projector = Projector(registry, coerce=False, defaults=True, decode=False)
+    kind = projector.struct_type(schema_id)
+    made, empty = projector.project(schema_id, row_value(df, column)), projector.create(schema_id)
+    schema = registry[registry.expand(schema_id)]
+    filled = [(F.coalesce(made[n], empty[n]) if n in schema.get("required", []) else made[n]).alias(n) for n in kind.names]
+    return df.withColumn("instance", F.struct(*filled))
+
+
+def _without_transforms(registry):
+    import copy
+
+    out = copy.copy(registry)
+    out.transforms = {}
+    return out
+
+
 def _without_defaults_missing(compiler: Compiler, schema_id: str, raw: Value, schema: dict) -> Column:
     """Errors of the document as it would be with its defaults: a missing key that has a default isn't missing."""
     projector = Projector(compiler.registry)

@@ -16,12 +16,14 @@ from pyspark.sql import types as T
 
 from ..functions.formats import Formats, strict_json
 from ..functions.hashing import number_text, text
-from .registry import Registry, Schema, config, ext
+from .registry import Registry, Schema, config, ext, subschemas
 from .values import Typed, Value
 
 ERROR = "struct<path:string,keyword:string,message:string,params:map<string,string>>"
 EPSILON = 2.220446049250313e-15
 NO_STRINGS = "array<string>"
+#: Fixed value: the vocabulary by which a document turns the assertion of formats on or off.
+FORMAT_VOCABULARY = "https://json-schema.org/draft/2020-12/vocab/format-assertion"
 #: What stands for a recursive reference below the unrolled depth.
 BELOW = object()
 
@@ -36,7 +38,8 @@ class Test(NamedTuple):
 
 
 def regex(pattern: str) -> str:
-    """An ECMAScript pattern for Java's engine: $ is the very end, / needs no escape, [^] is any character."""
+    """An ECMAScript pattern for Java's engine: $ is the very end, / needs no escape, [^] is any character, \\s also means
+    Unicode's spaces, and code points may stand in braces."""
     out, inside, i = [], False, 0
     while i < len(pattern):
         if pattern.startswith("[^]", i) and not inside:
@@ -44,7 +47,15 @@ def regex(pattern: str) -> str:
             i += 3
             continue
         if pattern[i] == "\\" and i + 1 < len(pattern):
-            out.append("/" if pattern[i + 1] == "/" else pattern[i : i + 2])
+            e = pattern[i + 1]
+            if e == "u" and pattern[i + 2 : i + 3] == "{":
+                out.append("\\x")
+            elif e == "s":
+                out.append(r"\s\p{Z}\uFEFF" if inside else r"[\s\p{Z}\uFEFF]")
+            elif e == "S" and not inside:
+                out.append(r"[^\s\p{Z}\uFEFF]")
+            else:
+                out.append("/" if e == "/" else pattern[i : i + 2])
             i += 2
             continue
         inside = pattern[i] == "[" or inside and pattern[i] != "]"
@@ -148,7 +159,7 @@ class Compiler:
                 yield Test(k, number(fails(F.char_length(t), int(s[k]))), f"must NOT have {said} than {number_text(s[k])} characters", {"limit": s[k]})
         if "pattern" in s:
             yield Test("pattern", number(~t.rlike(regex(s["pattern"]))), f'must match pattern "{s["pattern"]}"', {"pattern": s["pattern"]})
-        if self.assert_formats:
+        if self._formats_asserted(at):
             yield from self._contents(s, v, t, n, number)
         for name, (column, only) in self.registry.keywords.items():
             if name in s:
@@ -237,16 +248,33 @@ class Compiler:
     def _ref(self, s: dict, v: Value, at: _At) -> tuple[Schema, _At] | None:
         for k in ("$ref", "$dynamicRef"):
             if k in s:
-                doc, target = self.registry.resolve(s[k], at.root)
+                doc, target = self._dynamic(s[k], at) if k == "$dynamicRef" else self.registry.resolve(s[k], at.root)
                 ref = f"{doc}{s[k]}"
                 seen, here = at.depth.get(ref, 0), f"{ref} {id(v)}"  # the values on the way are alive, so that their ids differ
                 if here in at.depth:
                     return True, at
                 if seen >= self.depth:
                     return BELOW, at
-                return target, _At(doc, at.depth | {ref: seen + 1, here: 1})
+                return target, _At(doc, at.depth | {ref: seen + 1, here: 1}, (*at.scope, at.root))
         return None
 
+    def _dynamic(self, ref: str, at: _At) -> tuple[str, Schema]:
+        """Where the reference leads by itself; if that is a dynamic anchor, the outermost document on the way that has an anchor of its name decides."""
+        doc, target = self.registry.resolve(ref, at.root)
+        name = ref.partition("#")[2]
+        if isinstance(target, dict) and name and target.get("$dynamicAnchor") == name:
+            for outer in (*at.scope, at.root):
+                for _, s in subschemas(self.registry[outer]):
+                    if isinstance(s, dict) and s.get("$dynamicAnchor") == name:
+                        return outer, s
+        return doc, target
+
+    def _formats_asserted(self, at: _At) -> bool:
+        """Formats are asserted unless the document's vocabulary says that they aren't."""
+        root = self.registry[at.root] if self.registry.has(at.root) else {}
+        said = (root.get("$vocabulary") or {}).get(FORMAT_VOCABULARY) if isinstance(root, dict) else None
+        return said if isinstance(said, bool) and self.assert_formats else self.assert_formats
+
     def _below(self, v: Value, otherwise: Column, kind: str) -> Column:
         said = f"a document goes deeper than the {self.depth} times that a recursive reference is unrolled; give Compiler a larger depth"
         return F.when(v.present(), F.raise_error(F.lit(said)).cast(kind)).otherwise(otherwise)
@@ -469,7 +497,8 @@ class Compiler:
 
 
 class _At(NamedTuple):
-    """Where a sub-schema stands: its document, and how often each reference was followed on the way."""
+    """Where a sub-schema stands: its document, how often each reference was followed on the way, and the documents on the way (outermost first)."""
 
     root: str
     depth: dict[str, int] = {}
+    scope: tuple[str, ...] = ()

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.hashing import text
+from ..functions.numbers import number_text
 from .compiler import _At
-from .registry import Registry, Schema, ext
+from .registry import Registry, Schema, config, ext
 from .values import Typed, Value, Variant
 
 DEFAULT_DEPTH = 8
@@ -41,15 +42,14 @@ def boolean_of(v: Value) -> Column:
 
 def string_of(v: Value) -> Column:
     n = v.number()
-    number = F.when((n == F.floor(n)) & (F.abs(n) < 1e15), n.cast("bigint").cast("string")).otherwise(n.cast("string"))
-    return F.coalesce(v.text(), number, boolean_plain(v).cast("string"))
+    return F.coalesce(v.text(), F.when(n.isNotNull(), number_text(n)), boolean_plain(v).cast("string"))
 
 
 class Projector:
     """Coercion, defaults and shapes of the schemas of a registry."""
 
-    def __init__(self, registry: Registry, coerce: bool = True, defaults: bool = True):
-        self.registry, self.coerce, self.defaults = registry, coerce, defaults
+    def __init__(self, registry: Registry, coerce: bool = True, defaults: bool = True, decode: bool = True):
+        self.registry, self.coerce, self.defaults, self.decode = registry, coerce, defaults, decode
 
     # shapes
 
@@ -65,7 +65,7 @@ class Projector:
         return s, at
 
     def properties(self, s: Schema, at: _At, depth: int = 0) -> dict[str, tuple[Schema, _At]]:
-        """Own properties, then those of references and allOf; the first definition wins."""
+        """Own properties, then those of references, allOf, anyOf, oneOf, then and else; the first definition wins."""
         out: dict[str, tuple[Schema, _At]] = {}
         if not isinstance(s, dict) or depth > DEFAULT_DEPTH:
             return out
@@ -75,7 +75,7 @@ class Projector:
             doc, target = self.registry.resolve(s["$ref"], at.root)
             for k, v in self.properties(target, _At(doc), depth + 1).items():
                 out.setdefault(k, v)
-        for m in s.get("allOf", []):
+        for m in [*s.get("allOf", []), *s.get("anyOf", []), *s.get("oneOf", []), s.get("then"), s.get("else")]:
             for k, v in self.properties(m, at, depth + 1).items():
                 out.setdefault(k, v)
         return out
@@ -151,6 +151,66 @@ class Projector:
                 return made
         return next((z for m in [*s.get("anyOf", []), *s.get("oneOf", [])] if (z := self.zero_of(m, at, depth + 1)) is not None), None)
 
+    def _strict(self, s: Schema, at: _At) -> bool:
+        """Whether a value is taken as it is even where others are coerced: by its own keyword, or else by its document's configuration."""
+        own = ext(s, "strict")
+        if own is None:
+            own = config(self.registry[at.root]).get("strict") if self.registry.has(at.root) else False
+        return bool(own)
+
+    def encode(self, schema_id: str, v: Value) -> Column:
+        """A decoded value in its wire form: each registered encoder undoes its decoder, at the root, in objects and in arrays."""
+        key = self.registry.expand(schema_id)
+        out = self._encode(self.registry[key], v, _At(key))
+        encoder = self.registry.transforms.get(key, (None, None))[1]
+        return encoder(out) if encoder else out
+
+    def _encode(self, s: Schema, v: Value, at: _At) -> Column:
+        s0 = s
+        s, at = self._deref(s, at)
+        encoder = self.registry.transforms.get(at.root, (None, None))[1] if s is not s0 else None
+        if encoder:
+            return encoder(v.col)
+        if isinstance(v, Typed) and isinstance(v.kind, T.StructType) and (props := self.properties(s, at)):
+            fields = [(self._encode(props[f.name][0], v.get(f.name), props[f.name][1]) if f.name in props else v.col[f.name]).alias(f.name) for f in v.kind]
+            return F.when(v.col.isNotNull(), F.struct(*fields))
+        if isinstance(v, Typed) and isinstance(v.kind, T.ArrayType) and isinstance(s, dict) and isinstance(s.get("items"), dict):
+            return F.transform(v.col, lambda x: self._encode(s["items"], v.item(x), at))
+        return v.col
+
+    def dump_json(self, schema_id: str, v: Typed, include: list[str] = (), exclude: list[str] = (), exclude_defaults: bool = False) -> Column:
+        """JSON text of a value in its wire form; dates as ISO texts, unset fields left out.
+
+        The filters hold at each level, as do encoders; what is included beats what is excluded, and a field that equals
+        its explicit default goes where that is asked for.
+        """
+        key = self.registry.expand(schema_id)
+        shaped = self._dumped(self.registry[key], v, _At(key), tuple(include), tuple(exclude), exclude_defaults)
+        encoder = self.registry.transforms.get(key, (None, None))[1]
+        return F.to_json(encoder(shaped) if encoder else shaped, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"})
+
+    def _dumped(self, s: Schema, v: Typed, at: _At, include: tuple, exclude: tuple, exclude_defaults: bool) -> Column:
+        s0 = s
+        s, at = self._deref(s, at)
+        encoder = self.registry.transforms.get(at.root, (None, None))[1] if s is not s0 else None
+        if encoder:
+            return encoder(v.col)
+        if isinstance(v.kind, T.StructType) and (props := self.properties(s, at)):
+            fields = []
+            for f in v.kind:
+                if f.name not in include if include else f.name in exclude:
+                    continue
+                child = v.get(f.name)
+                sub, own = props.get(f.name, ({}, at))
+                col = self._dumped(sub, child, own, include, exclude, exclude_defaults)
+                if exclude_defaults and isinstance(sub, dict) and "default" in sub and not isinstance(sub["default"], (dict, list)):
+                    col = F.when(~F.coalesce(child.canonical() == text(sub["default"]), F.lit(False)), col)
+                fields.append(col.alias(f.name))
+            return F.when(v.col.isNotNull(), F.struct(*fields)) if fields else F.when(v.col.isNotNull(), F.create_map().cast("map<string,string>"))
+        if isinstance(v.kind, T.ArrayType) and isinstance(s, dict) and isinstance(s.get("items"), dict):
+            return F.transform(v.col, lambda x: self._dumped(s["items"], v.item(x), at, include, exclude, exclude_defaults))
+        return v.col
+
     def create(self, schema_id: str) -> Column:
         """A default instance as a typed literal."""
         key = self.registry.expand(schema_id)
@@ -161,21 +221,22 @@ class Projector:
         s0, at0 = s, at
         s, at = self._deref(s, at)
         kind = self.kind(s, at)
-        decode = self.registry.transforms.get(at.root, (None, None))[0] if s is not s0 else None
+        decode = self.registry.transforms.get(at.root, (None, None))[0] if s is not s0 and self.decode else None
         target = self._type(s0, at0, depth)
+        coerce = self.coerce and not self._strict(s0, at0)
         if kind == "string":
-            out = string_of(v) if self.coerce else v.text()
+            out = string_of(v) if coerce else v.text()
         elif kind == "number":
-            out = number_of(v) if self.coerce else v.number()
+            out = number_of(v) if coerce else v.number()
         elif kind == "integer":
-            n = number_of(v) if self.coerce else v.number()
+            n = number_of(v) if coerce else v.number()
             out = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("bigint")
         elif kind == "boolean":
-            out = boolean_of(v) if self.coerce else boolean_plain(v)
+            out = boolean_of(v) if coerce else boolean_plain(v)
         elif isinstance(target, T.ArrayType):
             items = s.get("items") if isinstance(s.get("items"), dict) else (s.get("prefixItems") or [{}])[0]
             many = F.transform(v.items(), lambda x: self._project(items, v.item(x), at, depth + 1)) if not isinstance(v, Typed) or isinstance(v.kind, T.ArrayType) else F.lit(None).cast(target)
-            if self.coerce and not (isinstance(v, Typed) and isinstance(v.kind, T.ArrayType)):
+            if coerce and not (isinstance(v, Typed) and isinstance(v.kind, T.ArrayType)):
                 scalar = v.present() & ~v.is_type("array") & ~v.is_type("null") & ~v.is_type("object")
                 many = F.when(scalar, F.array(self._project(items, v, at, depth + 1))).otherwise(many)
             out = many

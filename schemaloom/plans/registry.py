@@ -274,6 +274,21 @@ class Registry:
         """Column functions both ways, applied wherever the schema is referred to."""
         self.transforms[self.expand(schema_id)] = (decode, encode)
 
+    def add_transform_chain(self, schema_id: str, *steps: tuple[Callable, Callable]) -> None:
+        """Pairs of (decode, encode) one after another: decoding goes through them in order, encoding back."""
+
+        def decode(c):
+            for step, _ in steps:
+                c = step(c)
+            return c
+
+        def encode(c):
+            for _, step in reversed(steps):
+                c = step(c)
+            return c
+
+        self.add_transform(schema_id, decode, encode)
+
     def add_keyword(self, name: str, column: Callable, only: str | None = None) -> None:
         """``column(value, argument)`` gives a boolean Column; ``only`` names the JSON type that it applies to."""
         self.keywords[name] = (column, only)

@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import number_text
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -108,8 +110,7 @@ class Typed(Value):
 
     def canonical(self) -> Column:
         if isinstance(self.kind, NUMERIC):
-            whole = F.try_add(self.number(), F.lit(0.0))
-            return F.when((whole == F.floor(whole)) & (F.abs(whole) < 1e15), whole.cast("bigint").cast("string")).otherwise(whole.cast("string"))
+            return number_text(F.try_add(self.number(), F.lit(0.0)))
         if isinstance(self.kind, T.BooleanType):
             return self.col.cast("string")
         if isinstance(self.kind, (T.StringType, *TEMPORAL)):
@@ -176,8 +177,7 @@ class Variant(Value):
 
     def canonical(self) -> Column:
         d = self.number()
-        whole = F.when((d == F.floor(d)) & (F.abs(d) < 1e15), d.cast("bigint").cast("string")).otherwise(d.cast("string"))
-        return F.when(d.isNotNull(), whole).otherwise(F.to_json(self.col))
+        return F.when(d.isNotNull(), number_text(d)).otherwise(F.to_json(self.col))
 
 
 def value_of(col: Column, kind: T.DataType) -> Value:

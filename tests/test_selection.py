@@ -111,7 +111,7 @@ def test_nesting_is_followed_as_deep_as_the_schema_goes(spark):
     only = Emitter(nested(12), only={"urn:deep#n"}).quads(df, "urn:deep", F.col("s"), Variant(F.col("d")))
     assert only.count() == 13
     q, _ = documents(spark, nested(5), "urn:deep", deep(5))
-    found = [r for r in lift(q.localCheckpoint(), nested(5), "urn:deep").collect() if r["s"] == "urn:x"]
+    found = [r for r in lift(q.cache(), nested(5), "urn:deep").collect() if r["s"] == "urn:x"]
     assert found[0]["instance"].asDict(True) == deep(5)
 
 
@@ -120,8 +120,8 @@ def test_recursion_below_the_bound_is_an_error(spark):
     assert documents(spark, r, "urn:r", deep(9))[0].where(F.col("p") == "urn:r#n").count() == 10
     with pytest.raises(Exception, match="nested deeper than 9 times"):
         documents(spark, r, "urn:r", deep(10))[0].collect()
-    three = documents(spark, r, "urn:r", deep(1))[0].localCheckpoint()
+    three = documents(spark, r, "urn:r", deep(1))[0].cache()
     assert {x["s"]: x["instance"]["n"] for x in lift(three, r, "urn:r", depth=1).collect()} == {"urn:x": 0, "urn:x/in": 1}
-    four = documents(spark, r, "urn:r", deep(2))[0].localCheckpoint()
+    four = documents(spark, r, "urn:r", deep(2))[0].cache()
     with pytest.raises(Exception, match="nested deeper than lift"):
         lift(four, r, "urn:r", depth=1).collect()
