@@ -3,7 +3,8 @@
 Tier one is a minimal perfect hash over the vocabulary: a whole pre-token that is an entry resolves with one
 probe. Tier two merges the bytes of a miss on a doubly linked list with a heap of candidate pairs.
 
-Defined results: a null text is encoded as an empty one (no ids, no bytes); special tokens' strings are
+Defined results: a null text is encoded as an empty one (no ids, no bytes); a very long text is encoded whole, and a long
+pre-token in time that grows with its length; of equal ranks the leftmost pair merges first; special tokens' strings are
 ordinary text; repeated rows give repeated results; other columns are ignored; an empty table gives no rows.
 """
 

@@ -4,7 +4,8 @@ For each line hash, HyperLogLog sketches of the sites merge by aggregation. Line
 the threshold are boilerplate outright; lines near it get an exact distinct count. Every occurrence but the
 first (smallest id, then smallest position) is removed. DataFrame functions only.
 
-Defined results: a null text has no lines and stays null; a null site counts for no spread; lines shorter than
+Defined results: a null text has no lines and stays null; an empty text is one empty line; very long texts are split
+whole; a null site counts for no spread; lines shorter than
 ``min_chars`` code points are never boilerplate; rows are told apart by id and text, so repeated rows are treated
 alike (an exact repeat of the first occurrence keeps the line too); other columns pass through, whatever their names
 (columns named n_lines and n_removed are replaced); an empty table gives no rows.

@@ -441,6 +441,71 @@ def wanted_strings(texts: DataFrame, wanted: DataFrame, length: int) -> DataFram
     return map_rows(both, emit, f"a long, doc {kind}, th long, start long, body binary")
 
 
+def repeat_groups(docs: DataFrame, length: int = LENGTH, group_limit: int = GROUP_LIMIT, filter_keys: int = FILTER_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """group_id, length, id, start: the maximal repeat groups of the interval trees, with all their occurrences.
+
+    Repeats are found within contexts, so a longer one is a chain of groups. A context that occurs several times as a whole
+    is a group, too. Groups are told by the hash of their bytes.
+    """
+    texts = text_rows(docs, id_col, text_col).select("*", F.xxhash64("doc", "th").alias("key"))
+    repeated = pinned(anchor_counts(texts, None, length).where("n > 1").select("a"))
+    n_repeated = repeated.count()
+    anchors = bloom_of(repeated, n_repeated) if n_repeated <= filter_keys else None
+    every = occurrences(texts, None, length, anchors=anchors)
+    every = stored(every if anchors else every.join(repeated, "a", "left_semi"))
+    distinct = stored(every.groupBy("a", "uh").agg(F.min(place()).alias("first"), F.max("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    wanted = pinned(distinct.select("first.*"))
+    n_wanted = wanted.count()
+    found = occurrences(texts, None, length, body=True, places=bloom_of(wanted.select("th", "start"), n_wanted)) if n_wanted <= filter_keys else wanted_strings(texts, wanted, length)
+    strings = found.join(distinct.select("a", "first.*"), ["a", "th", "start"], "left_semi").dropDuplicates(["a", "body"])
+    whole = distinct.where("n > 1").select("a", "uh", F.lit(0).cast("long").alias("off"), F.col("size").cast("long").alias("length"), F.col("uh").alias("group_id"))
+    groups = whole.unionByName(_groups(strings.select("a", F.lit(None).cast("long").alias("oa"), F.lit(None).cast("long").alias("uh"), F.lit(0).cast("long").alias("off"), "body"), length, group_limit, 0)).distinct()
+    joined = every.join(groups, ["a", "uh"])
+    return joined.select("group_id", "length", F.col("doc").alias(id_col), (F.col("start") + F.col("off")).alias("start")).distinct()
+
+
+def _groups(strings: DataFrame, length: int, group_limit: int, level: int) -> DataFrame:
+    """a, uh (of the context), off, length, group_id of each occurrence of a group in the strings of an anchor; strings that were cut from a context name it in oa and uh."""
+    told = "a long, uh long, off long, length long, group_id long"
+    digest = lambda b: xxhash.xxh3_64_intdigest(b) - (1 << 63)
+
+    def own(columns):
+        anchor, oa, uh, off, bodies = columns
+        return [[a if o is None else o for a, o in zip(anchor, oa, strict=True)], [digest(b) if u is None else u for b, u in zip(bodies, uh, strict=True)], off, bodies, anchor]
+
+    strings = stored(map_rows(strings.select("a", "oa", "uh", "off", "body"), own, "oa long, uh long, off long, body binary, a long"))
+    sizes = strings.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    if level == len(GRAMS):  # the strings of an anchor are one window
+        both = strings.join(sizes, "a")
+        return both.select(F.col("oa").alias("a"), "uh", "off", F.octet_length("body").cast("long").alias("length"), F.xxhash64("body").alias("group_id"))
+    hot = pinned(sizes.where(F.col("m") > group_limit).select("a"))
+    usual = strings.join(sizes.where(F.col("m") <= group_limit).select("a"), "a", "left_semi")
+    grouped = usual.groupBy("a").agg(F.collect_list(F.struct("oa", "uh", "off", "body")).alias("members"))
+
+    def scan(columns):
+        rows = []
+        for members in columns[0]:
+            bodies = [m["body"] for m in members]
+            for depth, number, offset in repeat_groups_of(bodies, length):
+                group = digest(bodies[number[0]][offset[0] : offset[0] + depth])
+                rows.extend((members[n]["oa"], members[n]["uh"], members[n]["off"] + o, depth, group) for n, o in zip(number.tolist(), offset.tolist(), strict=True))
+        return [list(c) for c in zip(*rows, strict=True)]
+
+    out = map_rows(grouped.select("members"), scan, told)
+    if hot.isEmpty():
+        return out
+
+    def split(columns):
+        oa, uh, off, bodies = columns
+        rows = []
+        for number, start, count, a in contexts(bodies, length, (*GRAMS, length)[level + 1]):
+            rows.extend((h, oa[n], uh[n], off[n] + s, bodies[n][s : s + c + length - 1]) for n, s, c, h in zip(number.tolist(), start.tolist(), count.tolist(), a.tolist(), strict=True))
+        return [list(c) for c in zip(*rows, strict=True)]
+
+    parts = map_rows(strings.join(hot, "a", "left_semi").select("oa", "uh", "off", "body"), split, "a long, oa long, uh long, off long, body binary")
+    return out.unionByName(_groups(parts, length, group_limit, level + 1))
+
+
 def drop_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """id, n_bytes, removed (merged stretches as array<struct<start, end>>), kept (the remaining bytes)."""
     rows, anchors = repeats(docs, length, id_col=id_col, text_col=text_col, **options)

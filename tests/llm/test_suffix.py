@@ -86,3 +86,32 @@ def test_maximal_repeats_by_definition():
                 if len(left) > 1 and len(right) > 1:
                     want.add((len(x), tuple(sorted(occ))))
         assert got == want
+
+
+@pytest.mark.parametrize("limit", [1500, 2])
+def test_repeat_groups_hold_all_occurrences(spark, limit):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdef", k=rng.randrange(2, 8)))
+    passages = [" ".join(word() for _ in range(n)) for n in (25, 40, 70)]
+    rows = []
+    for i in range(25):
+        parts = [" ".join(word() for _ in range(rng.randrange(5, 30)))]
+        for p in passages:
+            if rng.random() < 0.6:
+                parts += [p[rng.randrange(len(p) // 4) :], " ".join(word() for _ in range(rng.randrange(0, 20)))]
+        rows.append((i, " ".join(parts)))
+    rows += [(50, rows[0][1]), (51, "ab" * 150), (52, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {i: (t or "").encode() for i, t in rows}
+    groups = {}
+    for r in S.repeat_groups(docs, group_limit=limit).collect():
+        groups.setdefault((r["group_id"], r["length"]), set()).add((r["doc_id"], r["start"]))
+    gone = {i: set() for i in text}
+    for (_, n), where in groups.items():
+        assert n >= 100
+        assert len(where) > 1
+        assert len({text[i][s : s + n] for i, s in where}) == 1
+        for i, s in where - {min(where)}:
+            gone[i] |= set(range(s, s + n))
+    want = {r["doc_id"]: {b for x in r["removed"] for b in range(x["start"], x["end"])} for r in S.drop_repeats(docs).collect()}
+    assert gone == want
