@@ -2,6 +2,12 @@
 
 Each stage takes what its predecessor kept; all but the last return the columns of ``documents``. Documents that
 line deduplication leaves without text stay, with an empty text.
+
+Defined results: a null text stays null through the first four stages and is encoded as an empty one, without ids; an
+empty text isn't near any other; very long texts are taken whole; rows of a null id are never near-duplicates, and all
+rows of the id that stays of a group stay, so repeated rows stay repeated; of a group of near-duplicates the least id
+stays; a score of 0.5 is toxic; columns besides those of ``documents`` pass through the first four stages, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from schemaloom.llm.bpe import encode_decode
-from schemaloom.llm.common import read, stored
+from schemaloom.llm.common import discard, read, stored
 from schemaloom.llm.decontam import drop_contaminated
 from schemaloom.llm.lines import drop_boilerplate
 from schemaloom.llm.neardup import drop_near_duplicates
@@ -53,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
