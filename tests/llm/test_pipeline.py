@@ -56,3 +56,29 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     before, after = seen["tokens"]
     assert set(after) == set(before)
     assert all(r["round_trip"] for r in after.values())
+
+
+def test_stages_on_nulls_repeats_and_other_columns(spark, sf, tmp_path):
+    """Nulls in any column, empty and repeated rows, a very long text, columns of clashing names, and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, _gone long, score string, rep long"
+    long = "one two three " * 20_000
+    rows = [(1, None, None, None, None, 1, 1, "x", 1), (2, "", "en", "a", 0, 1, 1, "x", 1), (3, "some text of a few words", "en", "a", 24, 1, 1, "x", 1), (3, "some text of a few words", "en", "a", 24, 1, 1, "x", 1)]
+    rows += [(None, "a row without an id", "en", None, 19, None, None, None, None), (4, long, "en", "b", len(long), 1, 1, "x", 1), (5, long, "en", "b", len(long), 1, 1, "x", 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for at, start in enumerate((docs, docs.limit(0))):
+        now = start
+        for name, stage in P.STAGES:
+            out = str(tmp_path / f"{at} {name}")
+            stage(spark, now, sf).write.parquet(out)
+            now = spark.read.parquet(out)
+            if name != "tokens":
+                assert now.columns == docs.columns
+        got = sorted((r["doc_id"] or 0, r["n_tokens"] > 0, r["round_trip"]) for r in now.collect())
+        assert got == ([] if at else [(0, True, True), (1, False, True), (2, False, True), (3, True, True), (3, True, True), (4, True, True)])
+
+
+def test_run_keeps_what_its_stages_keep(spark, sf):
+    docs = read(spark, sf, "documents")
+    for _, stage in P.STAGES:
+        docs = stage(spark, docs, sf)
+    assert sorted(tuple(r) for r in P.run(spark, sf).select("doc_id", "n_tokens").collect()) == sorted(tuple(r) for r in docs.select("doc_id", "n_tokens").collect())
