@@ -48,12 +48,12 @@ def nested_orders(spark, sf, *only: str):
     return own.unionByName(items)
 
 
-def customers(spark, sf):
-    return emitted(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), CUSTOMER, iri("customer", "c_custkey"))
+def customers(spark, sf, *only: str):
+    return emitted(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment"), CUSTOMER, iri("customer", "c_custkey"), *only)
 
 
-def orders(spark, sf):
-    return emitted(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ORDER, iri("order", "o_orderkey"))
+def orders(spark, sf, *only: str):
+    return emitted(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ORDER, iri("order", "o_orderkey"), *only)
 
 
 def order_documents(spark, sf):
@@ -188,6 +188,41 @@ def q_nquads_round_trip(spark, sf):
     return Q.parse_nquads(lines).select("s", "p", "o", "o_datatype")
 
 
+PREFIXES = {"ex": EX, "c": EX + "customer/", "xsd": XSD}
+
+
+@C.query("SELECT 'c:' || c_custkey AS curie, 'https://example.org/customer/' || c_custkey AS iri FROM customer")
+def q_curies(spark, sf):
+    """The longest namespace makes the CURIE; back it is the same IRI."""
+    df = table(spark, sf, "customer").select(Q.compact_iri(iri("customer", "c_custkey"), PREFIXES).alias("curie"))
+    return df.select("curie", Q.expanded_iri(F.col("curie"), PREFIXES).alias("iri"))
+
+
+@C.query("SELECT '_:c' || (row_number() OVER (ORDER BY 'x' || c_custkey) - 1) AS s, c_mktsegment AS o FROM customer")
+def q_issued(spark, sf):
+    """Subjects without a name of their own: well-known genids, then blank nodes, then issued names."""
+    df = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    q = Q.Emitter(Registry(REGISTRY), only={P["c_mktsegment"]}).quads(df, CUSTOMER["$id"], Q.well_known_genid(EX, F.concat(F.lit("x"), F.col("c_custkey").cast("string"))), row_value(df))
+    return Q.issued(Q.deskolemized(q)).select("s", "o")
+
+
+@C.query("SELECT o_orderkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_lines FROM orders WHERE o_orderkey = 7")
+def q_lift_one(spark, sf):
+    x = Q.lift_one(nested_orders(spark, sf), Registry(REGISTRY), ORDER["$id"], EX + "order/7")
+    return x.select("instance.o_orderkey", F.coalesce(F.size("instance.lines"), F.lit(0)).cast("bigint").alias("n_lines"))
+
+
+@C.query(f"SELECT head, idx, item FROM (SELECT '_:{{o}}/' || l_orderkey || '/0' AS head, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1)::INTEGER AS idx, l_partkey::VARCHAR AS item FROM lineitem)".replace("{o}", "l"))
+def q_lists(spark, sf):
+    """The parts of each order as an RDF list, taken apart again."""
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", (F.row_number().over(place) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")).alias("n"))
+    cell = lambda i: F.concat(F.lit("_:l/"), F.col("l_orderkey").cast("string"), F.lit("/"), i.cast("string"))
+    first = F.struct(F.lit(RDF + "first").alias("p"), F.col("l_partkey").cast("string").alias("o"))
+    rest = F.struct(F.lit(RDF + "rest").alias("p"), F.when(F.col("i") + 1 < F.col("n"), cell(F.col("i") + 1)).otherwise(RDF + "nil").alias("o"))
+    return Q.lists(lines.select(cell(F.col("i")).alias("s"), F.inline(F.array(first, rest))))
+
+
 _ODD = r"""'C:\temp\new \\u0041 \U0001F600 "' || chr(9) || chr(10) || chr(13) || chr(92) || chr(1) || chr(8) || chr(127) || chr(128512) || '\' || c_name"""
 
 
@@ -211,7 +246,8 @@ def q_jsonld_nodes(spark, sf):
 
 def graph(spark, sf) -> Graph:
     """Customers and orders; an order's customer key is a literal that identifies the customer."""
-    return Graph(customers(spark, sf).unionByName(orders(spark, sf)), identity={P["c_custkey"]: KEY["$id"]}, ranges={P["o_custkey"]: [KEY["$id"]]}, domains={P[n]: [CUSTOMER["$id"]] for n in CUSTOMER["properties"]}, resolver=lambda n: P[n])
+    source = lambda only: customers(spark, sf, *only).unionByName(orders(spark, sf, *only))
+    return Graph(source(()), source=source, identity={P["c_custkey"]: KEY["$id"]}, ranges={P["o_custkey"]: [KEY["$id"]]}, domains={P[n]: [CUSTOMER["$id"]] for n in CUSTOMER["properties"]}, resolver=lambda n: P[n])
 
 
 def geography(spark, sf) -> Graph:

@@ -17,22 +17,22 @@ from .common import EVENT_DOC, Catalogue, compiler, event_docs, table
 C = Catalogue()
 ID = "urn:example:"
 CUSTOMER = G.CUSTOMER | {"required": ["c_custkey"], "properties": G.CUSTOMER["properties"] | {"c_acctbal": {"type": "number", "minimum": 0}, "c_mktsegment": {"enum": ["BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD"]}}}
-TREE = [{"$id": ID + "Book", "type": "object", "properties": {"isbn": {"type": "string"}}}, *({"$id": ID + a, "allOf": [{"$ref": ID + b}]} for a, b in (("PrintBook", "Book"), ("EBook", "Book"), ("RareBook", "PrintBook")))]
+TREE = [{"$id": ID + "Order", "type": "object", "properties": {"code": {"type": "string"}}}, *({"$id": ID + a, "allOf": [{"$ref": ID + b}]} for a, b in (("OpenOrder", "Order"), ("ClosedOrder", "Order"), ("UrgentOrder", "OpenOrder")))]
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}PrintBook', '{ID}Book'), ('{ID}EBook', '{ID}Book'), ('{ID}RareBook', '{ID}PrintBook')) v(s, o)")
+@C.query(f"SELECT * FROM (VALUES ('{ID}OpenOrder', '{ID}Order'), ('{ID}ClosedOrder', '{ID}Order'), ('{ID}UrgentOrder', '{ID}OpenOrder')) v(s, o)")
 def o_owl_sub_classes(spark, sf):
     q = emit.owl(Registry(TREE)).frame(spark)
     return q.where((F.col("p") == RDFS + "subClassOf") & (F.col("o_kind") == "iri")).select("s", "o")
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}Book', 'Class'), ('{ID}PrintBook', 'Class'), ('{ID}EBook', 'Class'), ('{ID}RareBook', 'Class'), ('{ID}Book#isbn', 'DatatypeProperty')) v(s, kind)")
+@C.query(f"SELECT * FROM (VALUES ('{ID}Order', 'Class'), ('{ID}OpenOrder', 'Class'), ('{ID}ClosedOrder', 'Class'), ('{ID}UrgentOrder', 'Class'), ('{ID}Order#code', 'DatatypeProperty')) v(s, kind)")
 def o_owl_terms(spark, sf):
     q = emit.owl(Registry(TREE)).frame(spark)
     return q.where((F.col("p") == TYPE) & F.col("o").isin(OWL + "Class", OWL + "DatatypeProperty")).select("s", F.substring_index("o", "#", -1).alias("kind"))
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}Book', 0), ('{ID}PrintBook', 1), ('{ID}EBook', 1), ('{ID}RareBook', 1)) v(schema_id, n_parents)")
+@C.query(f"SELECT * FROM (VALUES ('{ID}Order', 0), ('{ID}OpenOrder', 1), ('{ID}ClosedOrder', 1), ('{ID}UrgentOrder', 1)) v(schema_id, n_parents)")
 def o_owl_import(spark, sf):
     """Schemas to an ontology and back."""
     r = Registry(importer.import_owl(emit.owl(Registry(TREE)).frame(spark)).schemas.values())
@@ -48,18 +48,29 @@ def o_shacl_from_schema(spark, sf):
     return out.select("focus_node", F.regexp_extract("component", r"#(\w+)ConstraintComponent$", 1).alias("component"))
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}PrintBook', '{ID}Book', 'subClassOf'), ('{ID}EBook', '{ID}Book', 'subClassOf'), ('{ID}RareBook', '{ID}PrintBook', 'subClassOf')) v(source, target, kind)")
+@C.query(f"SELECT * FROM (VALUES ('{ID}OpenOrder', '{ID}Order', 'subClassOf'), ('{ID}ClosedOrder', '{ID}Order', 'subClassOf'), ('{ID}UrgentOrder', '{ID}OpenOrder', 'subClassOf')) v(source, target, kind)")
 def o_viz_edges(spark, sf):
     return viz.edges(Registry(TREE), spark)
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}Book', 3), ('{ID}PrintBook', 2), ('{ID}EBook', 2), ('{ID}RareBook', 2)) v(schema_id, n)")
+@C.query(f"SELECT * FROM (VALUES ('{ID}Order', 3), ('{ID}OpenOrder', 2), ('{ID}ClosedOrder', 2), ('{ID}UrgentOrder', 2)) v(schema_id, n)")
 def o_schema_nodes(spark, sf):
     """Sub-schemas of each schema as rows."""
     nodes = Registry([*TREE[1:], TREE[0] | {"$defs": {"x": {"type": "string"}}}]).nodes(spark)
     return nodes.groupBy("schema_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+@C.query(f"SELECT * FROM (VALUES ('{ID}OpenOrder', 'subClassOf', '{ID}Order'), ('{ID}ClosedOrder', 'subClassOf', '{ID}Order'), ('{ID}UrgentOrder', 'subClassOf', '{ID}OpenOrder'), ('{ID}sale', 'range', '{ID}Order'), ('{ID}sale', 'required', '{ID}sale#of')) v(source, kind, target)")
+def o_relations(spark, sf):
+    r = Registry([*TREE, {"$id": ID + "sale", "required": ["of"], "properties": {"of": {"$ref": ID + "Order"}}}])
+    return r.relations(spark).where(~F.col("kind").startswith("has ")).select("source", "kind", "target")
+
+
+@C.query(f"SELECT * FROM (VALUES ('', NULL, 0), ('/properties/a', '', 1), ('/properties/a/items', '/properties/a', 2)) v(pointer, parent, depth)")
+def o_schema_tree(spark, sf):
+    return Registry([{"$id": ID + "t", "properties": {"a": {"items": {"type": "string"}}}}]).tree(spark).select("pointer", "parent", "depth")
+
+
 @C.query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, year(o_orderdate)::INTEGER AS y FROM orders")
 def t_transform_decode(spark, sf):
     """A transform decodes wherever its schema is referred to."""

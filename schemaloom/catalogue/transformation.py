@@ -27,8 +27,7 @@ B = "CASE WHEN json_type(d, '$.b') = 'ARRAY' THEN '1,2,2' END"
 
 def _projected(spark, sf_dir, coerce: bool, defaults: bool):
     p = P.Projector(Registry([DOC]), coerce=coerce, defaults=defaults)
-    made = p.project(ID + "doc", Variant(F.col("doc")))
-    out = event_docs(spark, sf_dir).select("event_id", made.alias("x"))
+    out = p.project_column(event_docs(spark, sf_dir), ID + "doc", "doc", "x")
     return out.select("event_id", F.col("x.k").alias("k"), F.col("x.z").alias("z"), F.array_join("x.b", ",").alias("b"), F.col("x.n_1").alias("n_1"))
 
 

@@ -102,8 +102,10 @@ class Emitter:
         return self._exploded(df, place, self._one(self.predicate(own.root, name, sub), target.get("items", {}), at, owner, value, nested, (id(self.registry[key]),)))
 
     def _exploded(self, df: DataFrame, place: Column, quads: Column) -> DataFrame:
+        rows = list(self.templates)
+        if not rows:
+            return df.sparkSession.createDataFrame([], SCHEMA)
         made = df.select(place.alias("_place"), F.posexplode(quads).alias("_pos", "q")).where(F.col("q.o").isNotNull())
-        rows = list(self.templates) or [(None,) * 6]
         of = lambda i: F.element_at(F.array(*(F.lit(r[i]).cast("string") for r in rows)), F.col("q.t") + 1)
         s_kind = F.when(F.col("q.qs").isNotNull(), "triple").when(F.col("q.s").startswith("_:"), "bnode").otherwise("iri")
         return made.select(
@@ -511,6 +513,57 @@ def hashed(base: str, *values: Column) -> Column:
     return F.concat(F.lit(base), F.lower(F.hex(F.xxhash64(*values))))
 
 
+def random_subject(base: str) -> Column:
+    """A subject of its own for each row; another one each time it is asked for, so its rows should be stored."""
+    return F.concat(F.lit(base), F.uuid())
+
+
+def first_subject(*made: Column) -> Column:
+    """The first of several ways to name a subject that gives one."""
+    return F.coalesce(*made)
+
+
+def is_genid(c: Column) -> Column:
+    return c.contains("/.well-known/genid/")
+
+
+def compact_iri(c: Column, prefixes: dict[str, str]) -> Column:
+    """IRIs as CURIEs under the longest namespace that they start with."""
+    out = None
+    for name, base in sorted(prefixes.items(), key=lambda x: (-len(x[1]), x[0])):
+        short = F.concat(F.lit(name + ":"), F.substring(c, len(base) + 1, 1 << 30))
+        out = F.when(c.startswith(base), short) if out is None else out.when(c.startswith(base), short)
+    return c if out is None else out.otherwise(c)
+
+
+def expanded_iri(c: Column, prefixes: dict[str, str]) -> Column:
+    """CURIEs as IRIs; what has no known prefix, or // after its colon, stays."""
+    out = None
+    for name, base in sorted(prefixes.items()):
+        mine = c.startswith(name + ":") & ~c.startswith(name + "://")
+        full = F.concat(F.lit(base), F.substring(c, len(name) + 2, 1 << 30))
+        out = F.when(mine, full) if out is None else out.when(mine, full)
+    return c if out is None else out.otherwise(c)
+
+
+def issued(q: DataFrame, prefix: str = "_:c") -> DataFrame:
+    """Blank nodes under issued names: numbered from 0 in order of their labels, the same in subjects and objects."""
+    from .selection import Graph, Selection
+
+    blank = q.where(F.col("s_kind") == "bnode").select(F.col("s").alias("iri")).unionByName(q.where(F.col("o_kind") == "bnode").select(F.col("o").alias("iri"))).distinct()
+    names = Selection(Graph(q), blank.select(F.lit(0).cast("bigint").alias("ord"), "iri")).numbered()
+    names = names.select("iri", F.concat(F.lit(prefix), (F.col("place") - 1).cast("string")).alias("name"))
+    for c, kind in (("s", "s_kind"), ("o", "o_kind")):
+        known = names.select(F.col("iri").alias("_was"), F.col("name").alias("_is"))
+        q = q.join(known, (F.col(kind) == "bnode") & (F.col(c) == F.col("_was")), "left").withColumn(c, F.coalesce("_is", c)).drop("_was", "_is")
+    return q
+
+
+def lift_one(q: DataFrame, registry: Registry, schema_id: str, iri: str, emitter: Emitter | None = None) -> DataFrame:
+    """s, instance of one subject: only its own quads and those of what is nested under it are read."""
+    return lift(q.where((F.col("s") == iri) | F.col("s").startswith(iri + "/")), registry, schema_id, emitter).where(F.col("s") == iri)
+
+
 def deskolemized(q: DataFrame) -> DataFrame:
     """Well-known genid IRIs as blank nodes."""
     genid = r"/\.well-known/genid/"

@@ -43,12 +43,20 @@ class Graph:
     may refer to; ``domains``: predicate -> classes. They are schema-sized; the quads are not.
     """
 
-    def __init__(self, quads: DataFrame, identity: dict[str, str] | None = None, ranges: dict[str, list[str]] | None = None, domains: dict[str, list[str]] | None = None, resolver: Callable[[str], str] = lambda name: name, schema: DataFrame | None = None):
-        self.quads, self.identity, self.ranges, self.domains, self.resolver, self.schema = quads, identity or {}, ranges or {}, domains or {}, resolver, schema
-        self._types = quads.where(F.col("p") == TYPE)
+    def __init__(self, quads: DataFrame, identity: dict[str, str] | None = None, ranges: dict[str, list[str]] | None = None, domains: dict[str, list[str]] | None = None, resolver: Callable[[str], str] = lambda name: name, schema: DataFrame | None = None, source: Callable[[set[str]], DataFrame] | None = None):
+        """``source`` gives the quads of some predicates where that is cheaper than to filter all: an emitter told what is wanted, or folders by predicate."""
+        self.quads, self.identity, self.ranges, self.domains, self.resolver, self.schema, self.source = quads, identity or {}, ranges or {}, domains or {}, resolver, schema, source
+
+    def of_predicates(self, *predicates: str) -> DataFrame:
+        found = self.quads if self.source is None else self.source(set(predicates))
+        return found.where(F.col("p").isin(*predicates))
+
+    @property
+    def _types(self) -> DataFrame:
+        return self.of_predicates(TYPE)
 
     @classmethod
-    def of(cls, registry: Registry, quads: DataFrame, emitter: Emitter | None = None, schema: DataFrame | None = None) -> Graph:
+    def of(cls, registry: Registry, quads: DataFrame, emitter: Emitter | None = None, schema: DataFrame | None = None, source: Callable[[set[str]], DataFrame] | None = None) -> Graph:
         """A graph whose identity, ranges and domains come from the registry's schemas.
 
         A property that is inverse functional identifies its class's instances: its range is the schema that it refers to,
@@ -95,7 +103,7 @@ class Graph:
                 raise KeyError(f"{name} is a property of {len(found)} predicates")
             return next(iter(found))
 
-        return cls(quads, identity, ranges, domains, resolve, schema)
+        return cls(quads, identity, ranges, domains, resolve, schema, source)
 
     def predicate(self, token: str) -> str:
         return token if "://" in token or token.startswith(("urn:", "_:")) else self.resolver(token)
@@ -125,12 +133,12 @@ class Graph:
     def entities(self, wanted: str) -> DataFrame:
         """value, entity: the instances that inverse-functional properties of a range identify; of several the last wins."""
         mine = [p for p, r in self.identity.items() if r == wanted]
-        found = self.quads.where(F.col("p").isin(mine) & (F.col("o_kind") == "literal"))
+        found = self.of_predicates(*mine).where(F.col("o_kind") == "literal")
         return found.groupBy(F.col("o").alias("value")).agg(F.max_by("s", F.struct("ord", "s")).alias("entity"))
 
     def edges(self, p: str) -> DataFrame:
         """s, o, ord of a predicate, literals resolved to the entities that they identify; unresolved ones stay."""
-        out = self.quads.where(F.col("p") == p).select("s", "o", "o_kind", "ord")
+        out = self.of_predicates(p).select("s", "o", "o_kind", "ord")
         wanted = self.foreign_range(p)
         if wanted is None:
             return out.select("s", "o", "ord")
@@ -140,11 +148,11 @@ class Graph:
 
     def inverse_edges(self, p: str) -> DataFrame:
         """s, o, ord for going backwards: direct links, and literal holders to the entity that they refer to, save itself."""
-        direct = self.quads.where(F.col("p") == p).select("s", "o", "ord")
+        direct = self.of_predicates(p).select("s", "o", "ord")
         wanted = self.foreign_range(p)
         if wanted is None:
             return direct
-        held = self.quads.where((F.col("p") == p) & (F.col("o_kind") == "literal") & (F.col("s_kind") == "iri"))
+        held = self.of_predicates(p).where((F.col("o_kind") == "literal") & (F.col("s_kind") == "iri"))
         through = held.join(self.entities(wanted), F.col("o") == F.col("value")).where(F.col("s") != F.col("entity"))
         return direct.unionByName(through.select("s", F.col("entity").alias("o"), "ord"))
 
@@ -215,7 +223,8 @@ class Selection:
         """Those with a value of a predicate that equals a constant: text, number or boolean as the datatype decodes."""
         from .quads import DECIMAL_TYPES, INTEGER_TYPES
 
-        q = self.graph.quads if self.graph.schema is None else self.graph.quads.unionByName(self.graph.schema)
+        q = self.graph.of_predicates(self.graph.predicate(p))
+        q = q if self.graph.schema is None else q.unionByName(self.graph.schema)
         name = F.substring_index("o_datatype", "#", -1)
         if isinstance(value, bool):
             fits = (name == "boolean") & (F.col("o").isin("true", "1") == F.lit(value))

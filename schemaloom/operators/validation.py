@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.formats import strict_json
-from ..plans.compiler import Compiler
+from ..plans.compiler import Compiler, _At
 from ..plans.project import Projector
-from ..plans.values import Typed, Value, Variant, value_of
+from ..plans.values import Typed, Value, Variant, hold, value_of
 
 
 def row_value(df: DataFrame, column: str | None = None) -> Value:
@@ -80,8 +80,10 @@ def instantiate(df: DataFrame, compiler: Compiler, schema_id: str, column: str,
     """
     registry = compiler.registry
     key = registry.expand(schema_id)
-    raw = row_value(df, column)
     projector = Projector(registry, coerce=cast, defaults=True)
+    columns, raw = df.columns, row_value(df, column)
+    if isinstance(raw, Variant):
+        df, raw = hold(df, column, list(projector.properties(registry[key], _At(key))))
     made = projector.project(schema_id, raw)
     kind = projector.struct_type(schema_id)
     df = df.withColumn("_made", made)  # made once; the checks below only read it
@@ -97,8 +99,8 @@ def instantiate(df: DataFrame, compiler: Compiler, schema_id: str, column: str,
         made = F.struct(*(made[n].alias(n) for n in kind.names if n not in computed), *(f(Typed(made, kind)).alias(n) for n, f in computed.items()))
     out = df.withColumn("errors", errors)
     if policy == "failfast":
-        return out.withColumn("instance", F.when(F.size("errors") == 0, made).otherwise(F.raise_error(F.to_json("errors")).cast(kind) if not computed else F.raise_error(F.to_json("errors")))).drop("_made")
-    return out.withColumn("instance", F.when(F.size("errors") == 0, made)).drop("_made")
+        return out.withColumn("instance", F.when(F.size("errors") == 0, made).otherwise(F.raise_error(F.to_json("errors")).cast(kind) if not computed else F.raise_error(F.to_json("errors")))).select(*columns, "errors", "instance")
+    return out.withColumn("instance", F.when(F.size("errors") == 0, made)).select(*columns, "errors", "instance")
 
 
 def materialize(df: DataFrame, compiler: Compiler, schema_id: str, column: str, partial: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,7 @@ from ..functions.hashing import text
 from ..functions.numbers import number_text
 from .compiler import _At
 from .registry import Registry, Schema, config, ext
-from .values import Typed, Value, Variant
+from .values import Typed, Value, Variant, hold
 
 DEFAULT_DEPTH = 8
 
@@ -112,6 +112,14 @@ class Projector:
         key = self.registry.expand(schema_id)
         return self._project(self.registry[key], v, _At(key), 0)
 
+    def project_column(self, df: DataFrame, schema_id: str, column: str, name: str) -> DataFrame:
+        """df with the projection of a VARIANT column. Its declared members are taken out first, each once."""
+        key = self.registry.expand(schema_id)
+        props = self.properties(self.registry[key], _At(key))
+        keys = dict.fromkeys([*props, *(a for s, _ in props.values() if isinstance(a := ext(s, "alias"), str))])
+        held, value = hold(df, column, list(keys))
+        return held.withColumn(name, self.project(schema_id, value)).select(*df.columns, name)
+
     def default_of(self, s: Schema, at: _At, depth: int = 0) -> Any:
         """The explicit default, or that of a reference, or the object of nested defaults; None where there is none."""
         if not isinstance(s, dict) or depth > DEFAULT_DEPTH:

@@ -71,6 +71,7 @@ class Registry:
         self.keywords: dict[str, tuple[Callable, str | None]] = {}
         self.same: set[tuple[str, str]] = set()
         self.different: set[tuple[str, str]] = set()
+        self.characteristics: dict[str, set[str]] = {}
         for s in schemas:
             self.set(s)
 
@@ -241,6 +242,14 @@ class Registry:
     def different_from(self, a: str, b: str) -> None:
         self.different.add(tuple(sorted((a, b))))
 
+    def add_characteristic(self, predicate: str, kind: str) -> None:
+        """Say of a predicate that it is functional, symmetric, transitive and so on; kinds that contradict each other are an error."""
+        known = self.characteristics.setdefault(self.expand(predicate), set())
+        for a, b in CONFLICTS:
+            if kind in (a, b) and (known & {a, b}) - {kind}:
+                raise SchemaError(f"{predicate} can't be {a} and {b}")
+        known.add(kind)
+
     def assert_identity_consistency(self) -> None:
         up: dict[str, str] = {}
 
@@ -313,6 +322,42 @@ class Registry:
         rows = [(k, json.dumps(s), structural_hash(s)) for k, s in self._schemas.items()]
         return spark.createDataFrame(rows, "schema_id string, body string, hash string")
 
+    def relations(self, spark):
+        """source, pointer, kind, target: what schemas say of each other and of their own parts, one row for each statement.
+
+        A reference is of the kind of the keyword that it stands under (a reference in allOf is a subclass), a sub-schema of
+        the kind that leads to it, with its own pointer as the target.
+        """
+        rows = []
+        for key in self:
+            for pointer, s in subschemas(self[key]):
+                if not isinstance(s, dict):
+                    continue
+                place = pointer.split("/")
+                under = next((x for x in reversed(place) if x in (*ONE, *MANY, *MAPPED)), "")
+                for k in ("$ref", "$dynamicRef"):
+                    if isinstance(s.get(k), str):
+                        kind = "subClassOf" if place[1:2] == ["allOf"] and len(place) == 3 else "range" if place[1:2] == ["properties"] and len(place) == 3 else under or "sameSchema"
+                        rows.append((key, pointer, kind, self.expand(s[k]) if not s[k].startswith("#") else key + s[k]))
+                for k in ("disjointWith", "equivalentTo", "rdfs:range"):
+                    for t in s[k] if isinstance(s.get(k), list) else [s[k]] if k in s else []:
+                        rows.append((key, pointer, k.removeprefix("rdfs:"), self.expand(t["$ref"] if isinstance(t, dict) else t)))
+                rows += [(key, pointer, "inverseFunctional", f"{key}#{place[-1]}")] if s.get("inverseFunctional") else []
+                rows += [(key, pointer, "required", f"{key}#{n}") for n in s.get("required", [])]
+                if pointer:
+                    rows.append((key, pointer, f"has {under}", f"{key}#{pointer}"))
+        return spark.createDataFrame(rows, "source string, pointer string, kind string, target string")
+
+    def tree(self, spark):
+        """schema_id, pointer, parent, depth: where each sub-schema stands; going up and down is a join on parent."""
+        rows = []
+        for key in self:
+            known = [p for p, _ in subschemas(self[key])]
+            for p in known:
+                above = [x for x in known if x != p and p.startswith(x + "/")]
+                rows.append((key, p, max(above, key=len) if above else None, len(above)))
+        return spark.createDataFrame(rows, "schema_id string, pointer string, parent string, depth int")
+
     def nodes(self, spark):
         """schema_id, pointer, body, hash: every sub-schema, for analytics (duplicates are then a join on hash)."""
         rows = [(k, p, json.dumps(s), structural_hash(s)) for k in self for p, s in subschemas(self[k])]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,7 +69,8 @@ class Typed(Value):
                 return F.coalesce(~F.isnan(self.col) & (F.abs(self.col) < float("inf")), F.lit(False))
             return self.col.isNotNull()
         if name == "integer" and isinstance(k, NUMERIC):
-            return F.coalesce((self.col == F.floor(self.col)) & (F.abs(self.col) < float("inf")), F.lit(False))
+            whole = self.col == F.floor(self.col) if isinstance(k, T.DecimalType) else self.col == F.rint(self.col)
+            return F.coalesce(whole & (F.abs(self.col) < float("inf")), F.lit(False))
         fits = {"string": (T.StringType, *TEMPORAL), "boolean": T.BooleanType, "array": T.ArrayType, "object": (T.StructType, T.MapType)}.get(name)
         return self.col.isNotNull() if fits and isinstance(k, fits) else F.lit(False)
 
@@ -145,7 +146,7 @@ class Variant(Value):
             fits = s.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
         elif name == "integer":
             d = self.number()
-            fits = s.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (d == F.floor(d)) & (F.abs(d) < float("inf"))
+            fits = s.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") & (d == F.rint(d)) & (F.abs(d) < float("inf"))
         else:
             fits = s.startswith({"string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}[name])
         return F.coalesce(fits, F.lit(False))
@@ -180,6 +181,49 @@ class Variant(Value):
         return F.when(d.isNotNull(), number_text(d)).otherwise(F.to_json(self.col))
 
 
+class Held(Variant):
+    """A variant whose kind, text and number are columns already."""
+
+    def __init__(self, name: str):
+        super().__init__(F.col(name))
+        self.schema, self._text, self._number = (F.col(f"{name}_{x}") for x in ("kind", "text", "number"))
+
+    def text(self) -> Column:
+        return self._text
+
+    def number(self) -> Column:
+        return self._number
+
+
+class Members(Variant):
+    """An object of which some members are held."""
+
+    def __init__(self, col: Column, is_object: Column, members: dict[str, Held]):
+        super().__init__(col)
+        self.is_object, self.members = is_object, members
+
+    def is_type(self, name: str) -> Column:
+        return self.is_object if name == "object" else super().is_type(name)
+
+    def get(self, key: str) -> Value:
+        return self.members.get(key) or super().get(key)
+
+
+def hold(df: DataFrame, column: str, keys: list[str]) -> tuple[DataFrame, Members]:
+    """df with helper columns for members of a variant, and the variant as a value that reads them.
+
+    Coercion asks for a member's kind, text and number again and again; so each is taken out of the variant once.
+    """
+    names = {k: f"_member{i}" for i, k in enumerate(keys)}
+    whole = Variant(F.col(column))
+    df = df.withColumns({n: whole.get(k).col for k, n in names.items()} | {"_is_object": whole.is_type("object")})
+    df = df.withColumns({f"{n}_kind": F.schema_of_variant(F.col(n)) for n in names.values()})
+    kind = lambda n: F.col(f"{n}_kind")
+    text = {f"{n}_text": F.when(kind(n) == "STRING", F.try_variant_get(F.col(n), "$", "string")) for n in names.values()}
+    number = {f"{n}_number": F.when(kind(n).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(F.col(n), "$", "double")) for n in names.values()}
+    return df.withColumns(text | number), Members(F.col(column), F.col("_is_object"), {k: Held(n) for k, n in names.items()})
+
+
 def value_of(col: Column, kind: T.DataType) -> Value:
     return Variant(col) if isinstance(kind, T.VariantType) else Typed(col, kind)
 

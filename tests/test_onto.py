@@ -16,14 +16,14 @@ from schemaloom.plans.project import access_path
 from schemaloom.plans.registry import Registry
 from schemaloom.sources import loaders, tables
 
-B = "https://books.example/"
+B = "https://parts.example/"
 SCHEMAS = [
-    {"$id": B + "Isbn", "type": "string", "pattern": "^[0-9]{13}$"},
-    {"$id": B + "Status", "enum": ["inPrint", "outOfPrint"]},
-    {"$id": B + "Money", "type": "object", "properties": {"amount": {"type": "number", "minimum": 0}, "currency": {"type": "string"}}, "required": ["amount"]},
-    {"$id": B + "Book", "type": "object", "title": "Book", "required": ["isbn"], "properties": {"isbn": {"$ref": B + "Isbn", "inverseFunctional": True}, "price": {"$ref": B + "Money"}, "status": {"$ref": B + "Status"}, "pages": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}},
-    {"$id": B + "EBook", "type": "object", "allOf": [{"$ref": B + "Book"}], "disjointWith": B + "Money"},
-    {"$id": B + "NotMoney", "not": {"$ref": B + "Money"}},
+    {"$id": B + "Code", "type": "string", "pattern": "^[0-9]{13}$"},
+    {"$id": B + "Status", "enum": ["inStock", "soldOut"]},
+    {"$id": B + "Price", "type": "object", "properties": {"amount": {"type": "number", "minimum": 0}, "currency": {"type": "string"}}, "required": ["amount"]},
+    {"$id": B + "Part", "type": "object", "title": "Part", "required": ["code"], "properties": {"code": {"$ref": B + "Code", "inverseFunctional": True}, "price": {"$ref": B + "Price"}, "status": {"$ref": B + "Status"}, "size": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}}},
+    {"$id": B + "SparePart", "type": "object", "allOf": [{"$ref": B + "Part"}], "disjointWith": B + "Price"},
+    {"$id": B + "NotPrice", "not": {"$ref": B + "Price"}},
 ]
 
 
@@ -31,27 +31,27 @@ def test_owl_round_trip(spark):
     got = importer.import_owl(emit.owl(Registry(SCHEMAS)).frame(spark))
     assert not got.unsupported
     assert set(got.schemas) == {s["$id"] for s in SCHEMAS}
-    assert got.schemas[B + "Isbn"] == SCHEMAS[0]
-    assert got.schemas[B + "Status"]["enum"] == ["inPrint", "outOfPrint"]
-    assert got.schemas[B + "EBook"]["allOf"] == [{"$ref": B + "Book"}]
-    assert got.schemas[B + "EBook"]["disjointWith"] == B + "Money"
-    assert got.schemas[B + "NotMoney"]["not"] == {"$ref": B + "Money"}
-    book = got.schemas[B + "Book"]
-    assert book["required"] == ["isbn"]
-    assert book["title"] == "Book"
-    assert book["properties"]["isbn"] == {"$ref": B + "Isbn", "inverseFunctional": True}
-    assert book["properties"]["price"] == {"$ref": B + "Money"}
-    assert book["properties"]["pages"] == {"type": "integer"}
-    assert book["properties"]["tags"] == {"type": "array", "items": {"type": "string"}}
+    assert got.schemas[B + "Code"] == SCHEMAS[0]
+    assert got.schemas[B + "Status"]["enum"] == ["inStock", "soldOut"]
+    assert got.schemas[B + "SparePart"]["allOf"] == [{"$ref": B + "Part"}]
+    assert got.schemas[B + "SparePart"]["disjointWith"] == B + "Price"
+    assert got.schemas[B + "NotPrice"]["not"] == {"$ref": B + "Price"}
+    part = got.schemas[B + "Part"]
+    assert part["required"] == ["code"]
+    assert part["title"] == "Part"
+    assert part["properties"]["code"] == {"$ref": B + "Code", "inverseFunctional": True}
+    assert part["properties"]["price"] == {"$ref": B + "Price"}
+    assert part["properties"]["size"] == {"type": "integer"}
+    assert part["properties"]["tags"] == {"type": "array", "items": {"type": "string"}}
     assert "SCHEMAS = [" in importer.codegen(got)
     compile(importer.codegen(got), "generated", "exec")
 
 
 def test_shapes_of_schemas_judge_their_instances(spark):
     r = Registry(SCHEMAS)
-    df = spark.createDataFrame([("a", "1234567890123", 5), ("b", "x", 6), ("c", None, 7)], "k string, isbn string, pages int")
+    df = spark.createDataFrame([("a", "1234567890123", 5), ("b", "x", 6), ("c", None, 7)], "k string, code string, size int")
     e = Emitter(r)
-    q = e.quads(df, B + "Book", F.concat(F.lit(B + "i/"), F.col("k")), row_value(df))
+    q = e.quads(df, B + "Part", F.concat(F.lit(B + "i/"), F.col("k")), row_value(df))
     out = shacl.validate(emit.shacl(r).frame(spark), q)
     assert {(x["focus_node"][-1], x["component"].rpartition("#")[2]) for x in out.collect()} == {("b", "PatternConstraintComponent"), ("c", "MinCountConstraintComponent")}
 
@@ -63,34 +63,34 @@ def test_jsonld_and_lists(spark):
 
 
 def test_quads_are_stored_by_predicate(spark, tmp_path):
-    df = spark.createDataFrame([("a", 5), ("b", 6)], "k string, pages int")
-    q = Emitter(Registry(SCHEMAS)).quads(df, B + "Book", F.col("k"), row_value(df))
+    df = spark.createDataFrame([("a", 5), ("b", 6)], "k string, size int")
+    q = Emitter(Registry(SCHEMAS)).quads(df, B + "Part", F.col("k"), row_value(df))
     tables.write_quads(q, str(tmp_path / "q"))
-    only = tables.read_predicate(spark, str(tmp_path / "q"), B + "Book#pages")
+    only = tables.read_predicate(spark, str(tmp_path / "q"), B + "Part#size")
     assert sorted(r["o"] for r in only.collect()) == ["5", "6"]
     assert "PartitionFilters: [isnotnull" in only._jdf.queryExecution().executedPlan().toString()
 
 
 def test_loaders_and_artifacts(tmp_path):
     source = loaders.cached(loaders.compose(loaders.memory({}), loaders.memory({s["$id"]: s for s in SCHEMAS})))
-    got = loaders.prefetch(source, [B + "EBook", "urn:none"])
-    assert {s["$id"] for s in got["schemas"]} == {B + n for n in ("EBook", "Book", "Isbn", "Money", "Status")}
+    got = loaders.prefetch(source, [B + "SparePart", "urn:none"])
+    assert {s["$id"] for s in got["schemas"]} == {B + n for n in ("SparePart", "Part", "Code", "Price", "Status")}
     assert got["loadResult"]["missing"] == ["urn:none"]
     path = tmp_path / "a.json"
     loaders.save(Registry(SCHEMAS), str(path))
     assert loaders.load(str(path)).values() == SCHEMAS
-    path.write_text(path.read_text().replace("outOfPrint", "gone"))
+    path.write_text(path.read_text().replace("soldOut", "gone"))
     with pytest.raises(loaders.LoadError):
         loaders.load(str(path))
 
 
 def test_composition():
-    book = SCHEMAS[3]
-    assert compose.pick(book, ["isbn"], "urn:p") == {"$id": "urn:p", "type": "object", "properties": {"isbn": book["properties"]["isbn"]}, "required": ["isbn"]}
-    assert "required" not in compose.omit(book, ["isbn"], "urn:o")
-    assert compose.required(book, "urn:r")["required"] == list(book["properties"])
-    assert compose.extend(book, {"properties": {"x": {}}}, "urn:e")["allOf"] == [{"$ref": book["$id"]}, {"properties": {"x": {}}}]
-    assert list(Registry([*SCHEMAS, compose.extend(book, {"properties": {"x": {}}}, "urn:e")]).properties("urn:e")) == [*book["properties"], "x"]
+    part = SCHEMAS[3]
+    assert compose.pick(part, ["code"], "urn:p") == {"$id": "urn:p", "type": "object", "properties": {"code": part["properties"]["code"]}, "required": ["code"]}
+    assert "required" not in compose.omit(part, ["code"], "urn:o")
+    assert compose.required(part, "urn:r")["required"] == list(part["properties"])
+    assert compose.extend(part, {"properties": {"x": {}}}, "urn:e")["allOf"] == [{"$ref": part["$id"]}, {"properties": {"x": {}}}]
+    assert list(Registry([*SCHEMAS, compose.extend(part, {"properties": {"x": {}}}, "urn:e")]).properties("urn:e")) == [*part["properties"], "x"]
 
 
 def test_hashes_and_texts():
@@ -107,5 +107,5 @@ def test_command_line(tmp_path):
         assert cli.main(["build", kind, str(tmp_path / "[0-9].json"), "--out", str(tmp_path / f"{kind}.out")]) == 0
     assert "@graph" in json.loads((tmp_path / "ontology.out").read_text())
     cli.main(["viz", str(tmp_path / "[0-9].json"), "--out", str(tmp_path / "v.html")])
-    assert "Book" in (tmp_path / "v.html").read_text()
+    assert "Part" in (tmp_path / "v.html").read_text()
     assert viz.type_string(SCHEMAS[2]) == "{ amount: number; currency?: string }"
