@@ -145,19 +145,24 @@ def fit(x: np.ndarray, langs: list[str]) -> Hierarchy:
 
 
 def train(docs: DataFrame, max_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Hierarchy:
-    """Two scans, whatever the number of languages: one picks the ids of the sample, one makes its vectors.
+    """Three scans, whatever the number of languages: one counts them, one picks the ids of the sample, one makes its vectors.
 
-    Within the first, a task keeps no more than ``max_rows`` ids of a language. About ``max_rows`` rows reach the driver,
-    each as one vector: an even share of each language, one row at least.
+    Ids are picked by the hash of each: first those under a bound that lets a few more than wanted through, then the least
+    of these, so that no task sees more of a language than the sample. About ``max_rows`` rows reach the driver, each as
+    one vector: an even share of each language, one row at least.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, FOLDS, FOLD))
     usable = usable.where(F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    order = Window.partitionBy("_lang").orderBy(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)), "_id")
-    ranked = pinned(usable.select("_lang", "_id", F.row_number().over(order).alias("_rank")).where(F.col("_rank") <= max_rows))
-    count = ranked.select("_lang").distinct().count()
-    if not count:
+    counts = usable.groupBy("_lang").count().collect()
+    if not counts:
         return Hierarchy()
-    chosen = ranked.where(F.col("_rank") <= max(1, max_rows // count)).select(F.col("_id").alias("_chosen")).distinct()
+    each = max(1, max_rows // len(counts))
+    enough = each + 10 * each**0.5 + 10  # ten standard deviations more than wanted
+    bound = docs.sparkSession.createDataFrame([(r["_lang"], min(1 << 30, int((1 << 30) * enough / r["count"]) + 1)) for r in counts], "_of string, _bound long")
+    salt = F.pmod(F.xxhash64("_id"), F.lit(1 << 30))
+    near = usable.select("_lang", "_id", salt.alias("_salt")).join(F.broadcast(bound), F.col("_lang") == F.col("_of")).where(F.col("_salt") < F.col("_bound"))
+    ranked = pinned(near.select("_lang", "_id", F.row_number().over(Window.partitionBy("_lang").orderBy("_salt", "_id")).alias("_rank")))
+    chosen = ranked.where(F.col("_rank") <= each).select(F.col("_id").alias("_chosen")).distinct()
     sample = usable.join(F.broadcast(chosen), F.col("_id") == F.col("_chosen"), "left_semi")
     got = map_rows(sample.select(F.col("_id").cast("string"), "_lang", "_text"), lambda c: [c[0], c[1], [features(t).tobytes() for t in c[2]]], "id string, lang string, x binary").toArrow().to_pylist()
     got.sort(key=lambda r: (r["id"], r["lang"], r["x"]))
