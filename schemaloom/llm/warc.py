@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, read
+from .common import map_rows, read, stored
 
 # Headers that describe the stored payload, so a 304 may not replace them.
 KEPT_HEADERS = ("content-encoding", "content-length", "content-range", "content-type", "transfer-encoding")
@@ -72,7 +72,10 @@ def resolve_revisits(records: DataFrame, bin_width: int | None = None) -> DataFr
     inside = Window.partitionBy("url_key", "bin").orderBy("t", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     local = keyed.withColumn("own", F.last(F.when(full, F.struct("t", F.col("record_id").alias("id"))), ignorenulls=True).over(inside)).where(~full)
     matched = local.join(carry, ["url_key", "bin"], "left").withColumn("response_id", F.coalesce(F.col("own.id"), F.col("carry.id"))).drop("own", "carry", "bin")
-    responses = r.where(full).groupBy(F.col("record_id").alias("response_id")).agg(F.min_by("headers", F.to_json("headers")).alias("stored"))
+    responses = r.where(full).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"))
+    if not responses.groupBy("response_id").count().where("count > 1").isEmpty():
+        # written first, so that the join below has no aggregate on a side, and a response of very many revisits can be split
+        responses = stored(responses.groupBy("response_id").agg(F.min_by("stored", F.to_json("stored")).alias("stored")))
     matched = matched.join(responses, "response_id", "left")
     lost = r.where(~full & F.col("url_key").isNull()).select("record_id", "t", "kind", "headers", "url_key", F.lit(None).cast("long").alias("response_id"), F.lit(None).cast(r.schema["headers"].dataType).alias("stored"))
     tag = lambda c: F.regexp_replace(F.element_at(c, "etag"), r"^W/", "")
