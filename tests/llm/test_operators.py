@@ -320,6 +320,33 @@ def test_edits_within_the_budget_are_found(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [100, 101, 102]
 
 
+def test_many_items_are_met_by_hash(spark):
+    """The same documents and items with one automaton, and by a join of hashes with short items in blocks."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(1, 9)))
+    items = [(i, " ".join(word() for _ in range(rng.choice((3, 5, 12, 40))))) for i in range(40)] + [(None, "an item without a name that is long enough to be near"), (50, None), (51, " "), (52, "   short    one   ")]
+    rows = []
+    for i in range(120):
+        parts = [" ".join(word() for _ in range(rng.randrange(0, 30)))]
+        if rng.random() < 0.6:
+            t = list(rng.choice(items)[1] or "")
+            for _ in range(rng.randrange(0, 3)):
+                if len(t) > 40:
+                    t[rng.randrange(len(t))] = rng.choice("xyz")
+            parts.append("".join(t))
+        rows.append((i % 100, " ".join([*parts, word()]), "x"))
+    rows += [(200, None, "x"), (201, "", "x"), (None, "text with a Short one in it", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long".replace("h long", "h string"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontam.contaminated(docs, bench).collect()))
+    assert len(want) > 30
+    assert sorted(map(str, decontam.contaminated(docs, bench, block_bytes=300).collect())) == want
+    kept = sorted(map(str, decontam.drop_contaminated(docs, bench).collect()))
+    assert sorted(map(str, decontam.drop_contaminated(docs, bench, block_bytes=300).collect())) == kept
+    assert decontam.contaminated(docs.limit(0), bench, block_bytes=300).count() == 0
+    assert decontam.contaminated(docs, bench.limit(0)).count() == 0
+
+
 def test_short_items_are_found_unchanged_as_whole_words(spark):
     rows = [(1, "Q: What  is pi? A: 3"), (2, "what is pie"), (3, "somewhat is pi"), (4, "what is po"), (5, "somewhat is pi, but what is pi"), (6, "我说你好吗他"), (7, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
