@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,15 @@ EVENT_DOC = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": "7"}' WHEN
   WHEN 4 THEN '{"a": 1, "b": [1, 2, 2], "k": 101}' ELSE '{"k": null, "key": 3, "n_1": "x"}' END"""
 
 
+_tables: WeakKeyDictionary[SparkSession, dict[str, DataFrame]] = WeakKeyDictionary()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver; its files are listed once in a session."""
+    known, path = _tables.setdefault(spark, {}), f"{sf_dir}/{name}.parquet"
+    if path not in known:
+        known[path] = spark.read.parquet(path)
+    return known[path]
 
 
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

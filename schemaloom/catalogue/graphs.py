@@ -429,9 +429,9 @@ def triples(q, p, s, o):
 @C.query("SELECT DISTINCT o_custkey::VARCHAR AS customer, l_partkey::VARCHAR AS part FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def r_purchased(spark, sf):
     """customer purchased part <- order of customer, line of order, part of line."""
-    q = nested_orders(spark, sf, P["lines"], P["l_partkey"], P["o_custkey"])
-    lines = triples(q, P["lines"], "order", "line").join(triples(q, P["l_partkey"], "line", "part"), "line")
-    return triples(q, P["o_custkey"], "order", "customer").join(lines, "order").select("customer", "part").distinct()
+    of = lambda p, s, o: triples(nested_orders(spark, sf, p), p, s, o)
+    lines = of(P["lines"], "order", "line").join(of(P["l_partkey"], "line", "part"), "line")
+    return of(P["o_custkey"], "order", "customer").join(lines, "order").select("customer", "part").distinct()
 
 
 @C.query("SELECT DISTINCT user_id::VARCHAR AS customer, event_type FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING'")

@@ -106,8 +106,16 @@ class Emitter:
         if not rows:
             return df.sparkSession.createDataFrame([], SCHEMA)
         made = df.select(place.alias("_place"), F.posexplode(quads).alias("_pos", "q")).where(F.col("q.o").isNotNull())
-        of = lambda i: F.element_at(F.array(*(F.lit(r[i]).cast("string") for r in rows)), F.col("q.t") + 1)
-        s_kind = F.when(F.col("q.qs").isNotNull(), "triple").when(F.col("q.s").startswith("_:"), "bnode").otherwise("iri")
+
+        def of(i: int) -> Column:
+            """A constant of the template; where all have the same it is one for the optimizer too, which then can leave filters out."""
+            values = [r[i] for r in rows]
+            if len(set(values)) == 1:
+                return F.lit(values[0]).cast("string")
+            return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), F.col("q.t") + 1)
+
+        quoted = any(r[5] for r in rows)
+        s_kind = (F.when(F.col("q.qs").isNotNull(), "triple") if quoted else F).when(F.col("q.s").startswith("_:"), "bnode").otherwise("iri")
         return made.select(
             F.col("q.s").alias("s"), s_kind.alias("s_kind"), of(0).alias("p"), F.col("q.o").alias("o"), of(1).alias("o_kind"), F.coalesce(of(2), F.col("q.dt")).alias("o_datatype"), of(3).alias("o_lang"),
             of(4).alias("g"), F.col("q.qs").alias("qs"), of(5).alias("qp"), F.col("q.qo").alias("qo"), F.shiftleft("_place", 20).bitwiseOR(F.col("_pos")).alias("ord"),

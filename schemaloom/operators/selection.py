@@ -46,10 +46,14 @@ class Graph:
     def __init__(self, quads: DataFrame, identity: dict[str, str] | None = None, ranges: dict[str, list[str]] | None = None, domains: dict[str, list[str]] | None = None, resolver: Callable[[str], str] = lambda name: name, schema: DataFrame | None = None, source: Callable[[set[str]], DataFrame] | None = None):
         """``source`` gives the quads of some predicates where that is cheaper than to filter all: an emitter told what is wanted, or folders by predicate."""
         self.quads, self.identity, self.ranges, self.domains, self.resolver, self.schema, self.source = quads, identity or {}, ranges or {}, domains or {}, resolver, schema, source
+        self._known: dict[frozenset, DataFrame] = {}
 
     def of_predicates(self, *predicates: str) -> DataFrame:
-        found = self.quads if self.source is None else self.source(set(predicates))
-        return found.where(F.col("p").isin(*predicates))
+        wanted = frozenset(predicates)
+        if wanted not in self._known:
+            found = self.quads if self.source is None else self.source(set(wanted))
+            self._known[wanted] = found.where(F.col("p").isin(*sorted(wanted)))
+        return self._known[wanted]
 
     @property
     def _types(self) -> DataFrame:

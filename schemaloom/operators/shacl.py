@@ -91,6 +91,7 @@ class Validator:
     def __init__(self, shapes: dict[str, Shape], quads: DataFrame):
         self.shapes = shapes
         self.q = decoded(quads)
+        self._failed: dict[tuple, tuple[DataFrame, DataFrame]] = {}
         self.types = self.q.where(F.col("p") == TYPE).select(F.col("s").alias("node"), F.col("o").alias("class")).distinct()
 
     def report(self) -> DataFrame:
@@ -100,11 +101,10 @@ class Validator:
             if shape.path is None and not shape.iri.startswith("_:"):
                 focus = self.types.where(F.col("class") == shape.iri).select(F.col("node").alias("focus"))
                 parts += self.violations(shape, focus, frozenset())
-        spark = self.q.sparkSession
-        out = spark.createDataFrame([], REPORT)
+        out = None
         for p in parts:
-            out = out.unionByName(p)
-        return out
+            out = p if out is None else out.unionByName(p)
+        return self.q.sparkSession.createDataFrame([], REPORT) if out is None else out
 
     def conforms(self) -> bool:
         return self.report().isEmpty()
@@ -130,11 +130,14 @@ class Validator:
         """node: those that violate a shape. A shape on its own path conforms."""
         if shape.iri in seen or shape.params.get("deactivated") == "true":
             return nodes.select("node").limit(0)
-        parts = self.violations(shape, nodes.select(F.col("node").alias("focus")), seen)
-        out = nodes.select("node").limit(0)
-        for p in parts:
-            out = out.unionByName(p.select(F.col("focus_node").alias("node")))
-        return out.distinct()
+        key = (shape.iri, id(nodes), seen)
+        if key not in self._failed:  # the nodes are kept beside, so that no others get their identity
+            out = None
+            for p in self.violations(shape, nodes.select(F.col("node").alias("focus")), seen):
+                p = p.select(F.col("focus_node").alias("node"))
+                out = p if out is None else out.unionByName(p)
+            self._failed[key] = nodes, nodes.select("node").limit(0) if out is None else out.distinct()
+        return self._failed[key][1]
 
     def violations(self, shape: Shape, focus: DataFrame, seen: frozenset) -> list[DataFrame]:
         if shape.params.get("deactivated") == "true" or shape.iri in seen:
