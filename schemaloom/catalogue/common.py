@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.compiler import Compiler
 from ..plans.registry import Registry
+from ..sources.tables import balanced
 
 #: Documents made from events by rule: some as they are, some with what validators look for. Both engines read this expression.
 EVENT_DOC = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": "7"}' WHEN 2 THEN '{"k": 5, "z": 1}' WHEN 3 THEN '{}'
@@ -29,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def event_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, event_type, text, doc (VARIANT)."""
-    return table(spark, sf_dir, "events").select("event_id", "event_type", F.expr(EVENT_DOC).alias("text")).withColumn("doc", F.parse_json("text"))
+    return balanced(table(spark, sf_dir, "events")).select("event_id", "event_type", F.expr(EVENT_DOC).alias("text")).withColumn("doc", F.parse_json("text"))
 
 
 def compiler(*schemas: dict, **options) -> Compiler:

@@ -10,6 +10,7 @@ from ..operators.identity import structural_duplicates
 from ..plans import project as P
 from ..plans.registry import Registry
 from ..plans.values import Typed, Variant
+from ..sources.tables import balanced
 from .common import EVENT_DOC, Catalogue, compiler, event_docs, table
 
 C = Catalogue()
@@ -58,7 +59,7 @@ def t_computed(spark, sf_dir):
     """A computed field is a Column of the instance's other fields."""
     r = Registry([{"$id": ID + "line", "type": "object", "properties": {"price": {"type": "number"}, "discount": {"type": "number"}}}])
     r.add_computed(ID + "line", "net", lambda v: F.round(v.get("price").number() * (1 - v.get("discount").number()), 4))
-    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct(F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount")).alias("doc"))
+    df = balanced(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", F.struct(F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount")).alias("doc"))
     from ..plans.compiler import Compiler
 
     return V.instantiate(df, Compiler(r), ID + "line", "doc").select("l_orderkey", "l_linenumber", F.col("instance.net").alias("net"))

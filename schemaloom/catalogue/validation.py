@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import validation as V
 from ..plans.compiler import FORMAT_VOCABULARY
 from ..plans.values import Variant
+from ..sources.tables import balanced
 from .common import EVENT_DOC, Catalogue, compiler, event_docs, table
 
 C = Catalogue()
@@ -18,7 +19,7 @@ def _keyword(name: str, source: str, by: str, prop: str, schema: dict, fails: st
 
     def query(spark, sf_dir):
         c = compiler({"$id": ID + name, "type": "object", "properties": {prop: schema}})
-        df = table(spark, sf_dir, source).select(by, prop)
+        df = balanced(table(spark, sf_dir, source)).select(by, prop)
         return V.summary(V.error_rows(df, c, ID + name, [by]), by, "path", "keyword")
 
     C.add(name, query, f"SELECT {by}, '/{prop}' AS path, '{keyword}' AS keyword, count(*) AS n_errors FROM {source} WHERE {fails} GROUP BY {by}")
@@ -247,12 +248,12 @@ _CASES = """
 
 @C.query(f"SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderkey ORDER BY place) - 1 AS INTEGER) AS ord, path, keyword, message FROM ({_CASES})")
 def v_error_rows(spark, sf_dir):
-    return V.error_rows(table(spark, sf_dir, "orders"), compiler(ORDER), ID + "order", ["o_orderkey"]).select("o_orderkey", "ord", "path", "keyword", "message")
+    return V.error_rows(balanced(table(spark, sf_dir, "orders")), compiler(ORDER), ID + "order", ["o_orderkey"]).select("o_orderkey", "ord", "path", "keyword", "message")
 
 
 @C.query(f"SELECT keyword, path, count(*) AS n_errors FROM ({_CASES}) GROUP BY 1, 2")
 def v_error_summary(spark, sf_dir):
-    return V.summary(V.error_rows(table(spark, sf_dir, "orders"), compiler(ORDER), ID + "order", ["o_orderkey"]))
+    return V.summary(V.error_rows(balanced(table(spark, sf_dir, "orders")), compiler(ORDER), ID + "order", ["o_orderkey"]))
 
 
 @C.query(f"SELECT o_orderkey, count(*)::INTEGER AS n, array_to_string(list_sort(list_distinct(list(keyword))), ',') AS keywords, array_to_string(list_sort(list_distinct(list(substr(path, 2)))), ',') AS paths FROM ({_CASES}) GROUP BY 1")

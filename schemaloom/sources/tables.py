@@ -13,6 +13,14 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet", schema=
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+def balanced(df: DataFrame, limit: int = 512 << 20) -> DataFrame:
+    """A small table dealt to all cores. One that was written as a single row group is read by a single task, however much
+    is to be done with each row. Larger tables come in many row groups and stay as they are, so what is moved is bounded."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= limit else df
+
+
 def write_quads(quads: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder per predicate, so that a constant predicate prunes the rest."""
     quads.withColumn("predicate", quads["p"]).write.mode(mode).partitionBy("predicate").option("compression", "zstd").parquet(path)
