@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -268,17 +269,28 @@ def sensitivity(name: str) -> float:
     return score - 2.0 * sum(w in NAME_DAMPERS for w in set(words[-2:]))
 
 
-def score(name: str, literal: str) -> float:
-    """Above 0: a secret. The target name gives the prior, the literal's shape the evidence."""
+def shape(literal: str) -> tuple[float, bool] | None:
+    """What a literal's shape says for a secret, and whether it has blanks; None where it can't be one."""
     if len(literal) < 8 or PLACEHOLDERS.match(literal):
-        return -1.0
+        return None
+    classes = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
+    return 0.6 * (classes - 1) + 0.5 * (entropy(literal) - 2.5) - 3.0, bool(re.search(r"\s", literal.strip()))
+
+
+def score(name: str, literal: str, shapes: dict[str, tuple[float, bool] | None] | None = None) -> float:
+    """Above 0: a secret. The target name gives the prior, the literal's shape the evidence; ``shapes`` keeps what was found of literals."""
     prior = sensitivity(name)
-    if re.search(r"\s", literal.strip()) and not {"passphrase", "mnemonic"} & {w.lower() for w in WORD.findall(name)}:
-        prior -= BLANKS  # most literals with blanks are about a secret
     if prior <= 0:
         return -1.0
-    classes = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
-    return prior + 0.6 * (classes - 1) + 0.5 * (entropy(literal) - 2.5) - 3.0
+    shapes = {} if shapes is None else shapes
+    if literal not in shapes:
+        shapes[literal] = shape(literal)
+    if shapes[literal] is None:
+        return -1.0
+    evidence, blanks = shapes[literal]
+    if blanks and not {"passphrase", "mnemonic"} & {w.lower() for w in WORD.findall(name)}:
+        prior -= BLANKS  # most literals with blanks are about a secret
+    return prior + evidence if prior > 0 else -1.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -295,7 +307,14 @@ def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     base = base_spans(text)
     if not any(c in text for c in ":=<("):
         return base, base
-    added = {(s, 3, e) for name, literal, s, e in resolved(lex(text)) if score(name, literal) > 0 and not any(b[0] <= s and e <= b[2] for b in base)}
+    starts, ends = [b[0] for b in base], list(accumulate((b[2] for b in base), max))
+    shapes: dict[str, tuple[float, bool] | None] = {}
+
+    def within(s: int, e: int) -> bool:
+        at = bisect_right(starts, s)
+        return at > 0 and ends[at - 1] >= e
+
+    added = {(s, 3, e) for name, literal, s, e in resolved(lex(text)) if score(name, literal, shapes) > 0 and not within(s, e)}
     return base, sorted([*base, *added])
 
 
