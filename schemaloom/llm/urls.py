@@ -132,7 +132,7 @@ def buckets_of(host: Column, path: Column, n_buckets: int = BUCKETS, sizes: tupl
 
 def margin(buckets: Column, weights: list[float]) -> Column:
     """Log-odds of a block: the intercept and the weights of the buckets, each once."""
-    w = F.from_json(F.lit("[" + ",".join(map(repr, weights)) + "]"), "array<double>")
+    w = F.from_json(F.lit("[" + ",".join(repr(x) if x else "0" for x in weights) + "]"), "array<double>")
     return F.aggregate(buckets, F.lit(weights[-1]), lambda a, b: a + F.get(w, b))
 
 
