@@ -278,4 +278,50 @@ def v_quarantine(spark, sf_dir):
     return rows.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("bad").alias("n_bad"))
 
 
+NODE = {
+    "$id": ID + "node", "type": "object", "required": ["n"], "patternProperties": {"^x": {"$ref": "#"}},
+    "properties": {"n": {"type": "integer"}, "v": {"minimum": 5}, "kids": {"items": {"$ref": "#"}}, "first": {"$ref": "#"}, "other": {"not": {"$ref": "#"}}},
+}
+_ORDERS = "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders"
+_LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) - 1 AS j FROM lineitem"
+
+
+def customer_trees(spark, sf_dir):
+    """c_custkey, doc: customers with their orders, and orders with their lines, as nodes of one kind."""
+    gathered = lambda n, v, *more: F.array_sort(F.collect_list(F.struct(F.col(n).alias("n"), F.col(v).alias("v"), *more)))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(gathered("l_linenumber", "l_quantity").alias("kids"))
+    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(gathered("o_orderkey", "o_totalprice", "kids", F.get("kids", 0).alias("first")).alias("kids"))
+    node = F.struct(F.col("c_custkey").alias("n"), F.col("c_acctbal").alias("v"), "kids")
+    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select("c_custkey", F.parse_json(F.to_json(node)).alias("doc"))
+
+
+@C.query(f"""
+WITH o AS ({_ORDERS}), l AS ({_LINES})
+SELECT c_custkey, '/v' AS path, 'minimum' AS keyword FROM customer WHERE c_acctbal < 5
+UNION ALL SELECT c_custkey, '/kids/' || i || '/v', 'minimum' FROM customer JOIN o ON o_custkey = c_custkey WHERE o_totalprice < 5
+UNION ALL SELECT c_custkey, '/kids/' || i || '/kids/' || j || '/v', 'minimum' FROM customer JOIN o ON o_custkey = c_custkey JOIN l ON l_orderkey = o_orderkey WHERE l_quantity < 5
+UNION ALL SELECT c_custkey, '/kids/' || i || '/first/v', 'minimum' FROM customer JOIN o ON o_custkey = c_custkey JOIN l ON l_orderkey = o_orderkey WHERE l_quantity < 5 AND j = 0
+""")
+def v_recursive_tree(spark, sf_dir):
+    """A schema with five references to itself over nested documents."""
+    return V.error_rows(customer_trees(spark, sf_dir), compiler(NODE), ID + "node", ["c_custkey"], Variant(F.col("doc"))).select("c_custkey", "path", "keyword")
+
+
+@C.query("""
+SELECT conv_id, count(*) FILTER (length(text) > 300) + count(*) FILTER (role = 'system') = 0 AS valid,
+  coalesce(min(CASE WHEN length(text) > 300 THEN repeat('/next', turn) || '/n' WHEN role = 'system' THEN repeat('/next', turn) || '/role' END), '') AS first
+FROM (SELECT conv_id, role, text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INTEGER AS turn FROM conversations) GROUP BY conv_id
+""")
+def v_recursive_chain(spark, sf_dir):
+    """Conversations as chains, each turn within the one before."""
+    c = compiler({"$id": ID + "turn", "required": ["role"], "properties": {"role": {"enum": ["user", "assistant"]}, "n": {"maximum": 300}, "next": {"$ref": "#"}}})
+    turn = F.struct("turn", "role", "text", F.to_json(F.struct("role", F.char_length("text").alias("n"))).alias("json"))
+    turns = F.reverse(F.array_sort(F.collect_list(turn)))
+    chain = F.aggregate(turns, F.lit(None).cast("string"), lambda inner, t: F.when(inner.isNull(), t["json"]).otherwise(F.concat(F.regexp_replace(t["json"], r"\}$", ""), F.lit(',"next":'), inner, F.lit("}"))))
+    docs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.parse_json(chain).alias("doc"))
+    v = Variant(F.col("doc"))
+    paths = F.transform(c.errors(ID + "turn", v), lambda e: e["path"])
+    return docs.select("conv_id", c.check(ID + "turn", v).alias("valid"), F.coalesce(F.array_min(paths), F.lit("")).alias("first"))
+
+
 QUERIES, SQL = C.queries, C.sql

@@ -111,7 +111,7 @@ def materialize(df: DataFrame, compiler: Compiler, schema_id: str, column: str,
     """
     registry = compiler.registry
     if not partial:
-        plain = Compiler(_without_transforms(registry), compiler.formats, compiler.depth, compiler.assert_formats, compiler.ignore_additional)
+        plain = Compiler(_without_transforms(registry), compiler.formats, compiler.max_depth, compiler.assert_formats, compiler.ignore_additional)
         return instantiate(df, plain, schema_id, column, policy="failfast").drop("errors")
     projector = Projector(registry, coerce=False, defaults=True, decode=False)
     kind = projector.struct_type(schema_id)

@@ -1,8 +1,10 @@
 """JSON Schema to Columns: ``check`` gives a boolean, ``errors`` an array of error structs.
 
 The plan is built once on the driver and is an ordinary expression, so validation is a narrow map that Catalyst
-optimises, pushes down and generates code for. References are inlined; a recursive one is unrolled ``depth`` times,
-and a node below that raises an error, since it can't be checked. A reference that comes back to the same node is valid.
+optimises, pushes down and generates code for. References are inlined. Recursive ones are followed as deep as a typed
+column's type goes; in VARIANT documents they are evaluated level by level (see ``recursion``), in a plan whose size
+doesn't depend on the documents. A reference that comes back to the same node is valid, and so is a node that lies
+``max_depth`` schemas deep.
 """
 
 from __future__ import annotations
@@ -17,24 +19,28 @@ from pyspark.sql import types as T
 from ..functions.formats import Formats, strict_json
 from ..functions.hashing import number_text, text
 from .registry import Registry, Schema, config, ext, subschemas
-from .values import Typed, Value
+from .values import NUMERIC, Typed, Value, Variant
 
 ERROR = "struct<path:string,keyword:string,message:string,params:map<string,string>>"
 EPSILON = 2.220446049250313e-15
 NO_STRINGS = "array<string>"
 #: Fixed value: the vocabulary by which a document turns the assertion of formats on or off.
 FORMAT_VOCABULARY = "https://json-schema.org/draft/2020-12/vocab/format-assertion"
-#: What stands for a recursive reference below the unrolled depth.
-BELOW = object()
+#: Fixed value: how many schemas deep a document is looked into.
+MAX_DEPTH = 100
 
 
 class Test(NamedTuple):
-    """One assertion of a node: it fails where ``fails`` is true."""
+    """One assertion of a node: it fails where ``fails`` is true.
+
+    ``holds`` says the same of a typed column in a form that scans take as a filter; it is null for an absent value.
+    """
 
     keyword: str
     fails: Column
     message: str | Column
     params: dict[str, Any]
+    holds: Column | None = None
 
 
 def regex(pattern: str) -> str:
@@ -93,23 +99,35 @@ def all_of(tests: list[Column]) -> Column:
 
 
 class Compiler:
-    def __init__(self, registry: Registry, formats: Formats | None = None, depth: int = 6, assert_formats: bool = True, ignore_additional: bool = False):
+    def __init__(self, registry: Registry, formats: Formats | None = None, max_depth: int = MAX_DEPTH, assert_formats: bool = True, ignore_additional: bool = False):
         self.registry = registry
         self.formats = formats or Formats()
-        self.depth = depth
+        self.max_depth = max_depth
         self.assert_formats = assert_formats
         self.ignore_additional = ignore_additional
 
     # entry points
 
     def check(self, schema_id: str, value: Value) -> Column:
-        return self._check(self.registry[schema_id], value, _At(self.registry.expand(schema_id)))
+        key = self.registry.expand(schema_id)
+        if levels := self._levels(key, value):
+            return levels.check(value)
+        valid = self._check(self.registry[key], value, _At(key))
+        return F.coalesce(valid, F.lit(True)) if isinstance(value, Typed) and not isinstance(value.kind, T.StructType) else valid
+
+    def _levels(self, key: str, value: Value):
+        """The evaluation by levels, where the value is a VARIANT document and the schema refers back to itself."""
+        from .recursion import Levels, cyclic
+
+        found = cyclic(self.registry, key) if isinstance(value, Variant) else set()
+        return Levels(self, key, found) if found else None
 
     def errors(self, schema_id: str, value: Value) -> Column:
         """Structural errors; where there are none, disjointness; where there is none either, invariants."""
         key = self.registry.expand(schema_id)
         schema = self.registry[key]
-        found = self._errors(schema, value, F.lit(""), _At(key))
+        levels = self._levels(key, value)
+        found = levels.errors(value) if levels else self._errors(schema, value, F.lit(""), _At(key))
         later = [self._disjoint(schema, value, key)]
         for name, column in self.registry.invariants.get(key, {}).items():
             message = column(value)
@@ -138,16 +156,19 @@ class Compiler:
         if "type" in s:
             types = [s["type"]] if isinstance(s["type"], str) else s["type"]
             said = f"must be {types[0]}" if len(types) == 1 else f"must be one of: {', '.join(types)}"
-            yield Test("type", ~any_of([v.is_type(t) for t in types]), said, {"type": types[0] if len(types) == 1 else types})
+            fits = any_of([v.is_type(t) for t in types])
+            yield Test("type", ~fits, said, {"type": types[0] if len(types) == 1 else types}, fits if isinstance(v, Typed) else None)
         if "enum" in s:
-            yield Test("enum", ~self._among(v, s["enum"]), "must be one of the allowed values", {"allowedValues": s["enum"]})
+            yield Test("enum", ~self._among(v, s["enum"]), "must be one of the allowed values", {"allowedValues": s["enum"]}, self._plainly_among(v, s["enum"]))
         if "const" in s:
-            yield Test("const", ~self._among(v, [s["const"]]), f"must be {text(s['const'], sort=False)}", {"allowedValue": s["const"]})
+            yield Test("const", ~self._among(v, [s["const"]]), f"must be {text(s['const'], sort=False)}", {"allowedValue": s["const"]}, self._plainly_among(v, [s["const"]]))
         n = v.number()
         number = lambda c: F.coalesce(c, F.lit(False))
         for k, fails, sign in (("minimum", lambda x, b: x < b, ">="), ("maximum", lambda x, b: x > b, "<="), ("exclusiveMinimum", lambda x, b: x <= b, ">"), ("exclusiveMaximum", lambda x, b: x >= b, "<")):
             if k in s:
-                yield Test(k, number(fails(n, F.lit(float(s[k])))), f"must be {sign} {number_text(s[k])}", {"limit": s[k]})
+                b = F.lit(float(s[k]))
+                holds = {">=": n >= b, "<=": n <= b, ">": n > b, "<": n < b}[sign] if isinstance(v, Typed) and isinstance(v.kind, NUMERIC) else None
+                yield Test(k, number(fails(n, b)), f"must be {sign} {number_text(s[k])}", {"limit": s[k]}, holds)
         if "multipleOf" in s:
             d = float(s["multipleOf"])
             q = n / F.lit(d) if d else None
@@ -191,6 +212,13 @@ class Compiler:
                 return F.coalesce(v.number().isin(numbers), F.lit(False)) if numbers else F.lit(False)
         return F.coalesce(v.canonical().isin([text(a) for a in allowed]), F.lit(False))
 
+    def _plainly_among(self, v: Value, allowed: list) -> Column | None:
+        if isinstance(v, Typed) and isinstance(v.kind, T.StringType) and (strings := [a for a in allowed if isinstance(a, str)]):
+            return v.col.isin(strings)
+        if isinstance(v, Typed) and isinstance(v.kind, NUMERIC) and (numbers := [float(a) for a in allowed if isinstance(a, (int, float)) and not isinstance(a, bool)]):
+            return v.number().isin(numbers)
+        return None
+
     # children
 
     def _children(self, s: dict, v: Value, at: _At) -> Iterator[tuple[Column | None, Schema, Value, str, _At]]:
@@ -201,7 +229,8 @@ class Compiler:
     def _object_tests(self, s: dict, v: Value) -> Iterator[Test]:
         is_object = v.is_type("object")
         for k in s.get("required", []):
-            yield Test("required", is_object & ~self._has(s, v, k), f"must have required property '{k}'", {"missingProperty": k})
+            has = self._has(s, v, k)
+            yield Test("required", is_object & ~has, f"must have required property '{k}'", {"missingProperty": k}, ~is_object | has)
         if "minProperties" in s:
             yield Test("minProperties", is_object & F.coalesce(F.size(v.keys()) < s["minProperties"], F.lit(False)), f"must NOT have fewer than {s['minProperties']} properties", {"limit": s["minProperties"]})
         if "maxProperties" in s:
@@ -245,19 +274,24 @@ class Compiler:
             if "maxContains" in s:
                 yield Test("maxContains", known(found > s["maxContains"]), f"must contain at most {s['maxContains']} matching items", {"maxContains": s["maxContains"]})
 
-    def _ref(self, s: dict, v: Value, at: _At) -> tuple[Schema, _At] | None:
+    def _target(self, s: dict, at: _At) -> tuple[str, str, Schema] | None:
+        """(reference with its document, document, schema) of a node's reference."""
         for k in ("$ref", "$dynamicRef"):
             if k in s:
                 doc, target = self._dynamic(s[k], at) if k == "$dynamicRef" else self.registry.resolve(s[k], at.root)
-                ref = f"{doc}{s[k]}"
-                seen, here = at.depth.get(ref, 0), f"{ref} {id(v)}"  # the values on the way are alive, so that their ids differ
-                if here in at.depth:
-                    return True, at
-                if seen >= self.depth:
-                    return BELOW, at
-                return target, _At(doc, at.depth | {ref: seen + 1, here: 1}, (*at.scope, at.root))
+                return f"{doc}{s[k]}", doc, target
         return None
 
+    def _ref(self, s: dict, v: Value, at: _At) -> tuple[Schema, _At] | None:
+        found = self._target(s, at)
+        if found is None:
+            return None
+        ref, doc, target = found
+        here = f"{ref} {id(v)}"  # the values on the way are alive, so that their ids differ
+        if here in at.seen or isinstance(v, Typed) and isinstance(v.kind, T.NullType):
+            return True, at
+        return target, _At(doc, at.seen | {here}, (*at.scope, at.root), at.level)
+
     def _dynamic(self, ref: str, at: _At) -> tuple[str, Schema]:
         """Where the reference leads by itself; if that is a dynamic anchor, the outermost document on the way that has an anchor of its name decides."""
         doc, target = self.registry.resolve(ref, at.root)
@@ -275,26 +309,27 @@ class Compiler:
         said = (root.get("$vocabulary") or {}).get(FORMAT_VOCABULARY) if isinstance(root, dict) else None
         return said if isinstance(said, bool) and self.assert_formats else self.assert_formats
 
-    def _below(self, v: Value, otherwise: Column, kind: str) -> Column:
-        said = f"a document goes deeper than the {self.depth} times that a recursive reference is unrolled; give Compiler a larger depth"
-        return F.when(v.present(), F.raise_error(F.lit(said)).cast(kind)).otherwise(otherwise)
-
     # check
 
     def _check(self, s: Schema, v: Value, at: _At) -> Column:
         """True where the value is valid; an absent value is checked as if it weren't there by the caller."""
+        return all_of([c for c, _ in self._parts(s, v, at)])
+
+    def _parts(self, s: Schema, v: Value, at: _At) -> list[tuple[Column, bool]]:
+        """The conditions that a valid value meets, each by itself, and whether a scan can take it as a filter."""
         if isinstance(s, bool):
-            return F.lit(s)
-        if s is BELOW:
-            return self._below(v, F.lit(True), "boolean")
+            return [(F.lit(s), True)]
+        plain: list[tuple[Column, bool]] = []
         parts: list[Column] = []
         if ref := self._ref(s, v, at):
-            parts.append(self._check(ref[0], v, ref[1]))
+            plain += self._parts_of(ref[0], v, ref[1])
         tests = [*self._scalars(s, v, at), *self._object_tests(s, v), *self._array_tests(s, v, at), *self._dependents(s, v)]
-        parts += [~t.fails for t in tests]
+        plain += [(t.holds, True) if t.holds is not None else (~t.fails, False) for t in tests]
         is_object = v.is_type("object")
         for _, sub, child, _, own in self._children(s, v, at):
-            parts.append(~child.present() | self._check(sub, child, own))
+            # conditions of either kind are put differently, or else the optimizer would make them one that no scan takes
+            found = self._parts_of(sub, child, own)
+            plain += [(~child.present() | c, True) if filters else (F.coalesce(F.when(child.present(), c), F.lit(True)), False) for c, filters in found]
         for p, sub in s.get("patternProperties", {}).items():
             parts.append(self._every_key(v, matching(v.keys(), p), sub, at))
         extra = self._extra(s)
@@ -307,9 +342,9 @@ class Compiler:
         parts += [F.coalesce(p, F.lit(True)) for p in self._item_checks(s, v, at)]
         for k, sub in s.get("dependentSchemas", {}).items():
             parts.append(~(is_object & v.get(k).present()) | self._check(sub, v, at))
-        parts += [self._check(m, v, at) for m in s.get("allOf", [])]
+        plain += [p for m in s.get("allOf", []) for p in self._parts_of(m, v, at)]
         if "anyOf" in s:
-            parts.append(any_of([self._check(m, v, at) for m in s["anyOf"]]))
+            plain.append((any_of([self._check(m, v, at) for m in s["anyOf"]]), True))
         if "oneOf" in s:
             parts.append(self._count(s["oneOf"], v, at) == 1)
         if "not" in s:
@@ -320,7 +355,11 @@ class Compiler:
         parts += [~t.fails for t in self._unevaluated(s, v, at)]
         if (target := s.get("rdfs:range")) is not None and (r := self._range(target, v, at)):
             parts.append(~is_object | self._check(r[0], v, r[1]))
-        return all_of(parts)
+        return plain + [(p, False) for p in parts]
+
+    def _parts_of(self, s: Schema, v: Value, at: _At) -> list[tuple[Column, bool]]:
+        """The conditions of a sub-schema: all in one where it is an evaluation of its own."""
+        return self._parts(s, v, at)
 
     def _count(self, members: list, v: Value, at: _At) -> Column:
         return sum((self._check(m, v, at).cast("int") for m in members), F.lit(0))
@@ -424,8 +463,6 @@ class Compiler:
         """The errors in the reference's order: reference, scalars, object or array structure, dependents, names, compositions."""
         if s is True:
             return no_errors()
-        if s is BELOW:
-            return self._below(v, no_errors(), f"array<{ERROR}>")
         if s is False:
             return F.array(one_error(path, "falseSchema", "must not match false schema", {})).cast(f"array<{ERROR}>")
         parts: list[Column] = []
@@ -497,8 +534,9 @@ class Compiler:
 
 
 class _At(NamedTuple):
-    """Where a sub-schema stands: its document, how often each reference was followed on the way, and the documents on the way (outermost first)."""
+    """Where a sub-schema stands: its document, the references followed on the way, the documents on the way (outermost first), and how many schemas deep it is."""
 
     root: str
-    depth: dict[str, int] = {}
+    seen: frozenset[str] = frozenset()
     scope: tuple[str, ...] = ()
+    level: int = 0

@@ -61,7 +61,7 @@ class Projector:
     def _deref(self, s: Schema, at: _At) -> tuple[Schema, _At]:
         while isinstance(s, dict) and "$ref" in s and "properties" not in s:
             doc, s = self.registry.resolve(s["$ref"], at.root)
-            at = _At(doc, at.depth)
+            at = _At(doc, at.seen)
         return s, at
 
     def properties(self, s: Schema, at: _At, depth: int = 0) -> dict[str, tuple[Schema, _At]]:

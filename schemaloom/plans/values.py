@@ -66,7 +66,7 @@ class Typed(Value):
             return self.col.isNull() if name == "null" else F.lit(False)
         if name == "number" and isinstance(k, NUMERIC) or name == "integer" and isinstance(k, WHOLE):
             if isinstance(k, (T.FloatType, T.DoubleType)):
-                return F.coalesce(~F.isnan(self.col) & (F.abs(self.col) < float("inf")), F.lit(False))
+                return self.col.isNotNull() & (self.col > float("-inf")) & (self.col < float("inf"))  # not a number is above all
             return self.col.isNotNull()
         if name == "integer" and isinstance(k, NUMERIC):
             whole = self.col == F.floor(self.col) if isinstance(k, T.DecimalType) else self.col == F.rint(self.col)
@@ -181,6 +181,26 @@ class Variant(Value):
         return F.when(d.isNotNull(), number_text(d)).otherwise(F.to_json(self.col))
 
 
+class Placed(Variant):
+    """A variant that knows its path from the document's root."""
+
+    def __init__(self, col: Column, path: Column):
+        super().__init__(col)
+        self.path = path
+
+    def get(self, key: str) -> Value:
+        return Placed(super().get(key).col, F.concat(self.path, F.lit("/" + key)))
+
+    def lookup(self, key: Column) -> Value:
+        return Placed(super().lookup(key).col, F.concat(self.path, F.lit("/"), key))
+
+    def items(self) -> Column:
+        return F.transform(super().items(), lambda x, i: F.struct(x.alias("value"), F.concat(self.path, F.lit("/"), i.cast("string")).alias("path")))
+
+    def item(self, col: Column) -> Value:
+        return Placed(col["value"], col["path"])
+
+
 class Held(Variant):
     """A variant whose kind, text and number are columns already."""
 
