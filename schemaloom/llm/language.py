@@ -14,12 +14,12 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ from .common import held_out, map_rows, pinned, read
 
 FOLDS, FOLD = 4, 2
 DIMENSIONS = 4096
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 #: A family that isn't listed takes so many languages at most, each this alike (cosine of mean vectors) to its first.
 FAMILY_SIZE = 16

@@ -374,6 +374,16 @@ def test_encoding_equals_the_library(spark):
         assert bytes(r["decoded"]).decode() == (r["text"] or "")
 
 
+def test_language_of_texts_without_letters(spark):
+    sf = "/root/testdata/sf0.001"
+    model = language.train(read(spark, sf, "documents"), max_rows=200)
+    none = ["² ½ ③", "①②", "123 _ 4", "!?", "", " \n", None, "Ⅷ", "️", "٣٤"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*none, "ª", "ʰ", "文", "²a½"])], "doc_id long, text string")
+    out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify_language(docs, model).collect()}
+    assert all(out[i] == ("und", 0.0) for i in range(len(none)))
+    assert all(out[i][0] != "und" for i in range(len(none), len(out)))
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     keys = [f"key{i}".encode() for i in range(5000)]
     table = bpe.PerfectHash(keys, list(range(5000)))
