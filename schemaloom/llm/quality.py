@@ -1,7 +1,7 @@
 """Host-level quality rules.
 
 Each document is judged by rules; failures are summed by host, each host's failure rate is shrunk towards
-the corpus by an empirical beta prior (method of moments over hosts), and the host verdicts are joined back.
+the corpus by an empirical beta prior (moments of a beta-binomial over hosts), and the host verdicts are joined back.
 A verdict is a tail of the host's posterior: a host is condemned if its odds of failing the base rules surely are above
 ``factor`` times those of the corpus; a soft rule counts against a document where its host surely fails that rule more
 often than the corpus does.
@@ -33,6 +33,8 @@ SOFT = ("symbols", "dup_lines", "repeats")
 #: As many hosts are broadcast at most; each of more is spread over so many salts.
 BROADCAST_HOSTS = 200_000
 SALTS = 32
+#: Bounds of a prior's strength in documents; hosts that spread no more than chance has it get the greatest.
+MIN_STRENGTH, MAX_STRENGTH = 0.1, 1e6
 
 
 class Stats(NamedTuple):
@@ -130,12 +132,22 @@ class Prior(NamedTuple):
     limit: float
 
 
-def fitted_prior(failed: int, n: int, hosts: int, rates: int, squares: int, factor: float) -> Prior:
-    """By moments: the corpus rate is the mean, the variance of the hosts' rates gives the strength. Rates come as sums of millionths."""
+def fitted_prior(failed: int, n: int, hosts: int, sizes: int, shares: int, factor: float) -> Prior:
+    """By the moments of a beta-binomial: the corpus rate is the mean; the hosts' spread beyond what drawing their documents
+    makes by itself gives the strength. Hosts weigh by their documents, so many small ones don't pass for a wide spread.
+
+    ``sizes`` is the sum of squares of the hosts' numbers of documents, ``shares`` that of failures squared by documents, in millionths.
+    """
     mean = min(max(failed / n if n else 0.5, 1e-4), 1 - 1e-4)
-    variance = max((int(squares) * hosts - int(rates) ** 2) / hosts**2 / 1e12, 1e-9) if hosts else 1e-9
-    strength = min(max(mean * (1 - mean) / variance - 1, 2.0), 1e4)
     odds = factor * mean / (1 - mean)
+    strength = MAX_STRENGTH
+    if hosts > 1 and n > hosts:
+        shared = int(shares) / 1e6
+        between = (shared - failed * failed / n) / (hosts - 1)
+        within = (failed - shared) / (n - hosts)
+        size = (n - int(sizes) / n) / (hosts - 1)  # of a host, about
+        alike = (between - within) / max(between + (size - 1) * within, 1e-12)  # correlation of two documents of a host
+        strength = min(max((1 - alike) / alike, MIN_STRENGTH), MAX_STRENGTH) if alike > 0 else MAX_STRENGTH
     return Prior(mean * strength, (1 - mean) * strength, odds / (1 + odds))
 
 
@@ -148,10 +160,11 @@ def host_verdicts(judged: DataFrame, factor: float = 4.0, confidence: float = 0.
     hosts = pinned(judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *(F.sum(F.col(r).cast("long")).alias(f"n_{r}") for r in rules)))
     moments = []
     for r in rules:
-        rate = F.floor(F.col(f"n_{r}") * 1_000_000 / F.col("n_docs")).cast("decimal(20,0)")
-        moments += [F.sum(f"n_{r}"), F.sum(rate), F.sum(rate * rate)]
-    n, count, *sums = hosts.agg(F.sum("n_docs"), F.count(F.lit(1)), *moments).first()
-    priors = [fitted_prior(sums[3 * i] or 0, n or 0, count, sums[3 * i + 1] or 0, sums[3 * i + 2] or 0, 1.0 if i else factor) for i in range(len(rules))]
+        k = F.col(f"n_{r}").cast("decimal(15,0)")
+        moments += [F.sum(f"n_{r}"), F.sum(F.floor(k * k * 1_000_000 / F.col("n_docs")).cast("decimal(38,0)"))]
+    docs = F.col("n_docs").cast("decimal(15,0)")
+    n, count, sizes, *sums = hosts.agg(F.sum("n_docs"), F.count(F.lit(1)), F.sum(docs * docs), *moments).first()
+    priors = [fitted_prior(sums[2 * i] or 0, n or 0, count, sizes or 0, sums[2 * i + 1] or 0, 1.0 if i else factor) for i in range(len(rules))]
     sure = [soft_confidence if i else confidence for i in range(len(rules))]
 
     def judge(columns):

@@ -141,6 +141,37 @@ def test_bad_host_condemns_and_good_host_does_not(spark):
     assert out[1002]
 
 
+def slow_strength(hosts):
+    """From all pairs of documents: how much more alike those of one host are than those of different ones."""
+    docs = [(h, 1.0 if i < k else 0.0) for h, (n, k) in enumerate(hosts) for i in range(n)]
+    x, host = np.array([d[1] for d in docs]), np.array([d[0] for d in docs])
+    means = np.array([x[host == h].mean() for h in range(len(hosts))])
+    within = ((x - means[host]) ** 2).sum() / (len(docs) - len(hosts))
+    between = ((means[host] - x.mean()) ** 2).sum() / (len(hosts) - 1)
+    size = (len(docs) - sum(n * n for n, _ in hosts) / len(docs)) / (len(hosts) - 1)
+    spread = (between - within) / size
+    return min(max(within / spread, 0.1), 1e6) if spread > 0 else 1e6
+
+
+def test_equal_hosts_are_not_told_apart_and_the_strength_is_found():
+    rng = np.random.default_rng(8)
+    sizes = np.concatenate([rng.integers(1, 4, 20_000), rng.integers(500, 2000, 50)])
+
+    def prior(rates):
+        k = rng.binomial(sizes, rates)
+        return k, quality.fitted_prior(int(k.sum()), int(sizes.sum()), len(sizes), int((sizes**2).sum()), int((k.astype(float) ** 2 * 1e6 / sizes).sum()), 1.0)
+
+    for rate in (0.02, 0.1, 0.3):
+        k, p = prior(np.full(len(sizes), rate))
+        assert p.alpha + p.beta > 100
+        small = sizes < 4
+        bad = quality.beta_tail(p.limit, p.alpha + k[small], p.beta + sizes[small] - k[small]) >= 0.9
+        assert bad.sum() <= (k[small] >= 3).sum() < 0.03 * small.sum()  # one or two failures never tell
+    _, p = prior(rng.beta(0.4, 3.6, len(sizes)))
+    assert 3 < p.alpha + p.beta < 5.5 and abs(p.alpha / (p.alpha + p.beta) - 0.1) < 0.03
+    assert quality.fitted_prior(0, 0, 0, 0, 0, 1.0).alpha > 0 and quality.fitted_prior(1, 1, 1, 1, 10**6, 1.0).alpha > 0
+
+
 @pytest.mark.parametrize("broadcast", [100, 0])
 def test_kept_against_a_brute_force_posterior(spark, monkeypatch, broadcast):
     monkeypatch.setattr(quality, "BROADCAST_HOSTS", broadcast)
@@ -167,8 +198,7 @@ def test_kept_against_a_brute_force_posterior(spark, monkeypatch, broadcast):
     for rule, factor, sure in (("base_failed", 4, 0.95), ("fail_symbols", 1, 0.9), ("fail_dup_lines", 1, 0.9), ("fail_repeats", 1, 0.9)):
         k = Counter(r["host"] for r in out if r[rule])
         m = min(max(sum(k.values()) / len(out), 1e-4), 1 - 1e-4)
-        rates = [k[h] * 10**6 // n[h] / 10**6 for h in n]
-        s = min(max(m * (1 - m) / max(np.var(rates), 1e-9) - 1, 2), 1e4)
+        s = slow_strength([(n[h], k[h]) for h in n])
         limit = factor * m / (1 - m) / (1 + factor * m / (1 - m))
         for h in n:
             f = (m * s + k[h] - 1) * np.log(grid) + ((1 - m) * s + n[h] - k[h] - 1) * np.log1p(-grid)
@@ -186,8 +216,13 @@ def test_kept_against_a_brute_force_posterior(spark, monkeypatch, broadcast):
 
 
 def test_verdicts_decide_on_the_tables(spark):
-    out = quality.quality_rules(read(spark, "/root/testdata/sf0.01", "documents"))
-    assert out.where("NOT base_failed AND NOT kept").count() > 0
+    """The hosts of the tables differ by chance alone, so none is told apart; one whose documents are spoiled is."""
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    assert quality.quality_rules(docs).where("NOT base_failed AND NOT kept").count() == 0
+    spoiled = F.when((F.col("source") == "src3") & (F.col("doc_id") % 3 != 0), F.concat("text", F.lit("\n##\n##"), F.repeat(F.lit("\n# same line"), 60))).otherwise(F.col("text"))
+    out = quality.quality_rules(docs.withColumn("text", spoiled))
+    rejected = Counter(r["host"] for r in out.where("NOT base_failed AND NOT kept").select("host").collect())
+    assert rejected["src3"] >= 15 > 5 * sum(n for h, n in rejected.items() if h != "src3")
 
 
 # toxicity and language
