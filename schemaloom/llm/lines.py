@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import pinned, read
 
 MIN_SITES = 8
-MIN_CHARS = 20
+MIN_CHARS = 1
 LG_K = 12
 
 

@@ -433,13 +433,15 @@ def test_perfect_hash_is_minimal_and_rejects_strangers():
 
 def test_lines_between_sites(spark):
     line = "a line that is long enough to be boilerplate"
-    rows = [(i, f"s{i % 9}", f"own {i}\n{line}\nshort") for i in range(20)] + [(50, "s1", None), (51, None, line), (52, "s2", "")]
+    rows = [(i, f"s{i % 9}", f"own {i}\n{line}\n\nshort") for i in range(20)] + [(50, "s1", None), (51, None, line), (52, "s2", "")]
     rows.append((53, "s0", "\n".join([line] * 3000)))
     docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, source string, text string, n_lines long").drop("n_lines")
     for sites, gone in ((9, True), (10, False)):
         out = {r["doc_id"]: r for r in lines.drop_boilerplate(docs, min_sites=sites).collect()}
-        assert out[0]["text"] == f"own 0\n{line}\nshort"
-        assert out[1]["text"] == ("own 1\nshort" if gone else f"own 1\n{line}\nshort")
+        assert out[0]["text"] == f"own 0\n{line}\n\nshort"
+        assert out[1]["text"] == ("own 1\n" if gone else f"own 1\n{line}\n\nshort")
+        longer = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(docs, min_sites=sites, min_chars=20).collect()}
+        assert longer[1] == ("own 1\n\nshort" if gone else f"own 1\n{line}\n\nshort")
         assert (out[50]["text"], out[50]["n_lines"], out[52]["text"]) == (None, 0, "")
         assert out[51]["text"] == ("" if gone else line)
         assert out[53]["n_removed"] == (3000 if gone else 0)
