@@ -175,16 +175,54 @@ def q_lift_customer(spark, sf):
     return Q.lift(customers(spark, sf), Registry(REGISTRY), CUSTOMER["$id"]).select("instance.*")
 
 
-@C.query(f"SELECT o_orderkey, o_custkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_lines, (SELECT CAST(sum(CAST(l_quantity AS INTEGER)) AS BIGINT) FROM lineitem WHERE l_orderkey = o_orderkey) AS quantity FROM orders")
+@C.query("""SELECT o_orderkey, o_custkey, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_lines,
+  (SELECT string_agg(l_partkey || ':' || l_quantity::INTEGER, ',' ORDER BY l_linenumber, l_partkey, l_quantity) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders""")
 def q_lift_nested(spark, sf):
     x = Q.lift(nested_orders(spark, sf), Registry(REGISTRY), ORDER["$id"])
-    total = F.aggregate("instance.lines", F.lit(0).cast("bigint"), lambda n, line: n + line["l_quantity"])
-    return x.select("instance.o_orderkey", "instance.o_custkey", F.coalesce(F.size("instance.lines"), F.lit(0)).cast("bigint").alias("n_lines"), total.alias("quantity"))
+    lines = F.array_join(F.transform("instance.lines", lambda line: F.concat_ws(":", line["l_partkey"], line["l_quantity"])), ",")
+    return x.select("instance.o_orderkey", "instance.o_custkey", F.coalesce(F.size("instance.lines"), F.lit(0)).cast("bigint").alias("n_lines"), lines.alias("lines"))
+
+
+BASKET = {"$id": ID + "Basket", "type": "object", "properties": {"owner": {"type": "integer"}, "prices": {"type": "array", "items": {"type": "number"}}, "orders": {"type": "array", "items": {"$ref": ID + "Entry"}}}}
+ENTRY = {"$id": ID + "Entry", "type": "object", "properties": {"key": {"type": "integer"}, "status": {"type": "string"}}}
+BASKET_SQL = """SELECT o_custkey AS owner, string_agg(o_orderkey || o_orderstatus, ',' ORDER BY o_orderkey DESC) AS orders, string_agg(floor(o_totalprice)::BIGINT, ',' ORDER BY o_orderkey DESC) AS prices
+  FROM orders GROUP BY o_custkey"""
+
+
+def baskets(spark, sf):
+    """Customers with their orders, the latest key first: objects under names of their own (well-known genids), and a list of prices."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))) - 1
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.floor("o_totalprice").alias("price"), place.alias("i"))
+    emitter, owner = Q.Emitter(Registry([BASKET, ENTRY])), iri("basket", "owner")
+    own = emitter.quads(d := rows.select("owner").distinct(), BASKET["$id"], owner, row_value(d))
+    items = emitter.item_quads(d := rows.select("owner", "i", "key", "status"), BASKET["$id"], "orders", owner, F.col("i"), row_value(d.select("key", "status")))
+    prices = emitter.item_quads(d := rows.select("owner", "i", "price"), BASKET["$id"], "prices", owner, F.col("i"), Q.Typed(F.col("price"), d.schema["price"].dataType))
+    genid = lambda c: F.when(F.col(c).rlike("/orders/[0-9]+$"), Q.well_known_genid(EX, F.md5(c))).otherwise(F.col(c))
+    return own.unionByName(items).unionByName(prices).withColumns({"s": genid("s"), "o": genid("o")})
+
+
+def _basket_row(x):
+    orders = F.array_join(F.transform("instance.orders", lambda e: F.concat(e["key"].cast("string"), e["status"])), ",")
+    return x.select("instance.owner", orders.alias("orders"), F.array_join(F.transform("instance.prices", lambda v: v.cast("bigint").cast("string")), ",").alias("prices"))
+
+
+@C.query(BASKET_SQL)
+def q_lift_ordered(spark, sf):
+    """Lists of more than ten objects and values come back in their order."""
+    return _basket_row(Q.lift(baskets(spark, sf), Registry([BASKET, ENTRY]), BASKET["$id"]))
+
+
+@C.query(BASKET_SQL.replace("FROM orders", "FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)"))
+def q_lift_one_foreign(spark, sf):
+    """One subject whose nested objects aren't named under it."""
+    q = baskets(spark, sf)
+    first = table(spark, sf, "orders").agg(F.min("o_custkey")).first()[0]
+    return _basket_row(Q.lift_one(q, Registry([BASKET, ENTRY]), BASKET["$id"], f"{EX}basket/{first}"))
 
 
 @C.query(f"SELECT s, p, o, o_datatype FROM ({CUSTOMER_SQL})")
 def q_nquads_round_trip(spark, sf):
-    lines = Q.to_nquads(customers(spark, sf)).withColumn("ord", F.lit(0).cast("bigint"))
+    lines = Q.to_nquads(customers(spark, sf)).withColumn("ord", F.array(F.lit(0).cast("bigint")))
     return Q.parse_nquads(lines).select("s", "p", "o", "o_datatype")
 
 
@@ -233,7 +271,7 @@ def q_nquads_escapes(spark, sf):
     df = table(spark, sf, "customer").select("c_custkey", odd.alias("label"))
     word = {"$id": ID + "Word", "type": "object", "properties": {"label": {"type": "string"}}}
     q = Q.Emitter(Registry([word])).quads(df, word["$id"], iri("customer", "c_custkey"), row_value(df.select("label")))
-    return Q.parse_nquads(Q.to_nquads(q).withColumn("ord", F.lit(0).cast("bigint"))).where(F.col("p") != TYPE).select("s", "o")
+    return Q.parse_nquads(Q.to_nquads(q).withColumn("ord", F.array(F.lit(0).cast("bigint")))).where(F.col("p") != TYPE).select("s", "o")
 
 
 @C.query(f"SELECT '{EX}customer/' || c_custkey AS s, c_name FROM customer")
@@ -254,7 +292,7 @@ def geography(spark, sf) -> Graph:
     """Customer -> nation -> region as links."""
     def link(s, p, o):
         none = F.lit(None).cast("string")
-        return F.struct(s.alias("s"), F.lit("iri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), *(none.alias(c) for c in ("o_datatype", "o_lang", "g", "qs", "qp", "qo")), F.lit(0).cast("bigint").alias("ord"))
+        return F.struct(s.alias("s"), F.lit("iri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), *(none.alias(c) for c in ("o_datatype", "o_lang", "g", "qs", "qp", "qo")), F.array(F.lit(0).cast("bigint")).alias("ord"))
 
     c = table(spark, sf, "customer").select(link(iri("customer", "c_custkey"), EX + "in", iri("nation", "c_nationkey")).alias("q"))
     n = table(spark, sf, "nation").select(link(iri("nation", "n_nationkey"), EX + "in", iri("region", "n_regionkey")).alias("q"))
@@ -407,7 +445,7 @@ def g_class_superclasses(spark, sf):
 
 @C.query(f"SELECT unnest({['Tube', 'MetalPart', 'Part', 'Article']}) AS iri")
 def g_schema_cursor(spark, sf):
-    rows = [(a, "iri", RDFS + "subClassOf", b, "iri", None, None, None, None, None, None, i) for i, (a, b) in enumerate(TREE)]
+    rows = [(a, "iri", RDFS + "subClassOf", b, "iri", None, None, None, None, None, None, [i]) for i, (a, b) in enumerate(TREE)]
     g = Graph(customers(spark, sf), schema=spark.createDataFrame(rows, Q.SCHEMA))
     found = g.class_("BrassTube").sub_class_of(transitive=True).iris()
     return spark.createDataFrame([(x,) for x in found], "iri string")

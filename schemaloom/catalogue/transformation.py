@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import PRIME, START, hash_column
 from ..operators import validation as V
 from ..operators.identity import structural_duplicates
+from ..operators.validation import row_value
 from ..plans import project as P
 from ..plans.registry import Registry
 from ..plans.values import Typed, Variant
@@ -37,6 +38,17 @@ def t_convert(spark, sf_dir):
     return _projected(spark, sf_dir, True, False)
 
 
+@C.query("SELECT event_id, 9007199254740993 + event_id AS a, 9007199254740993 + event_id AS b, -9007199254740993 - event_id AS c, 9007199254740993 + event_id AS d FROM events")
+def t_convert_longs(spark, sf_dir):
+    """Whole numbers beyond 2^53 from a document, from text in one, from a column and without coercion stay as they are."""
+    n = F.lit(9007199254740993) + F.col("event_id")
+    df = table(spark, sf_dir, "events").select("event_id", n.alias("n"), F.parse_json(F.to_json(F.struct(n.alias("a"), n.cast("string").alias("b"), (-n).alias("c")))).alias("doc"))
+    r = Registry([{"$id": ID + "longs", "type": "object", "properties": {x: {"type": "integer"} for x in "abc"}}, {"$id": ID + "n", "properties": {"n": {"type": "integer"}}}])
+    out = P.Projector(r).project_column(df, ID + "longs", "doc", "x")
+    plain = P.Projector(r, coerce=False).project(ID + "n", row_value(df.select("n")))
+    return out.select("event_id", "x.a", "x.b", "x.c", plain["n"].alias("d"))
+
+
 @C.query(f"SELECT event_id, {K} AS k, coalesce(TRY_CAST(d->>'$.z' AS BIGINT), 9) AS z, {B} AS b, d->>'$.n_1' AS n_1 FROM {D}")
 def t_cast_defaults(spark, sf_dir):
     return _projected(spark, sf_dir, True, True)

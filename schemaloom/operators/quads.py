@@ -30,7 +30,7 @@ TYPE = RDF + "type"
 #: A quad before its template's constants are filled in. dt and kind are null but where the value decides them.
 MADE = "struct<t:int,s:string,o:string,dt:string,qs:string,qo:string>"
 COLUMNS = ("s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang", "g", "qs", "qp", "qo")
-SCHEMA = "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string, g string, qs string, qp string, qo string, ord bigint"
+SCHEMA = "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string, g string, qs string, qp string, qo string, ord array<bigint>"
 
 # The datatypes of JSON types and of formats.
 TYPE_DATATYPES = {"boolean": "boolean", "integer": "integer", "number": "decimal", "string": "string"}
@@ -44,6 +44,12 @@ INTEGER_TYPES = ("integer", "int", "long", "short", "byte", "nonNegativeInteger"
 DECIMAL_TYPES = ("decimal", "double", "float")
 #: How often an emitter follows schemas that it has met before on the way; documents that go deeper raise an error.
 REPEATS = 9
+#: Place within a document after which items that come as rows of their own follow.
+ITEMS = 1 << 40
+
+
+def _number(order: Column | None) -> Column:
+    return F.coalesce(order.cast("bigint"), F.lit(0).cast("bigint")) if order is not None else F.lit(0).cast("bigint")
 
 
 def number_literal(v: Value) -> Column:
@@ -83,29 +89,29 @@ class Emitter:
         return made or f"{class_id}#{name}"
 
     def quads(self, df: DataFrame, schema_id: str, subject: Column, value: Value, order: Column | None = None) -> DataFrame:
-        """The quads of each row. ord is the place in its document, after that of the document where ``order`` gives one (a number);
-        without it, documents are told apart by their IRIs."""
-        place = F.coalesce(order.cast("bigint"), F.lit(0)) if order is not None else F.lit(0).cast("bigint")
+        """The quads of each row. ord is an array: the document's place where ``order`` gives one (a number), then the quad's within
+        it; without it, documents are told apart by their IRIs."""
+        place = [_number(order)]
         key = self.registry.expand(schema_id)
         self.templates: dict[tuple, int] = {}
         return self._exploded(df, place, self._object(self.registry[key], key, _At(key), subject, value, (id(self.registry[key]),)))
 
     def item_quads(self, df: DataFrame, schema_id: str, name: str, owner: Column, index: Column, value: Value, order: Column | None = None) -> DataFrame:
         """The quads of the items of an array property that come as rows of their own: each is linked to its owner, as if it
-        had been gathered into the owner's document at ``index`` before."""
+        had been gathered into the owner's document at ``index`` before, after the document's own quads."""
         key = self.registry.expand(schema_id)
         sub, own = self.shapes.properties(self.registry[key], _At(key))[name]
         target, at = self.shapes._deref(sub, own)
         self.templates = {}
-        place = F.coalesce(order.cast("bigint"), F.lit(0)) if order is not None else F.lit(0).cast("bigint")
+        place = [_number(order), F.lit(ITEMS).cast("bigint"), index.cast("bigint")]
         nested = F.concat(owner, F.lit(f"/{name}/"), index.cast("string"))
         return self._exploded(df, place, self._one(self.predicate(own.root, name, sub), target.get("items", {}), at, owner, value, nested, (id(self.registry[key]),)))
 
-    def _exploded(self, df: DataFrame, place: Column, quads: Column) -> DataFrame:
+    def _exploded(self, df: DataFrame, place: list[Column], quads: Column) -> DataFrame:
         rows = list(self.templates)
         if not rows:
             return df.sparkSession.createDataFrame([], SCHEMA)
-        made = df.select(place.alias("_place"), F.posexplode(quads).alias("_pos", "q")).where(F.col("q.o").isNotNull())
+        made = df.select(F.array(*place).alias("_place"), F.posexplode(quads).alias("_pos", "q")).where(F.col("q.o").isNotNull())
 
         def of(i: int) -> Column:
             """A constant of the template; where all have the same it is one for the optimizer too, which then can leave filters out."""
@@ -118,7 +124,7 @@ class Emitter:
         s_kind = (F.when(F.col("q.qs").isNotNull(), "triple") if quoted else F).when(F.col("q.s").startswith("_:"), "bnode").otherwise("iri")
         return made.select(
             F.col("q.s").alias("s"), s_kind.alias("s_kind"), of(0).alias("p"), F.col("q.o").alias("o"), of(1).alias("o_kind"), F.coalesce(of(2), F.col("q.dt")).alias("o_datatype"), of(3).alias("o_lang"),
-            of(4).alias("g"), F.col("q.qs").alias("qs"), of(5).alias("qp"), F.col("q.qo").alias("qo"), F.shiftleft("_place", 20).bitwiseOR(F.col("_pos")).alias("ord"),
+            of(4).alias("g"), F.col("q.qs").alias("qs"), of(5).alias("qp"), F.col("q.qo").alias("qo"), F.array(*(F.col("_place")[i] for i in range(len(place))), F.col("_pos").cast("bigint")).alias("ord"),
         )
 
     def _quad(self, s: Column, p: str, o: Column, o_kind: str, datatype: str | Column | None = None, lang: str | None = None, quoted: tuple[Column, str, Column] | None = None) -> Column:
@@ -238,7 +244,7 @@ def document_quads(df: DataFrame, emitter: Emitter, compiler, schema_id: str, co
 
 def same_as_quads(spark, registry: Registry) -> DataFrame:
     """Symmetric sameAs quads of the registry's identity axioms."""
-    rows = [(a, "iri", OWL + "sameAs", b, "iri", None, None, None, None, None, None, i) for i, (x, y) in enumerate(sorted(registry.same)) for a, b in ((x, y), (y, x))]
+    rows = [(a, "iri", OWL + "sameAs", b, "iri", None, None, None, None, None, None, [i]) for i, (x, y) in enumerate(sorted(registry.same)) for a, b in ((x, y), (y, x))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -315,7 +321,7 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
         inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way).select(F.col("s").alias("o"), F.col("instance"))
         links = q.where(F.col("p") == p).select("s", "o", "g", "ord").join(inner, "o")
         if many:
-            compare = lambda a, b: F.when(a["ord"] != b["ord"], F.signum(a["ord"] - b["ord"])).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0).cast("int")
+            compare = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
             ordered = F.array_sort(F.collect_list(F.struct("ord", "o", "g", "instance")), compare)
             keys = F.transform(ordered, lambda x: F.struct(x["o"], F.coalesce(x["g"], F.lit(""))))
             got = F.filter(ordered, lambda x, i: F.array_position(keys, F.struct(x["o"], F.coalesce(x["g"], F.lit("")))) == i + 1)
@@ -337,7 +343,7 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
 
 def read_nquads(spark, path: str, on_error: str = "raise") -> DataFrame:
     """N-Quads lines as quads; empty lines and comments are skipped. ord rises with the lines of a file; files follow each other as Spark deals them."""
-    return parse_nquads(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("ord")), on_error)
+    return parse_nquads(spark.read.text(path).select("value", F.array(F.monotonically_increasing_id()).alias("ord")), on_error)
 
 
 _IRI, _BNODE, _LITERAL = r"<[^<>]*>", r"_:[^\s<>\"]+", r'"(?:[^"\\]|\\.)*"(?:\^\^<[^<>]*>|@[A-Za-z0-9-]+)?'
@@ -440,7 +446,7 @@ def from_jsonld(spark, nodes: list[dict], context: dict[str, str] | None = None)
         return context[head] + tail if colon and head in context and not tail.startswith("//") else context.get(x, x)
 
     def add(s, p, o, kind, datatype=None, lang=None):
-        rows.append((s, "bnode" if s.startswith("_:") else "iri", p, o, kind, datatype, lang, None, None, None, None, len(rows)))
+        rows.append((s, "bnode" if s.startswith("_:") else "iri", p, o, kind, datatype, lang, None, None, None, None, [len(rows)]))
 
     def link(s: str, p: str, v) -> None:
         if isinstance(v, list):
@@ -567,9 +573,40 @@ def issued(q: DataFrame, prefix: str = "_:c") -> DataFrame:
     return q
 
 
-def lift_one(q: DataFrame, registry: Registry, schema_id: str, iri: str, emitter: Emitter | None = None) -> DataFrame:
-    """s, instance of one subject: only its own quads and those of what is nested under it are read."""
-    return lift(q.where((F.col("s") == iri) | F.col("s").startswith(iri + "/")), registry, schema_id, emitter).where(F.col("s") == iri)
+def lift_one(q: DataFrame, registry: Registry, schema_id: str, iri: str, emitter: Emitter | None = None, depth: int = 3) -> DataFrame:
+    """s, instance of one subject: only its own quads and those of what it leads to, whatever that is named, are gathered.
+
+    The links are walked a step at a time from the subject, and each step only joins what the last one found.
+    """
+    from .selection import pinned
+
+    emitter = emitter or Emitter(registry)
+    key = registry.expand(schema_id)
+    found = q.sparkSession.createDataFrame([(iri,)], "s string")
+    steps = _links(emitter, registry[key], _At(key), depth, (id(registry[key]),))
+    front = found
+    while steps:
+        links = q.where(F.col("p").isin(sorted({p for p, _ in steps})) & (F.col("o_kind") != "literal")).select("s", "o")
+        front = pinned(links.join(front, "s", "left_semi").select(F.col("o").alias("s")).distinct())
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+        steps = [x for _, more in steps for x in more]
+    return lift(q.join(found.distinct(), "s", "left_semi"), registry, schema_id, emitter, depth).where(F.col("s") == iri)
+
+
+def _links(emitter: Emitter, schema, at, depth: int, path: tuple[int, ...]) -> list[tuple[str, list]]:
+    """(predicate, links below it) of the properties that hold objects, as deep as ``lift`` follows them and one step more."""
+    out = []
+    for name, (sub, own) in emitter.shapes.properties(schema, at).items():
+        target, inner = emitter.shapes._deref(sub, own)
+        many = emitter.shapes.kind(target, inner) == "array"
+        leaf, leaf_at = emitter.shapes._deref(target.get("items", {}) if many else sub, inner if many else own)
+        if emitter.shapes.kind(leaf, leaf_at) == "object":
+            way = (*path, id(leaf))
+            below = [] if len(way) - len(set(way)) > depth else _links(emitter, leaf, leaf_at, depth, way)
+            out.append((emitter.predicate(own.root, name, sub), below))
+    return out
 
 
 def deskolemized(q: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.hashing import text
 from ..functions.numbers import number_text
 from .compiler import _At
 from .registry import Registry, Schema, config, ext
-from .values import Typed, Value, Variant, hold
+from .values import WHOLE, Typed, Value, Variant, hold
 
 DEFAULT_DEPTH = 8
 
@@ -29,6 +29,24 @@ def number_of(v: Value) -> Column:
     return F.coalesce(v.number(), from_text, F.when(v.is_type("boolean"), boolean_plain(v).cast("double")))
 
 
+def whole_of(v: Value, coerce: bool) -> Column:
+    """A number cut to its whole part; whole ones of 64 bits exactly, others by way of a double."""
+    n = number_of(v) if coerce else v.number()
+    cut = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("bigint")
+    if isinstance(v, Typed):
+        if isinstance(v.kind, WHOLE):
+            return v.col.cast("bigint")
+        if isinstance(v.kind, T.DecimalType):
+            return F.when(v.col >= 0, F.floor(v.col)).otherwise(F.ceil(v.col)).try_cast("bigint")
+        exact = F.lit(None).cast("bigint")
+    else:
+        exact = F.when(v.schema == "BIGINT", F.try_variant_get(v.col, "$", "bigint"))
+    if coerce:
+        t = F.trim(v.text())
+        exact = F.coalesce(exact, F.when(t.rlike(r"^[+-]?\d{1,19}$"), t.try_cast("bigint")))
+    return F.coalesce(exact, cut)
+
+
 def boolean_plain(v: Value) -> Column:
     if isinstance(v, Typed):
         return v.col if isinstance(v.kind, T.BooleanType) else F.lit(None).cast("boolean")
@@ -237,8 +255,7 @@ class Projector:
         elif kind == "number":
             out = number_of(v) if coerce else v.number()
         elif kind == "integer":
-            n = number_of(v) if coerce else v.number()
-            out = F.when(n >= 0, F.floor(n)).otherwise(F.ceil(n)).cast("bigint")
+            out = whole_of(v, coerce)
         elif kind == "boolean":
             out = boolean_of(v) if coerce else boolean_plain(v)
         elif isinstance(target, T.ArrayType):
