@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import identity, shacl
+from ..operators import jsonld as J
 from ..operators import quads as Q
 from ..operators.quads import RDF, RDFS, SH, TYPE, XSD
-from ..operators.selection import Graph
+from ..operators.selection import Graph, pinned
 from ..operators.validation import row_value
 from ..plans.compiler import Compiler
 from ..plans.registry import Registry
@@ -282,6 +283,50 @@ def q_jsonld_nodes(spark, sf):
     return nodes.select(F.try_variant_get(parsed, "$['@id']", "string").alias("s"), name.alias("c_name"))
 
 
+@C.query("""SELECT conv_id::VARCHAR AS conv, i AS idx, role, length(text)::VARCHAR AS n, text AS said FROM
+  (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::INTEGER AS i FROM conversations)""")
+def q_jsonld_read(spark, sf):
+    """Conversations as JSON-LD documents, each a list of nested turns under a context of its own, read as quads and put together again."""
+    turn = F.struct("turn", "role", "text", F.char_length("text").alias("n"))
+    turns = F.transform(F.array_sort(F.collect_list(turn)), lambda t: F.struct(t["role"].alias("role"), t["n"].alias("ex:n"), F.struct(t["text"].alias("@value")).alias("ex:said")))
+    head = '{"@context":{"ex":"https://example.org/","role":{"@id":"ex:role","@type":"https://example.org/Role"}},"@type":"ex:Conversation","@id":"ex:conv/'
+    docs = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("_turns"))
+    docs = docs.select("conv_id", F.parse_json(F.concat(F.lit(head), F.col("conv_id").cast("string"), F.lit('","ex:turns":{"@list":'), F.to_json("_turns"), F.lit("}}"))).alias("doc"))
+    q = pinned(J.from_jsonld(docs, "doc", F.col("conv_id")))
+    of = q.where(F.col("p") == EX + "turns").select(F.regexp_extract("s", "([0-9]+)$", 1).alias("conv"), F.col("o").alias("head"))
+    said = q.where(F.col("p").isin(EX + "role", EX + "n", EX + "said")).groupBy(F.col("s").alias("item")).agg(
+        F.max(F.when((F.col("p") == EX + "role") & (F.col("o_datatype") == EX + "Role"), F.col("o"))).alias("role"), F.max(F.when((F.col("p") == EX + "n") & (F.col("o_datatype") == XSD + "integer"), F.col("o"))).alias("n"),
+        F.max(F.when(F.col("p") == EX + "said", F.col("o"))).alias("said"),
+    )
+    return Q.lists(q).join(of, "head").join(said, "item").select("conv", "idx", "role", "n", "said")
+
+
+@C.query("SELECT o_orderkey, l_partkey, l_quantity::INTEGER AS l_quantity, i AS idx FROM (SELECT *, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1)::INTEGER AS i FROM lineitem) JOIN orders ON l_orderkey = o_orderkey")
+def q_jsonld_round_trip(spark, sf):
+    """Orders whose lines are blank nodes in an RDF list, written as nested documents, a row each, and read back."""
+    q = nested_orders(spark, sf, TYPE, P["o_orderkey"], P["lines"], P["l_partkey"], P["l_quantity"])
+    blank = lambda c: F.when(F.col(c).rlike("/lines/[0-9]+$"), F.concat(F.lit("_:"), F.translate(F.regexp_extract(c, "order/(.*)$", 1), "/", "_"))).otherwise(F.col(c))
+    q = q.withColumns({"s": blank("s"), "o": blank("o")})
+    q = q.withColumns({"s_kind": F.when(F.col("s").startswith("_:"), "bnode").otherwise("iri"), "o_kind": F.when(F.col("o").startswith("_:"), "bnode").otherwise(F.col("o_kind"))})
+    lines = q.where(F.col("p") == P["lines"])
+    place = Window.partitionBy("s").orderBy("ord")
+    cell = lambda i: F.concat(F.lit("_:cell"), F.regexp_extract("s", "([0-9]+)$", 1), F.lit("_"), i.cast("string"))
+    lines = lines.select("s", "o", (F.row_number().over(place) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("s")).alias("n"))
+    none = F.lit(None).cast("string")
+    row = lambda s, p, o, kind: F.struct(s.alias("s"), F.when(s.startswith("_:"), "bnode").otherwise("iri").alias("s_kind"), F.lit(p).alias("p"), o.alias("o"), kind.alias("o_kind"), *(none.alias(c) for c in ("o_datatype", "o_lang", "g", "qs", "qp", "qo")), F.array(F.col("i").cast("bigint")).alias("ord"))
+    last = F.col("i") + 1 == F.col("n")
+    first, rest = row(cell(F.col("i")), RDF + "first", F.col("o"), F.lit("bnode")), row(cell(F.col("i")), RDF + "rest", F.when(last, RDF + "nil").otherwise(cell(F.col("i") + 1)), F.when(last, "iri").otherwise("bnode"))
+    head = row(F.col("s"), P["lines"], cell(F.lit(0)), F.lit("bnode"))
+    chain = lines.select(F.explode(F.array(first, rest)).alias("q")).unionByName(lines.where("i = 0").select(head.alias("q"))).select("q.*")
+    docs = J.to_jsonld_documents(q.where(F.col("p") != P["lines"]).unionByName(chain), native=True)
+    back = pinned(J.from_jsonld(docs.select(F.col("s").alias("k"), F.parse_json("node").alias("doc")), "doc", F.md5("k")))
+    heads = back.where(F.col("p") == P["lines"]).select("s", F.col("o").alias("head"))
+    keys = back.where(F.col("p") == P["o_orderkey"]).select("s", F.col("o").cast("bigint").alias("o_orderkey"))
+    part = back.where(F.col("p") == P["l_partkey"]).select(F.col("s").alias("item"), F.col("o").cast("bigint").alias("l_partkey"))
+    many = back.where(F.col("p") == P["l_quantity"]).select(F.col("s").alias("item"), F.col("o").cast("int").alias("l_quantity"))
+    return Q.lists(back).join(heads, "head").join(keys, "s").join(part, "item").join(many, "item").select("o_orderkey", "l_partkey", "l_quantity", "idx")
+
+
 def graph(spark, sf) -> Graph:
     """Customers and orders; an order's customer key is a literal that identifies the customer."""
     source = lambda only: customers(spark, sf, *only).unionByName(orders(spark, sf, *only))

@@ -422,7 +422,8 @@ def quoted_json(c: Column) -> Column:
 
 
 def to_jsonld(q: DataFrame) -> DataFrame:
-    """s, node: one JSON-LD node per subject, predicates in order, each with its values. Grouped by subject, which is bounded by a document's size."""
+    """s, node: one JSON-LD node per subject, predicates in order, each with its values. Grouped by subject, which is bounded by a document's size.
+    ``jsonld.to_jsonld_documents`` nests them."""
     v = F.when(F.col("o_kind") != "literal", F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(
         F.to_json(F.struct(F.col("o").alias("@value"), F.when(F.col("o_lang").isNull(), F.col("o_datatype")).alias("@type"), F.col("o_lang").alias("@language")))
     )
@@ -435,70 +436,16 @@ def to_jsonld(q: DataFrame) -> DataFrame:
     return node.select("s", F.concat(F.lit('{"@id":'), quoted_json(F.col("s")), F.lit(","), F.array_join(F.transform("m", lambda x: x["member"]), ","), F.lit("}")).alias("node"))
 
 
-def from_jsonld(spark, nodes: list[dict], context: dict[str, str] | None = None) -> DataFrame:
-    """Quads of JSON-LD nodes held by the driver (a schema-sized document): compact IRIs, @list, nested nodes as blank ones."""
-    context = context or {}
-    rows: list[tuple] = []
-    made = iter(range(1 << 60))
-
-    def iri(x: str) -> str:
-        head, colon, tail = x.partition(":")
-        return context[head] + tail if colon and head in context and not tail.startswith("//") else context.get(x, x)
-
-    def add(s, p, o, kind, datatype=None, lang=None):
-        rows.append((s, "bnode" if s.startswith("_:") else "iri", p, o, kind, datatype, lang, None, None, None, None, [len(rows)]))
-
-    def link(s: str, p: str, v) -> None:
-        if isinstance(v, list):
-            for x in v:
-                link(s, p, x)
-        elif isinstance(v, dict) and "@list" in v:
-            o = chain(v["@list"])
-            add(s, p, o, "iri" if o == RDF + "nil" else "bnode")
-        elif isinstance(v, dict) and "@value" in v:
-            value = v["@value"]
-            text = str(value).lower() if isinstance(value, bool) else str(value)
-            add(s, p, text, "literal", RDF + "langString" if "@language" in v else iri(v.get("@type", XSD + "string")), v.get("@language"))
-        elif isinstance(v, dict):
-            o = node(v)
-            add(s, p, o, "bnode" if o.startswith("_:") else "iri")
-        else:
-            datatype = "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) else "double" if isinstance(v, float) else "string"
-            add(s, p, str(v).lower() if isinstance(v, bool) else str(v), "literal", XSD + datatype)
-
-    def chain(items: list) -> str:
-        at = RDF + "nil"
-        for x in reversed(items):
-            b = f"_:b{next(made)}"
-            link(b, RDF + "first", x)
-            add(b, RDF + "rest", at, "iri" if at == RDF + "nil" else "bnode")
-            at = b
-        return at
-
-    def node(n: dict) -> str:
-        s = iri(n["@id"]) if "@id" in n else f"_:b{next(made)}"
-        for t in [n["@type"]] if isinstance(n.get("@type"), str) else n.get("@type", []):
-            add(s, TYPE, iri(t), "iri")
-        for k, v in n.items():
-            if not k.startswith("@"):
-                link(s, iri(k), v)
-        return s
-
-    for n in nodes:
-        node(n)
-    return spark.createDataFrame(rows, SCHEMA)
-
-
-def lists(q: DataFrame) -> DataFrame:
-    """head, idx, item: the members of RDF lists. Each cell finds its head by doubling the reach of its link backwards, so a
+def lists(q: DataFrame, cells: bool = False) -> DataFrame:
+    """head, idx, item (or, where ``cells`` are asked for, cell): the members of RDF lists. Each cell finds its head by doubling the reach of its link backwards, so a
     list of n cells takes log2(n) rounds; cells of a cycle have no head and are left out."""
     from .selection import pinned
 
     first = q.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("item"))
     rest = q.where(F.col("p") == RDF + "rest").select("s", "o").distinct()
-    cells = rest.select(F.col("s").alias("cell")).distinct()
+    every = rest.select(F.col("s").alias("cell")).distinct()
     back = rest.select(F.col("o").alias("cell"), F.col("s").alias("up"))
-    at = pinned(cells.join(back, "cell", "left").select("cell", F.coalesce("up", "cell").alias("up"), F.col("up").isNotNull().cast("bigint").alias("idx")))
+    at = pinned(every.join(back, "cell", "left").select("cell", F.coalesce("up", "cell").alias("up"), F.col("up").isNotNull().cast("bigint").alias("idx")))
     going = None
     while True:
         far = at.select(F.col("cell").alias("up"), F.col("up").alias("further"), F.col("idx").alias("more"))
@@ -508,7 +455,8 @@ def lists(q: DataFrame) -> DataFrame:
             break
         going = left
         at = at.drop("moved")
-    return at.where("NOT moved").join(first, "cell").select(F.col("up").alias("head"), F.col("idx").cast("int").alias("idx"), "item")
+    at = at.where("NOT moved").select("cell", F.col("up").alias("head"), F.col("idx").cast("int").alias("idx"))
+    return at if cells else at.join(first, "cell").select("head", "idx", "item")
 
 
 # subjects

@@ -9,7 +9,8 @@ from schemaloom import cli
 from schemaloom.functions.hashing import hash_text, number_text, value_hash
 from schemaloom.onto import emit, importer, viz
 from schemaloom.operators import shacl
-from schemaloom.operators.quads import Emitter, from_jsonld, lists
+from schemaloom.operators.jsonld import from_jsonld
+from schemaloom.operators.quads import Emitter, lists
 from schemaloom.operators.validation import row_value
 from schemaloom.plans import compose
 from schemaloom.plans.project import access_path
@@ -57,7 +58,8 @@ def test_shapes_of_schemas_judge_their_instances(spark):
 
 
 def test_jsonld_and_lists(spark):
-    q = from_jsonld(spark, [{"@id": "ex:a", "@type": "ex:T", "ex:l": {"@list": [1, "b", {"@id": "ex:c"}]}, "ex:n": {"ex:v": True}}], {"ex": "https://e/"})
+    node = {"@id": "ex:a", "@type": "ex:T", "ex:l": {"@list": [1, "b", {"@id": "ex:c"}]}, "ex:n": {"ex:v": True}}
+    q = from_jsonld(spark.createDataFrame([(json.dumps(node),)], "t string").select(F.parse_json("t").alias("d")), "d", F.lit("k"), {"ex": "https://e/"})
     assert [(r["idx"], r["item"]) for r in lists(q).orderBy("idx").collect()] == [(0, "1"), (1, "b"), (2, "https://e/c")]
     assert q.where("o_kind = 'literal' and o = 'true'").count() == 1
 
