@@ -207,12 +207,45 @@ def _basket_row(x):
     return x.select("instance.owner", orders.alias("orders"), F.array_join(F.transform("instance.prices", lambda v: v.cast("bigint").cast("string")), ",").alias("prices"))
 
 
+HOLDER = {"$id": ID + "Holder", "type": "object", "properties": {"c_name": {"type": "string"}, "c_acctbal": {"type": "number"}, "open": {"type": "boolean", "default": True}}}
+NAMED = {"$id": ID + "Named", "type": "object", "properties": {"c_name": {"type": "string"}, "c_acctbal": {"type": "number"}}}
+VENDOR = {"$id": ID + "Vendor", "type": "object", "properties": {"s_key": {"type": "integer"}, "c_name": {"type": "string"}, "c_acctbal": {"type": "number"}}}
+
+
+@C.query("""SELECT '/customer/' || c_custkey AS who, c_name AS name, c_acctbal AS balance, NULL AS open FROM customer
+  UNION ALL SELECT '/supplier/' || s_suppkey, s_name, s_acctbal, NULL FROM supplier
+  UNION ALL SELECT '/legacy/' || n_nationkey, n_name, n_nationkey::DOUBLE, NULL FROM nation
+  UNION ALL SELECT '/legacy/' || n_nationkey, n_name, n_nationkey::DOUBLE, true FROM nation""")
+def q_lift_structural(spark, sf):
+    """A class that no data names is lifted from classes that have its properties; and one from predicates that end in its properties' names, with its defaults."""
+    r = Registry([*REGISTRY, HOLDER, NAMED, VENDOR])
+    df = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("s_key"), F.col("s_name").alias("c_name"), F.col("s_acctbal").alias("c_acctbal"))
+    vendors = Q.Emitter(r).quads(df, VENDOR["$id"], iri("supplier", "s_key"), row_value(df))
+    old = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("c_name"), F.col("n_nationkey").cast("double").alias("c_acctbal"))
+    old = Q.Emitter(r).quads(old, HOLDER["$id"], iri("legacy", "n_nationkey"), row_value(old)).withColumn("p", F.when(F.col("p") == TYPE, TYPE).otherwise(F.concat(F.lit("urn:old#"), F.substring_index("p", "#", -1))))
+    q = customers(spark, sf).unionByName(vendors).unionByName(orders(spark, sf)).unionByName(old)
+    party = Q.lift(q, r, NAMED["$id"], structural=True).select("s", "instance.c_name", "instance.c_acctbal", F.lit(None).cast("boolean").alias("open"))
+    account = Q.lift(q, r, HOLDER["$id"], structural=True, defaults=True).select("s", "instance.c_name", "instance.c_acctbal", "instance.open")
+    return party.unionByName(account).select(F.regexp_extract("s", "example.org(/.*)$", 1).alias("who"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), "open")
+
+
 @C.query(BASKET_SQL)
 def q_lift_ordered(spark, sf):
     """Lists of more than ten objects and values come back in their order."""
     return _basket_row(Q.lift(baskets(spark, sf), Registry([BASKET, ENTRY]), BASKET["$id"]))
 
 
+BAG = {"$id": ID + "Bag", "type": "object", "properties": {"prices": {"type": "array", "items": {"type": "number"}}, "orders": {"type": "array", "items": {"$ref": ID + "Mark"}}}}
+MARK = {"$id": ID + "Mark", "type": "object", "properties": {"status": {"type": "string"}}}
+
+
+@C.query("SELECT string_agg(o_orderstatus, '' ORDER BY o_orderkey DESC) AS marks, count(*) AS n FROM orders GROUP BY o_custkey")
+def q_lift_structural_nested(spark, sf):
+    """Subtypes within subtypes: baskets are bags, and their entries marks, in order."""
+    x = Q.lift(baskets(spark, sf), Registry([BASKET, ENTRY, BAG, MARK]), BAG["$id"], structural=True)
+    return x.select(F.array_join(F.transform("instance.orders", lambda e: e["status"]), "").alias("marks"), F.size("instance.prices").cast("bigint").alias("n"))
+
+
 @C.query(BASKET_SQL.replace("FROM orders", "FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)"))
 def q_lift_one_foreign(spark, sf):
     """One subject whose nested objects aren't named under it."""

@@ -262,7 +262,7 @@ def deduplicated(q: DataFrame) -> DataFrame:
     return first.select("s", "p", "o", "g", "_rest.*", "ord").select(*q.columns)
 
 
-def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | None = None, depth: int = 3) -> DataFrame:
+def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | None = None, depth: int = 3, structural: bool = False, defaults: bool = False) -> DataFrame:
     """s, instance: the typed documents of a class, gathered from its quads; nested objects are joined bottom-up.
 
     Nesting is followed as deep as the schema goes. Schemas that are met again within themselves are followed ``depth``
@@ -270,10 +270,28 @@ def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | No
 
     A subject is of the class if its first type is. The quads of one subject are gathered with a conditional aggregate
     (partial sums map-side), so a class needs one shuffle by subject and one join per level of nesting.
+
+    ``structural``: subjects of classes with all of the class's properties are of it too, with the predicates of their own
+    class; a property without a quad of its predicate is taken from predicates that end in # and its name. Then all predicates
+    have to be looked at, where else only those of the class are read. ``defaults``: declared defaults are filled in.
     """
     emitter = emitter or Emitter(registry)
     key = registry.expand(schema_id)
-    return _lift(q, emitter, registry[key], key, _At(key), depth, (id(registry[key]),))
+    out = _lift(q, emitter, registry[key], key, _At(key), depth, (id(registry[key]),), structural)
+    if defaults:
+        filled = Projector(registry, coerce=True, defaults=True).project(key, Typed(F.col("instance"), out.schema["instance"].dataType))
+        out = out.select("s", filled.alias("instance"))
+    return out
+
+
+def compatible(emitter: Emitter, names: set[str], class_id: str) -> dict[str, dict[str, str]]:
+    """The predicates of properties, by class, of the registered classes that have all of some properties; the class itself comes first."""
+    out: dict[str, dict[str, str]] = {}
+    for key in dict.fromkeys([class_id, *emitter.registry]):
+        props = emitter.shapes.properties(emitter.registry[key], _At(key)) if emitter.registry.has(key) else {}
+        if names <= set(props):
+            out[key] = {n: emitter.predicate(props[n][1].root, n, props[n][0]) for n in names}
+    return out
 
 
 def _first_of_each(members: Column) -> Column:
@@ -288,8 +306,11 @@ def _typed(q: DataFrame, class_id: str) -> DataFrame:
     return q.where(F.col("p") == TYPE).groupBy("s").agg(F.min_by("o", "ord").alias("_class")).where(F.col("_class") == class_id).select("s")
 
 
-def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int, path: tuple[int, ...]) -> DataFrame:
+def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int, path: tuple[int, ...], structural: bool = False) -> DataFrame:
     props = emitter.shapes.properties(schema, at)
+    if structural and not props:
+        return q.sparkSession.createDataFrame([], "s string, instance struct<>")
+    others = compatible(emitter, set(props), class_id) if structural else {}
     plain, nested, ended = [], [], []
     for name, (sub, own) in props.items():
         p = emitter.predicate(own.root, name, sub)
@@ -310,16 +331,35 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
     value = {"number": o.try_cast("double"), "integer": F.coalesce(o.try_cast("bigint"), o.try_cast("double").cast("bigint")), "boolean": o.isin("true", "1")}
     # all of a class in one aggregate by subject: its type, single values as the first in order, others gathered
     made = [F.min_by(F.when(F.col("p") == TYPE, o), F.when(F.col("p") == TYPE, F.col("ord"))).alias("_class")]
-    for name, p, many, kind in plain:
-        v, mine = value.get(kind, o), F.col("p") == p
+    suffix = F.when(F.col("p").contains("#"), F.substring_index("p", "#", -1))
+
+    def gathered(mine: Column, v: Column, many: bool) -> Column:
         if many:
-            made.append(F.transform(_first_of_each(F.collect_list(F.when(mine, F.struct("ord", "o", "g", v.alias("v"))))), lambda x: x["v"]).alias(name))
-        else:
-            made.append(F.min_by(F.when(mine, F.struct(v.alias("v"))), F.when(mine, F.struct("ord", "o")))["v"].alias(name))
-    out = q.where(F.col("p").isin([TYPE, *(p for _, p, _, _ in plain)])).groupBy("s").agg(*made).where(F.col("_class") == class_id).drop("_class")
+            return F.transform(_first_of_each(F.collect_list(F.when(mine, F.struct("ord", "o", "g", v.alias("v"))))), lambda x: x["v"])
+        return F.min_by(F.when(mine, F.struct(v.alias("v"))), F.when(mine, F.struct("ord", "o")))["v"]
+
+    chosen: dict[str, Column] = {}
+    for i, (name, p, many, kind) in enumerate(plain):
+        v = value.get(kind, o)
+        if not structural:
+            made.append(gathered(F.col("p") == p, v, many).alias(name))
+            continue
+        by = {x: f"_{i}_{j}" for j, x in enumerate(dict.fromkeys([p, *(c[name] for c in others.values())]))}
+        made += [gathered(F.col("p") == x, v, many).alias(n) for x, n in by.items()] + [gathered(suffix == name, v, many).alias(f"_{i}")]
+        own = F.lit(None)
+        for c, predicates in others.items():
+            own = F.when(F.col("_class") == c, F.col(by[predicates[name]])).otherwise(own)
+        chosen[name] = F.when(F.size(own) > 0, own).otherwise(F.col(f"_{i}")) if many else F.coalesce(own, F.col(f"_{i}"))
+    if structural:
+        out = q.where((F.col("p") == TYPE) | suffix.isin([n for n, *_ in plain]) | F.col("p").isin([c[n] for c in others.values() for n, *_ in plain])).groupBy("s").agg(*made)
+        out = out.where(F.col("_class").isin(list(others))).select("s", "_class", *(c.alias(n) for n, c in chosen.items()))
+    else:
+        out = q.where(F.col("p").isin([TYPE, *(p for _, p, _, _ in plain)])).groupBy("s").agg(*made).where(F.col("_class") == class_id).drop("_class")
     for name, p, many, leaf, leaf_class, leaf_at, way in nested:
-        inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way).select(F.col("s").alias("o"), F.col("instance"))
+        inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way, structural).select(F.col("s").alias("o"), F.col("instance"))
         links = q.where(F.col("p") == p).select("s", "o", "g", "ord").join(inner, "o")
+        if structural:
+            links = _links_of(q, name, others, out).join(inner, "o")
         if many:
             compare = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
             ordered = F.array_sort(F.collect_list(F.struct("ord", "o", "g", "instance")), compare)
@@ -338,6 +378,18 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
     return out.select("s", instance.alias("instance"))
 
 
+def _links_of(q: DataFrame, name: str, classes: dict[str, dict[str, str]], subjects: DataFrame) -> DataFrame:
+    """s, o, g, ord of a property's links: those of the predicate of the subject's own class, or where it has none those whose predicate ends in its name."""
+    wanted = F.lit(None).cast("string")
+    for c, predicates in classes.items():
+        wanted = F.when(F.col("_class") == c, F.lit(predicates[name])).otherwise(wanted)
+    named = q.where(F.col("p").isin([c[name] for c in classes.values()]) | (F.col("p").contains("#") & (F.substring_index("p", "#", -1) == name)))
+    links = named.select("s", "p", "o", "g", "ord").join(subjects.select("s", wanted.alias("_wanted")), "s")
+    own = F.col("p") == F.col("_wanted")
+    some = links.where(own).select("s").distinct()
+    return links.where(own).unionByName(links.where(~own & F.substring_index("p", "#", -1).eqNullSafe(name)).join(some, "s", "left_anti")).select("s", "o", "g", "ord")
+
+
 # reading and writing
 
 
