@@ -654,6 +654,21 @@ def s_and_or_not(spark, sf):
     return report(spark, customers(spark, sf), shapes).select("focus_node", "component")
 
 
+@C.query(f"""WITH c AS (SELECT '{EX}customer/' || c_custkey AS focus_node, c_acctbal >= 5000 AS rich, c_mktsegment = 'BUILDING' AS builder, length(c_name) <= 18 AS short FROM customer)
+SELECT focus_node, '{SH}XoneConstraintComponent' AS component, 1 AS n FROM c WHERE rich::INT + builder::INT + short::INT <> 1
+UNION ALL SELECT focus_node, '{SH}AndConstraintComponent', (NOT rich)::INT + (NOT short)::INT FROM c WHERE NOT (rich AND short)
+UNION ALL SELECT focus_node, '{SH}MaxLengthConstraintComponent', 1 FROM c WHERE NOT short""")
+def s_xone_and(spark, sf):
+    """Exactly one of three shapes, and all of two; and a longest name."""
+    target = CUSTOMER["$id"]
+    shapes = [(target, TYPE, SH + "NodeShape"), (target, SH + "xone", "_:l"), (target, SH + "and", "_:m"), (target, SH + "property", "_:n")]
+    shapes += [*rdf_list("_:l", ["_:rich", "_:builder", "_:short"]), *rdf_list("_:m", ["_:rich", "_:short"]), ("_:n", SH + "path", P["c_name"]), ("_:n", SH + "maxLength", "18")]
+    for s, path, k, v in (("_:rich", "c_acctbal", "minInclusive", "5000"), ("_:builder", "c_mktsegment", "pattern", "^BUILDING$"), ("_:short", "c_name", "maxLength", "18")):
+        shapes += [(s, TYPE, SH + "NodeShape"), (s, SH + "property", s + "p"), (s + "p", SH + "path", P[path]), (s + "p", SH + k, v)]
+    found = report(spark, customers(spark, sf), shapes)
+    return found.groupBy("focus_node", "component").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
 # identity
 
 
