@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import validation as V
+from ..operators.intervals import asof_join, range_join
 from ..streaming import validation as S
 from .common import Catalogue, compiler, table
 
@@ -69,4 +70,38 @@ def x_quantiles(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(of(0.5).alias("middle"), of(0.9).alias("high"))
 
 
+@C.query("""SELECT l_orderkey, l_linenumber, l_partkey, o_orderkey AS last_order, o_orderdate AS last_date FROM (SELECT *, l_suppkey AS k FROM lineitem)
+  ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) ON k = o_custkey AND l_shipdate >= o_orderdate""")
+def x_asof(spark, sf_dir):
+    """Each shipment with the latest order that the customer of its supplier's number had made by then."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_suppkey").alias("k"), "l_shipdate")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderdate", "o_orderkey")
+    out = asof_join(lines, orders, ["k"], "l_shipdate", "o_orderdate", order=["o_orderkey"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.col("o_orderkey").alias("last_order"), F.col("o_orderdate").alias("last_date"))
+
+
+@C.query("""WITH r AS (SELECT event_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until, user_id FROM events WHERE event_type = 'error')
+  SELECT r.event_id AS error, count(*) AS n, sum(e.value) AS total FROM r JOIN events e ON e.user_id = r.user_id AND r.ts <= e.ts AND e.ts < r.until GROUP BY 1""")
+def x_range(spark, sf_dir):
+    """Events of a user between one error and the next."""
+    events = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    spans = events.where("event_type = 'error'").select(F.col("event_id").alias("error"), "user_id", F.col("ts").alias("since"), F.lead("ts").over(w).alias("until"))
+    pairs = range_join(events.select("user_id", "ts", "value"), spans, "ts", "since", "until", by=["user_id"], salts=2)
+    return pairs.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@C.query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events WHERE event_type = 'error'),
+  s AS (SELECT user_id, ts, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM e)
+  SELECT user_id, min(ts) AS began, count(*) AS n FROM s GROUP BY user_id, i""")
+def x_error_bursts(spark, sf_dir):
+    """The stream of errors in sessions by user, that end with six hours without one; events that come twice count once."""
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    stream = S.read_stream(spark, sf_dir, batch.schema, pathGlobFilter="events.parquet")
+    twice = stream.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
+    found = S.bursts(S.once(twice.where("event_type = 'error'"), "ts", ["event_id"], "40 days"), "ts", ["user_id"], "6 hours")
+    out = S.run_once(found, "x_error_bursts", "complete")
+    return out.select("user_id", F.col("began").cast(batch.schema["ts"].dataType).alias("began"), "n")
+
+
 QUERIES, SQL = C.queries, C.sql

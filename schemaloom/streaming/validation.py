@@ -31,6 +31,25 @@ def error_rates(checked: DataFrame, time: str, window: str = "1 hour", late: str
     return out.select(F.col("window.start").alias("window_start"), *by, "n_rows", "n_invalid")
 
 
+def once(stream: DataFrame, time: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
+    """Each event once, by its keys: repeats within the watermark are dropped, and state older than it is let go."""
+    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+
+
+def bursts(stream: DataFrame, time: str, by: list[str], gap: str, late: str | None = None) -> DataFrame:
+    """Sessions by key: began, ended (gap included), n. A session ends where no event comes for ``gap``; it is told once the
+    watermark has passed it (in append mode), and events later than that are dropped."""
+    stream = stream.withWatermark(time, late) if late else stream
+    out = stream.groupBy(F.session_window(time, gap).alias("_session"), *by).agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("began"))
+    return out.select(*by, "began", F.col("_session.end").alias("ended"), "n")
+
+
+def to_files(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", by: list[str] = ()) -> StreamingQuery:
+    """Append to files, each row once whatever is restarted; only finished rows of windows and sessions are written."""
+    writer = stream.writeStream.format(fmt).outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return (writer.partitionBy(*by) if by else writer).trigger(availableNow=True).start()
+
+
 def split(stream: DataFrame, compiler: Compiler, schema_id: str, good: str, bad: str, checkpoint: str, value=None) -> StreamingQuery:
     """Write valid rows and quarantined ones apart; each batch is written under its number, so a batch done again replaces itself."""
 
