@@ -38,6 +38,32 @@ def t_convert(spark, sf_dir):
     return _projected(spark, sf_dir, True, False)
 
 
+@C.query("""SELECT o_orderkey, upper(o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END) AS label, CASE o_orderkey % 3 WHEN 0 THEN o_custkey * 100 WHEN 1 THEN o_custkey END AS cents,
+  upper(o_orderpriority) AS extra, CASE WHEN o_orderkey % 2 = 0 THEN lower(o_orderpriority) ELSE upper(o_orderpriority) END AS tag, upper(o_orderstatus) || ',' || lower(o_orderstatus) AS pair FROM orders""")
+def t_decode_branches(spark, sf_dir):
+    """References decoded within anyOf, oneOf, conditions, additional properties and items at the front, each row by the branch that it meets."""
+    r = Registry([{"$id": ID + "Upper", "type": "string", "pattern": "."}, {"$id": ID + "Lower", "type": "string"}, {"$id": ID + "Cents", "type": "integer", "minimum": 0}])
+    r.transforms |= {ID + "Upper": (F.upper, F.lower), ID + "Lower": (F.lower, F.upper), ID + "Cents": (lambda c: c * 100, lambda c: c / 100)}
+    ref = lambda n: {"$ref": ID + n}
+    r.set({
+        "$id": ID + "order", "type": "object",
+        "properties": {
+            "label": {"anyOf": [{"type": "null"}, ref("Upper")]}, "price": {"oneOf": [{"type": "null"}, {"allOf": [{"type": "integer"}, {"maximum": -1}], "type": "integer"}, ref("Cents")]},
+            "more": {"type": "object", "additionalProperties": ref("Upper")}, "tag": {"if": {"pattern": "^even"}, "then": ref("Lower"), "else": ref("Upper")},
+            "pair": {"type": "array", "prefixItems": [ref("Upper"), ref("Lower")]},
+        },
+    })
+    even = F.col("o_orderkey") % 2 == 0
+    label = F.concat(F.lower("o_orderstatus"), F.when(even, F.lower("o_orderpriority")).otherwise(""))
+    price = F.expr("CASE o_orderkey % 3 WHEN 0 THEN o_custkey WHEN 1 THEN -1 - o_custkey END")
+    tag = F.concat(F.when(even, "even ").otherwise("odd "), "o_orderpriority")
+    doc = F.struct(label.alias("label"), price.alias("price"), F.create_map(F.lit("x"), "o_orderpriority").alias("more"), tag.alias("tag"), F.array("o_orderstatus", "o_orderstatus").alias("pair"))
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.parse_json(F.to_json(doc)).alias("doc"))
+    out = P.Projector(r, coerce=False).project_column(df, ID + "order", "doc", "x")
+    cents = F.when(F.col("x.price") < 0, -1 - F.col("x.price")).otherwise(F.col("x.price"))
+    return out.select("o_orderkey", F.col("x.label").alias("label"), cents.alias("cents"), F.col("x.more")["x"].alias("extra"), F.regexp_replace("x.tag", "^(even|ODD) ", "").alias("tag"), F.array_join("x.pair", ",").alias("pair"))
+
+
 @C.query("SELECT event_id, 9007199254740993 + event_id AS a, 9007199254740993 + event_id AS b, -9007199254740993 - event_id AS c, 9007199254740993 + event_id AS d FROM events")
 def t_convert_longs(spark, sf_dir):
     """Whole numbers beyond 2^53 from a document, from text in one, from a column and without coercion stay as they are."""

@@ -111,9 +111,25 @@ class Projector:
             t = "string" if all(isinstance(x, str) for x in values) else "boolean" if all(isinstance(x, bool) for x in values) else "number" if all(isinstance(x, (int, float)) for x in values) else None
         return t
 
+    def branches(self, s: Schema, at: _At) -> list[tuple[Schema, Schema]]:
+        """(condition, schema) of the ways in which a value without a type of its own may be read, in the order in which they are tried."""
+        if not isinstance(s, dict) or self.kind(s, at) is not None:
+            return []
+        if "if" in s:
+            return [(s["if"], s.get("then", True)), (True, s.get("else", True))]
+        ways = [(m, m) for k in ("oneOf", "anyOf") for m in s.get(k, []) if isinstance(m, dict) and m.get("type") != "null"]
+        return ways or [(True, m) for m in s.get("allOf", []) if isinstance(m, dict) and (self.kind(m, at) or self.branches(m, at))][:1]
+
+    def _branch_type(self, s: Schema, at: _At, depth: int) -> T.DataType:
+        """The type that all branches have, or else a variant."""
+        kinds = [self._type(m, at, depth + 1) for _, m in self.branches(s, at)]
+        return kinds[0] if kinds and all(k == kinds[0] for k in kinds) else T.VariantType()
+
     def _type(self, s: Schema, at: _At, depth: int) -> T.DataType:
         s, at = self._deref(s, at)
         kind = self.kind(s, at)
+        if depth < DEFAULT_DEPTH and self.branches(s, at):
+            return self._branch_type(s, at, depth)
         simple = {"string": T.StringType(), "number": T.DoubleType(), "integer": T.LongType(), "boolean": T.BooleanType()}
         if kind in simple:
             return simple[kind]
@@ -122,6 +138,8 @@ class Projector:
             return T.ArrayType(self._type(items, at, depth + 1))
         if depth < DEFAULT_DEPTH and kind == "object" and (props := self.properties(s, at)):
             return T.StructType([T.StructField(k, self._type(v, own, depth + 1)) for k, (v, own) in props.items()])
+        if depth < DEFAULT_DEPTH and kind == "object" and isinstance(s.get("additionalProperties"), dict):
+            return T.MapType(T.StringType(), self._type(s["additionalProperties"], at, depth + 1))
         return T.VariantType()
 
     # values
@@ -260,11 +278,26 @@ class Projector:
             out = boolean_of(v) if coerce else boolean_plain(v)
         elif isinstance(target, T.ArrayType):
             items = s.get("items") if isinstance(s.get("items"), dict) else (s.get("prefixItems") or [{}])[0]
-            many = F.transform(v.items(), lambda x: self._project(items, v.item(x), at, depth + 1)) if not isinstance(v, Typed) or isinstance(v.kind, T.ArrayType) else F.lit(None).cast(target)
+            # items at the front that have schemas of their own, of the same type, are read by these
+            front = [m for m in s.get("prefixItems", []) if self._type(m, at, depth + 1) == target.elementType]
+
+            def one(x: Column, i: Column) -> Column:
+                out = self._project(items, v.item(x), at, depth + 1)
+                for n, m in enumerate(front if len(front) == len(s.get("prefixItems", [])) else []):
+                    out = F.when(i == n, self._project(m, v.item(x), at, depth + 1)).otherwise(out)
+                return out
+
+            many = F.transform(v.items(), one) if not isinstance(v, Typed) or isinstance(v.kind, T.ArrayType) else F.lit(None).cast(target)
             if coerce and not (isinstance(v, Typed) and isinstance(v.kind, T.ArrayType)):
                 scalar = v.present() & ~v.is_type("array") & ~v.is_type("null") & ~v.is_type("object")
                 many = F.when(scalar, F.array(self._project(items, v, at, depth + 1))).otherwise(many)
             out = many
+        elif ways := self.branches(s, at):
+            out = self._branch(ways, v, at, target, depth)
+        elif isinstance(target, T.MapType):
+            held = v.col if isinstance(v, Typed) else F.try_variant_get(v.col, "$", "map<string,variant>")
+            of = lambda x: Typed(x, v.kind.valueType) if isinstance(v, Typed) else Variant(x)
+            out = F.transform_values(held, lambda _, x: self._project(s["additionalProperties"], of(x), at, depth + 1)) if not isinstance(v, Typed) or isinstance(v.kind, T.MapType) else F.lit(None).cast(target)
         elif isinstance(target, T.StructType):
             fields = []
             for k, (sub, own) in self.properties(s, at).items():
@@ -277,13 +310,32 @@ class Projector:
             out = F.when(v.is_type("object"), F.struct(*fields))
         else:
             out = v.col if isinstance(v, Variant) else F.parse_json(F.coalesce(v.canonical(), F.lit("null")))
-        out = out.cast(target) if not isinstance(target, (T.VariantType, T.StructType, T.ArrayType)) else out
+        out = out.cast(target) if not isinstance(target, (T.VariantType, T.StructType, T.ArrayType, T.MapType)) else out
         if self.defaults and (d := self.default_of(s0, at0)) is not None:
             filled = Projector(self.registry, coerce=False, defaults=False)._project(s0, Variant(F.parse_json(F.lit(text(d, sort=False)))), at0, depth)
             out = F.when(v.present(), out).otherwise(filled)
         return decode(out) if decode else out
 
 
+    def _branch(self, ways: list[tuple[Schema, Schema]], v: Value, at: _At, target: T.DataType, depth: int) -> Column:
+        """The value as the first branch reads it whose condition it meets, decoded as that branch says; null where it meets none."""
+        from .compiler import Compiler
+
+        checker, out = Compiler(self.registry), F.lit(None)
+        for condition, m in reversed(ways):
+            made = self._project(m, v, at, depth + 1) if isinstance(m, dict) else v.col
+            if isinstance(target, T.VariantType) and isinstance(m, dict):
+                made = self._as_variant(made, self._type(m, at, depth + 1))
+            fits = v.present() if condition is True else v.present() & checker._check(condition, v, at)
+            out = F.when(fits, made).otherwise(out)
+        return out
+
+    def _as_variant(self, c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.VariantType):
+            return c
+        return F.to_variant_object(c) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else F.parse_json(F.get(F.split(F.to_json(F.struct(c.alias("v"))), r'^\{"v":|\}$'), 1))
+
+
 # differences and dumps
 
 
