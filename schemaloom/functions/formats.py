@@ -155,6 +155,11 @@ class Formats:
     def set(self, name: str, check: Callable[[Column], Column], kind: str = "string") -> None:
         self._own[name] = (kind, check)
 
+    @property
+    def changed(self) -> bool:
+        """Whether the user added formats."""
+        return bool(self._own)
+
     def has(self, name: str) -> bool:
         return self.get(name) is not None
 

@@ -84,10 +84,15 @@ def value_hash(value: Any) -> str:
     return hash_text(text(value))
 
 
-def structural_hash(schema: Any) -> str:
+def structural_text(schema: Any) -> str:
+    """A schema without what says nothing of its structure, as sorted JSON."""
     def strip(v):
         if isinstance(v, dict):
             return {k: strip(x) for k, x in v.items() if k not in IGNORED}
         return [strip(x) for x in v] if isinstance(v, list) else v
 
-    return value_hash(strip(schema))
+    return text(strip(schema))
+
+
+def structural_hash(schema: Any) -> str:
+    return hash_text(structural_text(schema))

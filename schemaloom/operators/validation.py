@@ -22,6 +22,13 @@ def row_value(df: DataFrame, column: str | None = None) -> Value:
     return Typed(F.struct(*(F.col(f"`{c}`") for c in df.columns)), T.StructType(df.schema.fields))
 
 
+def compiled(df: DataFrame, compiler: Compiler, what: str, schema_id: str, value: Value | None = None) -> Column:
+    """``check`` or ``errors`` of a value, or of the whole row; rows of a type that was met before are compiled already."""
+    if value is not None:
+        return compiler.check(schema_id, value) if what == "check" else compiler.errors(schema_id, value)
+    return compiler.kept(what, schema_id, row_value(df), df.schema)
+
+
 def json_value(column: str) -> Value:
     """JSON text as a document; text that isn't JSON is an absent document."""
     return Variant(strict_json(F.col(column)))
@@ -29,16 +36,16 @@ def json_value(column: str) -> Value:
 
 def is_valid(df: DataFrame, compiler: Compiler, schema_id: str, value: Value | None = None) -> DataFrame:
     """The rows that satisfy a schema; plain comparisons reach the scan."""
-    return df.where(compiler.check(schema_id, value or row_value(df)))
+    return df.where(compiled(df, compiler, "check", schema_id, value))
 
 
 def with_errors(df: DataFrame, compiler: Compiler, schema_id: str, value: Value | None = None, name: str = "errors") -> DataFrame:
-    return df.withColumn(name, compiler.errors(schema_id, value or row_value(df)))
+    return df.withColumn(name, compiled(df, compiler, "errors", schema_id, value))
 
 
 def error_rows(df: DataFrame, compiler: Compiler, schema_id: str, keys: list[str], value: Value | None = None) -> DataFrame:
     """One row per error: the key columns, ord, path, keyword, message, params."""
-    found = df.select(*keys, F.posexplode(compiler.errors(schema_id, value or row_value(df))).alias("ord", "error"))
+    found = df.select(*keys, F.posexplode(compiled(df, compiler, "errors", schema_id, value)).alias("ord", "error"))
     return found.select(*keys, "ord", "error.*")
 
 

@@ -9,9 +9,11 @@ doesn't depend on the documents. A reference that comes back to the same node is
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any, NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +100,11 @@ def all_of(tests: list[Column]) -> Column:
     return F.lit(True) if out is None else out
 
 
+#: Compiled checks and errors of whole rows, by what they were compiled from; the oldest go first.
+KEPT: OrderedDict[tuple, Column] = OrderedDict()
+MAX_KEPT = 512
+
+
 class Compiler:
     def __init__(self, registry: Registry, formats: Formats | None = None, max_depth: int = MAX_DEPTH, assert_formats: bool = True, ignore_additional: bool = False):
         self.registry = registry
@@ -115,6 +122,24 @@ class Compiler:
         valid = self._check(self.registry[key], value, _At(key))
         return F.coalesce(valid, F.lit(True)) if isinstance(value, Typed) and not isinstance(value.kind, T.StructType) else valid
 
+    def kept(self, what: str, schema_id: str, value: Value, kind: T.DataType) -> Column:
+        """``check`` or ``errors`` of a row of named columns, compiled once for its type and all that the schema refers to.
+
+        Schemas with functions of the user's own are compiled each time, since these can't be told apart.
+        """
+        registry = self.registry
+        key = registry.expand(schema_id)
+        make = self.check if what == "check" else self.errors
+        if registry.keywords or any(k in registry.invariants for k in registry.reachable(key)) or type(self.formats) is not Formats or self.formats.changed:
+            return make(key, value)
+        name = (id(SparkContext._gateway), what, key, registry.semantic_hash(key, exact=True), kind.json(), self.max_depth, self.assert_formats, self.ignore_additional)
+        if name not in KEPT:
+            KEPT[name] = make(key, value)
+            while len(KEPT) > MAX_KEPT:
+                KEPT.popitem(last=False)
+        KEPT.move_to_end(name)
+        return KEPT[name]
+
     def _levels(self, key: str, value: Value):
         """The evaluation by levels, where the value is a VARIANT document and the schema refers back to itself."""
         from .recursion import Levels, cyclic

@@ -6,12 +6,13 @@ both the extension keyword ``alias``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
-from ..functions.hashing import structural_hash
+from ..functions.hashing import structural_hash, structural_text
 
 Schema = dict[str, Any] | bool
 
@@ -197,6 +198,34 @@ class Registry:
     def __iter__(self) -> Iterator[str]:
         return iter(list(self._schemas))
 
+    def reachable(self, schema_id: str) -> list[str]:
+        """The documents that one refers to, directly or not, itself first; those that aren't registered are left out."""
+        out, todo = [], [self.expand(schema_id)]
+        while todo:
+            key = todo.pop(0)
+            if key in out or not self.has(key):
+                continue
+            out.append(key)
+            anchors: set[str] = set()
+            for _, s in subschemas(self[key]):
+                for k in ("$ref", "$dynamicRef", "disjointWith", "rdfs:range") if isinstance(s, dict) else ():
+                    for ref in s[k] if isinstance(s.get(k), list) else [s.get(k)]:
+                        ref = ref.get("$ref") if isinstance(ref, dict) else ref
+                        if isinstance(ref, str):
+                            todo.append(self.expand(ref.partition("#")[0]) or key)
+                            anchors |= {ref.partition("#")[2]} if k == "$dynamicRef" else set()
+            todo += [d for d in self if anchors and any(isinstance(s, dict) and s.get("$dynamicAnchor") in anchors for _, s in subschemas(self[d]))]
+        return out
+
+    def semantic_hash(self, schema_id: str, exact: bool = False) -> str:
+        """A hash of a schema and of all that it refers to: it changes with any of these, and with no other.
+
+        ``exact`` hashes the documents as they are written, else by their structure, in which annotations don't count.
+        """
+        of = (lambda s: json.dumps(s)) if exact else structural_text
+        parts = [self.expand(schema_id), *(x for key in sorted(self.reachable(schema_id)) for x in (key, of(self[key])))]
+        return hashlib.sha256(json.dumps(parts).encode()).hexdigest()
+
     def parents(self, schema_id: str) -> list[str]:
         """The schemas that one refers to in its allOf: its direct superclasses."""
         return [self.expand(m["$ref"].partition("#")[0]) for m in self[schema_id].get("allOf", []) if isinstance(m, dict) and isinstance(m.get("$ref"), str) and m["$ref"].partition("#")[0]]

@@ -88,15 +88,31 @@ def prefetch(loader: Loader, roots: list[str], seeds: list[dict] = ()) -> dict:
 
 
 def save(registry: Registry, path: str) -> None:
-    """A registry with the hashes of its schemas and of their parts."""
-    body = {"version": 1, "prefixes": registry.prefixes, "schemas": [{"schema": s, "hash": structural_hash(s), "nodes": {p: structural_hash(x) for p, x in subschemas(s) if isinstance(x, dict)}} for s in registry.values()]}
-    Path(path).write_text(json.dumps(body))
+    """A registry with the hashes of its schemas, of their parts, and of all that each refers to."""
+    entries = [{"schema": s, "hash": structural_hash(s), "semantic": registry.semantic_hash(k), "nodes": {p: structural_hash(x) for p, x in subschemas(s) if isinstance(x, dict)}} for k, s in registry.entries()]
+    Path(path).write_text(json.dumps({"version": 2, "prefixes": registry.prefixes, "schemas": entries}))
+
+
+def changed_parts(entry: dict) -> list[str]:
+    """The pointers of the parts of a saved schema that no longer have their hash: the innermost ones, and what was added or taken away."""
+    now = {p: structural_hash(x) for p, x in subschemas(entry["schema"]) if isinstance(x, dict)}
+    bad = [p for p in dict.fromkeys([*entry["nodes"], *now]) if entry["nodes"].get(p) != now.get(p)]
+    return [p for p in bad if not any(x != p and x.startswith(p + "/") for x in bad)]
 
 
 def load(path: str) -> Registry:
-    """A saved registry; a schema that no longer has its hash is an error."""
+    """A saved registry; a schema that no longer has its hash, or refers to one that changed, is an error that names the parts."""
     body = json.loads(Path(path).read_text())
     for entry in body["schemas"]:
         if structural_hash(entry["schema"]) != entry["hash"]:
-            raise LoadError(f"{entry['schema'].get('$id')} was changed after it was saved")
-    return Registry([e["schema"] for e in body["schemas"]], body["prefixes"])
+            raise LoadError(f"{entry['schema'].get('$id')} was changed after it was saved, at {', '.join(changed_parts(entry)) or 'its root'}")
+    registry = Registry([e["schema"] for e in body["schemas"]], body["prefixes"])
+    for entry in body["schemas"]:
+        if registry.semantic_hash(entry["schema"]["$id"]) != entry.get("semantic", registry.semantic_hash(entry["schema"]["$id"])):
+            raise LoadError(f"what {entry['schema']['$id']} refers to was changed after it was saved")
+    return registry
+
+
+def dependants(before: Registry, after: Registry) -> list[str]:
+    """The schemas of ``after`` that are new or whose meaning changed, by themselves or by what they refer to: those to compile again."""
+    return [k for k in after if not before.has(k) or before.semantic_hash(k) != after.semantic_hash(k)]

@@ -6,13 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from schemaloom import cli
-from schemaloom.functions.hashing import hash_text, number_text, value_hash
+from schemaloom.functions.hashing import hash_text, number_text, structural_hash, value_hash
 from schemaloom.onto import emit, importer, viz
 from schemaloom.operators import shacl
 from schemaloom.operators.jsonld import from_jsonld
 from schemaloom.operators.quads import Emitter, lists
-from schemaloom.operators.validation import row_value
+from schemaloom.operators.validation import is_valid, row_value
 from schemaloom.plans import compose
+from schemaloom.plans.compiler import KEPT, Compiler
 from schemaloom.plans.project import access_path
 from schemaloom.plans.registry import Registry
 from schemaloom.sources import loaders, tables
@@ -86,6 +87,44 @@ def test_loaders_and_artifacts(tmp_path):
         loaders.load(str(path))
 
 
+def test_semantic_hashes_change_with_what_is_referred_to(spark, tmp_path):
+    chain = [{"$id": f"urn:{i}", "properties": {"x": {"$ref": f"urn:{i + 1}"}}} for i in range(4)] + [{"$id": "urn:4", "type": "string", "maxLength": 3}, {"$id": "urn:alone", "type": "integer"}]
+    before = Registry([*chain, {"$id": "urn:loop", "properties": {"y": {"$ref": "urn:loop"}, "z": {"$ref": "urn:2"}}}])
+    after = Registry(before.values())
+    after.set(chain[4] | {"maxLength": 4})
+    assert loaders.dependants(before, after) == ["urn:0", "urn:1", "urn:2", "urn:3", "urn:loop", "urn:4"]
+    after.set(chain[4] | {"title": "as before"})
+    assert loaders.dependants(before, after) == []
+    after.set(chain[3] | {"properties": {}})
+    assert loaders.dependants(before, after) == ["urn:0", "urn:1", "urn:2", "urn:loop", "urn:3"]
+    path = tmp_path / "a.json"
+    loaders.save(before, str(path))
+    assert loaders.load(str(path)).values() == before.values()
+    body = json.loads(path.read_text())
+    body["schemas"][4]["schema"]["maxLength"] = 9
+    path.write_text(json.dumps(body))
+    with pytest.raises(loaders.LoadError, match="urn:4 was changed"):
+        loaders.load(str(path))
+    body["schemas"][4]["hash"] = structural_hash(body["schemas"][4]["schema"])
+    path.write_text(json.dumps(body))
+    with pytest.raises(loaders.LoadError, match="urn:0 refers to"):
+        loaders.load(str(path))
+
+
+def test_compiled_rows_are_kept_until_their_meaning_changes(spark):
+    df = spark.createDataFrame([("ab",), ("abcd",)], "x string")
+    leaf = {"$id": "urn:leaf", "type": "string", "maxLength": 3}
+    r = Registry([leaf, {"$id": "urn:root", "properties": {"x": {"$ref": "urn:leaf"}}}, {"$id": "urn:other", "properties": {"x": {"minLength": 3}}}])
+    count = lambda key: is_valid(df, Compiler(r), key).count()
+    assert (count("urn:root"), count("urn:other")) == (1, 1)
+    kept = len(KEPT)
+    assert (count("urn:root"), count("urn:other"), len(KEPT)) == (1, 1, kept)
+    r.set(leaf | {"maxLength": 1})
+    assert (count("urn:root"), count("urn:other"), len(KEPT)) == (0, 1, kept + 1)
+    r.add_invariant("urn:root", "never", lambda v: F.lit("no"))
+    assert len(Compiler(r).registry.invariants) == 1 and count("urn:root") == 0 and len(KEPT) == kept + 1
+
+
 def test_composition():
     part = SCHEMAS[3]
     assert compose.pick(part, ["code"], "urn:p") == {"$id": "urn:p", "type": "object", "properties": {"code": part["properties"]["code"]}, "required": ["code"]}
