@@ -3,11 +3,12 @@
 The lexer reads source and configuration syntax as name-literal pairs: assignments, keys, elements, calls, named
 values of elements and indented blocks. It propagates constants through names and concatenations, and scores each
 literal by how sensitive the name is that it ends up in. A name means its nearest definition before, or else the
-nearest after; chains of names are followed to their end, whatever their length.
+nearest after; chains of names are followed to their end, whatever their length. The name of a target goes down to each
+literal below it: in lists, sets, calls, conversions, brackets over several lines, triple quotes, and after tags.
 
 Defined results: a null or empty text has no spans; a very long text is read whole, in time that grows with its
 length; the same document given twice gives two equal rows; of names defined more than once each use has its own
-definition; a literal that is reached twice is one span; columns besides the id and the text are ignored, so their
+definition; a literal that is reached twice is one span; concatenations of more than ``LITERAL`` characters are judged by their longest part; columns besides the id and the text are ignored, so their
 names can't clash; an empty table gives no rows.
 """
 
@@ -32,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 
 # Words of a target name and how much they speak for a secret.
 NAME_WEIGHTS = {
-    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 3.0,
+    "password": 3.0, "passwd": 3.0, "pwd": 3.0, "pass": 2.5, "pw": 2.5, "cred": 2.5, "creds": 2.5, "passphrase": 3.0, "secret": 3.0, "token": 2.5, "apikey": 3.0, "credential": 3.0,
     "credentials": 3.0, "auth": 1.5, "bearer": 2.5, "private": 1.0, "access": 1.0, "key": 1.5, "client": 0.5, "api": 1.0, "signing": 1.0,
     "encryption": 1.0, "salt": 1.5, "cookie": 1.0, "session": 1.0, "webhook": 1.0, "dsn": 1.5, "mnemonic": 3.0,
 }
@@ -69,6 +70,15 @@ SETTERS = {"set", "with", "use", "add", "put", "assign", "store", "login"}
 INDENTED = re.compile(r"""(?m)^([ \t]*+)(?:- )?["']?([A-Za-z_][A-Za-z0-9_.\-]*+)["']?[ \t]*+:[ \t]*+[|>][+\-0-9]*+[ \t]*+\n((?:\1[ \t]++[^\s][^\n]*+(?:\n|\Z)|[ \t]*+\n)++)""")
 
 
+#: What nested values are read by: literals of all kinds, brackets, operators, ends of statements, words.
+TOKEN = re.compile(
+    r"""\"{3}(?P<a>(?:[^"\\]|\\.|"(?!""))*+)\"{3}|\'{3}(?P<b>(?:[^'\\]|\\.|'(?!''))*+)\'{3}|"(?P<c>(?:[^"\\\n]|\\.)*+)"|(?<![A-Za-z0-9])'(?P<d>(?:[^'\\\n]|\\.)*+)'|`(?P<e>[^`\n]*+)`"""
+    r"""|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<op>:=|=>|==+|!=|<=|>=|\+=|=|:(?!:|//))|(?P<end>[\n;,])|(?P<plus>\+|\.\.?)|(?P<space>[ \t\r]++)|(?P<word>[^\s"'`()\[\]{}:=;,+]++)""",
+    re.DOTALL,
+)
+CLOSING = {"(": ")", "[": "]", "{": "}"}
+
+
 class Pair(NamedTuple):
     """name = terms; each term is (kind, value, start, end) with kind "text" or "name".
 
@@ -185,6 +195,73 @@ def _indented(text: str) -> list[tuple[int, Pair]]:
     return pairs
 
 
+def _nested(text: str) -> list[tuple[int, Pair]]:
+    """Literals below a target: items of lists and sets, arguments of calls and conversions, literals in brackets over several
+    lines, in triple quotes, and after a tag. The innermost target counts; keys aren't values; neighbours are one literal."""
+    tokens = [m for m in TOKEN.finditer(text) if m.lastgroup != "space"]
+    partner: dict[int, int] = {}
+    stack: list[int] = []
+    for i, m in enumerate(tokens):
+        if m.lastgroup == "open":
+            stack.append(i)
+        elif m.lastgroup == "close" and stack and CLOSING[tokens[stack[-1]][0]] == m[0]:
+            partner[stack[-1]] = i
+            partner[i] = stack.pop()
+    back, pairs = text[::-1], []
+    frames: list[tuple[str | None, str | None]] = []  # (target of the bracket, target that waited before it)
+    waiting, combined, run, near = None, False, [], None  # the target before a value, literals that are one, and the token before
+
+    def told() -> None:
+        if run:
+            name, terms = run[0][0], tuple(x for _, x in run)
+            pairs.append((terms[0][2], Pair(name, terms)))
+            run.clear()
+
+    for i, m in enumerate(tokens):
+        kind = m.lastgroup
+        if kind in "abcde":
+            after = tokens[i + 1] if i + 1 < len(tokens) else None
+            is_key = after is not None and after.lastgroup == "op" and after[0] in (":", "=>", "=")
+            name = waiting or (frames[-1][0] if frames else None)
+            plain = waiting and near is not None and near.lastgroup == "op" and kind not in "ab" and not combined  # an assignment tells these
+            if name and not is_key and not plain:
+                if run and (run[0][0] != name or near.lastgroup not in ("a", "b", "c", "d", "e", "plus", "end") or near[0] in ",;"):
+                    told()
+                run.append((name, ("text", m[kind], m.start(kind), m.end(kind))))
+            else:
+                told()
+        elif kind == "open":
+            told()
+            if i in partner:
+                frames.append((waiting or (frames[-1][0] if frames else None), waiting))
+            waiting = None
+        elif kind == "close":
+            told()
+            if i in partner and frames:
+                waiting = frames.pop()[1]
+        elif kind == "op":
+            told()
+            found = BEFORE.match(back, len(text) - m.start()) if m[0] in (":", "=", ":=", "=>", "+=") else None
+            name = found[1][::-1].lstrip("0123456789.-$") if found else ""
+            outer = frames[-1][0] if frames else None
+            combined = bool(name and outer and sensitivity(name) <= 0)  # a key below a target has both names
+            if name and sensitivity(name) > 0:
+                waiting = name
+            elif combined:
+                waiting = f"{outer}.{name}"
+            elif m[0] != "=" or not name:  # after a type, the name before it still waits
+                waiting = None
+        elif kind == "end":
+            if m[0] != "\n" or not frames:
+                told()
+            waiting = None if m[0] != "\n" or not frames else waiting
+        elif kind == "word":
+            told()
+        near = m if kind != "end" or m[0] != "\n" else near if run else m
+    told()
+    return [(at, p) for at, p in pairs if p.name]
+
+
 def lex(text: str) -> list[Pair]:
     """The name-literal and name-name pairs of a text, in order."""
     pairs = _assignments(text)
@@ -192,6 +269,8 @@ def lex(text: str) -> list[Pair]:
         pairs += _elements(text)
     if "(" in text:
         pairs += _calls(text)
+    if any(c in text for c in "\"'`"):
+        pairs += _nested(text)
     if "|" in text or ">" in text:
         pairs += _indented(text)
     return [p for _, p in sorted(pairs) if p.terms]

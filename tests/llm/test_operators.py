@@ -103,7 +103,41 @@ def test_lexed_forms_and_definitions_by_place(text, literals):
     assert [text[s:e] for s, k, e in every if k == 3] == literals
 
 
-@pytest.mark.parametrize("part", ["a.", "-a", "(\"", "<a ", "a: |\n ", "x=", "x[]=", "f('a',", "k: v: ", "${a}=", "token=abcdefgh1 ", "auth_key=Ab1+"])
+LITERAL = "Zq9kLm2vT8xPw3Rt"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'db_pass = "LIT"', "DB_PASS=LIT", 'pass: "LIT"', '{"user": "bob", "pw": "LIT"}', 'auth_key = ["LIT"]', 'webhook_key[] = {"LIT"}', 'auth_key := []byte("LIT")', 'auth_key = os.getenv("X", "LIT")',
+        'auth_key = """LIT"""', "auth_key = \'\'\'LIT\'\'\'", 'auth_key: !vault "LIT"', "auth_key = new Secret(Buffer.from('LIT'))", 'auth_keys: [\n  "abc",\n  "LIT"\n]', 'auth_key = f(g(["LIT"]), 3)',
+        'let auth_key: &str = concat!("LIT");', 'credentials = {"x": "LIT"}', "auth_key = (\n    'LIT'\n)", 'auth_key = (  # don\'t\n  "LIT")', 'var authKey = [`LIT`];', 'AUTH_KEY=("LIT")',
+    ],
+)
+def test_targets_go_down_to_nested_literals(text):
+    text = text.replace("LIT", LITERAL)
+    base, every = secrets.spans(text)
+    assert [text[s:e] for s, k, e in every if k == 3] == [LITERAL]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'title = ["LIT"]', 'auth_key = ["x"]\nother("LIT")', 'user = f("LIT")', 'auth_key_url = ["LIT"]', 'auth_key = None\nprint("LIT")', "don't: 'auth_key' is not ('LIT')", 'auth_key = {"LIT": 1}',
+        'auth_key = [\nnote("unclosed", "LIT2")', 'credentials = {"url": "https://example.com/path"}', 'f(auth_key=1, title="LIT")', "auth_key = [] ; x = 'LIT'",
+    ],
+)
+def test_literals_of_other_targets_are_left_alone(text):
+    text = text.replace("LIT", LITERAL)
+    assert [k for _, k, _ in secrets.spans(text)[1] if k == 3] == []
+
+
+def test_neighbours_are_one_literal():
+    text = f'auth_key = (\n  "{LITERAL[:6]}"\n  "{LITERAL[6:]}"\n)\nsigning_key = concat(["{LITERAL[:6]}" + "{LITERAL[6:]}"])'
+    assert [text[s:e] for s, k, e in secrets.spans(text)[1] if k == 3] == [LITERAL[6:], LITERAL[6:]]
+
+
+@pytest.mark.parametrize("part", ["a_key = [", '{"a_key": ', "a_key = ('x' + ", "it's (", 'key: "', '"""', "a.", "-a", "(\"", "<a ", "a: |\n ", "x=", "x[]=", "f('a',", "k: v: ", "${a}=", "token=abcdefgh1 ", "auth_key=Ab1+"])
 def test_long_texts_take_linear_time(part):
     began = time.time()
     secrets.spans(part * (400_000 // len(part)))
