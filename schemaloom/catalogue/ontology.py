@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..onto import emit, importer, viz
+from ..onto import graph as SG
 from ..operators import shacl
 from ..operators import validation as V
 from ..operators.quads import OWL, RDFS, TYPE
+from ..operators.selection import pinned
 from ..plans import project as P
 from ..plans.registry import Registry
 from ..plans.values import Variant
@@ -109,4 +111,38 @@ def v_discriminated_union(spark, sf):
     return V.is_valid(df, c, ID + "part").select("p_partkey", "kind")
 
 
+
+def part_schemas(spark, sf_dir):
+    """A catalogue of as many schema documents as there are parts, as text."""
+    k = F.col("p_partkey").cast("string")
+    brand = F.to_json(F.struct(F.col("p_brand").alias("const")))
+    text = F.concat(
+        F.lit('{"type":"object","$id":"urn:part/'), k, F.lit('","required":["size","brand"],"properties":{"size":{"minimum":1,"maximum":'), F.col("p_size").cast("string"), F.lit('},"brand":'), brand,
+        F.lit(',"next":{"$ref":"urn:part/'), (F.col("p_partkey") + 1).cast("string"), F.lit('"},"all":{"type":"array","items":{"$ref":"#"}}},"anyOf":[true,{"minProperties":1}]}'),
+    )
+    return table(spark, sf_dir, "part").select(F.concat(F.lit("urn:part/"), k).alias("id"), F.parse_json(text).alias("body"))
+
+
+@C.query("""SELECT 'urn:part/' || p_partkey AS schema_id, '{"$id":"urn:part/' || p_partkey || '","anyOf":[true,{"minProperties":1}],"properties":{"all":{"items":{"$ref":"#"},"type":"array"},"brand":{"const":"' || p_brand || '"},"next":{"$ref":"urn:part/'
+  || (p_partkey + 1) || '"},"size":{"maximum":' || p_size || ',"minimum":1}},"required":["size","brand"],"type":"object"}' AS body FROM part""")
+def o_to_schema(spark, sf_dir):
+    """Documents as quads, and the quads as documents again."""
+    return SG.to_schema(pinned(SG.schema_quads(part_schemas(spark, sf_dir), "id", "body")))
+
+
+@C.query("""SELECT x.p AS property, 'urn:part/' || p_partkey AS class, CASE x.p WHEN 'next' THEN 'urn:part/' || (p_partkey + 1) ELSE 'urn:part/' || p_partkey END AS range FROM part, (VALUES ('next'), ('all')) x(p)""")
+def o_schema_ranges(spark, sf_dir):
+    return SG.ranges(SG.schema_quads(part_schemas(spark, sf_dir), "id", "body"))
+
+
+@C.query("""SELECT 'urn:part/' || p_partkey AS class, x.p AS property, CASE x.p WHEN 'size' THEN p_size WHEN 'brand' THEN length(p_brand) ELSE 0 END::INTEGER AS said, CASE x.p WHEN 'size' THEN 0 WHEN 'brand' THEN 1 END::INTEGER AS place
+  FROM part, (VALUES ('size'), ('brand'), ('next'), ('all')) x(p)""")
+def o_schema_properties(spark, sf_dir):
+    """Where each property is declared, what its schema says, and its place among the required ones."""
+    q = pinned(SG.schema_quads(part_schemas(spark, sf_dir), "id", "body"))
+    said = SG.keywords(q).where(F.col("keyword").isin("maximum", "const")).select("node", F.when(F.col("keyword") == "const", F.length("value") - 2).otherwise(F.col("value").cast("int")).alias("said"))
+    required = SG.listed(q, "required").select(F.col("node").alias("class"), F.col("item").alias("property"), F.col("idx").alias("place"))
+    return SG.domains(q).join(said, "node", "left").join(required, ["class", "property"], "left").select("class", "property", F.coalesce("said", F.lit(0)).alias("said"), "place")
+
+
 QUERIES, SQL = C.queries, C.sql
