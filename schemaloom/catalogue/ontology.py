@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..onto import emit, importer, viz
 from ..onto import graph as SG
 from ..operators import shacl
 from ..operators import validation as V
-from ..operators.quads import OWL, RDFS, TYPE
+from ..operators.quads import OWL, RDF, RDFS, TYPE, XSD
 from ..operators.selection import pinned
 from ..plans import project as P
 from ..plans.registry import Registry
@@ -112,6 +114,42 @@ def v_discriminated_union(spark, sf):
 
 
 
+@C.query(f"""SELECT '{ID}nation/' || n_nationkey AS schema_id, CASE n_nationkey % 5
+  WHEN 0 THEN '[{{"$ref":"' || r || '"}},{{"oneOf":[{{"$ref":"{ID}A"}},{{"$ref":"' || r || '"}}]}}]'
+  WHEN 1 THEN '[{{"not":{{"allOf":[{{"$ref":"' || r || '"}},{{"$ref":"{ID}A"}}]}}}}]'
+  WHEN 2 THEN '[{{"properties":{{"name":{{"const":"' || n_name || '"}}}},"required":["name"]}}]'
+  WHEN 3 THEN '[{{"enum":["' || n_name || '","other"]}}]'
+  ELSE '[{{"oneOf":[{{"allOf":[{{"$ref":"{ID}A"}},{{"not":{{"$ref":"' || r || '"}}}}]}},{{"$ref":"' || r || '"}}]}}]' END AS all_of
+  FROM (SELECT *, '{ID}region/' || n_regionkey AS r FROM nation)""")
+def o_class_expressions(spark, sf_dir):
+    """Nations as classes of anonymous unions, intersections, complements, enumerations and restrictions of their regions, imported as schemas."""
+    n = table(spark, sf_dir, "nation")
+    c, r, k = F.concat(F.lit(ID + "nation/"), F.col("n_nationkey").cast("string")), F.concat(F.lit(ID + "region/"), F.col("n_regionkey").cast("string")), F.col("n_nationkey") % 5
+    b = lambda x: F.concat(F.lit("_:" + x), F.col("n_nationkey").cast("string"))
+    a, nil = F.lit(ID + "A"), F.lit(RDF + "nil")
+
+    def quad(s, p, o, kind=None):
+        return F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), (F.lit(kind) if kind else F.when(o.startswith("_:"), "bnode").otherwise("iri")).alias("o_kind"), F.lit(XSD + "string" if kind else None).cast("string").alias("o_datatype"))
+
+    def chain(name, *items, kind=None):
+        return [q for i, x in enumerate(items) for q in (quad(b(f"{name}{i}_"), RDF + "first", x, kind), quad(b(f"{name}{i}_"), RDF + "rest", b(f"{name}{i + 1}_") if i + 1 < len(items) else nil))]
+
+    sub, inter, union, complement = RDFS + "subClassOf", OWL + "intersectionOf", OWL + "unionOf", OWL + "complementOf"
+    cases = [
+        [quad(c, inter, b("l0_")), *chain("l", r, b("u")), quad(b("u"), union, b("m0_")), *chain("m", a, r)],
+        [quad(c, sub, b("x")), quad(b("x"), complement, b("y")), quad(b("y"), inter, b("l0_")), *chain("l", r, a)],
+        [quad(c, OWL + "equivalentClass", b("x")), quad(b("x"), OWL + "onProperty", F.lit(ID + "p#name")), quad(b("x"), OWL + "hasValue", F.col("n_name"), "literal")],
+        [quad(c, sub, b("x")), quad(b("x"), OWL + "oneOf", b("l0_")), *chain("l", F.col("n_name"), F.lit("other"), kind="literal")],
+        [quad(c, sub, b("x")), quad(b("x"), union, b("l0_")), *chain("l", b("y"), r), quad(b("y"), inter, b("m0_")), *chain("m", a, b("z")), quad(b("z"), complement, r)],
+    ]
+    told = F.array(quad(c, TYPE, F.lit(OWL + "Class")))
+    for i, case in enumerate(cases):
+        told = F.when(k == i, F.concat(F.array(quad(c, TYPE, F.lit(OWL + "Class"))), F.array(*case))).otherwise(told)
+    got = importer.import_owl(n.select(F.explode(told).alias("q")).select("q.*"))
+    rows = [(key, json.dumps(s["allOf"], sort_keys=True, separators=(",", ":"))) for key, s in got.schemas.items()]
+    return spark.createDataFrame(rows, "schema_id string, all_of string")
+
+
 def part_schemas(spark, sf_dir):
     """A catalogue of as many schema documents as there are parts, as text."""
     k = F.col("p_partkey").cast("string")
