@@ -64,6 +64,28 @@ def t_decode_branches(spark, sf_dir):
     return out.select("o_orderkey", F.col("x.label").alias("label"), cents.alias("cents"), F.col("x.more")["x"].alias("extra"), F.regexp_replace("x.tag", "^(even|ODD) ", "").alias("tag"), F.array_join("x.pair", ",").alias("pair"))
 
 
+@C.query("SELECT o_orderkey, o_orderstatus AS a, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE o_orderstatus END AS b, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END AS c, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'x' END AS d FROM orders")
+def t_merge(spark, sf_dir):
+    """Documents, and rows, of which one lies over the other."""
+    even, third = F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") % 3 == 0
+    first, second = F.struct(F.col("o_orderstatus").alias("a"), F.col("o_orderstatus").alias("b")), F.struct(F.when(even, F.col("o_orderpriority")).alias("b"), F.when(~third, F.col("o_custkey")).alias("c"))
+    df = table(spark, sf_dir, "orders").withColumns({"x": F.parse_json(F.to_json(first)), "y": F.parse_json(F.to_json(second)), "u": F.struct(F.lit("x").alias("d")), "v": F.struct(F.when(even, F.col("o_orderpriority")).alias("d"))})
+    m = P.merged(Variant(F.col("x")), Variant(F.col("y")))
+    of = lambda k, kind="string": F.try_variant_get(m, f"$.{k}", kind).alias(k)
+    typed = P.merged(*(Typed(F.col(c), df.schema[c].dataType) for c in "uv"))
+    return df.select("o_orderkey", of("a"), of("b"), of("c", "bigint"), typed["d"].alias("d"))
+
+
+@C.query(f"""SELECT event_id, '{{' || array_to_string(list_filter([CASE WHEN list_contains(json_keys(d), 'k') OR list_contains(json_keys(d), 'key') THEN '"k":' || {K} END, CASE WHEN list_contains(json_keys(d), 'z') THEN '"z":' || (d->>'$.z') END], lambda x: x IS NOT NULL), ',') || '}}' AS said
+  FROM {D} WHERE event_id % 6 IN (0, 2, 5)""")
+def t_dump_unset(spark, sf_dir):
+    """Values with their defaults, dumped without what their documents didn't say."""
+    schema = {"$id": ID + "small", "type": "object", "properties": {"k": {"type": "integer", "ext:alias": "key"}, "z": {"type": "integer", "default": 9}}}
+    p = P.Projector(Registry([schema]), coerce=True, defaults=True)
+    df = p.project_column(event_docs(spark, sf_dir).where("event_id % 6 IN (0, 2, 5)"), ID + "small", "doc", "x")
+    return df.select("event_id", p.dump_json(ID + "small", Typed(F.col("x"), df.schema["x"].dataType), given=Variant(F.col("doc"))).alias("said"))
+
+
 @C.query("SELECT event_id, 9007199254740993 + event_id AS a, 9007199254740993 + event_id AS b, -9007199254740993 - event_id AS c, 9007199254740993 + event_id AS d FROM events")
 def t_convert_longs(spark, sf_dir):
     """Whole numbers beyond 2^53 from a document, from text in one, from a column and without coercion stay as they are."""

@@ -511,6 +511,57 @@ def lists(q: DataFrame, cells: bool = False) -> DataFrame:
     return at if cells else at.join(first, "cell").select("head", "idx", "item")
 
 
+# other libraries' terms
+
+#: Kinds of terms by the names that RDF libraries share.
+TERM_KINDS = {"iri": "NamedNode", "bnode": "BlankNode", "literal": "Literal", "triple": "Quad"}
+
+
+def from_terms(df: DataFrame, subject: str = "subject", predicate: str = "predicate", object_: str = "object", graph: str | None = "graph", order: str | None = None) -> DataFrame:
+    """Quads of rows of terms: structs of termType and value, with datatype (a term or text) and language for literals, and
+    subject, predicate and object of a quoted triple as its value's members.
+
+    Variables, and rows without one of the three terms, are an error, as they are no data.
+    """
+    names = F.create_map(*(F.lit(x) for k, v in TERM_KINDS.items() for x in (v, k)))
+    kinds = {f.name: f.dataType for f in df.schema}
+    blank = lambda t: F.when(t["termType"] == "BlankNode", F.concat(F.lit("_:"), F.regexp_replace(t["value"], "^_:", ""))).otherwise(t["value"])
+    s, p, o = (F.col(c) for c in (subject, predicate, object_))
+    quoted = isinstance(kinds[subject], T.StructType) and {"subject", "predicate", "object"} <= set(kinds[subject].names)
+    inner = [blank(s[x]) for x in ("subject", "predicate", "object")] if quoted else [F.lit(None).cast("string")] * 3
+    is_quoted = s["termType"] == "Quad"
+    datatype = F.lit(None).cast("string")
+    if "datatype" in kinds[object_].names:
+        datatype = o["datatype"]["value"] if isinstance(kinds[object_]["datatype"].dataType, T.StructType) else o["datatype"]
+    lang = F.nullif(o["language"], F.lit("")) if "language" in kinds[object_].names else F.lit(None).cast("string")
+    literal = o["termType"] == "Literal"
+    fine = F.coalesce(F.map_contains_key(names, s["termType"]) & (p["termType"] == "NamedNode") & F.map_contains_key(names, o["termType"]) & p["value"].isNotNull() & o["value"].isNotNull(), F.lit(False))
+    kind_of = lambda t: F.try_element_at(names, t["termType"])
+    checked = F.when(fine, kind_of(s)).otherwise(F.raise_error(F.concat(F.lit("not a quad of terms: "), F.to_json(F.struct(s, p, o)))).cast("string"))
+    g = F.when(F.col(graph)["termType"] != "DefaultGraph", blank(F.col(graph))) if graph and graph in df.columns else F.lit(None).cast("string")
+    at = F.array(F.col(order).cast("bigint")) if order else F.array(F.monotonically_increasing_id())
+    said = F.when(is_quoted, F.concat(F.lit("<<"), inner[0], F.lit(" "), inner[1], F.lit(" "), inner[2], F.lit(">>"))).otherwise(blank(s))
+    return df.select(
+        said.alias("s"), checked.alias("s_kind"), p["value"].alias("p"), blank(o).alias("o"), kind_of(o).alias("o_kind"),
+        F.when(literal, F.when(lang.isNotNull(), RDF + "langString").otherwise(F.coalesce(datatype, F.lit(XSD + "string")))).alias("o_datatype"), F.when(literal, lang).alias("o_lang"), g.alias("g"),
+        *(F.when(is_quoted, x).alias(n) for x, n in zip(inner, ("qs", "qp", "qo"), strict=True)), at.alias("ord"),
+    )
+
+
+def to_terms(q: DataFrame) -> DataFrame:
+    """Rows of terms (subject, predicate, object, graph) of quads, as ``from_terms`` reads them."""
+    names = F.create_map(*(F.lit(x) for kv in TERM_KINDS.items() for x in kv))
+    bare = lambda c: F.regexp_replace(c, "^_:", "")
+    plain = lambda c: F.struct(F.when(c.startswith("_:"), "BlankNode").otherwise("NamedNode").alias("termType"), bare(c).alias("value"))
+    quoted = F.col("s_kind") == "triple"
+    s = F.struct(names[F.col("s_kind")].alias("termType"), F.when(quoted, "").otherwise(bare(F.col("s"))).alias("value"), *(F.when(quoted, plain(F.col(c))).alias(n) for c, n in (("qs", "subject"), ("qp", "predicate"), ("qo", "object"))))
+    value = F.when(F.col("o_kind") == "bnode", bare(F.col("o"))).otherwise(F.col("o"))
+    datatype = F.when(F.col("o_kind") == "literal", F.struct(F.lit("NamedNode").alias("termType"), F.col("o_datatype").alias("value")))
+    o = F.struct(names[F.col("o_kind")].alias("termType"), value.alias("value"), datatype.alias("datatype"), F.when(F.col("o_kind") == "literal", F.coalesce("o_lang", F.lit(""))).alias("language"))
+    g = F.when(F.col("g").isNull(), F.struct(F.lit("DefaultGraph").alias("termType"), F.lit("").alias("value"))).otherwise(plain(F.col("g")))
+    return q.select(s.alias("subject"), F.struct(F.lit("NamedNode").alias("termType"), F.col("p").alias("value")).alias("predicate"), o.alias("object"), g.alias("graph"), "ord")
+
+
 # subjects
 
 

@@ -222,18 +222,21 @@ class Projector:
             return F.transform(v.col, lambda x: self._encode(s["items"], v.item(x), at))
         return v.col
 
-    def dump_json(self, schema_id: str, v: Typed, include: list[str] = (), exclude: list[str] = (), exclude_defaults: bool = False) -> Column:
+    def dump_json(self, schema_id: str, v: Typed, include: list[str] = (), exclude: list[str] = (), exclude_defaults: bool = False, given: Value | None = None) -> Column:
         """JSON text of a value in its wire form; dates as ISO texts, unset fields left out.
 
+        ``given`` is the document that the value was made of: then fields that it doesn't have (filled in by defaults, or
+        computed) go, at each level of objects.
+
         The filters hold at each level, as do encoders; what is included beats what is excluded, and a field that equals
         its explicit default goes where that is asked for.
         """
         key = self.registry.expand(schema_id)
-        shaped = self._dumped(self.registry[key], v, _At(key), tuple(include), tuple(exclude), exclude_defaults)
+        shaped = self._dumped(self.registry[key], v, _At(key), tuple(include), tuple(exclude), exclude_defaults, given)
         encoder = self.registry.transforms.get(key, (None, None))[1]
         return F.to_json(encoder(shaped) if encoder else shaped, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"})
 
-    def _dumped(self, s: Schema, v: Typed, at: _At, include: tuple, exclude: tuple, exclude_defaults: bool) -> Column:
+    def _dumped(self, s: Schema, v: Typed, at: _At, include: tuple, exclude: tuple, exclude_defaults: bool, given: Value | None = None) -> Column:
         s0 = s
         s, at = self._deref(s, at)
         encoder = self.registry.transforms.get(at.root, (None, None))[1] if s is not s0 else None
@@ -246,7 +249,11 @@ class Projector:
                     continue
                 child = v.get(f.name)
                 sub, own = props.get(f.name, ({}, at))
-                col = self._dumped(sub, child, own, include, exclude, exclude_defaults)
+                was = given.get(f.name) if given is not None else None
+                col = self._dumped(sub, child, own, include, exclude, exclude_defaults, was)
+                if was is not None:
+                    alias = ext(sub, "alias")
+                    col = F.when(was.present() | given.get(alias).present() if isinstance(alias, str) else was.present(), col)
                 if exclude_defaults and isinstance(sub, dict) and "default" in sub and not isinstance(sub["default"], (dict, list)):
                     col = F.when(~F.coalesce(child.canonical() == text(sub["default"]), F.lit(False)), col)
                 fields.append(col.alias(f.name))
@@ -392,6 +399,15 @@ def apply_changes(document: Column, changes: Column) -> Column:
     return F.pandas_udf(lambda d, c: d.combine(c, patch), "string")(document, changes)
 
 
+def merged(a: Value, b: Value) -> Column:
+    """The members of two objects, those of the second over those of the first; what the second lacks stays. Not deep."""
+    if isinstance(a, Typed) and isinstance(b, Typed):
+        names = [*a.kind.names, *(n for n in b.kind.names if n not in a.kind.names)]
+        return F.struct(*(F.coalesce(*(x.col[n] for x in (b, a) if n in x.kind.names)).alias(n) for n in names))
+    first, second = (F.coalesce(F.try_variant_get(x.col, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")) for x in (a, b))
+    return F.to_variant_object(F.map_concat(F.map_filter(first, lambda k, _: ~F.map_contains_key(second, k)), second))
+
+
 def dump(v: Typed, include: list[str] | None = None, exclude: list[str] = (), exclude_defaults: dict[str, Any] | None = None) -> Column:
     """JSON text of chosen fields; unset ones are left out, and so are those equal to their default where defaults are given. Include beats exclude."""
     fields = []

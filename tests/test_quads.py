@@ -106,3 +106,29 @@ def test_streams_are_split(spark, tmp_path):
     S.split(stream, Compiler(EVENT), "urn:e", str(tmp_path / "good"), str(tmp_path / "bad"), str(tmp_path / "state")).awaitTermination()
     assert [r["k"] for r in spark.read.parquet(str(tmp_path / "good")).collect()] == [1]
     assert [r["k"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [2]
+
+
+def test_terms_of_other_libraries(spark):
+    term = "struct<termType:string,value:string,subject:struct<termType:string,value:string>,predicate:struct<termType:string,value:string>,object:struct<termType:string,value:string>>"
+    schema = f"subject {term}, predicate struct<termType:string,value:string>, object struct<termType:string,value:string,datatype:struct<termType:string,value:string>,language:string>, graph struct<termType:string,value:string>"
+    named, blank = lambda x: ("NamedNode", x), lambda x: ("BlankNode", x)
+    subject = lambda t: (*t, None, None, None)
+    rows = [
+        (subject(named("urn:s")), named("urn:p"), ("Literal", "x", None, "en"), ("DefaultGraph", "")),
+        (subject(blank("b")), named("urn:p"), ("Literal", "1", named(Q.XSD + "integer"), ""), named("urn:g")),
+        (("Quad", "", named("urn:s"), named("urn:p"), blank("o")), named("urn:q"), ("BlankNode", "_:c", None, None), None),
+        (subject(named("urn:s")), named("urn:p"), ("Literal", "plain", None, None), blank("g")),
+    ]
+    q = Q.from_terms(spark.createDataFrame(rows, schema))
+    got = sorted(tuple(r)[:11] for r in q.collect())
+    none = (None,) * 3
+    assert got == sorted([
+        ("urn:s", "iri", "urn:p", "x", "literal", Q.RDF + "langString", "en", None, *none),
+        ("_:b", "bnode", "urn:p", "1", "literal", Q.XSD + "integer", None, "urn:g", *none),
+        ("<<urn:s urn:p _:o>>", "triple", "urn:q", "_:c", "bnode", None, None, None, "urn:s", "urn:p", "_:o"),
+        ("urn:s", "iri", "urn:p", "plain", "literal", Q.XSD + "string", None, "_:g", *none),
+    ], key=lambda r: r[:4])
+    assert sorted(tuple(r)[:11] for r in Q.from_terms(Q.to_terms(q)).collect()) == got
+    for bad in ((subject(("Variable", "v")), named("urn:p"), ("Literal", "x", None, None), None), (subject(named("urn:s")), blank("p"), ("Literal", "x", None, None), None), (subject(named("urn:s")), named("urn:p"), None, None)):
+        with pytest.raises(Exception, match="not a quad of terms"):
+            Q.from_terms(spark.createDataFrame([bad], schema)).collect()
