@@ -97,6 +97,11 @@ COLUMN_FORMATS = (
     ("ipv6", "lineitem", "l_orderkey", "concat(repeat(concat(lower(hex(l_partkey)), ':'), 5 + l_linenumber), '1')", "l_linenumber = 2 AND l_partkey < 65536"),
     ("uuid", "part", "p_partkey", "concat_ws('-', substr(md5(CAST(p_partkey AS STRING)), 1, 8), substr(md5(CAST(p_partkey AS STRING)), 9, 4), substr(md5(CAST(p_partkey AS STRING)), 13, 4), substr(md5(CAST(p_partkey AS STRING)), 17, 4), substr(md5(CAST(p_partkey AS STRING)), 21))", "substr(md5(p_partkey::VARCHAR), 13, 1) IN ('1', '2', '3', '4', '5', '6', '7', '8') AND substr(md5(p_partkey::VARCHAR), 17, 1) IN ('8', '9', 'a', 'b')"),
     ("email", "customer", "c_custkey", "concat(c_name, '@', c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN '.com' ELSE '' END)", "c_custkey % 2 = 0"),
+    ("uri-reference", "pages", "page_id", "CASE page_id % 4 WHEN 0 THEN substr(url, locate('://', url) + 1) WHEN 1 THEN concat('../', page_id, '?q#f') WHEN 2 THEN concat('a b/', page_id) ELSE concat('//bad host/', page_id) END", "page_id % 4 < 2"),
+    ("iri-reference", "pages", "page_id", "CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN concat('https:', page_id) ELSE 'http://' END", "page_id % 3 < 2"),
+    ("uri-template", "pages", "page_id", "concat(url, CASE page_id % 4 WHEN 0 THEN '{?a,b{c}}' WHEN 1 THEN '{x' WHEN 2 THEN '}{' ELSE '' END)", "page_id % 4 IN (0, 3)"),
+    ("idn-email", "customer", "c_custkey", "concat('ü', c_custkey, '@', CASE c_custkey % 4 WHEN 0 THEN 'bücher.example' WHEN 1 THEN 'a b.example' WHEN 2 THEN 'x@y.example' ELSE 'local' END)", "c_custkey % 4 IN (0, 3)"),
+    ("idn-hostname", "pages", "page_id", "concat(CASE page_id % 3 WHEN 0 THEN 'é' WHEN 1 THEN '<' ELSE '' END, regexp_extract(url, '://([^/?#]*)', 1))", "page_id % 3 <> 1"),
     ("json-pointer", "part", "p_partkey", "concat('/', p_brand, CASE p_partkey % 3 WHEN 0 THEN '~1/x' WHEN 1 THEN '~' ELSE '' END)", "p_partkey % 3 <> 1"),
     ("duration", "part", "p_partkey", "concat('P', p_size, CASE WHEN p_partkey % 2 = 0 THEN 'D' ELSE '' END)", "p_partkey % 2 = 0"),
     ("regex", "part", "p_partkey", "concat(p_brand, CASE WHEN p_partkey % 2 = 1 THEN '(' ELSE '' END)", "p_partkey % 2 = 0"),

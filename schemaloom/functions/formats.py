@@ -44,6 +44,25 @@ def _uri(v: Column) -> Column:
     return v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & (~special | host)
 
 
+def _uri_reference(v: Column) -> Column:
+    """An absolute URI, or what a URL parser takes relative to an https one: no blank, and a host without forbidden characters after two slashes."""
+    scheme, slashes = v.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), v.rlike(r"^[/\\]{2}")
+    relative = F.when(scheme, v.rlike(r"^(?i)https:(?![/\\]{2})")).when(slashes, _uri(F.concat(F.lit("https:"), v))).otherwise(True)
+    return (v == "") | _uri(v) | (~v.contains(" ") & relative)
+
+
+def _balanced(v: Column) -> Column:
+    """Whether braces are closed in turn."""
+    step = lambda depth, c: F.when(depth < 0, depth).when(c == "{", depth + 1).otherwise(depth - 1)
+    braces = F.filter(F.split(F.regexp_replace(v, r"[^{}]", ""), ""), lambda c: c != "")
+    return F.aggregate(braces, F.lit(0), step) == 0
+
+
+def _idn_host(v: Column) -> Column:
+    """What stands for a host, and maybe more, after https://."""
+    return _uri(F.concat(F.lit("https://"), v))
+
+
 def _pattern(p: str) -> Callable[[Column], Column]:
     return lambda v: v.rlike(p)
 
@@ -54,16 +73,16 @@ STRING_FORMATS: dict[str, Callable[[Column], Column]] = {
     "time": _pattern(rf"^{TIME}$"),
     "duration": _pattern(r"^P(?!$)(\d+(\.\d+)?[A-Za-z])*(T(\d+(\.\d+)?[A-Za-z])+)?$"),
     "email": _email,
-    "idn-email": _pattern(r"^\S+@[^\s@.]+(\.[^\s@.]+)*$"),
+    "idn-email": lambda v: v.rlike(r"^[^\x00-\x20@]+@[^\x00-\x20@]+$") & _idn_host(F.substring_index(v, "@", -1)),
     "hostname": lambda v: v.rlike(rf"^{LABEL}(\.{LABEL})*$") & (F.length(v) <= 253),
-    "idn-hostname": _pattern(r"^[^\s/?#@:.]+(\.[^\s/?#@:.]+)*\.?$"),
+    "idn-hostname": _idn_host,
     "ipv4": _pattern(rf"^{IPV4}$"),
     "ipv6": _ipv6,
     "uri": _uri,
     "iri": _uri,
-    "uri-reference": lambda v: ~v.rlike(r"\s"),
-    "iri-reference": lambda v: ~v.rlike(r"\s"),
-    "uri-template": lambda v: ~v.rlike(r"\s") & v.rlike(r"^([^{}]|\{[^{}]*\})*$"),
+    "uri-reference": _uri_reference,
+    "iri-reference": _uri_reference,
+    "uri-template": lambda v: _uri_reference(v) & _balanced(v),
     "uuid": _pattern(r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[1-8][0-9A-Fa-f]{3}-[89ABab][0-9A-Fa-f]{3}-[0-9A-Fa-f]{12}$"),
     "json-pointer": _pattern(r"^(/([^~/]|~[01])*)*$"),
     "byte": lambda v: (F.length(v) % 4 == 0) & v.rlike(r"^[A-Za-z0-9+/]*={0,2}$"),
