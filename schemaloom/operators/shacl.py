@@ -128,7 +128,7 @@ class Validator:
         return o.rlike(regex(pattern)) if is_regex(pattern) else F.lit(False)
 
     def tests(self, p: dict[str, Any]) -> list[tuple[str, Column, str]]:
-        """(component, is violated, message) of the constraints of a value by itself."""
+        """(component, is violated, message) of the constraints of a value by itself. Components and messages, here and below."""
         o = F.col("o")
         units = F.octet_length(F.encode(o, "UTF-16BE")) / 2
         tests: list[tuple[str, Column, str]] = []

@@ -175,7 +175,7 @@ class Compiler:
                 tests.append(Test("disjointWith", F.lit(True), f"disjoint schema '{target}' is not registered", {"disjointWith": target}))
         return self._collect(tests, F.lit("")) if tests else None
 
-    # tests without children
+    # tests without children; fixed values: the messages and the names of parameters, here and below
 
     def _scalars(self, s: dict, v: Value, at: _At) -> Iterator[Test]:
         if "type" in s:
