@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, read, stored
+from .common import arrow_schema, discard, read, stored
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS = 16
@@ -262,6 +262,7 @@ def whiten(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", co
         out = df.sparkSession.createDataFrame([], f"id {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double")
     else:
         out = whitened(vectors, w, identity_error(fit, w))
+    discard(fit)
     return out.withColumnRenamed("id", id_col)
 
 
