@@ -154,10 +154,12 @@ def q_datatypes(spark, sf):
     return customers(spark, sf).unionByName(dated).groupBy("o_datatype").agg(F.count(F.lit(1)).alias("n"))
 
 
-@C.query(f"SELECT '{EX}a' AS s, '{EX}b' AS o UNION ALL SELECT '{EX}b', '{EX}a'")
+@C.query(f"WITH p AS (SELECT '{EX}nation/' || n_nationkey AS a, '{EX}nation/' || (n_nationkey + 1) AS b FROM nation WHERE n_nationkey % 2 = 0) SELECT a AS s, b AS o FROM p UNION ALL SELECT b, a FROM p")
 def q_same_as(spark, sf):
+    """Identity axioms of a registry, which is schema-sized: nations of neighbouring keys."""
     r = Registry()
-    r.same_as(EX + "b", EX + "a")
+    for row in table(spark, sf, "nation").where("n_nationkey % 2 = 0").select("n_nationkey").collect():
+        r.same_as(f"{EX}nation/{row[0] + 1}", f"{EX}nation/{row[0]}")
     return Q.same_as_quads(spark, r).select("s", "o")
 
 
@@ -522,25 +524,38 @@ def g_subgraph(spark, sf):
 
 TREE = [("BrassTube", "Tube"), ("Tube", "MetalPart"), ("MetalPart", "Part"), ("PlasticPart", "Part"), ("Part", "Article")]
 _TREE = ", ".join(f"('{a}', '{b}')" for a, b in TREE)
+BRANDS = "e(a, b) AS (SELECT 'part/' || p_partkey, p_brand FROM part UNION SELECT p_brand, 'Maker' || right(p_brand, 1) FROM part UNION SELECT 'Maker' || right(p_brand, 1), 'Brand' FROM part)"
 
 
-@C.query(f"WITH RECURSIVE e(a, b) AS (VALUES {_TREE}), r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS sub, b AS super FROM r")
+def brand_edges(spark, sf):
+    """sub, super: parts under their brands, brands under their makers, and these under one class."""
+    part = table(spark, sf, "part")
+    maker = F.concat(F.lit("Maker"), F.right("p_brand", F.lit(1)))
+    pairs = [(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")), F.col("p_brand")), (F.col("p_brand"), maker), (maker, F.lit("Brand"))]
+    return part.select(F.explode(F.array(*(F.struct(a.alias("sub"), b.alias("super")) for a, b in pairs))).alias("e")).select("e.*").distinct()
+
+
+@C.query(f"WITH RECURSIVE {BRANDS}, r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a AS sub, b AS super FROM r")
 def g_class_superclasses(spark, sf):
-    return identity.sub_class_closure(spark.createDataFrame(TREE, "sub string, super string"))
+    return identity.sub_class_closure(brand_edges(spark, sf))
 
 
-@C.query(f"SELECT unnest({['Tube', 'MetalPart', 'Part', 'Article']}) AS iri")
+@C.query("SELECT DISTINCT unnest([p_brand, 'Maker' || right(p_brand, 1), 'Brand']) AS iri FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)")
 def g_schema_cursor(spark, sf):
-    rows = [(a, "iri", RDFS + "subClassOf", b, "iri", None, None, None, None, None, None, [i]) for i, (a, b) in enumerate(TREE)]
-    g = Graph(customers(spark, sf), schema=spark.createDataFrame(rows, Q.SCHEMA))
-    found = g.class_("BrassTube").sub_class_of(transitive=True).iris()
+    """The superclasses of the first part."""
+    none = F.lit(None).cast("string")
+    edges = brand_edges(spark, sf).select(F.col("sub").alias("s"), F.lit("iri").alias("s_kind"), F.lit(RDFS + "subClassOf").alias("p"), F.col("super").alias("o"), F.lit("iri").alias("o_kind"), *(none.alias(c) for c in ("o_datatype", "o_lang", "g", "qs", "qp", "qo")), F.array(F.lit(0).cast("bigint")).alias("ord"))
+    first = table(spark, sf, "part").agg(F.min("p_partkey")).first()[0]
+    found = Graph(customers(spark, sf), schema=edges).class_(f"part/{first}").sub_class_of(transitive=True).iris()
     return spark.createDataFrame([(x,) for x in found], "iri string")
 
 
-@C.query(f"SELECT unnest(['{CUSTOMER['$id']}', '{KEY['$id']}']) AS iri")
+@C.query(f"SELECT '{CUSTOMER['$id']}' AS iri, count(*) AS n FROM customer UNION ALL SELECT '{KEY['$id']}', 0")
 def g_domain_range(spark, sf):
+    """The domain and the range of properties, with their instances."""
     g = graph(spark, sf)
-    return spark.createDataFrame([(x,) for x in g.domain("c_custkey").iris() + g.range("o_custkey").iris()], "iri string")
+    rows = [(x, g.instances(x).count()) for x in g.domain("c_custkey").iris() + g.range("o_custkey").iris()]
+    return spark.createDataFrame(rows, "iri string, n bigint")
 
 
 # rules: multi-way equi-joins over edges

@@ -21,25 +21,34 @@ from .common import EVENT_DOC, Catalogue, compiler, event_docs, table
 C = Catalogue()
 ID = "urn:example:"
 CUSTOMER = G.CUSTOMER | {"required": ["c_custkey"], "properties": G.CUSTOMER["properties"] | {"c_acctbal": {"type": "number", "minimum": 0}, "c_mktsegment": {"enum": ["BUILDING", "MACHINERY", "AUTOMOBILE", "HOUSEHOLD"]}}}
-TREE = [{"$id": ID + "Order", "type": "object", "properties": {"code": {"type": "string"}}}, *({"$id": ID + a, "allOf": [{"$ref": ID + b}]} for a, b in (("OpenOrder", "Order"), ("ClosedOrder", "Order"), ("UrgentOrder", "OpenOrder")))]
+#: The classes of brands in SQL: c of all, and pairs (s, o) of class and superclass.
+CLASSES = f"""WITH b AS (SELECT DISTINCT replace(p_brand, '#', '-') AS c FROM part), e AS (SELECT '{ID}' || c AS s, '{ID}Maker-' || right(c, 1) AS o FROM b UNION SELECT '{ID}Maker-' || right(c, 1), '{ID}Brand' FROM b),
+  k AS (SELECT s AS c FROM e UNION SELECT '{ID}Brand')"""
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}OpenOrder', '{ID}Order'), ('{ID}ClosedOrder', '{ID}Order'), ('{ID}UrgentOrder', '{ID}OpenOrder')) v(s, o)")
+def brand_classes(spark, sf_dir) -> list[dict]:
+    """A class for each brand of parts, under one for its maker, under one of all: schema-sized, as there are few brands."""
+    brands = sorted(r[0].replace("#", "-") for r in table(spark, sf_dir, "part").select("p_brand").distinct().collect())
+    tree = [{"$id": ID + "Brand", "type": "object", "properties": {"code": {"type": "string"}}}]
+    return tree + [{"$id": ID + a, "allOf": [{"$ref": ID + b}]} for a, b in dict.fromkeys([*((f"Maker-{x[-1]}", "Brand") for x in brands), *((x, f"Maker-{x[-1]}") for x in brands)])]
+
+
+@C.query(f"{CLASSES} SELECT s, o FROM e")
 def o_owl_sub_classes(spark, sf):
-    q = emit.owl(Registry(TREE)).frame(spark)
+    q = emit.owl(Registry(brand_classes(spark, sf))).frame(spark)
     return q.where((F.col("p") == RDFS + "subClassOf") & (F.col("o_kind") == "iri")).select("s", "o")
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}Order', 'Class'), ('{ID}OpenOrder', 'Class'), ('{ID}ClosedOrder', 'Class'), ('{ID}UrgentOrder', 'Class'), ('{ID}Order#code', 'DatatypeProperty')) v(s, kind)")
+@C.query(f"{CLASSES} SELECT c AS s, 'Class' AS kind FROM k UNION ALL SELECT '{ID}Brand#code', 'DatatypeProperty'")
 def o_owl_terms(spark, sf):
-    q = emit.owl(Registry(TREE)).frame(spark)
+    q = emit.owl(Registry(brand_classes(spark, sf))).frame(spark)
     return q.where((F.col("p") == TYPE) & F.col("o").isin(OWL + "Class", OWL + "DatatypeProperty")).select("s", F.substring_index("o", "#", -1).alias("kind"))
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}Order', 0), ('{ID}OpenOrder', 1), ('{ID}ClosedOrder', 1), ('{ID}UrgentOrder', 1)) v(schema_id, n_parents)")
+@C.query(f"{CLASSES} SELECT c AS schema_id, (c <> '{ID}Brand')::INTEGER AS n_parents FROM k")
 def o_owl_import(spark, sf):
     """Schemas to an ontology and back."""
-    r = Registry(importer.import_owl(emit.owl(Registry(TREE)).frame(spark)).schemas.values())
+    r = Registry(importer.import_owl(emit.owl(Registry(brand_classes(spark, sf))).frame(spark)).schemas.values())
     return spark.createDataFrame([(k, len(r.parents(k))) for k in r], "schema_id string, n_parents int")
 
 
@@ -52,27 +61,28 @@ def o_shacl_from_schema(spark, sf):
     return out.select("focus_node", F.regexp_extract("component", r"#(\w+)ConstraintComponent$", 1).alias("component"))
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}OpenOrder', '{ID}Order', 'subClassOf'), ('{ID}ClosedOrder', '{ID}Order', 'subClassOf'), ('{ID}UrgentOrder', '{ID}OpenOrder', 'subClassOf')) v(source, target, kind)")
+@C.query(f"{CLASSES} SELECT s AS source, o AS target, 'subClassOf' AS kind FROM e")
 def o_viz_edges(spark, sf):
-    return viz.edges(Registry(TREE), spark)
+    return viz.edges(Registry(brand_classes(spark, sf)), spark)
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}Order', 3), ('{ID}OpenOrder', 2), ('{ID}ClosedOrder', 2), ('{ID}UrgentOrder', 2)) v(schema_id, n)")
+@C.query(f"{CLASSES} SELECT c AS schema_id, CASE WHEN c = '{ID}Brand' THEN 3 ELSE 2 END AS n FROM k")
 def o_schema_nodes(spark, sf):
     """Sub-schemas of each schema as rows."""
-    nodes = Registry([*TREE[1:], TREE[0] | {"$defs": {"x": {"type": "string"}}}]).nodes(spark)
+    first, *others = brand_classes(spark, sf)
+    nodes = Registry([*others, first | {"$defs": {"x": {"type": "string"}}}]).nodes(spark)
     return nodes.groupBy("schema_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@C.query(f"SELECT * FROM (VALUES ('{ID}OpenOrder', 'subClassOf', '{ID}Order'), ('{ID}ClosedOrder', 'subClassOf', '{ID}Order'), ('{ID}UrgentOrder', 'subClassOf', '{ID}OpenOrder'), ('{ID}sale', 'range', '{ID}Order'), ('{ID}sale', 'required', '{ID}sale#of')) v(source, kind, target)")
+@C.query(f"{CLASSES} SELECT s AS source, 'subClassOf' AS kind, o AS target FROM e UNION ALL SELECT '{ID}sale', 'range', '{ID}Brand' UNION ALL SELECT '{ID}sale', 'required', '{ID}sale#of'")
 def o_relations(spark, sf):
-    r = Registry([*TREE, {"$id": ID + "sale", "required": ["of"], "properties": {"of": {"$ref": ID + "Order"}}}])
+    r = Registry([*brand_classes(spark, sf), {"$id": ID + "sale", "required": ["of"], "properties": {"of": {"$ref": ID + "Brand"}}}])
     return r.relations(spark).where(~F.col("kind").startswith("has ")).select("source", "kind", "target")
 
 
-@C.query(f"SELECT * FROM (VALUES ('', NULL, 0), ('/properties/a', '', 1), ('/properties/a/items', '/properties/a', 2)) v(pointer, parent, depth)")
+@C.query(f"{CLASSES} SELECT c AS schema_id, x.p AS pointer, x.up AS parent, x.d AS depth FROM k, (VALUES ('', NULL, 0, 2), ('/properties/code', '', 1, 0), ('/allOf/0', '', 1, 1)) x(p, up, d, sub) WHERE x.sub = 2 OR x.sub = (c <> '{ID}Brand')::INTEGER")
 def o_schema_tree(spark, sf):
-    return Registry([{"$id": ID + "t", "properties": {"a": {"items": {"type": "string"}}}}]).tree(spark).select("pointer", "parent", "depth")
+    return Registry(brand_classes(spark, sf)).tree(spark).select("schema_id", "pointer", "parent", "depth")
 
 
 @C.query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, year(o_orderdate)::INTEGER AS y FROM orders")
