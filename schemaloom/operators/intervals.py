@@ -6,7 +6,7 @@ task gets a whole key, and an as-of match carries over from earlier bins by one
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 256
@@ -20,12 +20,15 @@ def quantile_grid(values: DataFrame, column: str, bins: int = BINS) -> list:
     return sorted(set(row[0] or []))
 
 
-def bin_of(time: Column, kind: str, grid: list) -> Column:
-    """The number of cut points at or below a time."""
-    if not grid:
-        return F.lit(0)
-    number = F.unix_micros(time.cast("timestamp")).cast("double") if kind in ("timestamp", "timestamp_ntz") else time.cast("double")
-    return F.size(F.filter(F.array(*map(F.lit, grid)), lambda g: g <= number))
+def binned(df: DataFrame, column: str, grid: list, name: str = "_bin") -> DataFrame:
+    """With the number of cut points at or below a time, 0 for null. A binary search, each step a column of its own, so that it is
+    compiled; a condition on all cut points within one expression is interpreted, and moved by the optimizer to where the time is missing."""
+    kind = df.schema[column].dataType.simpleString()
+    number = F.unix_micros(F.col(column).cast("timestamp")).cast("double") if kind in ("timestamp", "timestamp_ntz") else F.col(column).cast("double")
+    out, points = df.withColumns({"_time": number, name: F.lit(0)}), F.array(*map(F.lit, grid))
+    for step in (1 << i for i in reversed(range(len(grid).bit_length()))):
+        out = out.withColumn(name, F.col(name) + F.when(F.get(points, F.col(name) + (step - 1)) <= F.col("_time"), step).otherwise(0))
+    return out.drop("_time")
 
 
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, suffix: str = "_right", allow_equal: bool = True, order: list[str] = (), bins: int = BINS) -> DataFrame:
@@ -35,7 +38,6 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     none is given) is taken, so results don't depend on how rows are dealt. A null key or time matches nothing. Columns of
     the right side besides the keys get ``suffix`` where the left side has the name.
     """
-    kind = right.schema[right_time].dataType.simpleString()
     names = {c: c + suffix if c in left.columns else c for c in right.columns if c not in by}
     last = F.struct(*(F.col(c).alias(f"_order{i}") for i, c in enumerate(order or [])), *(F.col(c) for c in right.columns if c not in by))
     r = right.where(F.col(right_time).isNotNull()).groupBy(*by, F.col(right_time).alias("_t")).agg(F.max(last).alias("_row"))
@@ -43,7 +45,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str,
     grid = quantile_grid(times, "v", bins)
     asked = left.where(F.col(left_time).isNotNull()).select(*by, F.col(left_time).alias("_t")).distinct()
     both = r.select(*by, "_t", F.lit(0 if allow_equal else 1).alias("_side"), F.col("_t").alias("_known")).unionByName(asked.select(*by, "_t", F.lit(1 if allow_equal else 0).alias("_side"), F.lit(None).cast(r.schema["_t"].dataType).alias("_known")))
-    both = both.withColumn("_bin", bin_of(F.col("_t"), kind, grid))
+    both = binned(both, "_t", grid)
     is_left = F.col("_side") == (1 if allow_equal else 0)
     within = Window.partitionBy(*by, "_bin").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_in", F.last("_known", ignorenulls=True).over(within)).where(is_left).select(*by, "_t", "_bin", "_in")
@@ -64,11 +66,10 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     An interval is copied to the bins that it overlaps, ``bins`` times at most, and bins are cut where points are dense; with
     ``salts`` points of a bin are dealt over that many tasks, each with a copy of its intervals. Null points or bounds match nothing.
     """
-    kind = points.schema[point].dataType.simpleString()
     grid = quantile_grid(points.select(F.col(point).alias("v")), "v", bins)
-    p = points.where(F.col(point).isNotNull()).withColumn("_bin", bin_of(F.col(point), kind, grid)).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    lo, hi = bin_of(F.col(start), kind, grid), bin_of(F.col(end), kind, grid)
+    p = binned(points.where(F.col(point).isNotNull()), point, grid).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     keep = F.col(start) <= F.col(end) if closed else F.col(start) < F.col(end)
-    i = intervals.where(keep).withColumn("_bin", F.explode(F.sequence(lo, hi))).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    i = binned(binned(intervals.where(keep), start, grid, "_lo"), end, grid, "_hi")
+    i = i.withColumn("_bin", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     held = (F.col(start) <= F.col(point)) & (F.col(point) <= F.col(end) if closed else F.col(point) < F.col(end))
     return p.join(i, [*by, "_bin", "_salt"]).where(held).drop("_bin", "_salt")

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from schemaloom.operators.intervals import asof_join, range_join
+from schemaloom.catalogue import extensions
+from schemaloom.operators.intervals import asof_join, binned, range_join
 from schemaloom.streaming import validation as S
 
 
@@ -55,3 +57,19 @@ def test_sessions_of_a_stream_that_is_started_again(spark, tmp_path):
         S.to_files(S.bursts(stream, "ts", ["k"], "10 minutes"), str(out), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(out)).select("k", (F.unix_timestamp("began") - F.lit(int(base.timestamp()))).alias("s"), "n").collect()
     assert sorted((r["k"], (r["s"] % 86400) // 60, r["n"]) for r in got) == [("a", 0, 2), ("a", 30, 2), ("a", 200, 2), ("b", 2, 1)]
+
+
+def test_range_join_of_a_larger_table_with_itself(spark):
+    """Spans of sf0.1 are joined without a broadcast, with the table that they are made of."""
+    sf, db = "/root/testdata/sf0.1", duckdb.connect()
+    db.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf}/events.parquet')")
+    want = db.sql(f"SELECT count(*), sum(n), sum(error * n) FROM ({extensions.SQL['x_range']})").fetchall()[0]
+    assert tuple(extensions.x_range(spark, sf).agg(F.count(F.lit(1)), F.sum("n"), F.sum(F.col("error") * F.col("n"))).first()) == want
+
+
+def test_bins(spark):
+    grid = [float(x) for x in range(0, 100, 3)]
+    for n in (0, 1, 2, 7, 34):
+        df = spark.createDataFrame([(x,) for x in (-5, 0, 1, 3, 50, 98, 99, 1000, None)], "t long")
+        got = {r["t"]: r["_bin"] for r in binned(df, "t", grid[:n]).collect()}
+        assert got == {t: 0 if t is None else sum(g <= t for g in grid[:n]) for t in got}
