@@ -15,6 +15,7 @@ from ..operators.selection import pinned
 from ..plans import project as P
 from ..plans.registry import Registry
 from ..plans.values import Variant
+from ..sources.tables import balanced
 from . import graphs as G
 from .common import EVENT_DOC, Catalogue, compiler, event_docs, table
 
@@ -168,7 +169,7 @@ def part_schemas(spark, sf_dir):
         F.lit('{"type":"object","$id":"urn:part/'), k, F.lit('","required":["size","brand"],"properties":{"size":{"minimum":1,"maximum":'), F.col("p_size").cast("string"), F.lit('},"brand":'), brand,
         F.lit(',"next":{"$ref":"urn:part/'), (F.col("p_partkey") + 1).cast("string"), F.lit('"},"all":{"type":"array","items":{"$ref":"#"}}},"anyOf":[true,{"minProperties":1}]}'),
     )
-    return table(spark, sf_dir, "part").select(F.concat(F.lit("urn:part/"), k).alias("id"), F.parse_json(text).alias("body"))
+    return balanced(table(spark, sf_dir, "part")).select(F.concat(F.lit("urn:part/"), k).alias("id"), F.parse_json(text).alias("body"))
 
 
 @C.query("""SELECT 'urn:part/' || p_partkey AS schema_id, '{"$id":"urn:part/' || p_partkey || '","anyOf":[true,{"minProperties":1}],"properties":{"all":{"items":{"$ref":"#"},"type":"array"},"brand":{"const":"' || p_brand || '"},"next":{"$ref":"urn:part/'

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rounds import rounds
 from ..operators.quads import COLUMNS, XSD, quoted_json
 from ..plans.registry import MANY, MAPPED, ONE
 
@@ -81,12 +82,11 @@ def schema_quads(documents: DataFrame, id_col: str, body_col: str, depth: int =
 
     start = F.struct(F.array(F.struct(F.lit("").alias("at"), F.col("_body").alias("value"))).alias("now"), F.array(quad(F.col("_id"), F.lit(ROOT), F.col("_id"), "iri")).alias("done"))
 
-    def step(state: Column, _: Column) -> Column:
+    def step(state: Column) -> Column:
         following = F.flatten(F.transform(state["now"], lambda n: F.transform(below(n), lambda m: m["node"])))
-        after = F.struct(F.coalesce(following, none).alias("now"), F.concat(state["done"], F.flatten(F.transform(state["now"], told))).alias("done"))
-        return F.when(F.size(state["now"]) == 0, state).otherwise(after)
+        return F.struct(F.coalesce(following, none).alias("now"), F.concat(state["done"], F.flatten(F.transform(state["now"], told))).alias("done"))
 
-    end = rows.where(F.col("_body").isNotNull()).select("_id", F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, step).alias("end"))
+    end = rows.where(F.col("_body").isNotNull()).select("_id", rounds(start, lambda state: F.size(state["now"]) > 0, step, depth).alias("end"))
     deep = F.when(F.size("end.now") > 0, F.raise_error(F.lit(f"schemas are nested deeper than {depth}")).cast(f"array<{QUAD}>")).otherwise(F.col("end.done"))
     q = end.select(F.posexplode(deep).alias("i", "q")).select("q.*", "i").withColumn("ord", F.array(F.col("i").cast("bigint"))).drop("i")
     null = F.lit(None).cast("string")

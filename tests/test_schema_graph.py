@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from schemaloom.catalogue import graphs
+from schemaloom.catalogue import graphs, ontology
+from schemaloom.functions.rounds import rounds
 from schemaloom.onto import graph as G
 from schemaloom.plans.registry import subschemas
 
@@ -36,3 +37,17 @@ def test_nodes_and_navigation(quads):
     assert {(r["property"], r["range"]) for r in G.ranges(quads).where("class = 'urn:odd'").collect()} == {('a"b', "urn:odd#/$defs/a~1b~0c"), ("list", "urn:x")}
     assert [r["item"] for r in G.listed(quads, "required").where("node = 'urn:odd'").orderBy("idx").collect()] == ["z", 'a"b']
     assert {r["class"] for r in G.domains(quads).where("property = 'c_name'").collect()} == {graphs.CUSTOMER["$id"]}
+
+
+def test_steps_are_taken_while_there_is_something_to_do(spark):
+    """Each step once, none after the end, and no more than asked for."""
+    left, taken = [0, 1, 4, 5, 12, 13, 30, 99], 29
+    state = F.struct(F.col("n").alias("left"), F.array().cast("array<int>").alias("seen"))
+    step = lambda s: F.struct((s["left"] - 1).alias("left"), F.concat(s["seen"], F.array(s["left"])).alias("seen"))
+    df = spark.createDataFrame([(n,) for n in left], "n int").select("n", rounds(state, lambda s: s["left"] > 0, step, taken).alias("end"))
+    assert {r["n"]: (r["end"]["left"], r["end"]["seen"]) for r in df.collect()} == {n: (max(0, n - taken), list(range(n, max(0, n - taken), -1))) for n in left}
+
+
+def test_documents_are_dealt_out(spark, sf):
+    """A table in one row group is read by one task; making quads of its documents isn't left to that."""
+    assert ontology.part_schemas(spark, sf).rdd.getNumPartitions() > 1
