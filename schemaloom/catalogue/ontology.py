@@ -181,7 +181,7 @@ def o_to_schema(spark, sf_dir):
 
 @C.query("""SELECT x.p AS property, 'urn:part/' || p_partkey AS class, CASE x.p WHEN 'next' THEN 'urn:part/' || (p_partkey + 1) ELSE 'urn:part/' || p_partkey END AS range FROM part, (VALUES ('next'), ('all')) x(p)""")
 def o_schema_ranges(spark, sf_dir):
-    return SG.ranges(SG.schema_quads(part_schemas(spark, sf_dir), "id", "body"))
+    return SG.ranges(pinned(SG.schema_quads(part_schemas(spark, sf_dir), "id", "body")))
 
 
 @C.query("""SELECT 'urn:part/' || p_partkey AS class, x.p AS property, CASE x.p WHEN 'size' THEN p_size WHEN 'brand' THEN length(p_brand) ELSE 0 END::INTEGER AS said, CASE x.p WHEN 'size' THEN 0 WHEN 'brand' THEN 1 END::INTEGER AS place
