@@ -262,7 +262,7 @@ def deduplicated(q: DataFrame) -> DataFrame:
     return first.select("s", "p", "o", "g", "_rest.*", "ord").select(*q.columns)
 
 
-def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | None = None, depth: int = 3, structural: bool = False, defaults: bool = False) -> DataFrame:
+def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | None = None, depth: int = 3, structural: bool = False, defaults: bool = False, repeats: bool = False) -> DataFrame:
     """s, instance: the typed documents of a class, gathered from its quads; nested objects are joined bottom-up.
 
     Nesting is followed as deep as the schema goes. Schemas that are met again within themselves are followed ``depth``
@@ -274,10 +274,13 @@ def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | No
     ``structural``: subjects of classes with all of the class's properties are of it too, with the predicates of their own
     class; a property without a quad of its predicate is taken from predicates that end in # and its name. Then all predicates
     have to be looked at, where else only those of the class are read. ``defaults``: declared defaults are filled in.
+
+    Quads are a set: one that is said twice is one item of a list. ``repeats``: only where it is said twice at the same place
+    (ord), so that a list with equal items, as the emitter writes it, comes back whole.
     """
     emitter = emitter or Emitter(registry)
     key = registry.expand(schema_id)
-    out = _lift(q, emitter, registry[key], key, _At(key), depth, (id(registry[key]),), structural)
+    out = _lift(q, emitter, registry[key], key, _At(key), depth, (id(registry[key]),), structural, repeats)
     if defaults:
         filled = Projector(registry, coerce=True, defaults=True).project(key, Typed(F.col("instance"), out.schema["instance"].dataType))
         out = out.select("s", filled.alias("instance"))
@@ -294,10 +297,15 @@ def compatible(emitter: Emitter, names: set[str], class_id: str) -> dict[str, di
     return out
 
 
-def _first_of_each(members: Column) -> Column:
-    """The members (ord, o, g, v) in order, without those whose (o, g) came before: a quad said twice is one."""
+def _said(x: Column, repeats: bool) -> Column:
+    """What makes a quad of a subject and predicate the same as another."""
+    return F.struct(x["o"], F.coalesce(x["g"], F.lit("")), *([x["ord"]] if repeats else []))
+
+
+def _first_of_each(members: Column, repeats: bool) -> Column:
+    """The members (ord, o, g, v) in order, without those that were said before: a quad said twice is one."""
     ordered = F.array_sort(members)
-    key = lambda x: F.struct(x["o"], F.coalesce(x["g"], F.lit("")))
+    key = lambda x: _said(x, repeats)
     keys = F.transform(ordered, key)
     return F.when(F.size(F.array_distinct(keys)) == F.size(keys), ordered).otherwise(F.filter(ordered, lambda x, i: F.array_position(keys, key(x)) == i + 1))
 
@@ -306,7 +314,7 @@ def _typed(q: DataFrame, class_id: str) -> DataFrame:
     return q.where(F.col("p") == TYPE).groupBy("s").agg(F.min_by("o", "ord").alias("_class")).where(F.col("_class") == class_id).select("s")
 
 
-def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int, path: tuple[int, ...], structural: bool = False) -> DataFrame:
+def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int, path: tuple[int, ...], structural: bool = False, repeats: bool = False) -> DataFrame:
     props = emitter.shapes.properties(schema, at)
     if structural and not props:
         return q.sparkSession.createDataFrame([], "s string, instance struct<>")
@@ -335,7 +343,7 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
 
     def gathered(mine: Column, v: Column, many: bool) -> Column:
         if many:
-            return F.transform(_first_of_each(F.collect_list(F.when(mine, F.struct("ord", "o", "g", v.alias("v"))))), lambda x: x["v"])
+            return F.transform(_first_of_each(F.collect_list(F.when(mine, F.struct("ord", "o", "g", v.alias("v")))), repeats), lambda x: x["v"])
         return F.min_by(F.when(mine, F.struct(v.alias("v"))), F.when(mine, F.struct("ord", "o")))["v"]
 
     chosen: dict[str, Column] = {}
@@ -356,15 +364,15 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
     else:
         out = q.where(F.col("p").isin([TYPE, *(p for _, p, _, _ in plain)])).groupBy("s").agg(*made).where(F.col("_class") == class_id).drop("_class")
     for name, p, many, leaf, leaf_class, leaf_at, way in nested:
-        inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way, structural).select(F.col("s").alias("o"), F.col("instance"))
+        inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way, structural, repeats).select(F.col("s").alias("o"), F.col("instance"))
         links = q.where(F.col("p") == p).select("s", "o", "g", "ord").join(inner, "o")
         if structural:
             links = _links_of(q, name, others, out).join(inner, "o")
         if many:
             compare = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)
             ordered = F.array_sort(F.collect_list(F.struct("ord", "o", "g", "instance")), compare)
-            keys = F.transform(ordered, lambda x: F.struct(x["o"], F.coalesce(x["g"], F.lit(""))))
-            got = F.filter(ordered, lambda x, i: F.array_position(keys, F.struct(x["o"], F.coalesce(x["g"], F.lit("")))) == i + 1)
+            keys = F.transform(ordered, lambda x: _said(x, repeats))
+            got = F.filter(ordered, lambda x, i: F.array_position(keys, _said(x, repeats)) == i + 1)
             got = F.transform(F.when(F.size(F.array_distinct(keys)) == F.size(keys), ordered).otherwise(got), lambda x: x["instance"])
         else:
             got = F.min_by(F.struct("instance"), F.struct("ord", "o"))["instance"]
@@ -624,7 +632,7 @@ def issued(q: DataFrame, prefix: str = "_:c") -> DataFrame:
     return q
 
 
-def lift_one(q: DataFrame, registry: Registry, schema_id: str, iri: str, emitter: Emitter | None = None, depth: int = 3) -> DataFrame:
+def lift_one(q: DataFrame, registry: Registry, schema_id: str, iri: str, emitter: Emitter | None = None, depth: int = 3, repeats: bool = False) -> DataFrame:
     """s, instance of one subject: only its own quads and those of what it leads to, whatever that is named, are gathered.
 
     The links are walked a step at a time from the subject, and each step only joins what the last one found.
@@ -643,7 +651,7 @@ def lift_one(q: DataFrame, registry: Registry, schema_id: str, iri: str, emitter
             break
         found = found.unionByName(front)
         steps = [x for _, more in steps for x in more]
-    return lift(q.join(found.distinct(), "s", "left_semi"), registry, schema_id, emitter, depth).where(F.col("s") == iri)
+    return lift(q.join(found.distinct(), "s", "left_semi"), registry, schema_id, emitter, depth, repeats=repeats).where(F.col("s") == iri)
 
 
 def _links(emitter: Emitter, schema, at, depth: int, path: tuple[int, ...]) -> list[tuple[str, list]]:

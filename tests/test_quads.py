@@ -1,8 +1,10 @@
 """Quads as text and back, numbers as text, documents that may not become quads, streams with late rows."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from schemaloom.catalogue import graphs
 from schemaloom.functions.formats import is_regex
 from schemaloom.functions.hashing import hash_column, hash_text
 from schemaloom.functions.numbers import number_text
@@ -132,3 +134,24 @@ def test_terms_of_other_libraries(spark):
     for bad in ((subject(("Variable", "v")), named("urn:p"), ("Literal", "x", None, None), None), (subject(named("urn:s")), blank("p"), ("Literal", "x", None, None), None), (subject(named("urn:s")), named("urn:p"), None, None)):
         with pytest.raises(Exception, match="not a quad of terms"):
             Q.from_terms(spark.createDataFrame([bad], schema)).collect()
+
+
+def test_equal_items_of_a_list_come_back(spark):
+    """With ``repeats`` each place counts, and a quad said twice at one place is one; without, quads are a set."""
+    bag = {"$id": "urn:x:bag", "type": "object", "properties": {"n": {"type": "array", "items": {"type": "integer"}}}}
+    df = spark.createDataFrame([(1, [5, 7, 5, 5])], "k int, n array<int>")
+    r = Registry([bag])
+    q = Q.Emitter(r).quads(df, bag["$id"], F.lit("urn:x:1"), row_value(df.select("n")))
+    twice = q.unionByName(q)
+    assert Q.lift(twice, r, bag["$id"], repeats=True).first()["instance"]["n"] == [5, 7, 5, 5]
+    assert Q.lift(twice, r, bag["$id"]).first()["instance"]["n"] == [5, 7]
+
+
+@pytest.mark.parametrize("name", ["q_lift_ordered", "q_lift_structural_nested"])
+def test_baskets_with_equal_prices(spark, tmp_path, name):
+    """Two orders of one customer at the same price are two items."""
+    db = duckdb.connect()
+    db.sql(f"COPY (SELECT * REPLACE (o_totalprice - o_totalprice % 50000 AS o_totalprice) FROM '/root/testdata/sf0.001/orders.parquet') TO '{tmp_path}/orders.parquet'")
+    db.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    got, want = graphs.QUERIES[name](spark, str(tmp_path)), db.sql(graphs.SQL[name])
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(want.fetchall())
