@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from schemaloom.operators import jsonld as J
 from schemaloom.operators.quads import RDF, SCHEMA, XSD, parse_nquads
+from schemaloom.sources.tables import dealt
 
 E = "https://e/"
 DOC = {
@@ -147,3 +148,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "one").mkdir()
     (tmp_path / "one" / "c.json").write_text(json.dumps(DOC, indent=1))
     assert J.read_jsonld(spark, str(tmp_path / "one")).count() == len(slow_read(DOC, "k"))
+
+
+def test_few_small_rows_are_dealt_out(spark):
+    """Rows that a shuffle brought together in one partition, as it does with small ones, are dealt to several tasks again."""
+    df = spark.range(100).coalesce(1)
+    assert dealt(df).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1 and dealt(df).count() == 100
