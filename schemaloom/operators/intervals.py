@@ -1,15 +1,23 @@
 """Joins in time: as of a moment, and of points with intervals.
 
 Both cut the time line into bins that hold about as many rows each (approximate quantiles, of a fixed number), so that no
-task gets a whole key, and an as-of match carries over from earlier bins by one small row for each key and bin.
+task gets a whole key. An as-of join does so with crowded keys only; a match carries over from earlier bins by one row for each
+of these keys and bin.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import pinned
+
 BINS = 256
+#: Rows of a key beyond which an as-of join spreads it over bins.
+CROWD = 1 << 17
 
 
 def quantile_grid(values: DataFrame, column: str, bins: int = BINS) -> list:
@@ -31,33 +39,43 @@ def binned(df: DataFrame, column: str, grid: list, name: str = "_bin") -> DataFr
     return out.drop("_time")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, suffix: str = "_right", allow_equal: bool = True, order: list[str] = (), bins: int = BINS) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, suffix: str = "_right", allow_equal: bool = True, order: list[str] = (), bins: int = BINS, crowd: int = CROWD) -> DataFrame:
     """Each left row with the right row of its keys that is the latest at its time (or before it, without ``allow_equal``).
 
     Left rows without a match stay, with nulls. Of right rows of one key and time, the last by ``order`` (all columns where
     none is given) is taken, so results don't depend on how rows are dealt. A null key or time matches nothing. Columns of
     the right side besides the keys get ``suffix`` where the left side has the name.
+
+    Both sides are moved once and read in order. A key of more than ``crowd`` rows is cut into bins; the last right row of a
+    bin is copied to those after it, as far as the next that has one, so at most ``bins`` rows are added for each such key.
     """
     names = {c: c + suffix if c in left.columns else c for c in right.columns if c not in by}
+    keys, (left_side, right_side) = [f"_by{i}" for i in range(len(by))], (1, 0) if allow_equal else (0, 1)
     last = F.struct(*(F.col(c).alias(f"_order{i}") for i, c in enumerate(order or [])), *(F.col(c) for c in right.columns if c not in by))
-    r = right.where(F.col(right_time).isNotNull()).groupBy(*by, F.col(right_time).alias("_t")).agg(F.max(last).alias("_row"))
-    times = left.select(F.col(left_time).alias("v")).unionByName(right.select(F.col(right_time).alias("v")))
-    grid = quantile_grid(times, "v", bins)
-    asked = left.where(F.col(left_time).isNotNull()).select(*by, F.col(left_time).alias("_t")).distinct()
-    both = r.select(*by, "_t", F.lit(0 if allow_equal else 1).alias("_side"), F.col("_t").alias("_known")).unionByName(asked.select(*by, "_t", F.lit(1 if allow_equal else 0).alias("_side"), F.lit(None).cast(r.schema["_t"].dataType).alias("_known")))
-    both = binned(both, "_t", grid)
-    is_left = F.col("_side") == (1 if allow_equal else 0)
-    within = Window.partitionBy(*by, "_bin").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_in", F.last("_known", ignorenulls=True).over(within)).where(is_left).select(*by, "_t", "_bin", "_in")
-    earlier = both.groupBy(*by, "_bin").agg(F.max("_known").alias("_last"))
-    before = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    carried = earlier.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).select(*by, "_bin", "_carry")
-    matched = found.join(carried, [*by, "_bin"]).select(*by, F.col("_t").alias("_asked"), F.coalesce("_in", "_carry").alias("_t"))
-    rows = matched.join(r, [*by, "_t"]).select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_asked", "_row")
-    same = F.col(left_time) == F.col("_asked")
-    for i, c in enumerate(by):
-        same = same & (left[c] == F.col(f"_by{i}"))
-    return left.join(rows, same, "left").select(*left.columns, *(F.col("_row")[c].alias(n) for c, n in names.items()))
+
+    def known(time: str) -> Column:
+        return reduce(and_, (F.col(c).isNotNull() for c in (*by, time)))
+
+    def placed(df: DataFrame, time: str, side: int, row: Column, name: str) -> DataFrame:
+        return df.where(known(time)).select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(time).alias("_t"), F.lit(side).alias("_side"), row.alias(name))
+
+    both = placed(left, left_time, left_side, F.struct(*left.columns), "_left").unionByName(placed(right, right_time, right_side, last, "_row"), allowMissingColumns=True)
+    crowded = pinned(both.groupBy(*keys).count().where(F.col("count") > crowd).select(*keys, F.lit(True).alias("_crowded")))
+    if crowded.isEmpty():
+        both = both.withColumn("_bin", F.lit(0))
+    else:
+        both = both.join(F.broadcast(crowded), keys, "left")
+        grid = quantile_grid(both.where("_crowded"), "_t", bins)
+        both = binned(both, "_t", grid).withColumn("_bin", F.when(F.col("_crowded"), F.col("_bin")).otherwise(0))
+        ends = both.where(F.col("_crowded") & (F.col("_side") == right_side)).groupBy(*keys, "_bin").agg(F.max(F.struct("_t", "_row")).alias("_end"))
+        until = F.coalesce(F.lead("_bin").over(Window.partitionBy(*keys).orderBy("_bin")), F.lit(len(grid)))
+        later = ends.withColumn("_until", until).where("_bin < _until").select(*keys, "_end._t", F.lit(right_side).alias("_side"), "_end._row", F.explode(F.sequence(F.col("_bin") + 1, "_until")).alias("_bin"))
+        both = both.drop("_crowded").unionByName(later, allowMissingColumns=True)
+    within = Window.partitionBy(*keys, "_bin").orderBy("_t", "_side", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_row", F.last("_row", ignorenulls=True).over(within)).where(F.col("_side") == left_side)
+    matched = found.select(*(F.col("_left")[c].alias(c) for c in left.columns), *(F.col("_row")[c].alias(n) for c, n in names.items()))
+    nothing = (F.lit(None).cast(right.schema[c].dataType).alias(n) for c, n in names.items())
+    return matched.unionByName(left.where(~known(left_time)).select(*left.columns, *nothing))
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, by: list[str] = (), closed: bool = False, bins: int = BINS, salts: int = 1) -> DataFrame:

@@ -27,6 +27,28 @@ def test_asof_join(spark, equal):
     assert asof_join(ldf, rdf.limit(0), ["k"], "t", "t").count() == len(left) and asof_join(ldf.limit(0), rdf, ["k"], "t", "t").count() == 0
 
 
+@pytest.mark.parametrize("equal", [True, False])
+def test_asof_join_of_crowded_keys(spark, equal):
+    """Keys on both sides of the bound; matches reach over bins without a right row, and ties go by the order asked for."""
+    rng = random.Random(7)
+    key = lambda: rng.choice(["hot"] * 8 + ["warm"] * 4 + ["a", None])
+    left = [(i, key(), rng.choice([None] + [rng.randint(0, 400) for _ in range(9)])) for i in range(600)]
+    right = [(key(), rng.choice([None, rng.choice([5, 6, 7, 300, 301]), rng.randint(0, 400)]), i % 7, i) for i in range(60)]
+    ldf, rdf = spark.createDataFrame(left, "id int, k string, t long"), spark.createDataFrame(right, "k string, t long, v int, n int")
+    got = asof_join(ldf, rdf, ["k"], "t", "t", allow_equal=equal, order=["v", "n"], bins=16, crowd=100).collect()
+    assert len(got) == len(left)
+    for r in got:
+        fits = [(t, v, n) for k, t, v, n in right if k == r["k"] is not None and None not in (t, r["t"]) and (t <= r["t"] if equal else t < r["t"])]
+        assert (r["t_right"], r["v"], r["n"]) == (max(fits) if fits else (None, None, None)), r
+
+
+def test_asof_join_moves_rows_once(spark):
+    """Without crowded keys there is one shuffle of the rows, and none to find them again."""
+    rows = spark.range(100).selectExpr("id % 9 AS k", "id AS t", "id AS v")
+    plan = asof_join(rows, rows, ["k"], "t", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 @pytest.mark.parametrize("closed", [True, False])
 def test_range_join(spark, closed):
     rng = random.Random(5)
