@@ -498,25 +498,28 @@ def to_jsonld(q: DataFrame) -> DataFrame:
 
 def lists(q: DataFrame, cells: bool = False) -> DataFrame:
     """head, idx, item (or, where ``cells`` are asked for, cell): the members of RDF lists. Each cell finds its head by doubling the reach of its link backwards, so a
-    list of n cells takes log2(n) rounds; cells of a cycle have no head and are left out."""
-    from .selection import pinned
-
-    first = q.where(F.col("p") == RDF + "first").select(F.col("s").alias("cell"), F.col("o").alias("item"))
-    rest = q.where(F.col("p") == RDF + "rest").select("s", "o").distinct()
-    every = rest.select(F.col("s").alias("cell")).distinct()
-    back = rest.select(F.col("o").alias("cell"), F.col("s").alias("up"))
-    at = pinned(every.join(back, "cell", "left").select("cell", F.coalesce("up", "cell").alias("up"), F.col("up").isNotNull().cast("bigint").alias("idx")))
-    going = None
+    list of n cells takes log2(n) rounds; cells that have found theirs take no part in later ones. Cells of a cycle have no head and are left out."""
+    from .selection import stored
+
+    is_rest = F.col("p") == RDF + "rest"
+    said = stored(q.where(is_rest | (F.col("p") == RDF + "first")).select("s", "o", is_rest.alias("is_rest")))
+    links, nil = said.where("is_rest").select("s", "o"), RDF + "nil"
+    every = links.select(F.col("s").alias("cell")).repartition("cell").distinct()
+    # every list ends in nil, which is no cell, so one task would get all last cells
+    inner = links.where(F.col("o") != nil) if links.where(F.col("s") == nil).isEmpty() else links
+    back = inner.select(F.col("o").alias("cell"), F.col("s").alias("up")).repartition("cell").distinct()
+    at = stored(every.join(back, "cell", "left").select("cell", F.coalesce("up", "cell").alias("up"), F.col("up").isNotNull().cast("bigint").alias("idx"), F.col("up").isNull().alias("done")))
+    found, going = at.where("done"), at.where("NOT done")
     while True:
-        far = at.select(F.col("cell").alias("up"), F.col("up").alias("further"), F.col("idx").alias("more"))
-        at = pinned(at.join(far, "up").select("cell", F.col("further").alias("up"), (F.col("idx") + F.col("more")).alias("idx"), (F.col("more") > 0).alias("moved")))
-        left = at.where("moved").count()
-        if left in (0, going):
+        far = found.unionByName(going).select(F.col("cell").alias("up"), F.col("up").alias("further"), F.col("idx").alias("more"), F.col("done"))
+        at = stored(going.drop("done").join(far, "up").select("cell", F.col("further").alias("up"), (F.col("idx") + F.col("more")).alias("idx"), "done"))
+        ready, left = at.agg(F.count_if("done"), F.count_if(~F.col("done"))).first()
+        found, going = found.unionByName(at.where("done")), at.where("NOT done")
+        if not ready or not left:
             break
-        going = left
-        at = at.drop("moved")
-    at = at.where("NOT moved").select("cell", F.col("up").alias("head"), F.col("idx").cast("int").alias("idx"))
-    return at if cells else at.join(first, "cell").select("head", "idx", "item")
+    out = found.select("cell", F.col("up").alias("head"), F.col("idx").cast("int").alias("idx"))
+    first = said.where("NOT is_rest").select(F.col("s").alias("cell"), F.col("o").alias("item"))
+    return out if cells else out.join(first, "cell").select("head", "idx", "item")
 
 
 # other libraries' terms

@@ -9,9 +9,10 @@ from __future__ import annotations
 import itertools
 import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.compiler import _At
@@ -19,17 +20,34 @@ from ..plans.registry import Registry
 from .quads import RDFS, TYPE, Emitter
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """Lineage cut in the folder that all executors share, ``spark.checkpoint.dir``; only a session within one process may go without."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, ``spark.checkpoint.dir``; only a session within one process may go without."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """Lineage cut by a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Lineage cut by a Parquet table in the shared folder: smaller than a checkpoint, and read by column, for many rows that are
+    read more than once. It goes with the session."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class CardinalityError(ValueError):
     """one() found none or several."""
 

@@ -9,6 +9,7 @@ from schemaloom.functions.formats import is_regex
 from schemaloom.functions.hashing import hash_column, hash_text
 from schemaloom.functions.numbers import number_text
 from schemaloom.operators import quads as Q
+from schemaloom.operators import selection
 from schemaloom.operators.validation import row_value
 from schemaloom.plans.compiler import Compiler
 from schemaloom.plans.registry import Registry
@@ -162,3 +163,32 @@ def test_customers_are_dealt(spark, tmp_path):
     spark.range(0, 400, 1, 1).selectExpr("id AS c_custkey", "'c' || id AS c_name", "1 AS c_nationkey", "id / 4 AS c_acctbal", "'BUILDING' AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
     made = graphs.customers(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert len(made) == spark.sparkContext.defaultParallelism and {r["count"] for r in made} == {500}
+
+
+def _links(spark, lists):
+    rows = [(s, Q.RDF + p, o) for cells in lists for s, item, rest in cells for p, o in (("first", item), ("rest", rest))]
+    return spark.createDataFrame(rows, "s string, p string, o string")
+
+
+def test_odd_lists(spark):
+    """Lists that share a tail, a quad said twice, a cycle, a list of nine, and nil as a cell."""
+    nil = Q.RDF + "nil"
+    nine = [(f"_:n{i}", str(i), f"_:n{i + 1}" if i < 8 else nil) for i in range(9)]
+    fork = [("_:a", "x", "_:t"), ("_:b", "y", "_:t"), ("_:t", "z", nil)]
+    cycle = [("_:c", "1", "_:d"), ("_:d", "2", "_:c")]
+    q = _links(spark, [nine, fork, cycle])
+    q = q.unionByName(q.where("p LIKE '%rest'"))
+    want = sorted([*(("_:n0", i, str(i)) for i in range(9)), ("_:a", 0, "x"), ("_:a", 1, "z"), ("_:b", 0, "y"), ("_:b", 1, "z")])
+    assert sorted(tuple(r) for r in Q.lists(q).collect()) == want
+    odd = _links(spark, [[("_:a", "x", nil), (nil, "y", "_:e"), ("_:e", "z", "_:end")]])
+    assert sorted(tuple(r) for r in Q.lists(odd).collect()) == [("_:a", 0, "x"), ("_:a", 1, "y"), ("_:a", 2, "z")]
+    assert Q.lists(q.limit(0)).count() == 0
+
+
+def test_rounds_of_lists_shrink(spark, monkeypatch):
+    """Cells that have found their head take no part in later rounds."""
+    kept, store = [], selection.stored
+    monkeypatch.setattr(selection, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    q = _links(spark, [[(f"_:{k}/{i}", str(i), f"_:{k}/{i + 1}" if i < k else Q.RDF + "nil") for i in range(k + 1)] for k in range(8)])
+    assert Q.lists(q).count() == 36
+    assert [x.count() for x in kept[2:]] == [28, 21, 10]
