@@ -262,7 +262,7 @@ def deduplicated(q: DataFrame) -> DataFrame:
     return first.select("s", "p", "o", "g", "_rest.*", "ord").select(*q.columns)
 
 
-def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | None = None, depth: int = 3, structural: bool = False, defaults: bool = False, repeats: bool = False) -> DataFrame:
+def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | None = None, depth: int = 3, structural: bool = False, defaults: bool = False, repeats: bool = False, source: Callable[[set[str]], DataFrame] | None = None) -> DataFrame:
     """s, instance: the typed documents of a class, gathered from its quads; nested objects are joined bottom-up.
 
     Nesting is followed as deep as the schema goes. Schemas that are met again within themselves are followed ``depth``
@@ -277,10 +277,13 @@ def lift(q: DataFrame, registry: Registry, schema_id: str, emitter: Emitter | No
 
     Quads are a set: one that is said twice is one item of a list. ``repeats``: only where it is said twice at the same place
     (ord), so that a list with equal items, as the emitter writes it, comes back whole.
+
+    ``source`` gives the quads of some predicates where that is cheaper than to filter all, as for a ``Graph``: the class and
+    each class nested in it only make what they read.
     """
     emitter = emitter or Emitter(registry)
     key = registry.expand(schema_id)
-    out = _lift(q, emitter, registry[key], key, _At(key), depth, (id(registry[key]),), structural, repeats)
+    out = _lift(q, emitter, registry[key], key, _At(key), depth, (id(registry[key]),), structural, repeats, source)
     if defaults:
         filled = Projector(registry, coerce=True, defaults=True).project(key, Typed(F.col("instance"), out.schema["instance"].dataType))
         out = out.select("s", filled.alias("instance"))
@@ -314,7 +317,8 @@ def _typed(q: DataFrame, class_id: str) -> DataFrame:
     return q.where(F.col("p") == TYPE).groupBy("s").agg(F.min_by("o", "ord").alias("_class")).where(F.col("_class") == class_id).select("s")
 
 
-def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int, path: tuple[int, ...], structural: bool = False, repeats: bool = False) -> DataFrame:
+def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int, path: tuple[int, ...], structural: bool = False, repeats: bool = False, source: Callable[[set[str]], DataFrame] | None = None) -> DataFrame:
+    of = lambda *wanted: (q if source is None else source(set(wanted))).where(F.col("p").isin(*wanted))
     props = emitter.shapes.properties(schema, at)
     if structural and not props:
         return q.sparkSession.createDataFrame([], "s string, instance struct<>")
@@ -362,10 +366,10 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
         out = q.where((F.col("p") == TYPE) | suffix.isin([n for n, *_ in plain]) | F.col("p").isin([c[n] for c in others.values() for n, *_ in plain])).groupBy("s").agg(*made)
         out = out.where(F.col("_class").isin(list(others))).select("s", "_class", *(c.alias(n) for n, c in chosen.items()))
     else:
-        out = q.where(F.col("p").isin([TYPE, *(p for _, p, _, _ in plain)])).groupBy("s").agg(*made).where(F.col("_class") == class_id).drop("_class")
+        out = of(TYPE, *(p for _, p, _, _ in plain)).groupBy("s").agg(*made).where(F.col("_class") == class_id).drop("_class")
     for name, p, many, leaf, leaf_class, leaf_at, way in nested:
-        inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way, structural, repeats).select(F.col("s").alias("o"), F.col("instance"))
-        links = q.where(F.col("p") == p).select("s", "o", "g", "ord").join(inner, "o")
+        inner = _lift(q, emitter, leaf, leaf_class, leaf_at, depth, way, structural, repeats, source).select(F.col("s").alias("o"), F.col("instance"))
+        links = of(p).select("s", "o", "g", "ord").join(inner, "o")
         if structural:
             links = _links_of(q, name, others, out).join(inner, "o")
         if many:
@@ -379,7 +383,7 @@ def _lift(q: DataFrame, emitter: Emitter, schema, class_id: str, at, depth: int,
         out = out.join(links.groupBy("s").agg(got.alias(name)), "s", "left")
     instance = F.struct(*(F.col(n) for n in props if n in out.columns))
     for name, p, leaf_class in ended:
-        deeper = q.where(F.col("p") == p).join(_typed(q, leaf_class).select(F.col("s").alias("o")), "o", "left_semi")
+        deeper = of(p).join(_typed(of(TYPE), leaf_class).select(F.col("s").alias("o")), "o", "left_semi")
         out = out.join(deeper.select("s", F.lit(True).alias(f"_below {name}")).distinct(), "s", "left")
         said = F.concat(F.lit(f"{name} is nested deeper than lift(depth={depth}) follows, at "), F.col("s"))
         instance = F.when(F.col(f"`_below {name}`").isNotNull(), F.raise_error(said)).otherwise(instance)

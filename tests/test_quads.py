@@ -192,3 +192,13 @@ def test_rounds_of_lists_shrink(spark, monkeypatch):
     q = _links(spark, [[(f"_:{k}/{i}", str(i), f"_:{k}/{i + 1}" if i < k else Q.RDF + "nil") for i in range(k + 1)] for k in range(8)])
     assert Q.lists(q).count() == 36
     assert [x.count() for x in kept[2:]] == [28, 21, 10]
+
+
+def test_lift_reads_what_it_needs_of_a_source(spark):
+    """Each class asks for its own predicates, and the links between them are asked for alone."""
+    sf, asked = "/root/testdata/sf0.001", []
+    r, q = graphs.Registry(graphs.REGISTRY), graphs.nested_orders(spark, sf)
+    source = lambda only: asked.append(only) or graphs.nested_orders(spark, sf, *only)
+    rows = lambda df: sorted(repr(x) for x in df.collect())
+    assert rows(Q.lift(q, r, graphs.ORDER["$id"], source=source)) == rows(Q.lift(q, r, graphs.ORDER["$id"]))
+    assert {graphs.P["lines"]} in asked and {Q.TYPE, graphs.P["l_partkey"], graphs.P["l_quantity"]} in asked
