@@ -1,6 +1,7 @@
 """JSON-LD to quads and back."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from schemaloom.catalogue import graphs
 from schemaloom.operators import jsonld as J
 from schemaloom.operators.quads import RDF, SCHEMA, XSD, parse_nquads
+from schemaloom.operators.selection import shared_dir
 from schemaloom.sources.tables import dealt
 
 E = "https://e/"
@@ -160,3 +162,53 @@ def test_few_small_rows_are_dealt_out(spark):
 @pytest.mark.parametrize("name", ["q_nquads_escapes"])
 def test_lines_are_made_by_several_tasks(spark, sf, name):
     assert graphs.QUERIES[name](spark, sf).rdd.getNumPartitions() > 1
+
+
+SHARED = """<urn:x> <urn:l> _:c0 .
+<urn:x> <urn:in> _:n0 .
+_:n0 <urn:in> _:n1 .
+_:n0 <urn:also> "0" .
+_:n1 <urn:l> _:c0 .
+_:n1 <urn:in> _:n2 .
+_:n2 <urn:v> "2" .
+_:c0 <{rdf}first> _:i .
+_:c0 <{rdf}rest> <{rdf}nil> .
+_:i <urn:v> "1" .
+_:i <urn:v> "3" .
+_:r0 <urn:in> _:r1 .
+_:r1 <urn:in> _:r0 .
+_:r1 <urn:q> _:leaf .
+_:leaf <urn:v> "4" .
+_:t <urn:q> _:under .
+_:t <urn:v> "5" .
+_:under <urn:v> "6" .""".replace("{rdf}", RDF)
+
+
+def test_writer_moves_each_text_to_all_that_wait_for_it(spark):
+    """A list of two owners that are made in different rounds, nodes below a circle, and a blank node that nothing refers to."""
+    q = parse_nquads(spark.createDataFrame([(t, [i]) for i, t in enumerate(SHARED.split("\n"))], "value string, ord array<long>"))
+    shared = [{"@list": [{"urn:v": ["1", "3"]}]}]
+    assert {r["s"]: json.loads(r["node"]) for r in J.to_jsonld_documents(q, native=True).collect()} == {
+        "urn:x": {"@id": "urn:x", "urn:l": shared, "urn:in": [{"urn:in": [{"urn:l": shared, "urn:in": [{"urn:v": ["2"]}]}], "urn:also": ["0"]}]},
+        "_:r0": {"@id": "_:r0", "urn:in": [{"@id": "_:r1"}]},
+        "_:r1": {"@id": "_:r1", "urn:in": [{"@id": "_:r0"}], "urn:q": [{"urn:v": ["4"]}]},
+        "_:t": {"@id": "_:t", "urn:q": [{"urn:v": ["6"]}], "urn:v": ["5"]},
+    }
+
+
+def test_writer_keeps_little_on_disk(spark):
+    """The quads are kept once, by column and compressed; no round writes again what is made already."""
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    item = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit('{"urn:number":['), (F.col("id") * 10 + i).cast("string"), F.lit("]}"))), ",")
+    docs = spark.range(4000).select(F.col("id").cast("string").alias("k"), F.parse_json(F.concat(F.lit('{"@id":"urn:d'), F.col("id").cast("string"), F.lit('","urn:items":[{"@list":['), item, F.lit("]}]}"))).alias("d"))
+    q = J.from_jsonld(docs, "d", F.col("k"))
+    before = size()
+    assert J.to_jsonld_documents(q, native=True).count() == 4000
+    assert size() - before < 60 * 4000 * 16
+
+
+def test_reader_looks_members_up(spark):
+    """A path that leads nowhere in a variant costs an exception, so the reader takes none for members that may be absent."""
+    q = J.from_jsonld(spark.createDataFrame([("{}",)], "t string").select(F.parse_json("t").alias("d")), "d", F.lit("k"))
+    assert "$[" not in q._jdf.queryExecution().optimizedPlan().toString()
