@@ -327,11 +327,11 @@ _LINES = "SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenu
 
 def customer_trees(spark, sf_dir):
     """c_custkey, doc: customers with their orders, and orders with their lines, as nodes of one kind."""
-    gathered = lambda n, v, *more: F.array_sort(F.collect_list(F.struct(F.col(n).alias("n"), F.col(v).alias("v"), *more)))
+    gathered = lambda n, v, *more: F.sort_array(F.collect_list(F.struct(F.col(n).alias("n"), F.col(v).alias("v"), *more)))
     lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(gathered("l_linenumber", "l_quantity").alias("kids"))
     orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left").groupBy(F.col("o_custkey").alias("c_custkey")).agg(gathered("o_orderkey", "o_totalprice", "kids", F.get("kids", 0).alias("first")).alias("kids"))
     node = F.struct(F.col("c_custkey").alias("n"), F.col("c_acctbal").alias("v"), "kids")
-    return table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").select("c_custkey", F.parse_json(F.to_json(node)).alias("doc"))
+    return balanced(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")).join(orders, "c_custkey", "left").select("c_custkey", F.parse_json(F.to_json(node)).alias("doc"))
 
 
 @C.query(f"""

@@ -9,6 +9,7 @@ doesn't depend on the documents. A reference that comes back to the same node is
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
 from typing import Any, NamedTuple
@@ -73,6 +74,8 @@ def regex(pattern: str) -> str:
 
 
 def matching(keys: Column, pattern: str) -> Column:
+    if re.fullmatch(r"\^[A-Za-z0-9_-]+", pattern):  # a plain beginning
+        return F.filter(keys, lambda k: k.startswith(pattern[1:]))
     return F.filter(keys, lambda k: k.rlike(regex(pattern)))
 
 
@@ -533,7 +536,10 @@ class Compiler:
         if (target := s.get("rdfs:range")) is not None and (r := self._range(target, v, at)):
             parts.append(F.when(is_object, self._errors(r[0], v, path, r[1])).otherwise(no_errors()))
         parts = [p for p in parts if p is not None]
-        return F.concat(*parts) if len(parts) > 1 else parts[0] if parts else no_errors()
+        return self._joined(parts) if len(parts) > 1 else parts[0] if parts else no_errors()
+
+    def _joined(self, parts: list[Column]) -> Column:
+        return F.concat(*parts)
 
     def _key_errors(self, v: Value, keys: Column, sub: Schema, path: Column, at: _At) -> Column:
         if isinstance(v, Typed) and isinstance(v.kind, T.StructType):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import number_text
+from ..functions.rounds import let
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -201,6 +202,52 @@ class Placed(Variant):
         return Placed(col["value"], col["path"])
 
 
+class Opened(Placed):
+    """A placed variant whose members, if it is an object, are a column already: each look at one is a look into a map, which neither
+    decodes the object again nor, for an absent member, costs the exception that Spark makes of a path that leads nowhere."""
+
+    def __init__(self, col: Column, path: Column, members: Column):
+        super().__init__(col, path)
+        self.members = members
+        self.schema = F.when(members.isNotNull(), "OBJECT").otherwise(self.schema)
+
+    def is_type(self, name: str) -> Column:
+        return self.members.isNotNull() if name == "object" else super().is_type(name)
+
+    def keys(self) -> Column:
+        return F.map_keys(self.members)
+
+    def get(self, key: str) -> Value:
+        return Placed(F.try_element_at(self.members, F.lit(key)), F.concat(self.path, F.lit("/" + key)))
+
+    def lookup(self, key: Column) -> Value:
+        return Placed(F.try_element_at(self.members, key), F.concat(self.path, F.lit("/"), key))
+
+
+class Known(Placed):
+    """A placed variant with its kind and number in a struct that was made once."""
+
+    def __init__(self, held: Column, path: Column):
+        super().__init__(held["value"], path)
+        self.schema, self._number = held["kind"], held["number"]
+
+    @staticmethod
+    def held(v: Variant, f: Callable[[Column], Column]) -> Column:
+        """f of the struct, whose number is null for what is none."""
+        numeric = lambda kind: kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        made = lambda kind: F.struct(v.col.alias("value"), kind.alias("kind"), F.when(numeric(kind), v._as("double")).alias("number"))
+        return let(v.schema, lambda kind: let(made(kind), f))
+
+    def is_type(self, name: str) -> Column:
+        if name not in ("number", "integer"):
+            return super().is_type(name)
+        n = self._number
+        return n.isNotNull() if name == "number" else F.coalesce((n == F.rint(n)) & (F.abs(n) < float("inf")), F.lit(False))
+
+    def number(self) -> Column:
+        return self._number
+
+
 class Held(Variant):
     """A variant whose kind, text and number are columns already."""
 

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from schemaloom.catalogue import validation
 from schemaloom.operators.validation import is_valid, row_value
 from schemaloom.plans.compiler import Compiler
 from schemaloom.plans.registry import Registry, SchemaError
@@ -186,3 +187,28 @@ def test_a_reference_to_the_same_node_is_valid(spark):
     c = Compiler(Registry([{"$id": "urn:c", "type": "integer", "allOf": [{"$ref": "urn:c"}]}]))
     df = spark.createDataFrame([("1",), ("\"x\"",)], "j string").select(F.parse_json("j").alias("d"))
     assert [r[0] for r in df.select(c.check("urn:c", Variant(F.col("d")))).collect()] == [True, False]
+
+
+def test_recursive_errors_are_those_of_the_plain_schema(spark):
+    """Documents of one level under a schema that refers to itself, and under the same one without that."""
+    plain = {
+        "$id": "urn:plain", "type": "object", "required": ["n"], "patternProperties": {"^x-y": {"type": "integer"}, "^z.$": {"type": "boolean"}},
+        "properties": {"n": {"type": ["integer", "null"]}, "m": {"type": "number", "minimum": 2, "multipleOf": 0.5}, "s": {"type": "string", "minLength": 2, "pattern": "^a"}, "e": {"enum": [1, "a", None, {"k": [1]}]}, "o": {"type": "object", "required": ["p"], "properties": {"p": {"maximum": 3}}}},
+    }
+    itself = plain | {"$id": "urn:itself", "properties": plain["properties"] | {"kids": {"items": {"$ref": "urn:itself"}}}}
+    odd = [None, True, 0, 1, 1.0, 1.5, -3, 2.25, 1e300, 10**30, 2**63, "", "a", "ab", "b", [], [1], {}, {"k": [1]}, {"p": 4}, {"p": None}]
+    docs = [{"n": 1, k: x} for k in ("n", "m", "s", "e", "o", "x-y", "x-yz", "x", "zz", "zzz", "") for x in odd] + [*odd, {"n": 1, "m": 1, "s": "b", "e": 2, "o": {}, "x-y": "1", "zq": 0}]
+    c = Compiler(Registry([plain, itself]))
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, j string").select("i", F.parse_json("j").alias("d"))
+    v = Variant(F.col("d"))
+    rows = df.select("i", c.errors("urn:plain", v).alias("a"), c.errors("urn:itself", v).alias("b"), c.check("urn:itself", v).alias("ok")).orderBy("i").collect()
+    said = lambda errors: [(e["path"], e["keyword"], e["message"]) for e in errors]
+    assert [said(r["b"]) for r in rows] == [said(r["a"]) for r in rows] and [r["ok"] for r in rows] == [not r["a"] for r in rows]
+    assert 40 < sum(r["ok"] for r in rows) < len(docs) - 40
+
+
+def test_recursive_schemas_open_each_value_once(spark, sf):
+    """A path that leads nowhere in a variant costs an exception, so members are looked up in a map; and a small table of documents is dealt to several tasks."""
+    rows = validation.QUERIES["v_recursive_tree"](spark, sf)
+    assert "$[" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.rdd.getNumPartitions() > 1
